@@ -8,27 +8,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
-from casequarry.functions.text import let, strip
+from casequarry.functions.text import SPACE, strip
 
 
-_SHAPES = {"yyyy": r"(?!0000)\d{4}", "M": r"\d{1,2}", "d": r"\d{1,2}", ".": r"\."}
+_SHAPES = {"yyyy": "(?!0000)[0-9]{4}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", ".": r"\."}
 
 
 def _shape(pattern: str) -> str:
     """Regular expression for the digits a date format asks for."""
-    return r"\A" + re.sub(r"yyyy|M|d|\.", lambda m: _SHAPES[m.group()], pattern) + r"\z"
+    digits = re.sub(r"yyyy|M|d|\.", lambda m: _SHAPES[m.group()], pattern)
+    return rf"(?U)\A{SPACE}*{digits}{SPACE}*\z"
 
 
 def parse_date(c: Column) -> Column:
-    """First of the accepted formats that fits; a month alone is its first day; null when none fits."""
-
-    def read(text: Column) -> Column:
-        parsed = F.lit(None).cast("date")
-        for pattern in reversed(fv.DATE_PATTERNS):
-            parsed = F.when(text.rlike(_shape(pattern)), F.try_to_date(text, pattern)).otherwise(parsed)
-        return parsed
-
-    return let(strip(c), read)
+    """First of the accepted formats that fits; a month alone is its first day; null when none fits.
+
+    The shape decides which format is read, so at most one is.
+    """
+    parsed = F.lit(None).cast("date")
+    for pattern in reversed(fv.DATE_PATTERNS):
+        parsed = F.when(c.rlike(_shape(pattern)), F.try_to_date(strip(c), pattern)).otherwise(parsed)
+    return parsed
 
 
 def months_before(ref: Column, months: Column) -> Column:

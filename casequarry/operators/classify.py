@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
@@ -12,22 +12,10 @@ from casequarry.functions.jsonobj import parse_object
 from casequarry.functions.values import field_of, to_float
 from casequarry.operators.guards import input_verdict, output_verdict
 from casequarry.operators.prompts import classification_prompts
+from casequarry.scale import settle
 from casequarry.sources.config import ReviewConfig
 
 ALTERNATIVES = "array<struct<type:string,confidence:double>>"
-_NO_ALTERNATIVES = "array()"
-
-
-def _result(doc: list[str], detected: Column, confidence: Column, alternatives: Column, reasoning: Column) -> list:
-    return [
-        *doc,
-        detected.alias("detected_type"),
-        confidence.alias("confidence"),
-        alternatives.alias("alternative_types"),
-        reasoning.alias("reasoning"),
-        F.lit(False).alias("manually_overridden"),
-        F.lit(None).cast("string").alias("override_by"),
-    ]
 
 
 def parse_classification(
@@ -36,29 +24,31 @@ def parse_classification(
     """Read replies in ``reply_text`` and gate them by confidence.
 
     A type below the threshold becomes NEEDS_MANUAL_CLASSIFICATION; equal passes. An unreadable reply
-    becomes a manual row; a confidence that is no number leaves the document without a row.
+    becomes a manual row; a confidence that is no number leaves the document without a row. Rows without
+    a reply say why in ``_never``.
     """
-    read = replies.withColumn("_p", parse_object(F.col("reply_text"), strict))
+    if "_never" not in replies.columns:
+        replies = replies.withColumn("_never", F.lit(None).cast("string"))
+    read = settle(replies, _p=F.when(F.col("_never").isNull(), parse_object(F.col("reply_text"), strict)))
     record, bad = F.col("_p.record"), F.col("_p.record").isNull()
     given = field_of(record, "confidence")
     confidence = F.when(bad | given.isNull(), 0.0).otherwise(to_float(given))
-    read = read.withColumn("_c", confidence).where(F.col("_c").isNotNull())
-    type_value = field_of(record, "detected_type")
+    read = settle(read, _c=confidence).where(F.col("_c").isNotNull())
+    type_value, reason = field_of(record, "detected_type"), field_of(record, "reasoning")
     detected = F.when(type_value.isNull(), fv.NEEDS_MANUAL).otherwise(type_value["text"])
     raw = F.substring("reply_text", 1, fv.CLASSIFIER_RAW_CHARS)
     unreadable = F.concat(F.lit("JSON parse error: "), F.col("_p.error"), F.lit(". Raw: "), raw)
     alternatives = F.coalesce(
-        F.from_json(field_of(record, "alternative_types")["text"], ALTERNATIVES), F.expr(_NO_ALTERNATIVES).cast(ALTERNATIVES)
+        F.from_json(field_of(record, "alternative_types")["text"], ALTERNATIVES), F.array().cast(ALTERNATIVES)
     )
-    reason = field_of(record, "reasoning")
     return read.select(
-        *_result(
-            keep,
-            F.when(bad | (F.col("_c") < threshold), fv.NEEDS_MANUAL).otherwise(detected),
-            F.col("_c"),
-            alternatives,
-            F.when(bad, unreadable).when(reason.isNull(), "").otherwise(reason["text"]),
-        )
+        *keep,
+        F.when(bad | (F.col("_c") < threshold), fv.NEEDS_MANUAL).otherwise(detected).alias("detected_type"),
+        F.col("_c").alias("confidence"),
+        alternatives.alias("alternative_types"),
+        F.coalesce("_never", F.when(bad, unreadable).when(reason.isNull(), "").otherwise(reason["text"])).alias("reasoning"),
+        F.lit(False).alias("manually_overridden"),
+        F.lit(None).cast("string").alias("override_by"),
     )
 
 
@@ -72,30 +62,21 @@ def classify(
     """One classification per document with text; ``ask`` adds ``raw_response, error`` to prompts.
 
     Without registered types, with a blocked prompt, a model error or an unreadable reply the document is
-    left for manual classification, with the reason.
+    left for manual classification, with the reason. All of it is one pass over the documents.
     """
     keep = list(keep)
     texts = docs.where(F.coalesce(F.col("text_content"), F.lit("")) != "")
     prompts = input_verdict(classification_prompts(texts, cfg), "prompt", cfg)
-    never = prompts.select(*keep, "prompt", "in_passed", "in_reason").where(
-        F.col("prompt").isNull() | ~F.col("in_passed")
-    )
-    stopped = F.when(F.col("prompt").isNull(), fv.MSG_NO_TYPES).otherwise(
-        F.concat(F.lit("Blocked by guardrails: "), "in_reason")
-    )
-    made = ask(prompts.where(F.col("prompt").isNotNull() & F.col("in_passed")).select(*keep, "prompt"))
-    broken = made.where(F.col("error").isNotNull())
-    readable = output_verdict(made.where(F.col("error").isNull()), "raw_response", cfg)
-
-    def manual(rows: DataFrame, reason: Column) -> DataFrame:
-        none = F.expr(_NO_ALTERNATIVES).cast(ALTERNATIVES)
-        return rows.select(*_result(keep, F.lit(fv.NEEDS_MANUAL), F.lit(0.0), none, reason))
-
-    return (
-        parse_classification(readable, keep, threshold)
-        .unionByName(manual(never, stopped))
-        .unionByName(manual(broken, F.concat(F.lit(fv.MSG_MODEL_ERROR), "error")))
+    # Only the prompt's presence is needed after the call, not the prompt.
+    prompts = prompts.withColumn("_typed", F.col("prompt").isNotNull())
+    made = ask(prompts.select(*keep, "prompt", "in_passed", "in_reason", "_typed"))
+    never = (
+        F.when(~F.col("_typed"), fv.MSG_NO_TYPES)
+        .when(~F.col("in_passed"), F.concat(F.lit("Blocked by guardrails: "), "in_reason"))
+        .when(F.col("error").isNotNull(), F.concat(F.lit(fv.MSG_MODEL_ERROR), "error"))
     )
+    readable = output_verdict(made.withColumn("_never", never), "raw_response", cfg)
+    return parse_classification(readable, keep, threshold)
 
 
 def apply_classification(docs: DataFrame, classifications: DataFrame) -> DataFrame:
@@ -144,7 +125,7 @@ def apply_overrides(
         F.coalesce("doc_seq", "_seq").alias("doc_seq"),
         F.coalesce("new_type", "detected_type").alias("detected_type"),
         F.when(hand, 1.0).otherwise(F.col("confidence")).alias("confidence"),
-        F.coalesce("alternative_types", F.expr(_NO_ALTERNATIVES).cast(ALTERNATIVES)).alias("alternative_types"),
+        F.coalesce("alternative_types", F.array().cast(ALTERNATIVES)).alias("alternative_types"),
         F.coalesce("reasoning", F.lit("")).alias("reasoning"),
         (hand | F.coalesce("manually_overridden", F.lit(False))).alias("manually_overridden"),
         F.coalesce("analyst_id", "override_by").alias("override_by"),

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from casequarry import fixed_values as fv
 from casequarry.functions.dates import months_before, parse_date
 from casequarry.functions.jsonobj import parse_object
-from casequarry.functions.text import let, strip
+from casequarry.functions.text import strip
 from casequarry.functions.values import field_of, record_json, text_to_float, to_float, truthy
 from casequarry.operators.guards import input_verdict, output_verdict
 from casequarry.operators.prompts import condition_prompts
-from casequarry.scale import bounded_text, config_table
+from casequarry.scale import bounded_text, config_table, settle
 from casequarry.sources.config import CONDITION_SCHEMA, DOC_MARK, FIELD_MARK, ReviewConfig
 
 RESULT_COLUMNS = [
@@ -55,62 +55,55 @@ def _python_quoted(text: Column) -> Column:
     return F.when(text.contains("'") & ~text.contains('"'), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(plain)
 
 
-def evaluate_operator(operator: Column, v: Column, expected: Column, months: Column, as_of: Column) -> Column:
-    """(passed, reason) of ``value operator expected``.
+DATE_OPERATORS, NUMBER_OPERATORS = ["within_months", "after_today"], ["greater_than", "less_than"]
+
+
+def evaluate_operator(
+    operator: Column, text: Column, day: Column, left: Column, right: Column, expected: Column, months: Column, as_of: Column
+) -> tuple[Column, Column]:
+    """(passed, reason) of ``text operator expected``; ``day, left, right`` are the sides as date or numbers.
 
     Dates are compared with ``as_of``; a value that is no date or no number does not pass. An unknown
     operator does not pass.
     """
-    text = v["text"]
-    date_operator = operator.isin("within_months", "after_today")
-    number_operator = operator.isin("greater_than", "less_than")
-
-    def result(seen: Column) -> Column:
-        day, left, right = seen["day"], seen["left"], seen["right"]
-        cutoff = months_before(as_of, months)
-        no_date = F.concat(F.lit("Cannot parse date: Cannot parse date: "), _python_quoted(strip(text)))
-        comparable = left.isNotNull() & right.isNotNull()
-        ordered = ~F.isnan(left) & ~F.isnan(right)
-        passed = (
-            F.when(operator == "within_months", day >= cutoff)
-            .when(operator == "after_today", day >= as_of)
-            .when(operator == "equals", text == expected)
-            .when(operator == "not_equals", text != expected)
-            .when(operator == "greater_than", ordered & (left > right))
-            .when(operator == "less_than", ordered & (left < right))
+    date_operator, number_operator = operator.isin(DATE_OPERATORS), operator.isin(NUMBER_OPERATORS)
+    cutoff = months_before(as_of, months)
+    no_date = F.concat(F.lit("Cannot parse date: Cannot parse date: "), _python_quoted(strip(text)))
+    comparable = left.isNotNull() & right.isNotNull()
+    ordered = ~F.isnan(left) & ~F.isnan(right)
+    passed = (
+        F.when(operator == "within_months", day >= cutoff)
+        .when(operator == "after_today", day >= as_of)
+        .when(operator == "equals", text == expected)
+        .when(operator == "not_equals", text != expected)
+        .when(operator == "greater_than", ordered & (left > right))
+        .when(operator == "less_than", ordered & (left < right))
+    )
+    sign = (
+        F.when(operator == "equals", " == ")
+        .when(operator == "not_equals", " != ")
+        .when(operator == "greater_than", " > ")
+        .otherwise(" < ")
+    )
+    compared = F.concat(text, sign, expected)
+    reason = (
+        F.when(date_operator & day.isNull(), no_date)
+        .when(
+            operator == "within_months",
+            F.concat(
+                F.lit("Date "), day.cast("string"), F.lit(" is "), F.datediff(as_of, day).cast("string"),
+                F.lit(" days old (cutoff: "), cutoff.cast("string"), F.lit(")"),
+            ),
         )
-        sign = (
-            F.when(operator == "equals", " == ")
-            .when(operator == "not_equals", " != ")
-            .when(operator == "greater_than", " > ")
-            .otherwise(" < ")
+        .when(
+            operator == "after_today",
+            F.concat(F.lit("Expiry "), day.cast("string"), F.when(day >= as_of, " is valid").otherwise(" has passed")),
         )
-        compared = F.concat(text, sign, expected)
-        reason = (
-            F.when(date_operator & day.isNull(), no_date)
-            .when(
-                operator == "within_months",
-                F.concat(
-                    F.lit("Date "), day.cast("string"), F.lit(" is "), F.datediff(as_of, day).cast("string"),
-                    F.lit(" days old (cutoff: "), cutoff.cast("string"), F.lit(")"),
-                ),
-            )
-            .when(
-                operator == "after_today",
-                F.concat(F.lit("Expiry "), day.cast("string"), F.when(day >= as_of, " is valid").otherwise(" has passed")),
-            )
-            .when(number_operator & ~comparable, F.concat(F.lit("Cannot compare "), compared))
-            .when(operator.isin("equals", "not_equals") | number_operator, compared)
-            .otherwise(F.concat(F.lit("Unknown operator: "), operator))
-        )
-        return F.struct(F.coalesce(passed, F.lit(False)).alias("passed"), reason.alias("reason"))
-
-    seen = F.struct(
-        F.when(date_operator, parse_date(text)).alias("day"),
-        F.when(number_operator, to_float(v)).alias("left"),
-        F.when(number_operator, text_to_float(expected)).alias("right"),
-    )
-    return let(seen, result)
+        .when(number_operator & ~comparable, F.concat(F.lit("Cannot compare "), compared))
+        .when(operator.isin("equals", "not_equals") | number_operator, compared)
+        .otherwise(F.concat(F.lit("Unknown operator: "), operator))
+    )
+    return F.coalesce(passed, F.lit(False)), reason
 
 
 def looked_up(targets: DataFrame, cfg: ReviewConfig) -> Column:
@@ -131,11 +124,18 @@ def looked_up(targets: DataFrame, cfg: ReviewConfig) -> Column:
 def check_deterministic(targets: DataFrame, cfg: ReviewConfig, as_of: dt.date) -> DataFrame:
     """One result row per document and condition; ``_months_error`` marks conditions that cannot be run."""
     day = F.lit(as_of)
-    found = targets.withColumn("_v", looked_up(targets, cfg))
-    found = found.withColumn(
-        "_e", evaluate_operator(F.col("operator"), F.col("_v"), F.col("value"), F.col("months"), day)
+    found = settle(targets, _v=looked_up(targets, cfg))
+    text, operator = F.col("_v.text"), F.col("operator")
+    found = settle(
+        found,
+        _day=F.when(operator.isin(DATE_OPERATORS), parse_date(text)),
+        _left=F.when(operator.isin(NUMBER_OPERATORS), to_float(F.col("_v"))),
+        _right=F.when(operator.isin(NUMBER_OPERATORS), text_to_float(F.col("value"))),
     )
-    missing, passed = F.col("_v").isNull(), F.col("_e.passed")
+    passed, reason = evaluate_operator(
+        operator, text, F.col("_day"), F.col("_left"), F.col("_right"), F.col("value"), F.col("months"), day
+    )
+    missing = F.col("_v").isNull()
     absent_text = F.coalesce(
         F.replace("missing_message", F.lit(DOC_MARK), F.col("doc_id")),
         F.concat(F.lit("Field '"), "field", F.lit("' not found in "), "doc_id"),
@@ -143,7 +143,7 @@ def check_deterministic(targets: DataFrame, cfg: ReviewConfig, as_of: dt.date) -
     filled = F.coalesce(
         F.replace("value_message", F.lit(FIELD_MARK), F.col("_v.text")),
         F.when(F.col("analyst_message") != "", F.col("analyst_message")),
-        F.col("_e.reason"),
+        reason,
     )
     on_fail = F.when(F.col("on_fail") == "fail", "fail").otherwise("needs_review")
     details = F.when(
@@ -151,7 +151,7 @@ def check_deterministic(targets: DataFrame, cfg: ReviewConfig, as_of: dt.date) -
     ).otherwise(
         F.create_map(
             F.lit("field"), F.col("field"), F.lit("value"), F.col("_v.text"), F.lit("operator"), F.col("operator"),
-            F.lit("expected"), F.col("value"), F.lit("reason"), F.col("_e.reason"), F.lit("doc_id"), F.col("doc_id"),
+            F.lit("expected"), F.col("value"), F.lit("reason"), reason, F.lit("doc_id"), F.col("doc_id"),
         )
     )
     return found.select(
@@ -286,20 +286,27 @@ def _model_result(df: DataFrame, status: Column, severity: Column, message: Colu
 
 
 def parse_condition_reply(replies: DataFrame, strict: bool = False) -> DataFrame:
-    """Result rows from ``reply_text``. An unknown status means review; an unreadable reply too."""
-    read = replies.withColumn("_p", parse_object(F.col("reply_text"), strict))
+    """Result rows from ``reply_text``. An unknown status means review; an unreadable reply too.
+
+    Rows whose prompt was never answered say so in ``_never`` (message) and ``_why`` (details).
+    """
+    if "_never" not in replies.columns:
+        replies = replies.withColumn("_never", F.lit(None).cast("string"))
+        replies = replies.withColumn("_why", F.lit(None).cast("map<string,string>"))
+    read = settle(replies, _p=F.when(F.col("_never").isNull(), parse_object(F.col("reply_text"), strict)))
     record, bad = F.col("_p.record"), F.col("_p.record").isNull()
     said = field_of(record, "status")["text"]
     known = F.coalesce(said.isin("pass", "fail", "needs_review"), F.lit(False))
     status = F.when(~bad & known, said).otherwise("needs_review")
     own = field_of(record, "analyst_message")
     message = (
-        F.when(bad, F.concat(F.lit(fv.MSG_REPLY_UNREADABLE), F.col("_p.error")))
+        F.when(F.col("_never").isNotNull(), F.col("_never"))
+        .when(bad, F.concat(F.lit(fv.MSG_REPLY_UNREADABLE), F.col("_p.error")))
         .when(own.isNotNull(), own["text"])
         .otherwise(F.col("analyst_message"))
     )
     given = field_of(record, "details")
-    details = F.when(bad, F.create_map(F.lit("raw"), F.substring("reply_text", 1, fv.CONDITION_RAW_CHARS))).otherwise(
+    details = F.when(F.col("_why").isNotNull(), F.col("_why")).when(bad, F.create_map(F.lit("raw"), F.substring("reply_text", 1, fv.CONDITION_RAW_CHARS))).otherwise(
         F.coalesce(
             F.from_json(F.when(given["kind"] == "object", given["text"]), "map<string,string>"),
             F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"),
@@ -313,36 +320,21 @@ def check_with_model(
 ) -> DataFrame:
     """One result row per case and model condition; ``ask`` adds ``raw_response, error`` to prompts."""
     prompts = model_condition_prompts(cases, docs, cfg)
-    review = F.lit("needs_review")
-    nothing = prompts.where(F.col("source_chars").isNull())
-    screened = input_verdict(
-        prompts.where(F.col("source_chars").isNotNull()), "prompt", cfg, prompt_length=F.col("prompt_chars")
-    )
+    screened = input_verdict(prompts, "prompt", cfg, prompt_length=F.col("prompt_chars"))
     columns = ["case_id", "condition_seq", "condition_name", "severity", "analyst_message", "sources_used"]
-    made = ask(screened.where("in_passed").select(*columns, "prompt"))
-    answered = output_verdict(made.where(F.col("error").isNull()), "raw_response", cfg)
-
-    def rows(df: DataFrame, message: Column, details: Column) -> DataFrame:
-        return _model_result(df, review, F.col("severity"), message, details)
-
-    return (
-        parse_condition_reply(answered)
-        .unionByName(rows(nothing, F.lit(fv.MSG_NO_SOURCES), F.create_map(F.lit("reason"), F.lit("missing_sources"))))
-        .unionByName(
-            rows(
-                screened.where(~F.col("in_passed")),
-                F.concat(F.lit(fv.MSG_PROMPT_BLOCKED), "in_reason"),
-                F.create_map(F.lit("blocked"), F.lit("True")),
-            )
-        )
-        .unionByName(
-            rows(
-                made.where(F.col("error").isNotNull()),
-                F.concat(F.lit(fv.MSG_MODEL_ERROR), "error"),
-                F.create_map(F.lit("error"), F.col("error")),
-            )
-        )
+    made = ask(screened.select(*columns, "prompt", "in_passed", "in_reason"))
+    never = (
+        F.when(F.col("sources_used").isNull(), fv.MSG_NO_SOURCES)
+        .when(~F.col("in_passed"), F.concat(F.lit(fv.MSG_PROMPT_BLOCKED), "in_reason"))
+        .when(F.col("error").isNotNull(), F.concat(F.lit(fv.MSG_MODEL_ERROR), "error"))
+    )
+    why = (
+        F.when(F.col("sources_used").isNull(), F.create_map(F.lit("reason"), F.lit("missing_sources")))
+        .when(~F.col("in_passed"), F.create_map(F.lit("blocked"), F.lit("True")))
+        .when(F.col("error").isNotNull(), F.create_map(F.lit("error"), F.col("error")))
     )
+    answered = output_verdict(made.withColumn("_never", never).withColumn("_why", why), "raw_response", cfg)
+    return parse_condition_reply(answered)
 
 
 def check_all(

@@ -11,7 +11,7 @@ from casequarry import fixed_values as fv
 from casequarry.functions.jsonobj import parse_object_text
 from casequarry.functions.values import field_of, record_json, to_float
 from casequarry.operators.prompts import contradiction_prompts, document_lines, entity_prompts, semantic_prompts
-from casequarry.scale import LIST_PAGE, lookup, page_of
+from casequarry.scale import LIST_PAGE, lookup, page_of, settle
 
 # Longest prompt a model takes; a longer one fails at the model and is recorded as such without being sent.
 MODEL_INPUT_CHARS = 400_000
@@ -52,18 +52,16 @@ def numeric_consistency(
 
 def _asked(prompts: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Replies to prompts that fit; those that do not fail at the model, by their exact length."""
-    made = ask(prompts.where(F.col("prompt").isNotNull()))
+    made = ask(prompts)
     if "prompt_chars" not in prompts.columns:
         return made
-    long = prompts.where(F.col("prompt").isNull())
     error = F.format_string("prompt of %d characters exceeds the model's input", F.col("prompt_chars").cast("bigint"))
-    failed = long.withColumn("raw_response", F.lit(None).cast("string")).withColumn("error", error)
-    return made.select(*failed.columns).unionByName(failed)
+    return made.withColumn("error", F.when(F.col("prompt").isNull(), error).otherwise(F.col("error")))
 
 
 def _read(made: DataFrame) -> tuple[DataFrame, Column, Column]:
     """Plain JSON reading: no guards and no fences here. (rows, record, error text)."""
-    read = made.withColumn("_p", F.when(F.col("error").isNull(), parse_object_text(F.col("raw_response"))))
+    read = settle(made, _p=F.when(F.col("error").isNull(), parse_object_text(F.col("raw_response"))))
     problem = F.coalesce(F.col("error"), F.when(F.col("_p.record").isNull(), F.col("_p.error")))
     return read, F.col("_p.record"), problem
 

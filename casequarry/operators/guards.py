@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from casequarry import fixed_values as fv
 from casequarry.functions import text as tx
 from casequarry.functions.jsonobj import is_json, unexpected_keys
+from casequarry.scale import settle
 from casequarry.sources.config import ReviewConfig
 
 
@@ -78,11 +79,12 @@ def input_verdict(
     length = F.length(prompt) if prompt_length is None else prompt_length
     check_hash = guards.get("require_document_hash_match") and text_col and hash_col
     tampered = tx.hash_tampered(F.col(text_col), F.col(hash_col)) if check_hash else F.lit(False)
-    out = df.withColumn("_early", F.when(tampered, "T").when(length > limit, "L"))
-    out = out.withColumn(
-        "_hit", F.when(F.col("_early").isNull(), tx.first_match(prompt, guards["blocked_content_patterns"]))
-    )
-    out = out.withColumn("_role", F.col("_early").isNull() & F.col("_hit").isNull() & tx.role_structure(prompt))
+    # Each stage runs once per row, cheap checks first; later stages skip what an earlier one blocked.
+    out = settle(df, **{prompt_col: prompt})
+    out = settle(out, _early=F.when(tampered, "T").when(length > limit, "L"))
+    phrases = tx.first_match(prompt, guards["blocked_content_patterns"])
+    out = settle(out, _hit=F.when(F.col("_early").isNull(), phrases))
+    out = settle(out, _role=F.col("_early").isNull() & F.col("_hit").isNull() & tx.role_structure(prompt))
     early = F.col("_early")
     blocked = early.isNotNull() | F.col("_hit").isNotNull() | F.coalesce(F.col("_role"), F.lit(False))
     out = out.withColumn("in_passed", ~blocked).withColumn(

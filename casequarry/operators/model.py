@@ -23,7 +23,7 @@ from casequarry.functions.values import RECORD, empty_record
 from casequarry.operators.guards import input_verdict, output_verdict
 from casequarry.operators.prompts import context_lines, extraction_prompts, reflection_prompt
 from casequarry.operators.stepdata import flatten_last_wins, flatten_prefixed
-from casequarry.scale import cut_lineage
+from casequarry.scale import cut_lineage, settle
 from casequarry.sources.config import ReviewConfig
 
 # Gets a pandas frame with prompt, temperature and backend_key; returns one reply text per row, in order.
@@ -44,7 +44,7 @@ def call_model(
 ) -> DataFrame:
     """Adds ``raw_response, error, duration_ms`` to prompts.
 
-    Rows are spread by their (unique) keys first, so that long prompts do not sit together. When the
+    Rows without a prompt, or with a false ``in_passed``, pass by without being asked. Rows are spread by their (unique) keys first, so that long prompts do not sit together. When the
     function raises for a batch, its rows are asked one by one and only failing rows carry an error.
     """
 
@@ -60,17 +60,23 @@ def call_model(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = time.monotonic()
-            frame = pd.DataFrame({"prompt": batch.column("prompt").to_pylist()})
+            due = batch.column("prompt").is_valid().to_pylist()
+            if "in_passed" in batch.schema.names:
+                due = [d and p for d, p in zip(due, batch.column("in_passed").to_pylist(), strict=True)]
+            places = [i for i, d in enumerate(due) if d]
+            frame = pd.DataFrame({"prompt": batch.column("prompt").take(pa.array(places, pa.int64())).to_pylist()})
             frame["temperature"] = temperature
             frame["backend_key"] = backend_key
-            replies, errors = ask(frame) if len(frame) else ([], [])
-            spent = (time.monotonic() - start) * 1000 / max(len(frame), 1)
+            replies, errors = [None] * len(due), [None] * len(due)
+            for i, reply, error in zip(places, *(ask(frame) if places else ([], [])), strict=True):
+                replies[i], errors[i] = reply, error
+            spent = (time.monotonic() - start) * 1000 / max(len(places), 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
                     pa.array(replies, pa.string()),
                     pa.array(errors, pa.string()),
-                    pa.array([spent] * len(frame), pa.float64()),
+                    pa.array([spent if d else 0.0 for d in due], pa.float64()),
                 ],
                 names=[*batch.schema.names, "raw_response", "error", "duration_ms"],
             )
@@ -80,11 +86,17 @@ def call_model(
 
 
 def join_responses(prompts: DataFrame, responses: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``raw_response, error`` from a table of replies; a prompt without one has an error."""
-    found = responses.select(*keys, "raw_response", "error", F.lit(True).alias("_found"))
-    joined = prompts.join(found, list(keys), "left")
-    return joined.withColumn("error", F.when(F.col("_found").isNull(), "no reply recorded").otherwise(F.col("error"))).drop(
-        "_found"
+    """Adds ``raw_response, error`` from a table of replies; a prompt without one has an error.
+
+    Rows without a prompt, or with a false ``in_passed``, were not asked and have neither.
+    """
+    due = F.col("prompt").isNotNull()
+    if "in_passed" in prompts.columns:
+        due = due & F.col("in_passed")
+    found = responses.select(*keys, F.struct("raw_response", "error").alias("_reply"))
+    error = F.when(F.col("_reply").isNull(), "no reply recorded").otherwise(F.col("_reply.error"))
+    return prompts.join(found, list(keys), "left").select(
+        *prompts.columns, F.when(due, F.col("_reply.raw_response")).alias("raw_response"), F.when(due, error).alias("error")
     )
 
 
@@ -96,14 +108,15 @@ def judge_attempts(
     ``problem`` is empty on success; a record that lacks required keys is kept beside its problem.
     """
     screened = output_verdict(attempts, "raw_response", cfg)
-    read = screened.withColumn("_parsed", F.when(F.col("error").isNull(), parse_object(F.col("reply_text"), strict)))
+    parsed = F.when(F.col("error").isNull() & F.col("reply_text").isNotNull(), parse_object(F.col("reply_text"), strict))
+    read = settle(screened, _parsed=parsed)
     read = read.withColumn("record", F.col("_parsed.record")).withColumn(
         "_missing", missing_keys(F.col("record"), required or [])
     )
     quoted = F.array_join(F.transform("_missing", lambda k: F.concat(F.lit("'Missing key: "), k, F.lit("'"))), ", ")
     problem = (
         F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("record").isNull(), F.concat(F.lit("JSON parse error: "), F.col("_parsed.error")))
+        .when(F.col("record").isNull(), F.concat(F.lit("JSON parse error: "), F.coalesce("_parsed.error", F.lit("no reply"))))
         .when(F.size("_missing") > 0, F.concat(F.lit("Schema validation errors: ["), quoted, F.lit("]")))
         .otherwise("")
     )
@@ -191,31 +204,30 @@ def run_step(
         screened = input_verdict(
             pending.withColumn("_original", F.col("prompt")).withColumn("prompt", sent), "prompt", cfg
         ).withColumn("attempt", F.lit(attempt))
-        made = ask(screened.where("in_passed"))
+        made = ask(screened.drop("in_text", "in_pii_count", "_error", "_reply"))
         if "duration_ms" not in made.columns:
             made = made.withColumn("duration_ms", F.lit(None).cast("double"))
-        judged = judge_attempts(made, cfg, step["output_schema"], limit)
-        judged = judged.withColumn("blocked", F.lit(False)).withColumn("model_failed", F.col("error").isNotNull())
-        judged = judged.withColumn("raw_response", F.when(F.col("model_failed"), "").otherwise(F.col("reply_text")))
-        judged = judged.withColumn("guardrail_flags", F.when(F.col("model_failed"), F.array().cast("array<string>")).otherwise(F.col("out_flags")))
-        stopped = (
-            screened.where(~F.col("in_passed"))
-            .withColumn("raw_response", F.lit(""))
-            .withColumn("record", F.lit(None).cast(RECORD))
-            .withColumn("problem", F.concat(F.lit("Input blocked: "), "in_reason"))
-            .withColumn("success", F.lit(False))
-            .withColumn("blocked", F.lit(True))
-            .withColumn("model_failed", F.lit(False))
-            .withColumn("guardrail_flags", F.col("in_flags"))
-            .withColumn("duration_ms", F.lit(0.0))
-            .withColumn("trace_status", F.lit(fv.TRACE_TERMINAL))
+        blocked, failed = ~F.col("in_passed"), F.col("error").isNotNull()
+        none = F.array().cast("array<string>")
+        judged = judge_attempts(made, cfg, step["output_schema"], limit).select(
+            *keys,
+            *[c for c in carried if c != "prompt"],
+            F.col("_original").alias("prompt"),
+            F.lit(step["name"]).alias("step_name"),
+            F.lit(step["pos"]).alias("step_pos"),
+            "attempt",
+            F.col("prompt").alias("prompt_sent"),
+            F.when(blocked | failed, "").otherwise(F.col("reply_text")).alias("raw_response"),
+            F.when(~blocked, F.col("record")).alias("record"),
+            F.when(blocked, F.concat(F.lit("Input blocked: "), "in_reason")).otherwise(F.col("problem")).alias("problem"),
+            (F.col("success") & ~blocked).alias("success"),
+            blocked.alias("blocked"),
+            (failed & ~blocked).alias("model_failed"),
+            F.when(blocked, F.col("in_flags")).when(failed, none).otherwise(F.col("out_flags")).alias("guardrail_flags"),
+            F.when(blocked, 0.0).otherwise(F.col("duration_ms")).alias("duration_ms"),
+            F.when(blocked, fv.TRACE_TERMINAL).otherwise(F.col("trace_status")).alias("trace_status"),
         )
-        shape = [
-            *keys, *[c for c in carried if c != "prompt"], F.col("_original").alias("prompt"),
-            F.lit(step["name"]).alias("step_name"), F.lit(step["pos"]).alias("step_pos"), "attempt",
-            F.col("prompt").alias("prompt_sent"), *_ROUND_COLUMNS[4:],
-        ]
-        done = cut_lineage(judged.select(*shape).unionByName(stopped.select(*shape)), f"{step['name']}-{attempt}")
+        done = cut_lineage(judged, f"{step['name']}-{attempt}")
         rounds.append(done)
         if attempt == limit or not step["retry_on_failure"]:
             break

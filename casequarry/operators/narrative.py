@@ -25,8 +25,8 @@ def narratives(
     limit = cfg.guards["input_guards"].get("max_prompt_length", 32000)
     prompts = summary_prompts(cases, inventory, results, limit)
     screened = input_verdict(prompts, "prompt", cfg, prompt_length=F.col("prompt_chars"))
-    made = ask(screened.where("in_passed").select("case_id", "prompt"))
-    read = output_verdict(made.where(F.col("error").isNull()), "raw_response", cfg)
+    made = ask(screened.select("case_id", "prompt", "in_passed"))
+    read = output_verdict(made, "raw_response", cfg)
     written = read.select("case_id", strip(F.col("reply_text")).alias("_written"))
     spare = fallback_narrative(cases, results)
     return spare.join(written, "case_id", "left").select(

@@ -33,6 +33,16 @@ def config_table(spark: SparkSession, rows: list[dict], schema: str | T.StructTy
     return F.broadcast(spark.createDataFrame(table, schema=struct))
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, before any filter on them.
+
+    A filter on an ordinary computed column is pushed down with the whole computation repeated inside it.
+    Columns that come out of a generator stay where they are.
+    """
+    cells = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(cells)))
+
+
 def page_of(seq: Column, page_rows: int = LIST_PAGE) -> Column:
     """Page of a list position. Positions are unique in their case, so a page holds at most ``page_rows``."""
     return F.floor(F.coalesce(seq, F.lit(0)) / page_rows).cast("bigint")
