@@ -75,9 +75,13 @@ def _record() -> Column:
 
 
 def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_columns(table(spark, sf_dir, "orders"))
+
+
+def document_columns(orders: DataFrame) -> DataFrame:
     """One document per order; a sixth of them is unclassified."""
     k = F.col("o_orderkey")
-    rows = _order_columns(table(spark, sf_dir, "orders"))
+    rows = _order_columns(orders)
     category = F.when(k % 10 < 3, "income_proof").when(k % 10 == 3, "identity").when(k % 10 == 4, "application")
     return rows.select(
         F.col("o_custkey").cast("string").alias("case_id"),
@@ -152,10 +156,14 @@ def spliced_text() -> Column:
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_columns(table(spark, sf_dir, "documents"))
+
+
+def text_columns(documents: DataFrame) -> DataFrame:
     """Texts as documents of cases; a third of them is in one case."""
     d = F.col("doc_id")
     home = d % 5 != 4
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.when(d % 3 == 0, "0").otherwise(F.floor(d / 4).cast("string")).alias("case_id"),
         d.cast("string").alias("doc_id"),
         d.alias("doc_seq"),

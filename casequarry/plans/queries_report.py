@@ -1 +1,233 @@
+"""Queries over reports, narratives and the whole review."""
 
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casequarry import fixed_values as fv
+from casequarry.operators import prompts as pr
+from casequarry.operators import report as rp
+from casequarry.operators.conditions import deterministic_results
+from casequarry.operators.model import call_model, join_responses
+from casequarry.operators.narrative import narratives as written_narratives
+from casequarry.plans import inputs
+from casequarry.plans.catalog import query
+from casequarry.plans.queries_checks import CHECKED, MAX_PROMPT, all_results
+from casequarry.plans.queries_intake import CFG, big
+from casequarry.plans.queries_model import CLASSIFY_STAGES, by_size, digest
+from casequarry.plans.review import ModelSteps, review_cases
+from casequarry.plans.sqlparts import CASES, CLASSIFIED, DOCS, FLAGS, PARSED, RESULTS, lit, with_
+from casequarry.sources.sinks import export_reports
+
+
+def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deterministic_results(inputs.home_documents(spark, sf_dir), CFG, inputs.AS_OF)
+
+
+_STATUS = "CASE WHEN coalesce(blocking, false) OR coalesce(needs_review, false) THEN 'needs_analyst_action' ELSE 'ready_for_review' END"
+
+
+@query(with_(CASES, DOCS, PARSED, RESULTS, FLAGS) + f"""
+SELECT c.case_id, coalesce(blocking, false) AS blocking, coalesce(needs_review, false) AS needs_review, {_STATUS} AS case_status
+FROM cases c LEFT JOIN flags USING (case_id)""")
+def freshness_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: are the dated documents of each case fresh and valid, and what does that make of the case?"""
+    flags = rp.attention_flags(inputs.home_cases(spark, sf_dir), rule_results(spark, sf_dir))
+    return flags.select("case_id", "blocking", "needs_review", rp.final_status(F.col("requires_analyst_attention")).alias("case_status"))
+
+
+_ALL_FLAGS = FLAGS.replace("FROM results", "FROM all_results")
+
+
+@query(with_(*CHECKED, _ALL_FLAGS) + """
+SELECT c.case_id, coalesce(blocking, false) AS blocking, coalesce(needs_review, false) AS needs_review,
+  coalesce(blocking, false) OR coalesce(needs_review, false) AS requires_analyst_attention FROM cases c LEFT JOIN flags USING (case_id)""")
+def attention_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = rp.attention_flags(inputs.home_cases(spark, sf_dir), all_results(spark, sf_dir))
+    return flags.select("case_id", "blocking", "needs_review", "requires_analyst_attention")
+
+
+_INVENTORY = """inventory AS (SELECT d.*, coalesce(c.detected_type, d.doc_type) AS classified_as, CAST(c.confidence AS DOUBLE) AS confidence
+  FROM docs d LEFT JOIN classified c USING (doc_id))"""
+
+
+@query(with_(DOCS, CLASSIFIED, _INVENTORY) + """
+SELECT case_id, doc_id, file_name, doc_type, category, status, document_date AS upload_timestamp, classified_as,
+  confidence AS classification_confidence, false AS manually_overridden FROM inventory""")
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.inventory(inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir)).drop("doc_seq")
+
+
+_RANK = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 3 END"
+
+
+@query(with_(*CHECKED) + f"""
+SELECT case_id, condition_name, doc_id, severity, status, analyst_message, CAST(row_number() OVER (
+  PARTITION BY case_id ORDER BY {_RANK}, condition_seq, doc_seq NULLS FIRST) AS BIGINT) AS place
+FROM all_results WHERE status <> 'pass'""")
+def flagged_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order within a case, read off the order columns: the bounded list of one page, numbered."""
+    rows = rp.flagged_issues(all_results(spark, sf_dir))
+    order = F.struct("severity_rank", "condition_seq", "type_pos", "doc_seq", "condition_name", "doc_id", "severity", "status", "analyst_message")
+    paged = rows.groupBy("case_id", rp.page_of(F.col("doc_seq")).alias("page")).agg(F.array_sort(F.collect_list(order)).alias("items"))
+    numbered = paged.select("case_id", F.posexplode("items").alias("i", "x"))
+    return numbered.select(
+        "case_id", "x.condition_name", "x.doc_id", "x.severity", "x.status", "x.analyst_message", big(F.col("i") + 1).alias("place")
+    )
+
+
+_ADVICE = f"""marks AS (
+  SELECT case_id, string_agg(CASE WHEN status = 'fail' AND severity = 'error' THEN condition_name END, ', ' ORDER BY condition_seq, doc_seq) AS blocking_names,
+         string_agg(CASE WHEN status = 'needs_review' THEN condition_name END, ', ' ORDER BY condition_seq, doc_seq) AS review_names
+  FROM all_results GROUP BY case_id),
+failures AS (SELECT case_id, count(*) AS failed FROM docs WHERE status = 'failed' GROUP BY case_id),
+manual AS (SELECT case_id, count(*) AS n, string_agg(doc_id, ', ' ORDER BY doc_seq) AS ids FROM classified WHERE detected_type = {lit(fv.NEEDS_MANUAL)} GROUP BY case_id),
+advice AS (
+  SELECT c.case_id, coalesce(nullif(concat_ws(chr(10),
+    'Blocking issues found in: ' || blocking_names || '. Analyst must resolve before proceeding.',
+    'Items requiring analyst review: ' || review_names || '.',
+    failed || ' document(s) failed extraction and need manual review.',
+    n || ' document(s) could not be auto-classified: ' || ids), ''), {lit(fv.MSG_ALL_CLEAR)}) AS recommendations
+  FROM cases c LEFT JOIN marks USING (case_id) LEFT JOIN failures USING (case_id) LEFT JOIN manual USING (case_id))"""
+
+
+@query(with_(*CHECKED, CLASSIFIED, _ADVICE) + "SELECT case_id, recommendations FROM advice")
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rp.recommendations(
+        inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), all_results(spark, sf_dir)
+    )
+    return rows.select("case_id", F.array_join("recommendations", "\n").alias("recommendations"))
+
+
+_COUNTS = """counted AS (
+  SELECT c.case_id, count(r.status) AS total, count(CASE WHEN status = 'pass' THEN 1 END) AS passed, count(CASE WHEN status = 'fail' THEN 1 END) AS failed,
+         count(CASE WHEN status = 'needs_review' THEN 1 END) AS review FROM cases c LEFT JOIN all_results r USING (case_id) GROUP BY c.case_id),
+spare AS (SELECT case_id, 'Automated review complete. ' || total || ' conditions checked: ' || passed || ' passed, ' || failed || ' failed, ' || review ||
+  ' require analyst review. Please review flagged issues before making a decision.' AS narrative_summary FROM counted)"""
+
+
+@query(with_(*CHECKED, _COUNTS) + "SELECT case_id, narrative_summary FROM spare")
+def fallback_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.fallback_narrative(inputs.home_cases(spark, sf_dir), all_results(spark, sf_dir))
+
+
+_SUMMARY = f"""inventory_lines AS (SELECT case_id, count(*) AS n, string_agg('- ' || file_name || ' -> ' || classified_as || ' (confidence: ' ||
+    coalesce(CAST(confidence AS VARCHAR), 'None') || ')', chr(10) ORDER BY doc_seq) AS lines FROM inventory GROUP BY case_id),
+check_lines AS (SELECT case_id, string_agg('- [' || upper(status) || '] ' || condition_name || ': ' || analyst_message, chr(10) ORDER BY condition_seq, doc_seq) AS lines
+  FROM all_results GROUP BY case_id),
+summaries AS (
+  SELECT c.case_id, c.ck, 'Write a summary of this case for an analyst.' || chr(10) || 'Case: ' || c.case_id || chr(10) || 'Country: germany' || chr(10) ||
+    'Process: consumer_credit' || chr(10) || chr(10) || 'Documents (' || coalesce(i.n, 0) || '):' || chr(10) || coalesce(i.lines, '') || chr(10) || chr(10) ||
+    'Checks:' || chr(10) || coalesce(k.lines, '') || {lit(pr.SUMMARY_TAIL)} AS prompt
+  FROM cases c LEFT JOIN inventory_lines i USING (case_id) LEFT JOIN check_lines k USING (case_id))"""
+
+
+@query(with_(*CHECKED, CLASSIFIED, _INVENTORY, _SUMMARY) + "SELECT case_id, CAST(length(prompt) AS BIGINT) AS prompt_chars, sha256(prompt) AS prompt_hash FROM summaries")
+def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = inputs.home_cases(spark, sf_dir)
+    stock = rp.inventory(inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir))
+    rows = pr.summary_prompts(cases, stock, all_results(spark, sf_dir), MAX_PROMPT)
+    return rows.select("case_id", big("prompt_chars").alias("prompt_chars"), digest("prompt").alias("prompt_hash"))
+
+
+def case_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narratives from replies by the number of the case: two in three are written, the others failed or missing."""
+    cases = inputs.home_cases(spark, sf_dir)
+    stock = rp.inventory(inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir))
+    n = F.col("case_id").cast("bigint")
+    replies = cases.where(n % 5 != 0).select(
+        "case_id",
+        F.when(n % 3 != 0, F.concat(F.lit("  Summary of "), "case_id", F.lit(".\n"))).alias("raw_response"),
+        F.when(n % 3 == 0, "timeout").alias("error"),
+    )
+    ask = partial(join_responses, responses=replies, keys=["case_id"])
+    return written_narratives(cases, stock, all_results(spark, sf_dir), CFG, ask)
+
+
+_NARRATIVES = """narratives AS (SELECT c.case_id, CASE WHEN ck % 5 <> 0 AND ck % 3 <> 0 THEN 'Summary of ' || c.case_id || '.' ELSE narrative_summary END AS narrative_summary
+  FROM cases c JOIN spare USING (case_id))"""
+
+
+@query(with_(*CHECKED, _COUNTS, _NARRATIVES) + "SELECT case_id, narrative_summary FROM narratives")
+def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_narratives(spark, sf_dir)
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.build_reports(
+        inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), all_results(spark, sf_dir)
+    )
+
+
+_REPORT_LISTS = f"""stock AS (SELECT case_id, count(*) AS documents, string_agg(file_name || ':' || classified_as, ';' ORDER BY doc_seq) AS inventory FROM inventory GROUP BY case_id),
+checks AS (SELECT case_id, count(*) AS results, string_agg(condition_name || ':' || status, ';' ORDER BY condition_seq, doc_seq) AS results_text,
+  string_agg(CASE WHEN status <> 'pass' THEN severity || ':' || condition_name || ':' || analyst_message END, ';' ORDER BY {_RANK}, condition_seq, doc_seq) AS flagged
+  FROM all_results GROUP BY case_id)"""
+
+
+@query(with_(*CHECKED, CLASSIFIED, _INVENTORY, _ALL_FLAGS, _ADVICE, _COUNTS, _REPORT_LISTS) + f"""
+SELECT c.case_id, coalesce(documents, 0) AS documents, coalesce(inventory, '') AS inventory, coalesce(results_text, '') AS results, coalesce(flagged, '') AS flagged,
+  narrative_summary, recommendations, {_STATUS} AS case_status
+FROM cases c LEFT JOIN stock USING (case_id) LEFT JOIN checks USING (case_id) LEFT JOIN flags USING (case_id) JOIN advice USING (case_id) JOIN spare USING (case_id)""")
+def case_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda column, *names: F.array_join(
+        F.transform(column, lambda x: F.concat_ws(":", *[x[n] for n in names])), ";"
+    )
+    return reports(spark, sf_dir).select(
+        "case_id",
+        big(F.size("document_inventory")).alias("documents"),
+        text("document_inventory", "file_name", "classified_as").alias("inventory"),
+        text("condition_results", "condition_name", "status").alias("results"),
+        text("flagged_issues", "severity", "condition_name", "analyst_message").alias("flagged"),
+        "narrative_summary",
+        F.array_join("recommendations", "\n").alias("recommendations"),
+        "case_status",
+    )
+
+
+@query(with_(*CHECKED, _ALL_FLAGS) + f"""
+SELECT c.case_id, {_STATUS} AS status, coalesce(blocking, false) OR coalesce(needs_review, false) AS requires_analyst_attention
+FROM cases c LEFT JOIN flags USING (case_id)""")
+def process_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.process_summary(reports(spark, sf_dir))
+
+
+@query(with_(*CHECKED) + """
+SELECT c.case_id, '[' || coalesce(string_agg('{"condition_name":"' || condition_name || '","status":"' || status || '","severity":"' || severity || '","analyst_message":"' ||
+  analyst_message || '","check_type":"' || CASE WHEN condition_seq < 3 THEN 'deterministic' ELSE 'llm_assisted' END || '"}', ',' ORDER BY condition_seq, doc_seq), '') || ']' AS condition_results
+FROM cases c LEFT JOIN all_results r USING (case_id) GROUP BY c.case_id""")
+def exported_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export_reports(reports(spark, sf_dir)).select("case_id", F.to_json("condition_results").alias("condition_results"))
+
+
+def _whole_review(spark: SparkSession, sf_dir: str):
+    docs = inputs.text_documents(spark, sf_dir).drop("country", "country_code", "process_type")
+    cases = docs.select("case_id").distinct().withColumns({"country": F.lit(fv.COUNTRY), "process_type": F.lit(fv.PROCESS)})
+    names = [c["condition_name"] for c in CFG.conditions if c["check_type"] == "llm_assisted"]
+    none = docs.select("case_id", F.lit(None).cast("string").alias("raw_response"), F.lit("offline").alias("error")).distinct()
+    model = ModelSteps(
+        classify=partial(join_responses, responses=inputs.type_replies(docs), keys=["doc_id"]),
+        extract=partial(call_model, model_fn=by_size, keys=["doc_id"]),
+        conditions=partial(join_responses, responses=inputs.condition_replies(cases, names), keys=["case_id", "condition_name"]),
+        narrative=partial(join_responses, responses=none, keys=["case_id"]),
+    )
+    return review_cases(cases, docs, CFG, model, inputs.AS_OF)
+
+
+@query(with_(*[p.replace("CASE WHEN doc_id % 5 <> 4 THEN 'germany' ELSE 'austria' END AS country", "'germany' AS country") for p in CLASSIFY_STAGES], f"""
+typed AS (SELECT t.case_id, t.doc_id, t.k, CASE WHEN c.detected_type <> {lit(fv.NEEDS_MANUAL)} THEN c.detected_type ELSE '' END AS doc_type
+  FROM texts t LEFT JOIN classes c USING (doc_id))""") + """
+SELECT case_id, count(*) AS documents, count(CASE WHEN doc_type IN ('', 'unknown_document') OR doc_type IS NULL THEN 1 END) AS skipped,
+  count(CASE WHEN doc_type = 'salary_slip' THEN 1 END) AS salary_slips FROM typed GROUP BY case_id""")
+def reviewed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole review over the texts, model steps included; figures read off its reports."""
+    stock = F.explode("document_inventory").alias("d")
+    rows = _whole_review(spark, sf_dir).reports.select("case_id", stock)
+    return rows.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count(F.when(F.col("d.status") == fv.DOC_SKIPPED, 1)).alias("skipped"),
+        F.count(F.when(F.col("d.doc_type") == "salary_slip", 1)).alias("salary_slips"),
+    )

@@ -66,7 +66,7 @@ def _message(template: str, marks: dict[str, str]) -> str | None:
         return None
 
 
-def _condition(value: Any = None, **row: Any) -> dict:
+def condition_row(value: Any = None, **row: Any) -> dict:
     """A condition row; what depends on the configuration alone is settled here, once."""
     months, problem = None, None
     if row["operator"] == "within_months":
@@ -168,7 +168,7 @@ def default_config() -> ReviewConfig:
         fv.DATE_CONDITIONS
     ):
         c.conditions.append(
-            _condition(
+            condition_row(
                 **where, condition_seq=len(c.conditions), condition_name=name, description=description,
                 applies_to=_words(applies_to), check_type="deterministic", field=fld, operator=operator,
                 value=value or None, sources=None, llm_logic=None, on_fail=on_fail, severity=severity,
@@ -177,7 +177,7 @@ def default_config() -> ReviewConfig:
         )
     for name, _file, sources, on_fail, severity, message, description, logic in _table(fv.MODEL_CONDITIONS):
         c.conditions.append(
-            _condition(
+            condition_row(
                 **where, condition_seq=len(c.conditions), condition_name=name, description=description, applies_to=[],
                 check_type="llm_assisted", field=None, operator=None, sources=_words(sources),
                 llm_logic=logic, on_fail=on_fail, severity=severity, analyst_message=message,
@@ -258,7 +258,7 @@ def _conditions_of(folder: Path, country: str, process_type: str, files: list[st
         for item in _read_yaml(path).get("conditions", []):
             logic = item.get("logic")
             rows.append(
-                _condition(
+                condition_row(
                     country=country, process_type=process_type, condition_seq=len(rows), condition_name=item["name"],
                     description=item["description"], applies_to=item.get("applies_to") or [],
                     check_type=item.get("check_type", "deterministic"), field=(logic or {}).get("field", ""),
