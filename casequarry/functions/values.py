@@ -97,12 +97,18 @@ def to_float(v: Column) -> Column:
     )
 
 
+def json_quoted(text: Column) -> Column:
+    """Text as a JSON string; only text with characters to escape goes through the JSON writer."""
+    escaped = F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)\A\{"t":(.*)\}\z', 1)
+    plain = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.when(text.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(plain)
+
+
 def json_cell(v: Column) -> Column:
     """A value as JSON text."""
     text, kind = v["text"], v["kind"]
-    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)\A\{"t":(.*)\}\z', 1)
     return (
-        F.when(kind == "string", quoted)
+        F.when(kind == "string", json_quoted(text))
         .when(kind == "bool", F.lower(text))
         .when(kind == "null", "null")
         .otherwise(text)
@@ -111,11 +117,11 @@ def json_cell(v: Column) -> Column:
 
 def record_json(record: Column, *leading: tuple[str, Column]) -> Column:
     """A record as one JSON object with its keys sorted, after the given leading text members."""
-    head = [F.concat(F.lit(f'"{name}": '), json_cell(value(c, "string"))) for name, c in leading]
-    keys = F.array_sort(F.map_keys(record))
-    cells = F.transform(
-        keys, lambda k: F.concat(json_cell(value(k, "string")), F.lit(": "), json_cell(field_of(record, k)))
-    )
+    head = [
+        F.concat(F.lit(f'"{name}": '), F.when(c.isNull(), "null").otherwise(json_quoted(c))) for name, c in leading
+    ]
+    members = F.array_sort(F.map_entries(record))
+    cells = F.transform(members, lambda m: F.concat(json_quoted(m["key"]), F.lit(": "), json_cell(m["value"])))
     return F.concat(
         F.lit("{"), F.array_join(F.concat(F.array(*head).cast("array<string>"), cells), ", "), F.lit("}")
     )

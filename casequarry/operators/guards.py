@@ -67,11 +67,14 @@ def input_verdict(
     hash_col: str | None = None,
     country_code_col: str | None = None,
     prompt_length: Column | None = None,
+    entropy: bool = True,
 ) -> DataFrame:
     """Screen a prompt: integrity, length, blocked phrases, role markers, entropy, personal data.
 
     The first block decides and its flag is the only one. Adds ``in_passed, in_flags, in_reason, in_text,
     in_pii_count``. ``prompt_length`` stands in for prompts that were never put together for being too long.
+    ``entropy=False`` leaves out the entropy flag, which never blocks, for callers that keep no flags of
+    passed prompts.
     """
     guards, pii = cfg.guards["input_guards"], cfg.guards.get("pii", {})
     limit = guards.get("max_prompt_length", 32000)
@@ -95,7 +98,8 @@ def input_verdict(
         .when(F.col("_role"), fv.REASON_ROLE),
     )
     # Blocked prompts go to the entropy function as null, which costs nothing there.
-    out = out.withColumn("_entropy", tx.high_entropy(F.when(F.col("in_passed"), prompt)))
+    noisy = tx.high_entropy(F.when(F.col("in_passed"), prompt)) if entropy else F.lit(False)
+    out = out.withColumn("_entropy", noisy)
     if pii.get("scan_input"):
         out = redact(out, prompt_col, cfg.pii_patterns(), country_code_col, "_scan")
     else:

@@ -202,7 +202,7 @@ def run_step(
             again = reflection_prompt(F.lit(step["name"]), F.col("prompt"), F.col("_reply"), F.col("_error"), context)
             sent = F.when(F.col("_error") != "", again).otherwise(sent)
         screened = input_verdict(
-            pending.withColumn("_original", F.col("prompt")).withColumn("prompt", sent), "prompt", cfg
+            pending.withColumn("_original", F.col("prompt")).withColumn("prompt", sent), "prompt", cfg, entropy=False
         ).withColumn("attempt", F.lit(attempt))
         made = ask(screened.drop("in_text", "in_pii_count", "_error", "_reply"))
         if "duration_ms" not in made.columns:

@@ -18,8 +18,7 @@ from casequarry import fixed_values as fv
 from casequarry.scale import LIST_PAGE, lookup, page_of
 
 
-def inventory(docs: DataFrame, classifications: DataFrame) -> DataFrame:
-    """Documents with what they were classified as; without a classification, their own type."""
+def _stock(docs: DataFrame, classifications: DataFrame) -> DataFrame:
     found = classifications.select(
         "case_id", "doc_id", "detected_type", "confidence", F.col("manually_overridden").alias("_hand")
     )
@@ -35,9 +34,15 @@ def inventory(docs: DataFrame, classifications: DataFrame) -> DataFrame:
         F.coalesce("detected_type", "doc_type").alias("classified_as"),
         F.col("confidence").alias("classification_confidence"),
         F.coalesce("_hand", F.lit(False)).alias("manually_overridden"),
+        "detected_type",
     )
 
 
+def inventory(docs: DataFrame, classifications: DataFrame) -> DataFrame:
+    """Documents with what they were classified as; without a classification, their own type."""
+    return _stock(docs, classifications).drop("detected_type")
+
+
 def severity_rank(severity: Column) -> Column:
     rank = F.lit(len(fv.SEVERITY_RANK))
     for name, place in fv.SEVERITY_RANK.items():
@@ -85,57 +90,106 @@ def fallback_narrative(cases: DataFrame, results: DataFrame) -> DataFrame:
     return result_counts(cases, results).select("case_id", text.alias("narrative_summary"))
 
 
-def recommendations(
-    cases: DataFrame, docs: DataFrame, classifications: DataFrame, results: DataFrame, page_rows: int = LIST_PAGE
-) -> DataFrame:
-    """(case_id, page, recommendations): up to four lines, or the all-clear line.
+_TALLIES = {
+    "total": lambda: F.col("_result"),
+    "pass": lambda: F.col("_status") == "pass",
+    "fail": lambda: F.col("_status") == "fail",
+    "needs_review": lambda: F.col("_status") == "needs_review",
+    "n_blocking": lambda: F.col("_mark") == "blocking",
+    "n_failed": lambda: F.col("_failed"),
+    "n_manual": lambda: F.col("_mark") == "manual",
+}
 
-    Counts are those of the case; names are those of the page. Lines without names are on page 0.
-    """
 
-    def marks(df: DataFrame, kind: Column, order: Column, name: str) -> DataFrame:
-        page = page_of(F.col("doc_seq"), page_rows)
-        return df.select("case_id", page.alias("page"), kind.alias("kind"), order.alias("order"), F.col(name).alias("name"))
+def _items(cases: DataFrame, stock: DataFrame, results: DataFrame, page_rows: int) -> DataFrame:
+    """Documents and results of the cases as one table of page items, with a first item for every case.
 
+    ``_mark, _place, _name`` say which names the recommendations list, and where.
+    """
     zero = F.lit(0).cast("bigint")
-    seq = F.coalesce("doc_seq", zero).cast("bigint")
-    first = F.struct(zero.cast("int").alias("a"), zero.cast("int").alias("b"), seq.alias("c"))
-    place = F.struct(F.col("condition_seq").cast("int").alias("a"), F.col("type_pos").cast("int").alias("b"), seq.alias("c"))
-    blocking = (F.col("status") == "fail") & (F.col("severity") == "error")
-    issues = results.where(blocking | (F.col("status") == "needs_review"))
-    rows = reduce(
-        DataFrame.unionByName,
-        [
-            marks(issues, F.when(blocking, "blocking").otherwise("review"), place, "condition_name"),
-            marks(docs.where(F.col("status") == fv.DOC_FAILED), F.lit("failed"), first, "doc_id"),
-            marks(classifications.where(F.col("detected_type") == fv.NEEDS_MANUAL), F.lit("manual"), first, "doc_id"),
-            marks(cases.withColumn("doc_seq", zero).withColumn("_n", F.lit("")), F.lit("case"), first, "_n"),
-        ],
+    page = page_of(F.col("doc_seq"), page_rows).alias("page")
+    seq = F.coalesce("doc_seq", zero).cast("bigint").alias("doc_seq")
+    int_zero = F.lit(0).cast("int")
+    manual = F.coalesce(F.col("detected_type") == fv.NEEDS_MANUAL, F.lit(False))
+    doc_item = F.struct(
+        "doc_seq", "doc_id", "file_name", "doc_type", "category", "status", "upload_timestamp", "classified_as",
+        "classification_confidence", "manually_overridden",
+    )
+    docs = stock.select(
+        "case_id",
+        page,
+        doc_item.alias("doc"),
+        (F.col("status") == fv.DOC_FAILED).alias("_failed"),
+        F.when(manual, "manual").alias("_mark"),
+        F.struct(int_zero.alias("condition_seq"), int_zero.alias("type_pos"), seq).alias("_place"),
+        F.col("doc_id").alias("_name"),
+    )
+    place = F.struct(
+        F.col("condition_seq").cast("int").alias("condition_seq"), F.col("type_pos").cast("int").alias("type_pos"), seq
     )
-    kind = F.col("kind")
-    totals = rows.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(F.when(kind == k, 1)).alias(f"n_{k}") for k in ("blocking", "review", "failed", "manual")],
+    order = ["condition_seq", "type_pos", seq]
+    check_item = F.struct(*order, "condition_name", "status", "severity", "analyst_message", "check_type")
+    flag_item = F.struct(
+        severity_rank(F.col("severity")).alias("severity_rank"), *order, "condition_name", "severity", "status",
+        "analyst_message", "sources_used", F.to_json("details").alias("details"),
+    )
+    blocking = (F.col("status") == "fail") & (F.col("severity") == "error")
+    checks = results.select(
+        "case_id",
+        page,
+        check_item.alias("check"),
+        F.when(F.col("status") != "pass", flag_item).alias("flag"),
+        F.lit(True).alias("_result"),
+        F.col("status").alias("_status"),
+        F.when(blocking, "blocking").when(F.col("status") == "needs_review", "review").alias("_mark"),
+        place.alias("_place"),
+        F.col("condition_name").alias("_name"),
     )
+    head = cases.select("case_id", zero.alias("page"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [docs, checks, head])
 
-    def names(k: str) -> Column:
-        cells = F.array_sort(F.collect_list(F.when(kind == k, F.struct("order", "name"))))
-        return F.array_join(F.transform(cells, lambda c: c["name"]), ", ")
 
-    pages = rows.groupBy("case_id", "page").agg(
-        names("blocking").alias("blocking"), names("review").alias("review"), names("manual").alias("manual")
-    )
-    every = lookup(pages, totals.drop("n"), ["case_id"], counts=totals.select("case_id", "n"))
+def _totals(items: DataFrame) -> DataFrame:
+    """Figures of each case, by partial aggregation."""
+    counts = [F.count(F.when(test(), 1)).alias(name) for name, test in _TALLIES.items()]
+    return items.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), *counts)
+
+
+def _names(kind: str) -> Column:
+    """Names the page lists under one heading, in order."""
+    cells = F.array_sort(F.collect_list(F.when(F.col("_mark") == kind, F.struct("_place", "_name"))))
+    return F.array_join(F.transform(cells, lambda c: c["_name"]), ", ").alias(f"_{kind}")
+
+
+def _advice() -> Column:
+    """Up to four lines from a page's names and its case's figures, or the all-clear line."""
     front = F.col("page") == 0
-    clear = F.col("n_blocking") + F.col("n_review") + F.col("n_failed") + F.col("n_manual") == 0
+    clear = F.col("n_blocking") + F.col("needs_review") + F.col("n_failed") + F.col("n_manual") == 0
     lines = F.array(
-        F.when(F.col("blocking") != "", F.format_string(fv.MSG_BLOCKING, "blocking")),
-        F.when(F.col("review") != "", F.format_string(fv.MSG_REVIEW, "review")),
+        F.when(F.col("_blocking") != "", F.format_string(fv.MSG_BLOCKING, "_blocking")),
+        F.when(F.col("_review") != "", F.format_string(fv.MSG_REVIEW, "_review")),
         F.when(front & (F.col("n_failed") > 0), F.format_string(fv.MSG_FAILED_DOCS, "n_failed")),
-        F.when(F.col("manual") != "", F.format_string(fv.MSG_UNCLASSIFIED, "n_manual", "manual")),
+        F.when(F.col("_manual") != "", F.format_string(fv.MSG_UNCLASSIFIED, "n_manual", "_manual")),
         F.when(front & clear, F.lit(fv.MSG_ALL_CLEAR)),
     )
-    return every.select("case_id", "page", F.filter(lines, lambda x: x.isNotNull()).alias("recommendations"))
+    return F.filter(lines, lambda x: x.isNotNull()).alias("recommendations")
+
+
+_HEADINGS = ("blocking", "review", "manual")
+
+
+def recommendations(
+    cases: DataFrame, docs: DataFrame, classifications: DataFrame, results: DataFrame, page_rows: int = LIST_PAGE
+) -> DataFrame:
+    """(case_id, page, recommendations): up to four lines, or the all-clear line.
+
+    Counts are those of the case; names are those of the page. Lines without names are on page 0.
+    """
+    items = _items(cases, _stock(docs, classifications), results, page_rows)
+    totals = _totals(items)
+    pages = items.groupBy("case_id", "page").agg(*[_names(k) for k in _HEADINGS])
+    every = lookup(pages, totals.drop("n"), ["case_id"], counts=totals.select("case_id", "n"))
+    return every.select("case_id", "page", _advice())
 
 
 def build_reports(
@@ -149,45 +203,42 @@ def build_reports(
 ) -> DataFrame:
     """One row per case and page: inventory, condition results, flagged issues, narrative, recommendations.
 
-    All list items of a page meet in a single grouping by (case, page); case-level columns are joined to
-    the pages with hot cases weighted by their items.
+    All list items of a page meet in a single grouping by (case, page), which is bounded: a page has at
+    most ``page_rows`` documents and their results. Case-level columns are joined to the pages with hot
+    cases weighted by their items.
     """
-    narratives = fallback_narrative(cases, results) if narratives is None else narratives
-    zero = F.lit(0).cast("bigint")
-    page = page_of(F.col("doc_seq"), page_rows)
-    doc_item = F.struct(
-        "doc_seq", "doc_id", "file_name", "doc_type", "category", "status", "upload_timestamp", "classified_as",
-        "classification_confidence", "manually_overridden",
-    )
-    order = ["condition_seq", "type_pos", F.coalesce("doc_seq", zero).alias("doc_seq")]
-    check_item = F.struct(*order, "condition_name", "status", "severity", "analyst_message", "check_type")
-    flag_item = F.struct(
-        severity_rank(F.col("severity")).alias("severity_rank"), *order, "condition_name", "severity", "status",
-        "analyst_message", "sources_used", F.to_json("details").alias("details"),
-    )
-    stock = inventory(docs, classifications).select("case_id", page.alias("page"), doc_item.alias("doc"))
-    checks = results.select(
-        "case_id", page.alias("page"), check_item.alias("check"), F.when(F.col("status") != "pass", flag_item).alias("flag")
-    )
-    head = cases.select("case_id", zero.alias("page"))
-    items = stock.unionByName(checks, allowMissingColumns=True).unionByName(head, allowMissingColumns=True)
-    # A page holds at most page_rows documents and their results.
+    items = _items(cases, _stock(docs, classifications), results, page_rows)
+    totals = _totals(items)
     pages = items.groupBy("case_id", "page").agg(
         F.array_sort(F.collect_list("doc")).alias("document_inventory"),
         F.array_sort(F.collect_list("check")).alias("condition_results"),
         F.array_sort(F.collect_list("flag")).alias("flagged_issues"),
+        *[_names(k) for k in _HEADINGS],
     )
-    weights = items.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    facts = attention_flags(cases, results).join(narratives, "case_id", "left")
-    facts = facts.withColumn("case_status", final_status(F.col("requires_analyst_attention"))).select(
-        "case_id", "country", "process_type", "case_status", "requires_analyst_attention", "narrative_summary"
-    )
-    advice = recommendations(cases, docs, classifications, results, page_rows)
-    return (
-        lookup(pages, facts, ["case_id"], counts=weights)
-        .join(advice, ["case_id", "page"], "left")
-        .withColumn("recommendations", F.coalesce("recommendations", F.array().cast("array<string>")))
-        .withColumn("generated_at", F.lit(generated_at).cast("timestamp"))
+    facts = cases.select("case_id", "country", "process_type").join(totals.drop("n"), "case_id")
+    spare = F.format_string(fv.MSG_FALLBACK, "total", "pass", "fail", "needs_review")
+    if narratives is not None:
+        facts = facts.join(narratives, "case_id", "left")
+        spare = F.coalesce("narrative_summary", spare)
+    attention = (F.col("n_blocking") > 0) | (F.col("needs_review") > 0)
+    facts = facts.select(
+        "case_id", "country", "process_type", "n_blocking", "needs_review", "n_failed", "n_manual",
+        final_status(attention).alias("case_status"), attention.alias("requires_analyst_attention"),
+        spare.alias("narrative_summary"),
+    )
+    return lookup(pages, facts, ["case_id"], counts=totals.select("case_id", "n")).select(
+        "case_id",
+        "page",
+        "country",
+        "process_type",
+        "case_status",
+        "requires_analyst_attention",
+        F.lit(generated_at).cast("timestamp").alias("generated_at"),
+        "document_inventory",
+        "condition_results",
+        "flagged_issues",
+        "narrative_summary",
+        _advice(),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
 from casequarry.functions.values import RECORD, value
+from casequarry.scale import spread_small
 
 AS_OF = dt.date(1998, 6, 30)
 TYPES = ["salary_slip", "bank_statement", "tax_return", "identity_document", "loan_application"]
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are worked on for long."""
+    return spread_small(table(spark, sf_dir, name))
+
+
 def _case(selector: Column, cells: list) -> Column:
     out = F.lit(None).cast("string")
     for i, cell in enumerate(cells):
@@ -75,7 +81,7 @@ def _record() -> Column:
 
 
 def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_columns(table(spark, sf_dir, "orders"))
+    return document_columns(wide_table(spark, sf_dir, "orders"))
 
 
 def document_columns(orders: DataFrame) -> DataFrame:
@@ -156,7 +162,7 @@ def spliced_text() -> Column:
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_columns(table(spark, sf_dir, "documents"))
+    return text_columns(wide_table(spark, sf_dir, "documents"))
 
 
 def text_columns(documents: DataFrame) -> DataFrame:
@@ -234,7 +240,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .otherwise(body)
     )
-    return table(spark, sf_dir, "events").select(
+    return wide_table(spark, sf_dir, "events").select(
         F.floor(e / 3).cast("bigint").alias("doc_id"),
         F.lit("extract_fields").alias("step_name"),
         F.lit(0).alias("step_pos"),
@@ -253,7 +259,7 @@ def step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             value(F.regexp_extract("props", r"(\d+)", 1), "int"), value(F.col("user_id").cast("string"), "string")
         ),
     )
-    return table(spark, sf_dir, "events").select(
+    return wide_table(spark, sf_dir, "events").select(
         F.floor(e / 3).cast("bigint").alias("doc_id"),
         F.concat(F.lit("s"), (e % 3).cast("string")).alias("step"),
         (e % 3).cast("int").alias("step_pos"),
@@ -266,7 +272,7 @@ def step_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = F.create_map(
         F.lit("temperature"), (e % 10).cast("string"), F.concat(F.lit("k"), (e % 3).cast("string")), F.col("event_type")
     )
-    return table(spark, sf_dir, "events").select(
+    return wide_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"),
         e.alias("seq"),
         F.col("event_type").alias("from_step"),

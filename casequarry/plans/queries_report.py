@@ -20,6 +20,7 @@ from casequarry.plans.queries_intake import CFG, big
 from casequarry.plans.queries_model import CLASSIFY_STAGES, by_size, digest
 from casequarry.plans.review import ModelSteps, review_cases
 from casequarry.plans.sqlparts import CASES, CLASSIFIED, DOCS, FLAGS, PARSED, RESULTS, lit, with_
+from casequarry.scale import cut_lineage
 from casequarry.sources.sinks import export_reports
 
 
@@ -96,8 +97,9 @@ advice AS (
 
 @query(with_(*CHECKED, CLASSIFIED, _ADVICE) + "SELECT case_id, recommendations FROM advice")
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = cut_lineage(all_results(spark, sf_dir), "results")
     rows = rp.recommendations(
-        inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), all_results(spark, sf_dir)
+        inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), results
     )
     return rows.select("case_id", F.array_join("recommendations", "\n").alias("recommendations"))
 
@@ -144,7 +146,7 @@ def case_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 3 == 0, "timeout").alias("error"),
     )
     ask = partial(join_responses, responses=replies, keys=["case_id"])
-    return written_narratives(cases, stock, all_results(spark, sf_dir), CFG, ask)
+    return written_narratives(cases, stock, cut_lineage(all_results(spark, sf_dir), "results"), CFG, ask)
 
 
 _NARRATIVES = """narratives AS (SELECT c.case_id, CASE WHEN ck % 5 <> 0 AND ck % 3 <> 0 THEN 'Summary of ' || c.case_id || '.' ELSE narrative_summary END AS narrative_summary
@@ -157,8 +159,10 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports over results that were written first, as in a whole review: they hold model replies."""
+    results = cut_lineage(all_results(spark, sf_dir), "results")
     return rp.build_reports(
-        inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), all_results(spark, sf_dir)
+        inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), results
     )
 
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +43,16 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(cells)))
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small table a partition per core.
+
+    A file of a few megabytes is one scan task, which leaves the other cores idle under heavy
+    expressions. Tables with at least a task per core, any large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def page_of(seq: Column, page_rows: int = LIST_PAGE) -> Column:
     """Page of a list position. Positions are unique in their case, so a page holds at most ``page_rows``."""
     return F.floor(F.coalesce(seq, F.lit(0)) / page_rows).cast("bigint")
@@ -119,13 +129,17 @@ def bounded_text(
     """Join the lines of each key in order, for keys whose joined text has at most ``max_chars``.
 
     Returns keys, ``line_count``, ``chars`` (exact for every key) and ``text``, which is null when the
-    text would be longer: the length alone then decides what happens to it. Lines are first joined per
-    page of positions; a page that is too long by itself is dropped before the pages are put together,
-    so no task ever holds more than a page or one bounded text.
+    text would be longer: the length alone then decides what happens to it. Lines are gathered per page
+    of positions, then per block of pages, then per key. What is already too long keeps its counts and
+    drops its lines at once, so a task never holds more than a page of lines or short texts.
     """
     keys = list(keys)
     cells = F.struct(*[F.col(c) for c in order], F.col(line).alias("_line"))
     sep_len = len(separator)
+
+    def short(chars: str) -> Column:
+        return F.when(F.col(chars) <= max_chars, F.col("_cells"))
+
     pages = (
         lines.withColumn("_page", page_of(F.col(seq), LINE_PAGE))
         .groupBy(*keys, "_page")
@@ -135,17 +149,35 @@ def bounded_text(
             F.collect_list(cells).alias("_cells"),
         )
     )
-    totals = pages.groupBy(*keys).agg(
-        F.sum("_n").alias("line_count"), (F.sum("_chars") + (F.sum("_n") - 1) * sep_len).alias("chars")
+    blocks = (
+        pages.withColumn("_cells", short("_chars"))
+        .groupBy(*keys, page_of(F.col("_page"), LINE_PAGE).alias("_block"))
+        .agg(
+            F.sum("_n").alias("_n"),
+            F.sum("_chars").alias("_chars"),
+            F.flatten(F.collect_list("_cells")).alias("_cells"),
+        )
     )
-    short = (
-        pages.where(F.col("_chars") <= max_chars)
-        .join(totals.where(F.col("chars") <= max_chars).select(*keys), keys, "left_semi")
+    whole = Window.partitionBy(*keys)  # a few blocks per key; the window spills where a group would not
+    total = F.sum("_chars").over(whole) + (F.sum("_n").over(whole) - 1) * sep_len
+    return (
+        blocks.withColumn("_total", total)
+        .withColumn("_cells", short("_total"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.flatten(F.collect_list("_cells"))).alias("_cells"))
-        .select(*keys, F.array_join(F.transform("_cells", lambda c: c["_line"]), separator).alias("text"))
+        .agg(
+            F.sum("_n").alias("line_count"),
+            F.max("_total").alias("chars"),
+            F.array_sort(F.flatten(F.collect_list("_cells"))).alias("_cells"),
+        )
+        .select(
+            *keys,
+            "line_count",
+            "chars",
+            F.when(
+                F.col("chars") <= max_chars, F.array_join(F.transform("_cells", lambda c: c["_line"]), separator)
+            ).alias("text"),
+        )
     )
-    return totals.join(short, keys, "left")
 
 
 def work_folder(spark: SparkSession) -> str:

@@ -25,9 +25,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def build_session(master: str | None = None, name: str = "casequarry", shuffle_partitions: int | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(name).config("spark.ui.enabled", "false")
+    builder = (
+        SparkSession.builder.appName(name)
+        .config("spark.ui.enabled", "false")
+        # Call-site capture doubles the driver's round trips while a plan is put together.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):  # the driver does the executors' work
+            builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return configure(builder.getOrCreate())
