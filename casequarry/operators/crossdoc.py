@@ -176,19 +176,20 @@ def merged_extraction(docs: DataFrame, page_rows: int = LIST_PAGE) -> DataFrame:
 
     Long lists come in pages of bounded size.
     """
-    single = record_json(F.col("extracted_data"))
     listed = record_json(F.col("extracted_data"), ("doc_id", F.col("doc_id")), ("period", F.col("document_period")))
     rows = docs.select(
         "case_id",
         "doc_type",
         "doc_seq",
         page_of(F.col("doc_seq"), page_rows).alias("page"),
-        single.alias("_one"),
+        "extracted_data",
         F.when(F.size("extracted_data") > 0, listed).alias("_item"),
     )
     counts = docs.groupBy("case_id", "doc_type").agg(F.count(F.lit(1)).alias("n"))
     cells = F.array_sort(F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("doc_seq", "_item"))))
-    pages = rows.groupBy("case_id", "doc_type", "page").agg(cells.alias("_cells"), F.max("_one").alias("_one"))
+    pages = rows.groupBy("case_id", "doc_type", "page").agg(
+        cells.alias("_cells"), F.any_value("extracted_data").alias("_one")
+    )
     listed_text = F.concat(
         F.lit('{"documents": ['), F.array_join(F.transform("_cells", lambda c: c["_item"]), ", "), F.lit("]}")
     )
@@ -198,5 +199,5 @@ def merged_extraction(docs: DataFrame, page_rows: int = LIST_PAGE) -> DataFrame:
         "doc_type",
         "page",
         "doc_count",
-        F.when(F.col("doc_count") == 1, F.col("_one")).otherwise(listed_text).alias("merged"),
+        F.when(F.col("doc_count") == 1, record_json(F.col("_one"))).otherwise(listed_text).alias("merged"),
     )

@@ -83,7 +83,7 @@ def input_verdict(
     check_hash = guards.get("require_document_hash_match") and text_col and hash_col
     tampered = tx.hash_tampered(F.col(text_col), F.col(hash_col)) if check_hash else F.lit(False)
     # Each stage runs once per row, cheap checks first; later stages skip what an earlier one blocked.
-    out = settle(df, **{prompt_col: prompt})
+    out = settle(df.withColumnRenamed(prompt_col, "_given"), **{prompt_col: F.col("_given")}).drop("_given")
     out = settle(out, _early=F.when(tampered, "T").when(length > limit, "L"))
     phrases = tx.first_match(prompt, guards["blocked_content_patterns"])
     out = settle(out, _hit=F.when(F.col("_early").isNull(), phrases))

@@ -46,7 +46,7 @@ def big(c: Column | str) -> Column:
 
 
 @query("""
-SELECT substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 10) AS case_id,
+SELECT substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 32) AS case_id,
        CASE WHEN c_nationkey % 5 = 4 THEN 'austria' ELSE 'germany' END AS country,
        'consumer_credit' AS process_type, 'intake' AS status
 FROM customer""")
@@ -57,7 +57,7 @@ def create_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT CAST(page_id % 50 AS VARCHAR) AS case_id,
-       substr(sha256(CAST(page_id % 50 AS VARCHAR) || '/' || page_id || '/' || CASE WHEN page_id % 4 = 0 THEN 'unknown' ELSE url END), 1, 8) AS doc_id,
+       substr(sha256(CAST(page_id % 50 AS VARCHAR) || '/' || page_id || '/' || CASE WHEN page_id % 4 = 0 THEN 'unknown' ELSE url END), 1, 32) AS doc_id,
        CASE WHEN page_id % 4 = 0 THEN 'unknown' ELSE url END AS file_name, 'pending' AS status,
        sha256(html || CASE WHEN page_id % 7 = 0 THEN chr(65533) ELSE '' END) AS text_hash
 FROM pages""")

@@ -34,13 +34,13 @@ def config_table(spark: SparkSession, rows: list[dict], schema: str | T.StructTy
 
 
 def settle(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once per row, before any filter on them.
+    """Add new columns that are computed once per row, before any filter on them.
 
     A filter on an ordinary computed column is pushed down with the whole computation repeated inside it.
     Columns that come out of a generator stay where they are.
     """
     cells = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(cells)))
+    return df.select("*", F.inline(F.array(cells)))
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], counts: DataFrame | None = No
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.where(F.col("n") * HOT_SHARE > total.scalar()).select(*keys)
+    return counts.where(F.col("n") * HOT_SHARE > total.scalar()).select(*keys).dropna()
 
 
 _ROW_KEYS = ("doc_id", "doc_seq", "page", "field")
@@ -106,8 +106,11 @@ def lookup(
         "_salt",
         F.when(F.col("_hot").isNotNull() | no_key, 1 + F.pmod(spread, F.lit(SALTS))).otherwise(0).cast("int"),
     )
+    # Zero for every key, but not a constant: a constant would be folded out of the join keys, and the
+    # salted rows would meet in one partition again.
+    no_salt = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
     cold_rows = table.select(
-        *keys, F.lit(0).alias("_salt"), F.struct(F.lit(True).alias("found"), *values).alias("_cold")
+        *keys, no_salt.alias("_salt"), F.struct(F.lit(True).alias("found"), *values).alias("_cold")
     )
     joined = marked.join(cold_rows, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_cold"))
     if how == "inner":

@@ -10,10 +10,14 @@ from casequarry.scale import lookup
 from casequarry.sources.config import ReviewConfig
 
 
-def create_cases(requests: DataFrame) -> DataFrame:
-    """New cases from ``request_key, country, process_type, created_at``; ids are ten hex digits of the key's hash."""
+# Hex digits of an id. Ids are made from hashes, so they have to be long enough not to collide in a large table.
+ID_CHARS = 32
+
+
+def create_cases(requests: DataFrame, id_chars: int = ID_CHARS) -> DataFrame:
+    """New cases from ``request_key, country, process_type, created_at``; ids come from the key's hash."""
     return requests.select(
-        F.substring(F.sha2(F.col("request_key").cast("string"), 256), 1, 10).alias("case_id"),
+        F.substring(F.sha2(F.col("request_key").cast("string"), 256), 1, id_chars).alias("case_id"),
         "country",
         "process_type",
         F.lit(fv.CASE_INTAKE).alias("status"),
@@ -37,13 +41,14 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
 def intake(uploads: DataFrame) -> DataFrame:
     """Documents from ``case_id, file_name, doc_seq, upload_timestamp, content``.
 
-    Bytes become text, broken ones the replacement character; a missing name is ``unknown``.
+    Bytes become text, broken ones the replacement character; a missing name is ``unknown``. Document
+    ids are unique over all cases.
     """
     name = F.when(F.coalesce("file_name", F.lit("")) == "", "unknown").otherwise(F.col("file_name"))
     key = F.concat_ws("/", "case_id", F.col("doc_seq").cast("string"), name)
     return uploads.select(
         "case_id",
-        F.substring(F.sha2(key, 256), 1, 8).alias("doc_id"),
+        F.substring(F.sha2(key, 256), 1, ID_CHARS).alias("doc_id"),
         "doc_seq",
         name.alias("file_name"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("text_content"),
