@@ -55,7 +55,8 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 def page_of(seq: Column, page_rows: int = LIST_PAGE) -> Column:
     """Page of a list position. Positions are unique in their case, so a page holds at most ``page_rows``."""
-    return F.floor(F.coalesce(seq, F.lit(0)) / page_rows).cast("bigint")
+    place = F.coalesce(seq, F.lit(0)).cast("bigint")
+    return ((place - F.pmod(place, F.lit(page_rows))) / page_rows).cast("bigint")
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
