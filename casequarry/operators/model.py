@@ -41,11 +41,14 @@ def call_model(
     keys: Sequence[str],
     temperature: float = 0.0,
     backend_key: str = "default",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``raw_response, error, duration_ms`` to prompts.
 
-    Rows without a prompt, or with a false ``in_passed``, pass by without being asked. Rows are spread by their (unique) keys first, so that long prompts do not sit together. When the
-    function raises for a batch, its rows are asked one by one and only failing rows carry an error.
+    Rows without a prompt, or with a false ``in_passed``, pass by without being asked. Prompts are asked
+    where they are; ``partitions`` shuffles them by their keys into that many tasks first, for models that
+    want more (or fewer) callers than the input has partitions. When the function raises for a batch, its
+    rows are asked one by one and only failing rows carry an error.
     """
 
     def ask(batch: pd.DataFrame) -> tuple[list, list]:
@@ -82,7 +85,8 @@ def call_model(
             )
 
     schema = T.StructType([*prompts.schema.fields, *_REPLY_FIELDS])
-    return prompts.repartition(*keys).mapInArrow(run, schema)
+    asked = prompts.repartition(partitions, *keys) if partitions else prompts
+    return asked.mapInArrow(run, schema)
 
 
 def join_responses(prompts: DataFrame, responses: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -183,13 +187,20 @@ _ROUND_COLUMNS = [
 
 
 def run_step(
-    prompts: DataFrame, step: dict, ask: Callable[[DataFrame], DataFrame], cfg: ReviewConfig, keys: Sequence[str]
+    prompts: DataFrame,
+    step: dict,
+    ask: Callable[[DataFrame], DataFrame],
+    cfg: ReviewConfig,
+    keys: Sequence[str],
+    keep_prompts: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Run one step for all prompts, round by round; returns (results, traces).
 
     ``ask`` adds ``raw_response, error`` (and optionally ``duration_ms``) to rows with ``prompt``; the
     attempt number is in ``attempt``. A blocked prompt ends its step at once; a failed attempt is retried
     up to ``max_retries`` times, with the failed answer and its errors in the prompt if the step reflects.
+    Traces keep every prompt; ``keep_prompts=False`` writes only those of failed attempts, which for long
+    documents saves a copy of their text.
     """
     keys, limit = list(keys), step["max_retries"]
     carried = [c for c in prompts.columns if c not in keys]
@@ -207,16 +218,17 @@ def run_step(
         made = ask(screened.drop("in_text", "in_pii_count", "_error", "_reply"))
         if "duration_ms" not in made.columns:
             made = made.withColumn("duration_ms", F.lit(None).cast("double"))
-        blocked, failed = ~F.col("in_passed"), F.col("error").isNotNull()
+        blocked, failed, keep = ~F.col("in_passed"), F.col("error").isNotNull(), F.lit(keep_prompts)
         none = F.array().cast("array<string>")
         judged = judge_attempts(made, cfg, step["output_schema"], limit).select(
             *keys,
             *[c for c in carried if c != "prompt"],
-            F.col("_original").alias("prompt"),
+            F.when(keep | ~(F.col("success") & ~blocked), F.col("_original")).alias("prompt"),
             F.lit(step["name"]).alias("step_name"),
             F.lit(step["pos"]).alias("step_pos"),
             "attempt",
-            F.col("prompt").alias("prompt_sent"),
+            # The first attempt sends the prompt itself: it is written once.
+            (F.col("prompt") if attempt > 1 else F.lit(None).cast("string")).alias("prompt_sent"),
             F.when(blocked | failed, "").otherwise(F.col("reply_text")).alias("raw_response"),
             F.when(~blocked, F.col("record")).alias("record"),
             F.when(blocked, F.concat(F.lit("Input blocked: "), "in_reason")).otherwise(F.col("problem")).alias("problem"),
@@ -250,7 +262,7 @@ def run_step(
     results = final.select(
         *keys, "step_name", "step_pos", outcome.alias("outcome"), F.col("attempt").alias("attempts"), "record", "problem"
     )
-    traces = made.select(
+    traces = made.withColumn("prompt_sent", F.coalesce("prompt_sent", "prompt")).select(
         *keys,
         *_ROUND_COLUMNS,
         F.when(F.col("success"), F.array().cast("array<string>")).otherwise(F.array("problem")).alias("validation_errors"),
@@ -259,7 +271,12 @@ def run_step(
 
 
 def run_steps(
-    docs: DataFrame, steps: list[dict], ask: Callable[[DataFrame], DataFrame], cfg: ReviewConfig, key: str = "doc_id"
+    docs: DataFrame,
+    steps: list[dict],
+    ask: Callable[[DataFrame], DataFrame],
+    cfg: ReviewConfig,
+    key: str = "doc_id",
+    keep_prompts: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run the steps in order; returns (documents with status and extracted_data, step results, traces).
 
@@ -278,7 +295,7 @@ def run_steps(
         inject = "context" if so_far is not None and step["inject_previous_results"] else None
         prompts = extraction_prompts(ready, cfg, previous_col=inject)
         columns = [key, "prompt", *(["context"] if so_far is not None else [])]
-        results, traces = run_step(prompts.select(*columns), step, ask, cfg, [key])
+        results, traces = run_step(prompts.select(*columns), step, ask, cfg, [key], keep_prompts)
         all_results.append(results)
         all_traces.append(traces)
         ended = F.col("outcome").isin("blocked", "failed") if step["retry_on_failure"] else F.lit(False)

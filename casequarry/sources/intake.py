@@ -60,6 +60,13 @@ def intake(uploads: DataFrame) -> DataFrame:
 
 
 def attach_case(docs: DataFrame, cases: DataFrame, cfg: ReviewConfig) -> DataFrame:
-    """Adds country, country_code and process_type of the case. Safe for cases with very many documents."""
-    facts = cases.select("case_id", "country", "process_type")
-    return lookup(docs, facts, ["case_id"]).join(cfg.country_table(docs.sparkSession), "country", "left")
+    """Adds country, country_code and process_type of the case. Safe for cases with very many documents.
+
+    Documents that came in with their country and process are not joined again: the join moves them,
+    texts and all, so a large intake should stamp them on arrival.
+    """
+    if not {"country", "process_type"} <= set(docs.columns):
+        docs = lookup(docs, cases.select("case_id", "country", "process_type"), ["case_id"])
+    if "country_code" not in docs.columns:
+        docs = docs.join(cfg.country_table(docs.sparkSession), "country", "left")
+    return docs

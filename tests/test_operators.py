@@ -20,7 +20,7 @@ from casequarry.operators.guards import input_verdict, redact
 from casequarry.operators.stepdata import merge_step_overrides
 from casequarry.plans import inputs
 from casequarry.sources.config import condition_row, default_config, load_config
-from casequarry.sources.intake import intake, read_uploads
+from casequarry.sources.intake import attach_case, intake, read_uploads
 
 CFG = default_config()
 SF_DIR = "/root/testdata/sf0.001"
@@ -288,3 +288,18 @@ def test_configuration_folder(tmp_path):
     assert first["months"] is None and "invalid literal" in first["months_error"] and first["value_message"] is None
     assert cfg.categories[0]["max_accepted"] == 999 and cfg.steps[0]["max_retries"] == 3
     assert cfg.pii[0]["sensitivity"] == "medium" and cfg.guards["input_guards"]["max_prompt_length"] == 32000
+
+
+def test_prompts_of_successes_can_be_left_out(spark):
+    prompts = spark.createDataFrame([("a", "good"), ("b", "bad")], "doc_id string, prompt string")
+    ask = partial(mo.call_model, model_fn=lambda batch: ['{"v": 1}' if p == "good" else "no" for p in batch["prompt"]], keys=["doc_id"])
+    step = dict(CFG.steps[0], max_retries=2, use_reflection=False)
+    for keep, sent in [(True, {("a", 1, "good"), ("b", 1, "bad"), ("b", 2, "bad")}), (False, {("a", 1, None), ("b", 1, "bad"), ("b", 2, "bad")})]:
+        _, traces = mo.run_step(prompts, step, ask, CFG, ["doc_id"], keep_prompts=keep)
+        assert {(r.doc_id, r.attempt, r.prompt_sent) for r in traces.collect()} == sent
+
+
+def test_documents_that_know_their_case_are_not_joined(spark):
+    docs = inputs.home_documents(spark, SF_DIR).drop("country_code")
+    plan = attach_case(docs, inputs.cases(spark, SF_DIR), CFG)._jdf.queryExecution().optimizedPlan().toString()
+    assert "customer" not in plan and "c_custkey" not in plan
