@@ -19,7 +19,7 @@ from casequarry.operators.classify import parse_classification
 from casequarry.operators.guards import input_verdict, redact
 from casequarry.operators.stepdata import merge_step_overrides
 from casequarry.plans import inputs
-from casequarry.sources.config import condition_row, default_config, load_config
+from casequarry.sources.config import condition_row, default_config, load_config, load_requirements
 from casequarry.sources.intake import attach_case, intake, read_uploads
 
 CFG = default_config()
@@ -303,3 +303,28 @@ def test_documents_that_know_their_case_are_not_joined(spark):
     docs = inputs.home_documents(spark, SF_DIR).drop("country_code")
     plan = attach_case(docs, inputs.cases(spark, SF_DIR), CFG)._jdf.queryExecution().optimizedPlan().toString()
     assert "customer" not in plan and "c_custkey" not in plan
+
+
+def test_requirements_file(tmp_path):
+    path = tmp_path / "r.yaml"
+    path.write_text(
+        "document_requirements:\n  k:\n    doc_types: [a, b]\n    min_required: 1\n    max_accepted: 2\n    role: main\n"
+        "    temporal_constraints: {a: {min_count: 2}, b: {}}\n"
+    )
+    (row,) = load_requirements(path)
+    assert row["category"] == "k" and row["temporal_constraints"] == {"a": 2, "b": 1} and row["condition"] is None
+    assert load_requirements(tmp_path / "missing.yaml") == []
+
+
+def test_too_long_sources_are_counted_not_collected(spark):
+    fields = [(f"d{i}", "salary_slip", "employee_name", "x" * 500, "string") for i in range(100)]
+    docs = _documents(spark, fields)
+    cases = spark.createDataFrame([("c", "germany", "consumer_credit")], "case_id string, country string, process_type string")
+    ask = partial(mo.call_model, model_fn=lambda batch: ["never asked"] * len(batch), keys=["case_id"])
+    rows = {r.condition_name: r for r in cond.check_with_model(cases, docs, CFG, ask).collect()}
+    blocked = rows["income_consistency"].analyst_message
+    assert blocked.startswith("Prompt blocked by guardrails: Prompt exceeds max length (") and blocked.endswith(" > 32000)")
+    gathered = cond.gather_sources(docs, CFG, 10**6).first()
+    limited = cond.gather_sources(docs, CFG, 32000).first()
+    assert limited.source_blocks is None and limited.source_chars == gathered.source_chars == len("\n".join(gathered.source_blocks))
+    assert rows["applicant_name_consistency"].analyst_message == fv.MSG_NO_SOURCES
