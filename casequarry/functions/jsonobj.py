@@ -26,8 +26,8 @@ def _array_of_one(text: Column) -> Column:
 
 
 def _is_one_value(text: Column, wrapped: Column) -> Column:
-    # A stray "]" could close the wrapper early; a second wrapper rules that out.
-    closes_early = text.rlike(r"\}\s*\]")
+    # A stray "]" could close the wrapper early; a second wrapper, which "]" cannot close, rules that out.
+    closes_early = text.contains("]")
     also_member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
     return (
         F.try_variant_get(wrapped, "$[0]", "variant").isNotNull()

@@ -39,7 +39,7 @@ def test_strip_fences(spark):
 
 
 JSONS = [
-    '{"a":1}', '{"a":1} x', "[1,2]", '"s"', "", "null", "3", "2.5", "true", '{"a":1},{"b":2}', '{"a":1}], x', '{"a":[{"b":1}]}',
+    '{"a":1}', '{"a":1} x', "[1,2]", '"s"', "", "null", "3", "2.5", "true", '{"a":1},{"b":2}', '{"a":1}], x', "1], [2", '{"a":[1]}, {"b":[2]}', "[1]]", '{"a":1}} x', '{"a":[{"b":1}]}',
     '{"a":1,"a":2}', '{"a":null,"b":true,"c":"true","d":1.50,"e":1.0,"f":{"x":[1, 2]},"g":[],"h":"","i":12345678901234567890}',
     "{'a':1}", '{"a":"x\ny"}', '{"a"', "{}", '```json\n{"k": "v"}\n```', '{"é": "\\u00e9\\n\\"q\\""}',
 ]
