@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from casequarry.plans.catalog import ORACLES, QUERIES
 from tests.check import compare, oracle_connection
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -16,12 +17,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, con, name):
-    outcome = compare(spark, con, name, queries()[name], oracle_sql().get(name), SF_DIR)
+    outcome = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF_DIR)
     assert outcome.startswith("ok") and "types differ" not in outcome, outcome
 
 
