@@ -5,6 +5,7 @@ from importlib import import_module
 #: Modules whose QUERIES and ORACLES are registered.
 MODULES = [
     "exact_dedup",
+    "chat_format",
 ]
 
 
