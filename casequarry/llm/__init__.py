@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = [
     "exact_dedup",
     "chat_format",
+    "main_text",
 ]
 
 
