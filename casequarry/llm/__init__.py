@@ -7,6 +7,8 @@ MODULES = [
     "exact_dedup",
     "chat_format",
     "main_text",
+    "token_counts",
+    "packing",
 ]
 
 
