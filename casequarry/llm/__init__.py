@@ -9,6 +9,7 @@ MODULES = [
     "main_text",
     "token_counts",
     "packing",
+    "language",
 ]
 
 
