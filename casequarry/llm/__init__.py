@@ -10,6 +10,7 @@ MODULES = [
     "token_counts",
     "packing",
     "language",
+    "jaccard_join",
 ]
 
 
