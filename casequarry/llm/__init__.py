@@ -11,6 +11,7 @@ MODULES = [
     "packing",
     "language",
     "jaccard_join",
+    "decontaminate",
 ]
 
 
