@@ -12,6 +12,7 @@ MODULES = [
     "language",
     "jaccard_join",
     "decontaminate",
+    "suffix_dedup",
 ]
 
 
