@@ -13,6 +13,7 @@ MODULES = [
     "jaccard_join",
     "decontaminate",
     "suffix_dedup",
+    "substring_dedup",
 ]
 
 
