@@ -100,12 +100,12 @@ def _docs_of(cell: bytes) -> pa.Table:
 def _send(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 16
-        ids, sizes, keys, place, sets, seen, held = [], [], [], [], [], {}, 0
+        ids, numbers, sizes, keys, place, sets, seen, held = [], [], [], [], [], [], {}, 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             docs = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(place, pa.int64())],
-                names=["doc_id", "n", "set_key", "place"],
+                [pa.array(x, kind) for x, kind in ((ids, pa.int64()), (sizes, pa.int64()), (keys, pa.binary()), (numbers, pa.int64()), (place, pa.int64()))],
+                names=["doc_id", "n", "set_key", "row", "place"],
             )
             yield pa.RecordBatch.from_pylist([{"bucket": block % buckets, "block": block, "docs": _ipc(docs)}], schema=_SENT)
             hashes = np.concatenate([*sets, np.zeros(0, U)])
@@ -119,20 +119,21 @@ def _send(width: int, buckets: int):
                 yield pa.RecordBatch.from_pylist([row], schema=_SENT)
 
         for b in batches:
-            for doc_id, own in zip(b["doc_id"].to_pylist(), sets_of(b["text"], width), strict=True):
+            for doc_id, row, own in zip(b["doc_id"].to_pylist(), b["row"].to_pylist(), sets_of(b["text"], width), strict=True):
                 key = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
                 if key is not None and key not in seen:
                     seen[key] = len(sets)
                     sets.append(own)
                     held += len(own)
                 ids.append(doc_id)
+                numbers.append((block << 24) + len(numbers) if row is None else row)
                 sizes.append(len(own))
                 keys.append(key)
                 place.append(seen.get(key))
             if held >= BLOCK_HASHES or len(ids) >= BLOCK_HASHES // 20:
                 yield from rows()
                 block += 1
-                ids, sizes, keys, place, sets, seen, held = [], [], [], [], [], {}, 0
+                ids, numbers, sizes, keys, place, sets, seen, held = [], [], [], [], [], [], {}, 0
         if ids:
             yield from rows()
 
@@ -205,10 +206,9 @@ def _candidates(similar: int):
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for block, cell in zip(b["block"].to_pylist(), b["docs"].to_pylist(), strict=True):
+        for cell in b["docs"].to_pylist():
             docs = _docs_of(cell)
-            row = pa.array((block << 24) + np.arange(len(docs)))
-            yield pa.RecordBatch.from_arrays([*(docs[c].combine_chunks() for c in ("doc_id", "n", "set_key")), row], schema=_DOCS)
+            yield pa.RecordBatch.from_arrays([docs[c].combine_chunks() for c in ("doc_id", "n", "set_key", "row")], schema=_DOCS)
 
 
 def suffix_allows(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) -> bool:
@@ -335,16 +335,25 @@ def _links(sets: DataFrame, similar: int) -> DataFrame:
 
 
 def find_similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similar: int = SIMILAR
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_col: str | None = None,
+    width: int = WIDTH,
+    similar: int = SIMILAR,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, first (the row stands for its component)."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, first (the row stands for its component), row.
+
+    ``row_col`` names a column with a number of each row, if there is one.
+    """
     spark = docs.sparkSession
     store.small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    number = F.col(row_col) if row_col else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), number.cast("long").alias("row"))
     sent = rows.mapInArrow(_send(width, buckets), _DDL["sent"])
     back = store.written(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_count, _DDL["back"]), "frequencies")
-    every = store.written(back.where(F.col("docs").isNotNull()).select("block", "docs").mapInArrow(_documents, _DDL["docs"]), "documents")
+    every = store.written(back.where(F.col("docs").isNotNull()).select("docs").mapInArrow(_documents, _DDL["docs"]), "documents")
     sets = store.written(back.groupBy("block").applyInArrow(_candidates(similar), _DDL["sets"]), "sets")
     once = sets.groupBy("set_key").agg(F.min("e").alias("e"))
     sets = store.written(sets.join(once.select("e"), "e", "left_semi"), "candidates")
@@ -362,6 +371,13 @@ def find_similar(
     )
 
 
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one of the smallest id, with all its columns."""
+    numbered = store.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    gone = find_similar(numbered, id_col, text_col, "_row").where(~F.col("first"))
+    return numbered.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_similar(store.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 

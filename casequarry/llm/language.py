@@ -41,6 +41,8 @@ STEPS = 25
 REMEMBERED = 300_000
 CHUNK = 64
 UNKNOWN = "und"
+#: A text is kept by ``keep_known`` if one language holds this share of its words.
+LEAST_SHARE = 0.4
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -226,36 +228,47 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
     return fit(sorted((r.lang, r.text) for r in rows))
 
 
+class _Labels:
+    """Labels the texts of a task, batch by batch; remembers the scores of words."""
+
+    def __init__(self, field: Field | None):
+        self.field, self.place, self.table = field, {}, np.zeros((0, len(field.langs) if field else 0))
+
+    def of(self, column: pa.Array) -> tuple[list[str], list[float], list[list[float] | None]]:
+        """Language, score and shares by language of each text."""
+        field = self.field
+        texts = [words_of(t or "") for t in column.to_pylist()]
+        lengths = np.array([len(w) for w in texts], np.int64)
+        lang, score, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
+        some = np.flatnonzero(lengths) if field else np.zeros(0, np.int64)
+        if len(some):
+            new = list({w for words in texts for w in words if w not in self.place})
+            if len(self.place) + len(new) > REMEMBERED:
+                self.place, self.table = {}, self.table[:0]
+                new = list({w for words in texts for w in words})
+            place = self.place
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, field.scores(new)]) if new else self.table
+            each = self.table[np.fromiter((place[w] for words in texts for w in words), np.int64, int(lengths.sum()))]
+            post, _ = posteriors(each, field.moves, lengths[some])
+            at = np.cumsum(lengths[some]) - lengths[some]
+            part = np.add.reduceat(post, at, axis=0) / lengths[some][:, None]
+            for k, own in zip(some, part, strict=True):
+                best = int(own.argmax())
+                lang[k], score[k], shares[k] = field.langs[best], float(min(1.0, own[best])), own.tolist()
+        return lang, score, shares
+
+
 def label(docs: DataFrame, field: Field | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ``shares`` (of the words, by language) of every row."""
-    spark = docs.sparkSession
-    store.small_batches(spark)
+    store.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("shares", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        table = np.zeros((0, len(field.langs) if field else 0))
+        labels = _Labels(field)
         for b in batches:
-            texts = [words_of(t or "") for t in b["text"].to_pylist()]
-            lengths = np.array([len(w) for w in texts], np.int64)
-            lang, score, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            some = np.flatnonzero(lengths) if field else np.zeros(0, np.int64)
-            if len(some):
-                new = list({w for words in texts for w in words if w not in place})
-                if len(place) + len(new) > REMEMBERED:
-                    place, table = {}, table[:0]
-                    new = list({w for words in texts for w in words})
-                place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                table = np.concatenate([table, field.scores(new)]) if new else table
-                each = table[np.fromiter((place[w] for words in texts for w in words), np.int64, int(lengths.sum()))]
-                post, _ = posteriors(each, field.moves, lengths[some])
-                at = np.cumsum(lengths[some]) - lengths[some]
-                part = np.add.reduceat(post, at, axis=0) / lengths[some][:, None]
-                for k, own in zip(some, part, strict=True):
-                    best = int(own.argmax())
-                    lang[k], score[k], shares[k] = field.langs[best], float(min(1.0, own[best])), own.tolist()
-            cells = [b["doc_id"], b["held_out"], pa.array(lang), pa.array(score, pa.float64()), pa.array(shares, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cells, schema=schema)
+            found = [pa.array(x, f.type) for x, f in zip(labels.of(b["text"]), list(schema)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], *found], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
     found = rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, shares array<double>")
@@ -263,6 +276,24 @@ def label(docs: DataFrame, field: Field | None) -> DataFrame:
     return found.withColumn("shares", F.map_from_arrays(langs, F.col("shares")))
 
 
+def keep_known(docs: DataFrame, field: Field | None, least: float = LEAST_SHARE) -> DataFrame:
+    """The rows whose text is in one of the field's languages, with all their columns.
+
+    Texts without a letter go, and those of whose words no language holds ``least``. Without a field every row stays.
+    """
+    store.small_batches(docs.sparkSession)
+    if field is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = _Labels(field)
+        for b in batches:
+            lang, score, _ = labels.of(b["text"])
+            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.table(spark, sf_dir, "documents")
     return label(docs, learn(docs)).select("doc_id", "held_out", "lang_pred", "score")

@@ -1,10 +1,55 @@
-"""From raw documents to packed training sequences: STAGES in order, each over all that the one before kept."""
+"""From raw documents to packed training sequences: STAGES in order, each over all that the one before kept.
+
+Language identification drops texts without words of a known language; exact and near deduplication keep the document
+with the smallest id of each group; decontamination drops documents with a benchmark passage; packing cuts what is left
+into sequences. Every stage but the last returns the columns of its input.
+
+Cases are those of the operators: null and empty texts go in the first stage, repeated rows in the second; a null
+``doc_id`` is kept like any other; where nothing is labelled the first stage keeps every row; an empty table gives no
+rows; columns beside ``doc_id``, ``text`` and ``lang`` are passed on unread.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from casequarry.llm import decontaminate, exact_dedup, jaccard_join, language, packing, store
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_known(docs, language.learn(docs))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.drop_similar(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_matches(docs, store.table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language identification", known_language),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: Language identification is beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = store.written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
