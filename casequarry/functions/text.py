@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -27,8 +28,8 @@ def strip(c: Column) -> Column:
 
 
 def unicode_space(pattern: str) -> str:
-    r"""Make ``\s`` in a pattern cover Unicode white space, as the patterns are written for."""
-    return f"(?U){pattern}" if r"\s" in pattern else pattern
+    r"""Make ``\s``, ``\w``, ``\d`` and ``\b`` in a pattern cover Unicode, as the patterns are written for."""
+    return f"(?U){pattern}" if re.search(r"\\[sSwWdDbB]", pattern) else pattern
 
 
 def is_safe_key(c: Column) -> Column:

@@ -69,7 +69,8 @@ def classify(
     prompts = input_verdict(classification_prompts(texts, cfg), "prompt", cfg)
     # Only the prompt's presence is needed after the call, not the prompt.
     prompts = prompts.withColumn("_typed", F.col("prompt").isNotNull())
-    made = ask(prompts.select(*keep, "prompt", "in_passed", "in_reason", "_typed"))
+    country = [c for c in ("country_code",) if c in prompts.columns]
+    made = ask(prompts.select(*keep, "prompt", "in_passed", "in_reason", "_typed", *country))
     never = (
         F.when(~F.col("_typed"), fv.MSG_NO_TYPES)
         .when(~F.col("in_passed"), F.concat(F.lit("Blocked by guardrails: "), "in_reason"))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from casequarry import fixed_values as fv
 from casequarry.functions.values import empty_record
+from casequarry.scale import lenient, mixes_types
 from casequarry.sources.config import REQUIREMENT_SCHEMA, ReviewConfig
 
 log = logging.getLogger(__name__)
@@ -64,19 +65,23 @@ def requirement_applies(anchors: DataFrame, requirements: list[dict]) -> DataFra
     Conditions are SQL expressions over the anchor columns. One that cannot be evaluated, or is null,
     counts as true.
     """
-    cells = []
+    cells, work = [], anchors
     for r in requirements:
         if not r.get("condition"):
             continue
         try:
-            anchors.select(F.expr(r["condition"]).cast("boolean"))
+            mixed = mixes_types(anchors, r["condition"])
         except AnalysisException as exc:
             log.warning("condition of %s cannot be evaluated, taken as true: %s", r["category"], exc)
             continue
-        met = F.coalesce(F.expr(r["condition"]).cast("boolean"), F.lit(True))
-        cells.append(F.when(~met, r["category"]))
+        if mixed:
+            log.warning("condition of %s compares a text with another type, taken as true", r["category"])
+            continue
+        with lenient(work.sparkSession):  # null where it cannot be evaluated for a case
+            work = work.withColumn(f"_met{len(cells)}", F.coalesce(F.expr(r["condition"]).cast("boolean"), F.lit(True)))
+        cells.append(F.when(~F.col(f"_met{len(cells)}"), r["category"]))
     skipped = F.filter(F.array(*cells).cast("array<string>"), lambda c: c.isNotNull())
-    return anchors.select("case_id", F.explode(skipped).alias("category"))
+    return work.select("case_id", F.explode(skipped).alias("category"))
 
 
 def requirement_issues(

@@ -7,6 +7,7 @@ within a case.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from casequarry.functions.values import field_of, record_json, text_to_float, to
 from casequarry.operators.guards import input_verdict, output_verdict
 from casequarry.operators.prompts import condition_prompts
 from casequarry.scale import bounded_text, config_table, settle
-from casequarry.sources.config import CONDITION_SCHEMA, DOC_MARK, FIELD_MARK, ReviewConfig
+from casequarry.sources.config import CONDITION_SCHEMA, DOC_MARK, FIELD_MARK, FORMAT_MARKS, ReviewConfig, format_mark
 
 RESULT_COLUMNS = [
     "case_id", "condition_seq", "type_pos", "doc_seq", "doc_id", "condition_name", "status", "severity",
@@ -121,6 +122,18 @@ def looked_up(targets: DataFrame, cfg: ReviewConfig) -> Column:
     return F.when(truthy(extracted), extracted).otherwise(attribute)
 
 
+def _formats(message: str | None) -> list[str]:
+    """Number formats that a message asks for."""
+    return re.findall(f"{FORMAT_MARKS[0]}(.*?){FORMAT_MARKS[1]}", message or "")
+
+
+def _formatted(spec: str, v: Column) -> Column:
+    """A number in a message's format; null for a value that is no number, or no whole one where one is asked for."""
+    if spec.endswith("d"):
+        return F.when(v["kind"].isin("int", "bool"), F.format_string(f"%{spec}", to_float(v).cast("bigint")))
+    return F.when(v["kind"].isin("int", "float", "bool"), F.format_string(f"%{spec}", to_float(v)))
+
+
 def check_deterministic(targets: DataFrame, cfg: ReviewConfig, as_of: dt.date) -> DataFrame:
     """One result row per document and condition; ``_months_error`` marks conditions that cannot be run."""
     day = F.lit(as_of)
@@ -140,8 +153,12 @@ def check_deterministic(targets: DataFrame, cfg: ReviewConfig, as_of: dt.date) -
         F.replace("missing_message", F.lit(DOC_MARK), F.col("doc_id")),
         F.concat(F.lit("Field '"), "field", F.lit("' not found in "), "doc_id"),
     )
+    own = F.replace("value_message", F.lit(FIELD_MARK), F.col("_v.text"))
+    for spec in sorted({m for c in cfg.conditions for m in _formats(c["value_message"])}):
+        marked = F.contains(own, F.lit(format_mark(spec)))
+        own = F.when(marked, F.replace(own, F.lit(format_mark(spec)), _formatted(spec, F.col("_v")))).otherwise(own)
     filled = F.coalesce(
-        F.replace("value_message", F.lit(FIELD_MARK), F.col("_v.text")),
+        own,
         F.when(F.col("analyst_message") != "", F.col("analyst_message")),
         reason,
     )
@@ -230,7 +247,7 @@ def gather_sources(docs: DataFrame, cfg: ReviewConfig, max_chars: int) -> DataFr
         record_json(F.col("extracted_data"), ("doc_id", F.col("doc_id"))).alias("line"),
     )
     per_type = bounded_text(
-        lines, ["case_id", "condition_name", "source_pos", "doc_type"], ["doc_seq"], "line", "doc_seq", max_chars
+        lines, ["case_id", "condition_name", "source_pos", "doc_type"], ["doc_seq"], "line", max_chars
     )
     title = F.concat(F.lit("### "), "doc_type", F.lit("\n"))
     per_type = per_type.withColumn("_block", F.concat(title, "text")).withColumn(
@@ -263,7 +280,8 @@ def model_condition_prompts(cases: DataFrame, docs: DataFrame, cfg: ReviewConfig
     limit = cfg.guards["input_guards"].get("max_prompt_length", 32000)
     rows = [c for c in cfg.conditions if c["check_type"] == WITH_MODEL]
     table = config_table(cases.sparkSession, rows, CONDITION_SCHEMA)
-    due = cases.select("case_id", "country", "process_type").join(table, ["country", "process_type"])
+    known = cases.select("case_id", "country", "process_type").join(cfg.country_table(cases.sparkSession), "country", "left")
+    due = known.join(table, ["country", "process_type"])
     gathered = gather_sources(docs, cfg, limit)
     return condition_prompts(due.join(gathered, ["case_id", "condition_name"], "left"), limit)
 
@@ -321,7 +339,7 @@ def check_with_model(
     """One result row per case and model condition; ``ask`` adds ``raw_response, error`` to prompts."""
     prompts = model_condition_prompts(cases, docs, cfg)
     screened = input_verdict(prompts, "prompt", cfg, prompt_length=F.col("prompt_chars"))
-    columns = ["case_id", "condition_seq", "condition_name", "severity", "analyst_message", "sources_used"]
+    columns = ["case_id", "country_code", "condition_seq", "condition_name", "severity", "analyst_message", "sources_used"]
     made = ask(screened.select(*columns, "prompt", "in_passed", "in_reason"))
     never = (
         F.when(F.col("sources_used").isNull(), fv.MSG_NO_SOURCES)

@@ -11,7 +11,7 @@ from casequarry import fixed_values as fv
 from casequarry.functions.jsonobj import parse_object_text
 from casequarry.functions.values import field_of, record_json, to_float
 from casequarry.operators.prompts import contradiction_prompts, document_lines, entity_prompts, semantic_prompts
-from casequarry.scale import LIST_PAGE, lookup, page_of, settle
+from casequarry.scale import lookup, settle
 
 # Longest prompt a model takes; a longer one fails at the model and is recorded as such without being sent.
 MODEL_INPUT_CHARS = 400_000
@@ -164,40 +164,25 @@ def documents_by_category(docs: DataFrame, category: str) -> DataFrame:
     return docs.where(F.col("category") == category)
 
 
-def extracted_data(docs: DataFrame, page_rows: int = LIST_PAGE) -> DataFrame:
-    """Extracted records of a case, ``type.doc_id: {..}`` lines in order, in pages of bounded size."""
-    lines = document_lines(docs).withColumn("page", page_of(F.col("doc_seq"), page_rows))
-    cells = F.array_sort(F.collect_list(F.struct("doc_seq", "line")))
-    return lines.groupBy("case_id", "page").agg(F.transform(cells, lambda c: c["line"]).alias("records"))
+def extracted_data(docs: DataFrame) -> DataFrame:
+    """Extracted records of the cases, one ``type.doc_id: {..}`` line per document; ``doc_seq`` gives the order."""
+    return document_lines(docs)
 
 
-def merged_extraction(docs: DataFrame, page_rows: int = LIST_PAGE) -> DataFrame:
-    """Data of a case's documents of one type: the record itself when there is one document, else a list.
+def merged_extraction(docs: DataFrame) -> DataFrame:
+    """Data of a case's documents of one type: (case_id, doc_type, doc_seq, doc_id, doc_count, record).
 
-    Long lists come in pages of bounded size.
+    The only document of its type has its record as it is; several are listed with id and period, those without data
+    left out. ``doc_seq`` gives the order of the list.
     """
-    listed = record_json(F.col("extracted_data"), ("doc_id", F.col("doc_id")), ("period", F.col("document_period")))
-    rows = docs.select(
-        "case_id",
-        "doc_type",
-        "doc_seq",
-        page_of(F.col("doc_seq"), page_rows).alias("page"),
-        "extracted_data",
-        F.when(F.size("extracted_data") > 0, listed).alias("_item"),
-    )
     counts = docs.groupBy("case_id", "doc_type").agg(F.count(F.lit(1)).alias("n"))
-    cells = F.array_sort(F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("doc_seq", "_item"))))
-    pages = rows.groupBy("case_id", "doc_type", "page").agg(
-        cells.alias("_cells"), F.any_value("extracted_data").alias("_one")
-    )
-    listed_text = F.concat(
-        F.lit('{"documents": ['), F.array_join(F.transform("_cells", lambda c: c["_item"]), ", "), F.lit("]}")
-    )
     totals = counts.select("case_id", "doc_type", F.col("n").alias("doc_count"))
-    return lookup(pages, totals, ["case_id", "doc_type"], counts=counts).select(
-        "case_id",
-        "doc_type",
-        "page",
-        "doc_count",
-        F.when(F.col("doc_count") == 1, record_json(F.col("_one"))).otherwise(listed_text).alias("merged"),
+    rows = lookup(
+        docs.select("case_id", "doc_type", "doc_seq", "doc_id", "document_period", "extracted_data"),
+        totals,
+        ["case_id", "doc_type"],
+        counts=counts,
     )
+    listed = record_json(F.col("extracted_data"), ("doc_id", F.col("doc_id")), ("period", F.col("document_period")))
+    record = F.when(F.col("doc_count") == 1, record_json(F.col("extracted_data"))).when(F.size("extracted_data") > 0, listed)
+    return rows.select("case_id", "doc_type", "doc_seq", "doc_id", "doc_count", record.alias("record")).where("record IS NOT NULL")

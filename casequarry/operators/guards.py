@@ -6,6 +6,8 @@ pruned from the plan together with its cost.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,17 @@ def _flags(*cells: Column) -> Column:
 
 
 def _java_replacement(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("$", "\\$")
+    """A replacement as the engine writes it: ``\\1`` and ``\\g<1>`` name groups, everything else stands for itself."""
+    parts = re.split(r"\\(?:g<(\d+)>|(\d\d?))", text)
+    out = [parts[0].replace("\\", "\\\\").replace("$", "\\$")]
+    for k in range(1, len(parts), 3):
+        out.append(f"${parts[k] or parts[k + 1]}" + parts[k + 2].replace("\\", "\\\\").replace("$", "\\$"))
+    return "".join(out)
+
+
+def _country_column(df: DataFrame, given: str | None) -> str | None:
+    """The column of country codes: the one named, else ``country_code`` where there is one."""
+    return given or ("country_code" if "country_code" in df.columns else None)
 
 
 def redact(
@@ -34,9 +46,10 @@ def redact(
     country's patterns apply where ``country_code_col`` holds its code.
     """
     current, counts, out = text_col, [], df
+    country_code_col = _country_column(df, country_code_col)
+    if country_code_col is None and any(p["scope"] != "global" for p in patterns):
+        raise ValueError("patterns of a country need the documents' country_code")
     for i, p in enumerate(patterns):
-        if p["scope"] != "global" and country_code_col is None:
-            continue
         regex = tx.unicode_space(p["pattern"])
         applies = F.lit(True) if p["scope"] == "global" else F.coalesce(F.col(country_code_col) == p["scope"], F.lit(False))
         n, nxt = f"_{prefix}_n{i}", f"_{prefix}_t{i}"

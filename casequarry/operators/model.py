@@ -7,6 +7,7 @@ folder, so that a lost executor re-reads replies instead of asking again.
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -26,6 +27,8 @@ from casequarry.operators.stepdata import flatten_last_wins, flatten_prefixed
 from casequarry.scale import cut_lineage, settle
 from casequarry.sources.config import ReviewConfig
 
+log = logging.getLogger(__name__)
+
 # Gets a pandas frame with prompt, temperature and backend_key; returns one reply text per row, in order.
 ModelFunction = Callable[[pd.DataFrame], Sequence[str]]
 _REPLY_FIELDS = [
@@ -45,20 +48,25 @@ def call_model(
 ) -> DataFrame:
     """Adds ``raw_response, error, duration_ms`` to prompts.
 
-    Rows without a prompt, or with a false ``in_passed``, pass by without being asked. Prompts are asked
+    Columns ``temperature`` and ``backend_key`` of the prompts go to the model with each row; the arguments stand in
+    where they are missing. Rows without a prompt, or with a false ``in_passed``, pass by without being asked. Prompts are asked
     where they are; ``partitions`` shuffles them by their keys into that many tasks first, for models that
-    want more (or fewer) callers than the input has partitions. When the function raises for a batch, its
-    rows are asked one by one and only failing rows carry an error.
+    want more (or fewer) callers than the input has partitions. When the function raises for a batch, or
+    returns another number of replies, its halves are asked until only failing rows carry an error.
     """
 
     def ask(batch: pd.DataFrame) -> tuple[list, list]:
         try:
-            return list(model_fn(batch)), [None] * len(batch)
+            replies = list(model_fn(batch))
+            if len(replies) != len(batch):
+                raise ValueError(f"{len(replies)} replies to {len(batch)} prompts")
+            return replies, [None] * len(batch)
         except Exception as exc:  # noqa: BLE001 - any failure of the model is data here
             if len(batch) == 1:
                 return [None], [str(exc)]
-        parts = [ask(batch.iloc[i : i + 1]) for i in range(len(batch))]
-        return [p[0][0] for p in parts], [p[1][0] for p in parts]
+        half = len(batch) // 2
+        (front, bad), (back, worse) = ask(batch.iloc[:half]), ask(batch.iloc[half:])
+        return front + back, bad + worse
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,8 +76,9 @@ def call_model(
                 due = [d and p for d, p in zip(due, batch.column("in_passed").to_pylist(), strict=True)]
             places = [i for i, d in enumerate(due) if d]
             frame = pd.DataFrame({"prompt": batch.column("prompt").take(pa.array(places, pa.int64())).to_pylist()})
-            frame["temperature"] = temperature
-            frame["backend_key"] = backend_key
+            for name, given in (("temperature", temperature), ("backend_key", backend_key)):
+                own = batch.column(name).take(pa.array(places, pa.int64())).to_pylist() if name in batch.schema.names else []
+                frame[name] = [given if v is None else v for v in own] if own else given
             replies, errors = [None] * len(due), [None] * len(due)
             for i, reply, error in zip(places, *(ask(frame) if places else ([], [])), strict=True):
                 replies[i], errors[i] = reply, error
@@ -109,7 +118,8 @@ def judge_attempts(
 ) -> DataFrame:
     """Read each reply: adds ``record, problem, success, trace_status`` and the output guard's columns.
 
-    ``problem`` is empty on success; a record that lacks required keys is kept beside its problem.
+    A reply is a success when there was no error and its record lacks no required key; ``problem`` only says so for
+    people, and may be empty for a failure without a text. A record that lacks keys is kept beside its problem.
     """
     screened = output_verdict(attempts, "raw_response", cfg)
     parsed = F.when(F.col("error").isNull() & F.col("reply_text").isNotNull(), parse_object(F.col("reply_text"), strict))
@@ -124,9 +134,10 @@ def judge_attempts(
         .when(F.size("_missing") > 0, F.concat(F.lit("Schema validation errors: ["), quoted, F.lit("]")))
         .otherwise("")
     )
+    success = F.col("error").isNull() & F.col("record").isNotNull() & (F.size("_missing") == 0)
     return (
         read.withColumn("problem", problem)
-        .withColumn("success", F.col("problem") == "")
+        .withColumn("success", success)
         .withColumn(
             "trace_status",
             F.when(F.col("success"), fv.TRACE_SUCCESS)
@@ -215,7 +226,8 @@ def run_step(
         screened = input_verdict(
             pending.withColumn("_original", F.col("prompt")).withColumn("prompt", sent), "prompt", cfg, entropy=False
         ).withColumn("attempt", F.lit(attempt))
-        made = ask(screened.drop("in_text", "in_pii_count", "_error", "_reply"))
+        sent_as = {"temperature": F.lit(float(step.get("temperature") or 0.0)), "backend_key": F.lit(step.get("backend_key") or "default")}
+        made = ask(screened.drop("in_text", "in_pii_count", "_error", "_reply").withColumns(sent_as))
         if "duration_ms" not in made.columns:
             made = made.withColumn("duration_ms", F.lit(None).cast("double"))
         blocked, failed, keep = ~F.col("in_passed"), F.col("error").isNotNull(), F.lit(keep_prompts)
@@ -281,9 +293,22 @@ def run_steps(
     """Run the steps in order; returns (documents with status and extracted_data, step results, traces).
 
     ``docs`` are eligible documents (key, country, doc_type, text_content). A step that fails ends its
-    document, unless the step is not retried and the model itself did not fail: then the document goes on.
+    document, unless the step is not retried and the model itself did not fail: then the document goes on. Without
+    steps, as of a pipeline that does not exist, documents keep their status and have no data.
     """
-    alive = docs.select(key, "country", "doc_type", "text_content")
+    if not steps:
+        spark = docs.sparkSession
+        log.warning("no steps: extraction is skipped")
+        none = T.StructType.fromDDL(f"step_name string, step_pos int, outcome string, attempts int, record {RECORD}, problem string")
+        traces = T.StructType.fromDDL(
+            "step_name string, step_pos int, attempt int, prompt_sent string, raw_response string, "
+            f"record {RECORD}, problem string, success boolean, blocked boolean, model_failed boolean, "
+            "guardrail_flags array<string>, duration_ms double, trace_status string, validation_errors array<string>"
+        )
+        keyed = lambda s: T.StructType([docs.schema[key], *s.fields])
+        kept = docs.select(key, F.col("status") if "status" in docs.columns else F.lit(fv.DOC_PENDING).alias("status"), empty_record().alias("extracted_data"))
+        return kept, spark.createDataFrame([], keyed(none)), spark.createDataFrame([], keyed(traces))
+    alive = docs.select(key, "country", "doc_type", "text_content", *[c for c in ("country_code",) if c in docs.columns])
     all_results: list[DataFrame] = []
     all_traces: list[DataFrame] = []
     for step in steps:
@@ -295,6 +320,7 @@ def run_steps(
         inject = "context" if so_far is not None and step["inject_previous_results"] else None
         prompts = extraction_prompts(ready, cfg, previous_col=inject)
         columns = [key, "prompt", *(["context"] if so_far is not None else [])]
+        columns += [c for c in ("country_code",) if c in prompts.columns]
         results, traces = run_step(prompts.select(*columns), step, ask, cfg, [key], keep_prompts)
         all_results.append(results)
         all_traces.append(traces)

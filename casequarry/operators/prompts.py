@@ -219,8 +219,8 @@ def summary_prompts(cases: DataFrame, inventory: DataFrame, results: DataFrame,
             F.lit("- ["), F.upper("status"), F.lit("] "), "condition_name", F.lit(": "), "analyst_message"
         ).alias("line"),
     )
-    docs = bounded_text(doc_lines, ["case_id"], ["seq"], "line", "seq", max_chars)
-    checks = bounded_text(result_lines, ["case_id"], ["condition_seq", "type_pos", "seq"], "line", "seq", max_chars)
+    docs = bounded_text(doc_lines, ["case_id"], ["seq"], "line", max_chars)
+    checks = bounded_text(result_lines, ["case_id"], ["condition_seq", "type_pos", "seq"], "line", max_chars)
     docs = docs.select("case_id", F.col("line_count").alias("_dn"), F.col("chars").alias("_dc"), F.col("text").alias("_dt"))
     checks = checks.select("case_id", F.col("line_count").alias("_cn"), F.col("chars").alias("_cc"), F.col("text").alias("_ct"))
     head = F.concat(
@@ -267,7 +267,7 @@ def cross_validation_prompts(cases: DataFrame, docs: DataFrame, rules: list[dict
     rule_lines = "\n".join(
         f"- {r['name']}: {r['description']} [fields: {', '.join(r['fields'])}; severity: {r['severity']}]" for r in rules
     )
-    lines = bounded_text(document_lines(docs), ["case_id"], ["doc_seq"], "line", "doc_seq", max_chars)
+    lines = bounded_text(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
     head = F.concat(F.lit("Validate the documents of a "), F.col("country"), F.lit(" case.\n\nDocuments:\n"))
     tail = f"\n\nRules:\n{rule_lines}{VALIDATE_TAIL}"
     chars = F.length(head) + F.col("chars") + len(tail)
@@ -285,7 +285,7 @@ def semantic_prompts(values: DataFrame, max_chars: int) -> DataFrame:
     """
     line = F.concat(F.lit("- "), "source", F.lit(": "), "value")
     lines = values.where(F.col("value").isNotNull()).withColumn("line", line)
-    joined = bounded_text(lines, ["case_id", "field"], ["doc_seq", "source"], "line", "doc_seq", max_chars)
+    joined = bounded_text(lines, ["case_id", "field"], ["doc_seq", "source"], "line", max_chars)
     head = F.concat(F.lit("Do these values of the field "), "field", F.lit(" mean the same?\n"))
     chars = F.length(head) + F.col("chars") + len(SEMANTIC_TAIL)
     return joined.withColumn("prompt_chars", chars).select(
@@ -295,7 +295,7 @@ def semantic_prompts(values: DataFrame, max_chars: int) -> DataFrame:
 
 def contradiction_prompts(docs: DataFrame, max_chars: int, focus: list[str] | None = None) -> DataFrame:
     """All extracted data of a case; (case_id, prompt_chars, prompt)."""
-    lines = bounded_text(document_lines(docs), ["case_id"], ["doc_seq"], "line", "doc_seq", max_chars)
+    lines = bounded_text(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
     head = "Find contradictions between the documents of a credit case.\n\nDocuments:\n"
     tail = (f"\n\nFocus on: {', '.join(focus)}" if focus else "") + CONTRADICTION_TAIL
     return lines.withColumn("prompt_chars", F.col("chars") + len(head) + len(tail)).select(

@@ -1,21 +1,21 @@
 """The review report of a case.
 
-Per-case lists come in pages: a page holds the documents at positions ``[page * page_rows, ...)`` of the
-case and their results, so no row and no task ever holds more than one page. A case with up to
-``page_rows`` documents has exactly one page, number 0. Case-level figures are aggregated separately and
-are the same on every page.
+A report is one row of figures, status and narrative per case. Its lists (documents, condition results, flagged
+issues, recommendations, extracted data) are tables of their own with a row per item, the case's key and the columns
+that order them, so no row and no task ever holds a case's list, however long it is.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
-from casequarry.scale import LIST_PAGE, lookup, page_of
+from casequarry.functions.values import record_json
+from casequarry.scale import bounded_text, with_places
 
 
 def _stock(docs: DataFrame, classifications: DataFrame) -> DataFrame:
@@ -50,11 +50,19 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+ORDER = ["condition_seq", "type_pos", "doc_seq"]
+
+
 def flagged_issues(results: DataFrame) -> DataFrame:
     """Results that did not pass, with their rank; order by severity_rank, condition_seq, type_pos, doc_seq."""
     return results.where(F.col("status") != "pass").withColumn("severity_rank", severity_rank(F.col("severity")))
 
 
+def placed_issues(results: DataFrame) -> DataFrame:
+    """Flagged issues with their ``place`` in the case, from 1 on."""
+    return with_places(flagged_issues(results), ["case_id"], ["severity_rank", *ORDER])
+
+
 def attention_flags(cases: DataFrame, results: DataFrame) -> DataFrame:
     """blocking, needs_review and requires_analyst_attention of every case, also of those without results."""
     flags = results.groupBy("case_id").agg(
@@ -74,122 +82,91 @@ def final_status(attention: Column) -> Column:
     return F.when(attention, fv.CASE_NEEDS_ACTION).otherwise(fv.CASE_READY)
 
 
+def _blocking() -> Column:
+    return (F.col("status") == "fail") & (F.col("severity") == "error")
+
+
+_COUNTS = ("total", "pass", "fail", "needs_review", "n_flagged", "n_blocking")
+
+
 def result_counts(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """Figures over the results of every case, by one partial aggregation."""
     status = F.col("status")
     counts = results.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("total"),
         *[F.count(F.when(status == s, 1)).alias(s) for s in ("pass", "fail", "needs_review")],
+        F.count(F.when(status != "pass", 1)).alias("n_flagged"),
+        F.count(F.when(_blocking(), 1)).alias("n_blocking"),
     )
-    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "pass", "fail", "needs_review")]
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in _COUNTS]
     return cases.select("case_id").join(counts, "case_id", "left").select("case_id", *filled)
 
 
-def fallback_narrative(cases: DataFrame, results: DataFrame) -> DataFrame:
-    """The sentence a report carries when the model wrote none."""
-    text = F.format_string(fv.MSG_FALLBACK, "total", "pass", "fail", "needs_review")
-    return result_counts(cases, results).select("case_id", text.alias("narrative_summary"))
-
+def _fallback() -> Column:
+    return F.format_string(fv.MSG_FALLBACK, "total", "pass", "fail", "needs_review")
 
-_TALLIES = {
-    "total": lambda: F.col("_result"),
-    "pass": lambda: F.col("_status") == "pass",
-    "fail": lambda: F.col("_status") == "fail",
-    "needs_review": lambda: F.col("_status") == "needs_review",
-    "n_blocking": lambda: F.col("_mark") == "blocking",
-    "n_failed": lambda: F.col("_failed"),
-    "n_manual": lambda: F.col("_mark") == "manual",
-}
 
+def fallback_narrative(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """The sentence a report carries when the model wrote none."""
+    return result_counts(cases, results).select("case_id", _fallback().alias("narrative_summary"))
 
-def _items(cases: DataFrame, stock: DataFrame, results: DataFrame, page_rows: int) -> DataFrame:
-    """Documents and results of the cases as one table of page items, with a first item for every case.
 
-    ``_mark, _place, _name`` say which names the recommendations list, and where.
-    """
-    zero = F.lit(0).cast("bigint")
-    page = page_of(F.col("doc_seq"), page_rows).alias("page")
-    seq = F.coalesce("doc_seq", zero).cast("bigint").alias("doc_seq")
-    int_zero = F.lit(0).cast("int")
-    manual = F.coalesce(F.col("detected_type") == fv.NEEDS_MANUAL, F.lit(False))
-    doc_item = F.struct(
-        "doc_seq", "doc_id", "file_name", "doc_type", "category", "status", "upload_timestamp", "classified_as",
-        "classification_confidence", "manually_overridden",
-    )
-    docs = stock.select(
-        "case_id",
-        page,
-        doc_item.alias("doc"),
-        (F.col("status") == fv.DOC_FAILED).alias("_failed"),
-        F.when(manual, "manual").alias("_mark"),
-        F.struct(int_zero.alias("condition_seq"), int_zero.alias("type_pos"), seq).alias("_place"),
-        F.col("doc_id").alias("_name"),
+def _document_counts(docs: DataFrame, classifications: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = docs.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count(F.when(F.col("status") == fv.DOC_FAILED, 1)).alias("n_failed")
     )
-    place = F.struct(
-        F.col("condition_seq").cast("int").alias("condition_seq"), F.col("type_pos").cast("int").alias("type_pos"), seq
+    manual = classifications.where(F.col("detected_type") == fv.NEEDS_MANUAL).groupBy("case_id")
+    return own, manual.agg(F.count(F.lit(1)).alias("n_manual"))
+
+
+def _figures(cases: DataFrame, docs: DataFrame, classifications: DataFrame, results: DataFrame) -> DataFrame:
+    """All figures of every case."""
+    own, manual = _document_counts(docs, classifications)
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "n_failed", "n_manual")]
+    return (
+        result_counts(cases, results)
+        .join(own, "case_id", "left")
+        .join(manual, "case_id", "left")
+        .select("case_id", *_COUNTS, *zero)
     )
-    order = ["condition_seq", "type_pos", seq]
-    check_item = F.struct(*order, "condition_name", "status", "severity", "analyst_message", "check_type")
-    flag_item = F.struct(
-        severity_rank(F.col("severity")).alias("severity_rank"), *order, "condition_name", "severity", "status",
-        "analyst_message", "sources_used", F.to_json("details").alias("details"),
-    )
-    blocking = (F.col("status") == "fail") & (F.col("severity") == "error")
-    checks = results.select(
-        "case_id",
-        page,
-        check_item.alias("check"),
-        F.when(F.col("status") != "pass", flag_item).alias("flag"),
-        F.lit(True).alias("_result"),
-        F.col("status").alias("_status"),
-        F.when(blocking, "blocking").when(F.col("status") == "needs_review", "review").alias("_mark"),
-        place.alias("_place"),
-        F.col("condition_name").alias("_name"),
-    )
-    head = cases.select("case_id", zero.alias("page"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [docs, checks, head])
-
 
-def _totals(items: DataFrame) -> DataFrame:
-    """Figures of each case, by partial aggregation."""
-    counts = [F.count(F.when(test(), 1)).alias(name) for name, test in _TALLIES.items()]
-    return items.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), *counts)
 
+# What a recommendation is about, in the order of a report's lines.
+ADVICE = ("blocking", "review", "failed_documents", "unclassified", "all_clear")
 
-def _names(kind: str) -> Column:
-    """Names the page lists under one heading, in order."""
-    cells = F.array_sort(F.collect_list(F.when(F.col("_mark") == kind, F.struct("_place", "_name"))))
-    return F.array_join(F.transform(cells, lambda c: c["_name"]), ", ").alias(f"_{kind}")
 
+def recommendations(cases: DataFrame, docs: DataFrame, classifications: DataFrame, results: DataFrame) -> DataFrame:
+    """(case_id, kind, place, name, message): what an analyst should look at, item by item.
 
-def _advice() -> Column:
-    """Up to four lines from a page's names and its case's figures, or the all-clear line."""
-    front = F.col("page") == 0
+    ``blocking`` and ``review`` name conditions, ``unclassified`` documents, in their place; ``failed_documents`` and
+    ``all_clear`` are one row with their message. ``advice_lines`` joins names to the lines of a report.
+    """
+    first = [F.lit(0).alias("condition_seq"), F.lit(0).alias("type_pos")]
+    mark = F.when(_blocking(), "blocking").when(F.col("status") == "needs_review", "review")
+    checks = results.select("case_id", mark.alias("kind"), *ORDER, F.col("condition_name").alias("name")).where("kind IS NOT NULL")
+    manual = classifications.where(F.col("detected_type") == fv.NEEDS_MANUAL).select("case_id", "doc_id")
+    unread = docs.join(manual, ["case_id", "doc_id"]).select("case_id", F.lit("unclassified").alias("kind"), *first, "doc_seq", F.col("doc_id").alias("name"))
+    names = with_places(checks.unionByName(unread), ["case_id", "kind"], ORDER).select("case_id", "kind", "place", "name")
+    counts = _figures(cases, docs, classifications, results)
     clear = F.col("n_blocking") + F.col("needs_review") + F.col("n_failed") + F.col("n_manual") == 0
-    lines = F.array(
-        F.when(F.col("_blocking") != "", F.format_string(fv.MSG_BLOCKING, "_blocking")),
-        F.when(F.col("_review") != "", F.format_string(fv.MSG_REVIEW, "_review")),
-        F.when(front & (F.col("n_failed") > 0), F.format_string(fv.MSG_FAILED_DOCS, "n_failed")),
-        F.when(F.col("_manual") != "", F.format_string(fv.MSG_UNCLASSIFIED, "n_manual", "_manual")),
-        F.when(front & clear, F.lit(fv.MSG_ALL_CLEAR)),
+    said = counts.select(
+        "case_id",
+        F.when(F.col("n_failed") > 0, "failed_documents").when(clear, "all_clear").alias("kind"),
+        F.when(F.col("n_failed") > 0, F.format_string(fv.MSG_FAILED_DOCS, "n_failed")).otherwise(fv.MSG_ALL_CLEAR).alias("message"),
+    ).where("kind IS NOT NULL")
+    return names.unionByName(said, allowMissingColumns=True)
+
+
+def advice_lines(advice: DataFrame, max_chars: int) -> DataFrame:
+    """(case_id, kind, line) for reading: names joined to the line of their kind where that has at most ``max_chars``."""
+    joined = bounded_text(advice.where("name IS NOT NULL"), ["case_id", "kind"], ["place"], "name", max_chars, ", ")
+    line = (
+        F.when(F.col("kind") == "blocking", F.format_string(fv.MSG_BLOCKING, "text"))
+        .when(F.col("kind") == "review", F.format_string(fv.MSG_REVIEW, "text"))
+        .otherwise(F.format_string(fv.MSG_UNCLASSIFIED, "line_count", "text"))
     )
-    return F.filter(lines, lambda x: x.isNotNull()).alias("recommendations")
-
-
-_HEADINGS = ("blocking", "review", "manual")
-
-
-def recommendations(
-    cases: DataFrame, docs: DataFrame, classifications: DataFrame, results: DataFrame, page_rows: int = LIST_PAGE
-) -> DataFrame:
-    """(case_id, page, recommendations): up to four lines, or the all-clear line.
-
-    Counts are those of the case; names are those of the page. Lines without names are on page 0.
-    """
-    items = _items(cases, _stock(docs, classifications), results, page_rows)
-    totals = _totals(items)
-    pages = items.groupBy("case_id", "page").agg(*[_names(k) for k in _HEADINGS])
-    every = lookup(pages, totals.drop("n"), ["case_id"], counts=totals.select("case_id", "n"))
-    return every.select("case_id", "page", _advice())
+    named = joined.select("case_id", "kind", F.when(F.col("text").isNotNull(), line).alias("line"))
+    return named.unionByName(advice.where("name IS NULL").select("case_id", "kind", F.col("message").alias("line")))
 
 
 def build_reports(
@@ -199,51 +176,65 @@ def build_reports(
     results: DataFrame,
     narratives: DataFrame | None = None,
     generated_at: dt.datetime | None = None,
-    page_rows: int = LIST_PAGE,
 ) -> DataFrame:
-    """One row per case and page: inventory, condition results, flagged issues, narrative, recommendations.
-
-    All list items of a page meet in a single grouping by (case, page), which is bounded: a page has at
-    most ``page_rows`` documents and their results. Case-level columns are joined to the pages with hot
-    cases weighted by their items.
-    """
-    items = _items(cases, _stock(docs, classifications), results, page_rows)
-    totals = _totals(items)
-    pages = items.groupBy("case_id", "page").agg(
-        F.array_sort(F.collect_list("doc")).alias("document_inventory"),
-        F.array_sort(F.collect_list("check")).alias("condition_results"),
-        F.array_sort(F.collect_list("flag")).alias("flagged_issues"),
-        *[_names(k) for k in _HEADINGS],
-    )
-    facts = cases.select("case_id", "country", "process_type").join(totals.drop("n"), "case_id")
-    spare = F.format_string(fv.MSG_FALLBACK, "total", "pass", "fail", "needs_review")
+    """One row per case: figures, status, narrative. Documents and results are grouped once each."""
+    facts = cases.select("case_id", "country", "process_type").join(_figures(cases, docs, classifications, results), "case_id")
+    spare = _fallback()
     if narratives is not None:
         facts = facts.join(narratives, "case_id", "left")
         spare = F.coalesce("narrative_summary", spare)
     attention = (F.col("n_blocking") > 0) | (F.col("needs_review") > 0)
-    facts = facts.select(
-        "case_id", "country", "process_type", "n_blocking", "needs_review", "n_failed", "n_manual",
-        final_status(attention).alias("case_status"), attention.alias("requires_analyst_attention"),
-        spare.alias("narrative_summary"),
-    )
-    return lookup(pages, facts, ["case_id"], counts=totals.select("case_id", "n")).select(
+    return facts.select(
         "case_id",
-        "page",
         "country",
         "process_type",
-        "case_status",
-        "requires_analyst_attention",
+        final_status(attention).alias("case_status"),
+        attention.alias("requires_analyst_attention"),
         F.lit(generated_at).cast("timestamp").alias("generated_at"),
-        "document_inventory",
-        "condition_results",
-        "flagged_issues",
-        "narrative_summary",
-        _advice(),
+        spare.alias("narrative_summary"),
+        "n_documents",
+        "n_failed",
+        "n_manual",
+        F.col("total").alias("n_results"),
+        "n_flagged",
+        "n_blocking",
+        F.col("needs_review").alias("n_review"),
     )
 
 
-def process_summary(reports: DataFrame) -> DataFrame:
-    """What processing a case answers: its status and whether an analyst has to look at it."""
-    return reports.where(F.col("page") == 0).select(
-        "case_id", F.col("case_status").alias("status"), "requires_analyst_attention"
+@dataclass
+class ReportTables:
+    """A report's row per case and its lists, a row per item."""
+
+    reports: DataFrame
+    document_inventory: DataFrame
+    extraction_results: DataFrame
+    condition_results: DataFrame
+    flagged_issues: DataFrame
+    recommendations: DataFrame
+
+
+def report_tables(
+    cases: DataFrame,
+    docs: DataFrame,
+    classifications: DataFrame,
+    results: DataFrame,
+    narratives: DataFrame | None = None,
+    generated_at: dt.datetime | None = None,
+) -> ReportTables:
+    """The report and all its lists."""
+    data = docs.where(F.size("extracted_data") > 0)
+    return ReportTables(
+        build_reports(cases, docs, classifications, results, narratives, generated_at),
+        inventory(docs, classifications),
+        data.select("case_id", "doc_seq", "doc_id", "doc_type", record_json(F.col("extracted_data")).alias("record")),
+        results,
+        flagged_issues(results),
+        recommendations(cases, docs, classifications, results),
     )
+
+
+def process_summary(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """What processing a case answers: its status and whether an analyst has to look at it."""
+    flags = attention_flags(cases.select("case_id"), results)
+    return flags.select("case_id", final_status(F.col("requires_analyst_attention")).alias("status"), "requires_analyst_attention")

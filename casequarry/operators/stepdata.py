@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
 from casequarry.functions.text import is_safe_key
+from casequarry.functions.values import empty_record
 from casequarry.operators.prompts import with_schema
 from casequarry.sources.config import ReviewConfig
 
@@ -66,5 +67,5 @@ def extraction_status(eligible: DataFrame, extracted: DataFrame, key: str = "doc
     return eligible.join(got, key, "left").select(
         *rest,
         F.when(F.col("skip_reason").isNotNull(), fv.DOC_SKIPPED).otherwise(F.coalesce("_status", F.lit(fv.DOC_FAILED))).alias("status"),
-        F.col("_data").alias("extracted_data"),
+        F.coalesce("_data", empty_record()).alias("extracted_data"),
     )

@@ -14,7 +14,7 @@ from casequarry.functions.dates import parse_date
 from casequarry.functions.text import unicode_space
 from casequarry.functions.values import field_of, truthy
 from casequarry.operators.prompts import with_schema
-from casequarry.scale import config_table
+from casequarry.scale import config_table, lenient, mixes_types
 from casequarry.sources.config import ReviewConfig
 
 log = logging.getLogger(__name__)
@@ -111,15 +111,20 @@ def triggered_rules(docs: DataFrame, cfg: ReviewConfig, as_of: dt.date | None =
             sql = re.sub(r"\btoday\b", f"DATE '{as_of.isoformat()}'", sql)
         try:
             # Only the rule's own fields are in sight: a name from elsewhere must not resolve.
-            base.select(*[c.alias(n) for n, c in columns.items()]).select(F.expr(sql).cast("boolean"))
+            mixed = mixes_types(base.select(*[c.alias(n) for n, c in columns.items()]), sql)
         except (AnalysisException, ParseException) as exc:
             log.warning("rule %r cannot be evaluated, skipped: %s", rule["condition"], str(exc).splitlines()[0])
             continue
+        if mixed:
+            log.warning("rule %r compares a text with another type, skipped", rule["condition"])
+            continue
         present = mine
         for n in used:
             present = present & field_of(F.col("extracted_data"), n).isNotNull()
         work = work.withColumns(columns)
+        with lenient(work.sparkSession):  # a division by zero skips the rule for its document
+            work = work.withColumn(f"_holds{i}", F.coalesce(F.expr(sql).cast("boolean"), F.lit(False)))
         text = f"{rule['action']} (severity: {rule['severity']})"
-        cells.append(F.when(present & F.coalesce(F.expr(sql).cast("boolean"), F.lit(False)), text))
+        cells.append(F.when(present & F.col(f"_holds{i}"), text))
     triggered = F.filter(F.array(*cells).cast("array<string>"), lambda c: c.isNotNull())
     return work.select(*docs.columns, triggered.alias("triggered"))

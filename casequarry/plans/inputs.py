@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
 from casequarry.functions.values import RECORD, value
-from casequarry.scale import spread_small
 
 AS_OF = dt.date(1998, 6, 30)
 TYPES = ["salary_slip", "bank_statement", "tax_return", "identity_document", "loan_application"]
@@ -27,11 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are worked on for long."""
-    return spread_small(table(spark, sf_dir, name))
-
-
 def _case(selector: Column, cells: list) -> Column:
     out = F.lit(None).cast("string")
     for i, cell in enumerate(cells):
@@ -81,7 +75,7 @@ def _record() -> Column:
 
 
 def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_columns(wide_table(spark, sf_dir, "orders"))
+    return document_columns(table(spark, sf_dir, "orders"))
 
 
 def document_columns(orders: DataFrame) -> DataFrame:
@@ -162,7 +156,7 @@ def spliced_text() -> Column:
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_columns(wide_table(spark, sf_dir, "documents"))
+    return text_columns(table(spark, sf_dir, "documents"))
 
 
 def text_columns(documents: DataFrame) -> DataFrame:
@@ -234,19 +228,19 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         e % 4 < 2, F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "v": '), F.col("user_id").cast("string"), F.lit("}"))
     ).otherwise(F.col("props"))
     reply = (
-        F.when(e % 13 == 0, None)
+        F.when((e % 13 == 0) | (e % 17 == 0), None)
         .when(e % 11 == 0, "[1]")
         .when(e % 7 == 0, F.expr("substring(props, 1, length(props) - 2)"))
         .when(e % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .otherwise(body)
     )
-    return wide_table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.floor(e / 3).cast("bigint").alias("doc_id"),
         F.lit("extract_fields").alias("step_name"),
         F.lit(0).alias("step_pos"),
         (e % 3 + 1).cast("int").alias("attempt"),
         reply.alias("raw_response"),
-        F.when(e % 13 == 0, "timeout").alias("error"),
+        F.when(e % 13 == 0, "timeout").when(e % 17 == 0, "").alias("error"),  # some errors have no text
     )
 
 
@@ -259,7 +253,7 @@ def step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             value(F.regexp_extract("props", r"(\d+)", 1), "int"), value(F.col("user_id").cast("string"), "string")
         ),
     )
-    return wide_table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.floor(e / 3).cast("bigint").alias("doc_id"),
         F.concat(F.lit("s"), (e % 3).cast("string")).alias("step"),
         (e % 3).cast("int").alias("step_pos"),
@@ -272,7 +266,7 @@ def step_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = F.create_map(
         F.lit("temperature"), (e % 10).cast("string"), F.concat(F.lit("k"), (e % 3).cast("string")), F.col("event_type")
     )
-    return wide_table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"),
         e.alias("seq"),
         F.col("event_type").alias("from_step"),

@@ -547,16 +547,14 @@ def selected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_(DOCS, FIELDS, RECORDS) + """
-SELECT case_id, doc_type, count(*) AS doc_count, CASE WHEN count(*) = 1 THEN max(record) ELSE '{"documents": [' || coalesce(string_agg(
-  CASE WHEN members <> '' THEN '{"doc_id": "' || doc_id || '", "period": ' || coalesce('"' || document_period || '"', 'null') || ', ' || members || '}' END, ', ' ORDER BY doc_seq), '') || ']}' END AS merged
-FROM records GROUP BY case_id, doc_type""")
+SELECT * FROM (SELECT case_id, doc_type, doc_id, doc_seq, n AS doc_count, CASE WHEN n = 1 THEN record
+  WHEN members <> '' THEN '{"doc_id": "' || doc_id || '", "period": ' || coalesce('"' || document_period || '"', 'null') || ', ' || members || '}' END AS record
+FROM (SELECT *, count(*) OVER (PARTITION BY case_id, doc_type) AS n FROM records)) WHERE record IS NOT NULL""")
 def merged_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cd.merged_extraction(inputs.case_documents(spark, sf_dir)).drop("page")
+    return cd.merged_extraction(inputs.case_documents(spark, sf_dir))
 
 
 @query(with_(DOCS, FIELDS, RECORDS) + """
-SELECT case_id, string_agg(doc_type || '.' || doc_id || ': ' || record, chr(10) ORDER BY doc_seq) AS records
-FROM records WHERE status = 'extracted' AND members <> '' GROUP BY case_id""")
+SELECT case_id, doc_seq, doc_type || '.' || doc_id || ': ' || record AS line FROM records WHERE status = 'extracted' AND members <> ''""")
 def extracted_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cd.extracted_data(inputs.case_documents(spark, sf_dir))
-    return rows.select("case_id", F.array_join("records", "\n").alias("records"))
+    return cd.extracted_data(inputs.case_documents(spark, sf_dir))

@@ -73,7 +73,7 @@ def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, attempt, sha256('A step failed and has to be corrected.' || chr(10) || 'Step: extract_fields' || chr(10) || chr(10) ||
   'Original prompt:' || chr(10) || 'Extract ' || doc_id || chr(10) || chr(10) || 'Failed answer:' || chr(10) || coalesce(raw, '') ||
   chr(10) || chr(10) || 'Errors:' || chr(10) || '- ' || problem || chr(10) || chr(10) || 'Context:' || chr(10) || {lit(pr.REFLECT_TAIL)}) AS prompt_hash
-FROM judged WHERE problem <> ''""")
+FROM judged WHERE NOT good""")
 def reflection_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = _judged(spark, sf_dir).where(~F.col("success"))
     original = F.concat(F.lit("Extract "), F.col("doc_id").cast("string"))
@@ -120,7 +120,7 @@ def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRACES = """traces AS (
-  SELECT j.doc_id, j.attempt, problem, CASE WHEN problem = '' THEN 'success' WHEN attempt < 3 THEN 'failed_retrying' ELSE 'failed_terminal' END AS status
+  SELECT j.doc_id, j.attempt, problem, CASE WHEN good THEN 'success' WHEN attempt < 3 THEN 'failed_retrying' ELSE 'failed_terminal' END AS status
   FROM judged j JOIN resolved r USING (doc_id) WHERE r.first_good IS NULL OR j.attempt <= r.first_good)"""
 
 
@@ -143,7 +143,7 @@ def last_failed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(ATTEMPTS) + """
 SELECT doc_id, attempt, CASE WHEN json_exists(clean, '$.v') THEN 'absent' ELSE 'absent,v' END AS missing FROM judged
-WHERE problem = '' OR problem LIKE 'Schema%'""")
+WHERE good OR problem LIKE 'Schema%'""")
 def missing_reply_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = inputs.attempts(spark, sf_dir).withColumn("r", parse_object(F.col("raw_response"))["record"])
     lacks = F.array_join(missing_keys(F.col("r"), ["k", "absent", "v"]), ",")
@@ -152,7 +152,7 @@ def missing_reply_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(ATTEMPTS, RESOLVED) + """
 SELECT doc_id, CASE WHEN first_good IS NOT NULL THEN 'success' WHEN last_is_object = 1 THEN 'soft_success'
-         WHEN last_problem IN ('timeout', 'no reply recorded') OR last_attempt < 3 THEN 'model_error' ELSE 'failed' END AS outcome,
+         WHEN last_problem IN ('timeout', 'no reply recorded', '') OR last_attempt < 3 THEN 'model_error' ELSE 'failed' END AS outcome,
        CAST(coalesce(first_good, 3) AS BIGINT) AS attempts,
        CASE WHEN first_good IS NOT NULL THEN '' WHEN last_attempt < 3 THEN 'no reply recorded' ELSE last_problem END AS problem
 FROM (SELECT doc_id, first_good, last_attempt, last_problem, CASE WHEN last_attempt < 3 THEN 0 ELSE last_is_object END AS last_is_object FROM resolved)""")

@@ -70,38 +70,43 @@ SELECT case_id, condition_name, doc_id, severity, status, analyst_message, CAST(
   PARTITION BY case_id ORDER BY {_RANK}, condition_seq, doc_seq NULLS FIRST) AS BIGINT) AS place
 FROM all_results WHERE status <> 'pass'""")
 def flagged_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order within a case, read off the order columns: the bounded list of one page, numbered."""
-    rows = rp.flagged_issues(all_results(spark, sf_dir))
-    order = F.struct("severity_rank", "condition_seq", "type_pos", "doc_seq", "condition_name", "doc_id", "severity", "status", "analyst_message")
-    paged = rows.groupBy("case_id", rp.page_of(F.col("doc_seq")).alias("page")).agg(F.array_sort(F.collect_list(order)).alias("items"))
-    numbered = paged.select("case_id", F.posexplode("items").alias("i", "x"))
-    return numbered.select(
-        "case_id", "x.condition_name", "x.doc_id", "x.severity", "x.status", "x.analyst_message", big(F.col("i") + 1).alias("place")
-    )
+    rows = rp.placed_issues(all_results(spark, sf_dir))
+    return rows.select("case_id", "condition_name", "doc_id", "severity", "status", "analyst_message", "place")
 
 
-_ADVICE = f"""marks AS (
-  SELECT case_id, string_agg(CASE WHEN status = 'fail' AND severity = 'error' THEN condition_name END, ', ' ORDER BY condition_seq, doc_seq) AS blocking_names,
-         string_agg(CASE WHEN status = 'needs_review' THEN condition_name END, ', ' ORDER BY condition_seq, doc_seq) AS review_names
-  FROM all_results GROUP BY case_id),
+_MANUAL = f"manual AS (SELECT case_id, doc_id, doc_seq FROM classified WHERE detected_type = {lit(fv.NEEDS_MANUAL)})"
+_ADVICE = f"""names AS (
+  SELECT case_id, 'blocking' AS kind, condition_seq AS s, doc_seq AS d, condition_name AS name FROM all_results WHERE status = 'fail' AND severity = 'error'
+  UNION ALL SELECT case_id, 'review', condition_seq, doc_seq, condition_name FROM all_results WHERE status = 'needs_review'
+  UNION ALL SELECT case_id, 'unclassified', 0, doc_seq, doc_id FROM manual),
 failures AS (SELECT case_id, count(*) AS failed FROM docs WHERE status = 'failed' GROUP BY case_id),
-manual AS (SELECT case_id, count(*) AS n, string_agg(doc_id, ', ' ORDER BY doc_seq) AS ids FROM classified WHERE detected_type = {lit(fv.NEEDS_MANUAL)} GROUP BY case_id),
 advice AS (
-  SELECT c.case_id, coalesce(nullif(concat_ws(chr(10),
-    'Blocking issues found in: ' || blocking_names || '. Analyst must resolve before proceeding.',
-    'Items requiring analyst review: ' || review_names || '.',
-    failed || ' document(s) failed extraction and need manual review.',
-    n || ' document(s) could not be auto-classified: ' || ids), ''), {lit(fv.MSG_ALL_CLEAR)}) AS recommendations
-  FROM cases c LEFT JOIN marks USING (case_id) LEFT JOIN failures USING (case_id) LEFT JOIN manual USING (case_id))"""
+  SELECT case_id, kind, CAST(row_number() OVER (PARTITION BY case_id, kind ORDER BY s, d NULLS FIRST) AS BIGINT) AS place, name, NULL AS message FROM names
+  UNION ALL SELECT case_id, 'failed_documents', NULL, NULL, failed || ' document(s) failed extraction and need manual review.' FROM failures WHERE case_id IN (SELECT case_id FROM cases)
+  UNION ALL SELECT case_id, 'all_clear', NULL, NULL, {lit(fv.MSG_ALL_CLEAR)} FROM cases
+    WHERE case_id NOT IN (SELECT case_id FROM names) AND case_id NOT IN (SELECT case_id FROM failures))"""
 
 
-@query(with_(*CHECKED, CLASSIFIED, _ADVICE) + "SELECT case_id, recommendations FROM advice")
+@query(with_(*CHECKED, CLASSIFIED, _MANUAL, _ADVICE) + "SELECT case_id, kind, place, name, message FROM advice")
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = cut_lineage(all_results(spark, sf_dir), "results")
-    rows = rp.recommendations(
+    return rp.recommendations(
         inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), results
     )
-    return rows.select("case_id", F.array_join("recommendations", "\n").alias("recommendations"))
+
+
+_GROUPED = """grouped AS (SELECT case_id, kind, string_agg(name, ', ' ORDER BY place) AS names, count(*) AS n FROM advice
+  WHERE name IS NOT NULL GROUP BY case_id, kind)"""
+_LINES_OF_ADVICE = """
+SELECT case_id, kind, CASE kind WHEN 'blocking' THEN 'Blocking issues found in: ' || names || '. Analyst must resolve before proceeding.'
+  WHEN 'review' THEN 'Items requiring analyst review: ' || names || '.' ELSE n || ' document(s) could not be auto-classified: ' || names END AS line FROM grouped
+UNION ALL SELECT case_id, kind, message FROM advice WHERE name IS NULL"""
+
+
+@query(with_(*CHECKED, CLASSIFIED, _MANUAL, _ADVICE, _GROUPED) + _LINES_OF_ADVICE)
+def advice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations as the lines of a report; all cases here have lines a reader can take."""
+    return rp.advice_lines(recommendations(spark, sf_dir), MAX_PROMPT)
 
 
 _COUNTS = """counted AS (
@@ -158,53 +163,41 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_narratives(spark, sf_dir)
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports over results that were written first, as in a whole review: they hold model replies."""
+def _report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reports are made over results that were written first, as in a whole review: they hold model replies."""
     results = cut_lineage(all_results(spark, sf_dir), "results")
-    return rp.build_reports(
-        inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), results
-    )
+    return inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), results
 
 
-_REPORT_LISTS = f"""stock AS (SELECT case_id, count(*) AS documents, string_agg(file_name || ':' || classified_as, ';' ORDER BY doc_seq) AS inventory FROM inventory GROUP BY case_id),
-checks AS (SELECT case_id, count(*) AS results, string_agg(condition_name || ':' || status, ';' ORDER BY condition_seq, doc_seq) AS results_text,
-  string_agg(CASE WHEN status <> 'pass' THEN severity || ':' || condition_name || ':' || analyst_message END, ';' ORDER BY {_RANK}, condition_seq, doc_seq) AS flagged
+_REPORT_FIGURES = """stock AS (SELECT case_id, count(*) AS n_documents, count(CASE WHEN status = 'failed' THEN 1 END) AS n_failed FROM docs GROUP BY case_id),
+unread AS (SELECT case_id, count(*) AS n_manual FROM manual GROUP BY case_id),
+checks AS (SELECT case_id, count(*) AS n_results, count(CASE WHEN status <> 'pass' THEN 1 END) AS n_flagged,
+  count(CASE WHEN status = 'fail' AND severity = 'error' THEN 1 END) AS n_blocking, count(CASE WHEN status = 'needs_review' THEN 1 END) AS n_review
   FROM all_results GROUP BY case_id)"""
 
 
-@query(with_(*CHECKED, CLASSIFIED, _INVENTORY, _ALL_FLAGS, _ADVICE, _COUNTS, _REPORT_LISTS) + f"""
-SELECT c.case_id, coalesce(documents, 0) AS documents, coalesce(inventory, '') AS inventory, coalesce(results_text, '') AS results, coalesce(flagged, '') AS flagged,
-  narrative_summary, recommendations, {_STATUS} AS case_status
-FROM cases c LEFT JOIN stock USING (case_id) LEFT JOIN checks USING (case_id) LEFT JOIN flags USING (case_id) JOIN advice USING (case_id) JOIN spare USING (case_id)""")
+@query(with_(*CHECKED, CLASSIFIED, _MANUAL, _ALL_FLAGS, _COUNTS, _REPORT_FIGURES) + f"""
+SELECT c.case_id, coalesce(n_documents, 0) AS n_documents, coalesce(n_failed, 0) AS n_failed, coalesce(n_manual, 0) AS n_manual, coalesce(n_results, 0) AS n_results,
+  coalesce(n_flagged, 0) AS n_flagged, coalesce(n_blocking, 0) AS n_blocking, coalesce(n_review, 0) AS n_review, narrative_summary, {_STATUS} AS case_status
+FROM cases c LEFT JOIN stock USING (case_id) LEFT JOIN unread USING (case_id) LEFT JOIN checks USING (case_id) LEFT JOIN flags USING (case_id) JOIN spare USING (case_id)""")
 def case_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = lambda column, *names: F.array_join(
-        F.transform(column, lambda x: F.concat_ws(":", *[x[n] for n in names])), ";"
-    )
-    return reports(spark, sf_dir).select(
-        "case_id",
-        big(F.size("document_inventory")).alias("documents"),
-        text("document_inventory", "file_name", "classified_as").alias("inventory"),
-        text("condition_results", "condition_name", "status").alias("results"),
-        text("flagged_issues", "severity", "condition_name", "analyst_message").alias("flagged"),
-        "narrative_summary",
-        F.array_join("recommendations", "\n").alias("recommendations"),
-        "case_status",
-    )
+    rows = rp.build_reports(*_report_inputs(spark, sf_dir))
+    return rows.drop("country", "process_type", "requires_analyst_attention", "generated_at")
 
 
 @query(with_(*CHECKED, _ALL_FLAGS) + f"""
 SELECT c.case_id, {_STATUS} AS status, coalesce(blocking, false) OR coalesce(needs_review, false) AS requires_analyst_attention
 FROM cases c LEFT JOIN flags USING (case_id)""")
 def process_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.process_summary(reports(spark, sf_dir))
+    return rp.process_summary(inputs.home_cases(spark, sf_dir), all_results(spark, sf_dir))
 
 
 @query(with_(*CHECKED) + """
-SELECT c.case_id, '[' || coalesce(string_agg('{"condition_name":"' || condition_name || '","status":"' || status || '","severity":"' || severity || '","analyst_message":"' ||
-  analyst_message || '","check_type":"' || CASE WHEN condition_seq < 3 THEN 'deterministic' ELSE 'llm_assisted' END || '"}', ',' ORDER BY condition_seq, doc_seq), '') || ']' AS condition_results
-FROM cases c LEFT JOIN all_results r USING (case_id) GROUP BY c.case_id""")
+SELECT case_id, condition_seq, doc_seq, condition_name, status, severity, analyst_message,
+  CASE WHEN condition_seq < 3 THEN 'deterministic' ELSE 'llm_assisted' END AS check_type FROM all_results""")
 def exported_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export_reports(reports(spark, sf_dir)).select("case_id", F.to_json("condition_results").alias("condition_results"))
+    tables = export_reports(rp.report_tables(*_report_inputs(spark, sf_dir)))
+    return tables["condition_results"].drop("type_pos")
 
 
 def _whole_review(spark: SparkSession, sf_dir: str):
@@ -228,10 +221,9 @@ SELECT case_id, count(*) AS documents, count(CASE WHEN doc_type IN ('', 'unknown
   count(CASE WHEN doc_type = 'salary_slip' THEN 1 END) AS salary_slips FROM typed GROUP BY case_id""")
 def reviewed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole review over the texts, model steps included; figures read off its reports."""
-    stock = F.explode("document_inventory").alias("d")
-    rows = _whole_review(spark, sf_dir).reports.select("case_id", stock)
+    rows = _whole_review(spark, sf_dir).tables.document_inventory
     return rows.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("documents"),
-        F.count(F.when(F.col("d.status") == fv.DOC_SKIPPED, 1)).alias("skipped"),
-        F.count(F.when(F.col("d.doc_type") == "salary_slip", 1)).alias("salary_slips"),
+        F.count(F.when(F.col("status") == fv.DOC_SKIPPED, 1)).alias("skipped"),
+        F.count(F.when(F.col("doc_type") == "salary_slip", 1)).alias("salary_slips"),
     )

@@ -17,7 +17,7 @@ from casequarry.operators.completeness import category_issues
 from casequarry.operators.conditions import check_all
 from casequarry.operators.model import run_steps
 from casequarry.operators.narrative import narratives
-from casequarry.operators.report import build_reports, inventory
+from casequarry.operators.report import ReportTables, inventory, report_tables
 from casequarry.operators.stepdata import extraction_eligibility, extraction_status
 from casequarry.scale import cut_lineage
 from casequarry.sources.config import ReviewConfig
@@ -44,7 +44,7 @@ class Review:
     step_results: DataFrame
     traces: DataFrame
     condition_results: DataFrame
-    reports: DataFrame
+    tables: ReportTables
 
 
 def review_cases(
@@ -70,5 +70,5 @@ def review_cases(
     done = cut_lineage(extraction_status(eligible, extracted).drop("text_content"), "documents")
     results = cut_lineage(check_all(cases, done, cfg, model.conditions, as_of), "conditions")
     words = cut_lineage(narratives(cases, inventory(done, classifications), results, cfg, model.narrative), "narratives")
-    reports = build_reports(cases, done, classifications, results, words, generated_at)
-    return Review(done, classifications, missing, step_results, traces, results, reports)
+    tables = report_tables(cases, done, classifications, results, words, generated_at)
+    return Review(done, classifications, missing, step_results, traces, results, tables)

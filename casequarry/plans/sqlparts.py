@@ -159,8 +159,8 @@ PII_FLAGS = (
 
 ATTEMPTS = """attempts AS (
   SELECT event_id AS e, event_id // 3 AS doc_id, event_id % 3 + 1 AS attempt,
-         CASE WHEN event_id % 13 = 0 THEN 'timeout' END AS error,
-         CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '[1]'
+         CASE WHEN event_id % 13 = 0 THEN 'timeout' WHEN event_id % 17 = 0 THEN '' END AS error,
+         CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '[1]'
               WHEN event_id % 7 = 0 THEN substr(props, 1, length(props) - 2)
               WHEN event_id % 5 = 0 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS raw
   FROM (SELECT *, CASE WHEN event_id % 4 < 2 THEN substr(props, 1, length(props) - 1) || ', "v": ' || user_id || '}' ELSE props END AS body
@@ -168,13 +168,13 @@ ATTEMPTS = """attempts AS (
 cleaned AS (
   SELECT *, CASE WHEN raw LIKE '```%' THEN regexp_extract(raw, '(?s)```json\\n(.*)\\n```', 1) ELSE raw END AS clean FROM attempts),
 judged AS (
-  SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN NOT json_valid(clean) THEN 'JSON parse error: invalid JSON'
+  SELECT *, error IS NULL AND json_valid(clean) AND json_type(clean) = 'OBJECT' AND json_exists(clean, '$.v') AS good, CASE WHEN error IS NOT NULL THEN error WHEN NOT json_valid(clean) THEN 'JSON parse error: invalid JSON'
               WHEN json_type(clean) <> 'OBJECT' THEN 'JSON parse error: Expected JSON object, got list'
               WHEN NOT json_exists(clean, '$.v') THEN 'Schema validation errors: [''Missing key: v'']' ELSE '' END AS problem
   FROM cleaned)"""
 
 RESOLVED = """resolved AS (
-  SELECT doc_id, min(CASE WHEN problem = '' THEN attempt END) AS first_good, max(attempt) AS last_attempt,
+  SELECT doc_id, min(CASE WHEN good THEN attempt END) AS first_good, max(attempt) AS last_attempt,
          arg_max(problem, attempt) AS last_problem,
          arg_max(CASE WHEN json_valid(clean) AND json_type(clean) = 'OBJECT' THEN 1 ELSE 0 END, attempt) AS last_is_object
   FROM judged GROUP BY doc_id)"""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,20 +19,36 @@ from pyspark.sql.pandas.types import to_arrow_schema
 HOT_SHARE = 1000
 # Hot rows are spread over this many join partitions.
 SALTS = 64
-# Documents per page of a per-case list, and lines per page while a prompt is put together.
-LIST_PAGE = 100_000
-LINE_PAGE = 10_000
-# Configuration tables are written by hand; anything larger is refused instead of broadcast.
+# Paths written by each running application, for drop_work.
+_WRITTEN: dict[str, list[str]] = {}
+# Configuration tables up to this size are broadcast; larger ones are joined by a shuffle.
 MAX_CONFIG_ROWS = 100_000
 
 
 def config_table(spark: SparkSession, rows: list[dict], schema: str | T.StructType) -> DataFrame:
-    """A small driver-side table, marked for broadcast once its size has been checked."""
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError(f"configuration table has {len(rows)} rows, limit is {MAX_CONFIG_ROWS}")
+    """A driver-side table, marked for broadcast if it is small."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     table = pa.Table.from_pylist(rows, schema=to_arrow_schema(struct))
-    return F.broadcast(spark.createDataFrame(table, schema=struct))
+    df = spark.createDataFrame(table, schema=struct)
+    return F.broadcast(df) if len(rows) <= MAX_CONFIG_ROWS else df
+
+
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions that are analysed inside give null where they cannot be evaluated, instead of ending the job."""
+    strict = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", strict)
+
+
+def mixes_types(df: DataFrame, sql: str) -> bool:
+    """True if a text column would be read as another type to evaluate the expression."""
+    plan = df.select(F.expr(sql).cast("boolean").alias("_e"))._jdf.queryExecution().analyzed().toString()
+    texts = "|".join(re.escape(c) for c, t in df.dtypes if t == "string")
+    return bool(texts and re.search(rf"cast\((?:{texts})#\d+ as (?!string|boolean\) AS _e)", plan))
 
 
 def settle(df: DataFrame, **columns: Column) -> DataFrame:
@@ -43,22 +61,6 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(cells)))
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small table a partition per core.
-
-    A file of a few megabytes is one scan task, which leaves the other cores idle under heavy
-    expressions. Tables with at least a task per core, any large one, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def page_of(seq: Column, page_rows: int = LIST_PAGE) -> Column:
-    """Page of a list position. Positions are unique in their case, so a page holds at most ``page_rows``."""
-    place = F.coalesce(seq, F.lit(0)).cast("bigint")
-    return ((place - F.pmod(place, F.lit(page_rows))) / page_rows).cast("bigint")
-
-
 def hot_keys(rows: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Keys holding more than 1/HOT_SHARE of the rows: at most HOT_SHARE of them, whatever the data.
 
@@ -70,7 +72,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], counts: DataFrame | None = No
     return counts.where(F.col("n") * HOT_SHARE > total.scalar()).select(*keys).dropna()
 
 
-_ROW_KEYS = ("doc_id", "doc_seq", "page", "field")
+_ROW_KEYS = ("doc_id", "doc_seq", "field")
 
 
 def _spread_columns(rows: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -121,83 +123,78 @@ def lookup(
     return joined.select(*rows.columns, *[F.col(f"_got.{v}").alias(v) for v in values])
 
 
+def _aside(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table with its keys under other names, for a join with a table it was made from."""
+    return df.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+
+
+def _met(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+
+
 def bounded_text(
-    lines: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    line: str,
-    seq: str,
-    max_chars: int,
-    separator: str = "\n",
+    lines: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, max_chars: int, separator: str = "\n"
 ) -> DataFrame:
     """Join the lines of each key in order, for keys whose joined text has at most ``max_chars``.
 
-    Returns keys, ``line_count``, ``chars`` (exact for every key) and ``text``, which is null when the
-    text would be longer: the length alone then decides what happens to it. Lines are gathered per page
-    of positions, then per block of pages, then per key. What is already too long keeps its counts and
-    drops its lines at once, so a task never holds more than a page of lines or short texts.
+    Returns keys, ``line_count``, ``chars`` (exact for every key) and ``text``, which is null when the text would be
+    longer: the length alone then decides what happens to it. Lengths come from a partial aggregation; only the lines
+    of keys that fit are gathered, so ``max_chars`` bounds every group.
     """
     keys = list(keys)
+    length = F.sum(F.length(line)) + (F.count(F.lit(1)) - 1) * len(separator)
+    totals = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("line_count"), length.alias("chars"))
+    longer = totals.where(F.col("chars") > max_chars).select(*keys)
     cells = F.struct(*[F.col(c) for c in order], F.col(line).alias("_line"))
-    sep_len = len(separator)
-
-    def short(chars: str) -> Column:
-        return F.when(F.col(chars) <= max_chars, F.col("_cells"))
-
-    pages = (
-        lines.withColumn("_page", page_of(F.col(seq), LINE_PAGE))
-        .groupBy(*keys, "_page")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum(F.length(line)).alias("_chars"),
-            F.collect_list(cells).alias("_cells"),
-        )
-    )
-    blocks = (
-        pages.withColumn("_cells", short("_chars"))
-        .groupBy(*keys, page_of(F.col("_page"), LINE_PAGE).alias("_block"))
-        .agg(
-            F.sum("_n").alias("_n"),
-            F.sum("_chars").alias("_chars"),
-            F.flatten(F.collect_list("_cells")).alias("_cells"),
-        )
-    )
-    whole = Window.partitionBy(*keys)  # a few blocks per key; the window spills where a group would not
-    total = F.sum("_chars").over(whole) + (F.sum("_n").over(whole) - 1) * sep_len
-    return (
-        blocks.withColumn("_total", total)
-        .withColumn("_cells", short("_total"))
+    texts = (
+        lines.join(_aside(longer, keys), _met(keys), "left_anti")
         .groupBy(*keys)
-        .agg(
-            F.sum("_n").alias("line_count"),
-            F.max("_total").alias("chars"),
-            F.array_sort(F.flatten(F.collect_list("_cells"))).alias("_cells"),
-        )
-        .select(
-            *keys,
-            "line_count",
-            "chars",
-            F.when(
-                F.col("chars") <= max_chars, F.array_join(F.transform("_cells", lambda c: c["_line"]), separator)
-            ).alias("text"),
-        )
+        .agg(F.array_sort(F.collect_list(cells)).alias("_cells"))
+        .select(*keys, F.array_join(F.transform("_cells", lambda c: c["_line"]), separator).alias("text"))
     )
+    return totals.join(_aside(texts, keys), _met(keys), "left").select(*keys, "line_count", "chars", "text")
+
+
+def with_places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place") -> DataFrame:
+    """Adds each row's place among the rows of its key, from 1 on, however many rows a key has.
+
+    Rows are ranged by key and order, so a large key lies in several partitions; a row's place is its place in its
+    partition after the key's rows in the partitions before. Ties of key and order take any order.
+    """
+    keys = list(keys)
+    ranged = rows.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "ranged")
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    numbered = ranged.withColumn("_within", F.row_number().over(within))
+    both = numbered.join(_aside(before, [*keys, "_part"]), _met([*keys, "_part"]), "left")
+    return both.select(*rows.columns, (F.col("_before") + F.col("_within")).cast("bigint").alias(name))
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="casequarry-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; unset, a folder in the warehouse, shared too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_work")
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Delete the tables that this session's jobs have written on their way; returns how many there were.
+
+    Call it when the results that read them have been stored.
+    """
+    jvm, paths = spark.sparkContext._jvm, _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(work_folder(spark), f"casequarry-{label}-{uuid.uuid4().hex}")
+    path = os.path.join(work_folder(spark), f"casequarry-{label}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:

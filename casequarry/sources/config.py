@@ -8,8 +8,10 @@ so it lives on the driver; jobs see it as broadcast tables or as literals in col
 from __future__ import annotations
 
 import logging
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
+from string import Formatter
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,16 +56,34 @@ def _words(text: str) -> list[str]:
     return [w.strip() for w in text.split(",") if w.strip()]
 
 
-# Stand-ins for the two values a message may name.
-FIELD_MARK, DOC_MARK = "\ue000", "\ue001"
+# Stand-ins for the two values a message may name; a number that is to be formatted has its format in between.
+FIELD_MARK, DOC_MARK, FORMAT_MARKS = "\ue000", "\ue001", ("\ue002", "\ue003")
+NUMBER_FORMAT = re.compile(r"(,?)\.(\d+)f|(,?)d")
+
+
+def format_mark(spec: str) -> str:
+    return spec.join(FORMAT_MARKS)
 
 
 def _message(template: str, marks: dict[str, str]) -> str | None:
     """The message with its placeholders marked; null when it names anything else and cannot be filled in."""
+    out = []
     try:
-        return template.format(**marks)
-    except (KeyError, ValueError, IndexError):
+        for text, name, spec, conversion in Formatter().parse(template):
+            out.append(text)
+            if name is None:
+                continue
+            mark = marks[name]
+            if mark == FIELD_MARK and spec and not conversion:
+                if not NUMBER_FORMAT.fullmatch(spec):
+                    return None
+                mark = format_mark(spec)
+            elif spec:
+                mark = format(mark, spec)
+            out.append(mark)
+    except (KeyError, ValueError):
         return None
+    return "".join(out)
 
 
 def condition_row(value: Any = None, **row: Any) -> dict:

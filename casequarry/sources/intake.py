@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
-from casequarry.scale import lookup
+from casequarry.scale import lookup, with_places
 from casequarry.sources.config import ReviewConfig
 
 
@@ -26,13 +26,17 @@ def create_cases(requests: DataFrame, id_chars: int = ID_CHARS) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Uploaded files under ``<folder>/<case_id>/<file>``; the upload time gives their order."""
+    """Uploaded files under ``<folder>/<case_id>/<file>``.
+
+    ``doc_seq`` is a file's place in its case, from 1 on, by upload time and, at equal times, by path.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    parts = F.split("path", "/")
-    return files.select(
-        F.element_at(parts, -2).alias("case_id"),
-        F.element_at(parts, -1).alias("file_name"),
-        F.unix_micros("modificationTime").alias("doc_seq"),
+    case = F.element_at(F.split("path", "/"), -2).alias("case_id")
+    places = with_places(files.select("path", "modificationTime", case), ["case_id"], ["modificationTime", "path"], "doc_seq")
+    return files.select("path", "content").join(places, "path").select(
+        "case_id",
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        "doc_seq",
         F.col("modificationTime").alias("upload_timestamp"),
         "content",
     )

@@ -2,6 +2,7 @@
 
 import dataclasses
 import datetime as dt
+import os
 import random
 from functools import partial
 
@@ -61,12 +62,11 @@ def test_hot_keys_are_bounded(spark):
 
 
 @pytest.mark.parametrize("limit", [10, 60, 10_000])
-def test_bounded_text(spark, monkeypatch, limit):
-    monkeypatch.setattr(scale, "LINE_PAGE", 4)
+def test_bounded_text(spark, limit):
     rng = random.Random(limit)
     rows = [(rng.choice("aab"), i, "x" * rng.randint(1, 9)) for i in range(60)] + [("c", 5, "only")]
     df = spark.createDataFrame(rows, "k string, seq bigint, line string").repartition(5)
-    got = {r.k: r for r in scale.bounded_text(df, ["k"], ["seq"], "line", "seq", limit).collect()}
+    got = {r.k: r for r in scale.bounded_text(df, ["k"], ["seq"], "line", limit).collect()}
     for key in "abc":
         text = "\n".join(line for k, _, line in sorted(rows, key=lambda r: r[1]) if k == key)
         assert got[key].chars == len(text)
@@ -86,10 +86,26 @@ def test_cut_lineage_reads_a_written_table(spark):
     assert scale.work_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_config_tables_have_a_limit(spark, monkeypatch):
+def test_large_config_tables_are_not_broadcast(spark, monkeypatch):
+    rows = [{"a": k} for k in range(3)]
+    plan = lambda: spark.range(9).join(scale.config_table(spark, rows, "a int"), F.col("a") == F.col("id"))._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in plan()
     monkeypatch.setattr(scale, "MAX_CONFIG_ROWS", 2)
-    with pytest.raises(ValueError):
-        scale.config_table(spark, [{"a": 1}] * 3, "a int")
+    assert "strategy=broadcast" not in plan()
+
+
+def test_places_of_a_hot_key(spark):
+    rows = [(k if k % 3 else 0, -k % 97, k) for k in range(900)] + [(None, 5, 1), (None, 4, 2)]
+    df = spark.createDataFrame(rows, "k int, v int, tie int").repartition(7)
+    got = {(r.k, r.v, r.tie): r.place for r in scale.with_places(df, ["k"], ["v", "tie"]).collect()}
+    for key in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == key)
+        assert [got[key, *r] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_work_tables_can_be_dropped(spark, tmp_path):
+    df = scale.cut_lineage(spark.range(3))
+    assert df.count() == 3 and scale.drop_work(spark) >= 1 and scale.drop_work(spark) == 0
 
 
 # Guards -------------------------------------------------------------------------------------------
@@ -228,27 +244,40 @@ def test_negative_mean_is_measured_against_one(spark):
 
 
 # Reports ------------------------------------------------------------------------------------------
-def test_reports_in_pages_hold_everything(spark):
+def test_lists_of_a_case_with_time_stamps_as_positions(spark):
+    """Positions far apart, and one case with a third of all documents: one report each, lists whole and in order."""
     cases, docs = inputs.home_cases(spark, SF_DIR), inputs.home_documents(spark, SF_DIR)
-    classes = inputs.classifications(spark, SF_DIR)
-    results = cond.deterministic_results(docs, CFG, inputs.AS_OF)
-    whole = rp.build_reports(cases, docs, classes, results)
-    paged = rp.build_reports(cases, docs, classes, results, page_rows=100)
-    assert whole.count() == cases.count() and paged.count() > whole.count()
-    for column in ("document_inventory", "condition_results", "flagged_issues"):
-        a = whole.select("case_id", F.explode(column).alias("x")).select("case_id", F.to_json("x").alias("x"))
-        b = paged.select("case_id", F.explode(column).alias("x")).select("case_id", F.to_json("x").alias("x"))
-        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-    assert paged.select("case_id", "case_status").distinct().count() == cases.count()
+    first = cases.orderBy("case_id").first().case_id
+    moved = F.when(F.col("doc_seq") % 3 == 0, first).otherwise(F.col("case_id"))
+    docs = docs.withColumn("case_id", moved).withColumn("doc_seq", 1_700_000_000_000_000 + F.col("doc_seq") * 1_000_000)
+    docs = docs.join(cases.select("case_id"), "case_id", "left_semi")
+    classes = docs.select("case_id", "doc_id", "doc_seq", F.lit(fv.NEEDS_MANUAL).alias("detected_type"), F.lit(0.1).alias("confidence"), F.lit(False).alias("manually_overridden"))
+    results = cond.deterministic_results(docs, CFG, inputs.AS_OF).cache()
+    tables = rp.report_tables(cases, docs, classes, results)
+    reports = {r.case_id: r for r in tables.reports.collect()}
+    assert len(reports) == tables.reports.count() == cases.count()
+    own = [r for r in results.collect() if r.case_id == first and r.status != "pass"]
+    assert reports[first].n_flagged == len(own) > 100 and reports[first].n_documents == docs.where(F.col("case_id") == first).count()
+    rank = {"error": 0, "warning": 1, "info": 2}
+    want = [r.doc_id for r in sorted(own, key=lambda r: (rank[r.severity], r.condition_seq, r.type_pos, r.doc_seq))]
+    placed = rp.placed_issues(results).where(F.col("case_id") == first).orderBy("place").collect()
+    assert [r.doc_id for r in placed] == want and [r.place for r in placed] == list(range(1, len(want) + 1))
+    names = tables.recommendations.where((F.col("case_id") == first) & (F.col("kind") == "unclassified")).orderBy("place")
+    assert [r.name for r in names.collect()] == [r.doc_id for r in docs.where(F.col("case_id") == first).orderBy("doc_seq").collect()]
+    assert tables.document_inventory.count() == docs.count()
 
 
 def test_case_without_anything_gets_a_clear_report(spark):
     cases = inputs.home_cases(spark, SF_DIR).limit(1)
     none = inputs.home_documents(spark, SF_DIR).where("false")
     results = cond.deterministic_results(none, CFG, inputs.AS_OF)
-    row = rp.build_reports(cases, none, inputs.classifications(spark, SF_DIR).where("false"), results).first()
-    assert row.case_status == "ready_for_review" and row.recommendations == [fv.MSG_ALL_CLEAR]
+    classes = inputs.classifications(spark, SF_DIR).where("false")
+    row = rp.build_reports(cases, none, classes, results).first()
+    assert row.case_status == "ready_for_review" and row.n_documents == 0
     assert row.narrative_summary.startswith("Automated review complete. 0 conditions checked")
+    advice = rp.recommendations(cases, none, classes, results)
+    assert [(r.kind, r.message) for r in advice.collect()] == [("all_clear", fv.MSG_ALL_CLEAR)]
+    assert [r.line for r in rp.advice_lines(advice, 100).collect()] == [fv.MSG_ALL_CLEAR]
 
 
 def test_fail_with_warning_is_flagged_but_not_blocking(spark):
@@ -263,8 +292,10 @@ def test_uploads_become_documents(spark, tmp_path):
     for case, name, content in [("c1", "a.txt", b"ok"), ("c1", "b.txt", b"bad \xff byte"), ("c2", "a.txt", "ü".encode())]:
         (tmp_path / case).mkdir(exist_ok=True)
         (tmp_path / case / name).write_bytes(content)
-    got = {(r.case_id, r.file_name): r.text_content for r in intake(read_uploads(spark, str(tmp_path))).collect()}
-    assert got == {("c1", "a.txt"): "ok", ("c1", "b.txt"): "bad � byte", ("c2", "a.txt"): "ü"}
+        os.utime(tmp_path / case / name, (1_700_000_000, 1_700_000_000))  # a bulk upload: one time for all
+    rows = intake(read_uploads(spark, str(tmp_path))).collect()
+    got = {(r.case_id, r.file_name): (r.text_content, r.doc_seq) for r in rows}
+    assert got == {("c1", "a.txt"): ("ok", 1), ("c1", "b.txt"): ("bad � byte", 2), ("c2", "a.txt"): ("ü", 1)}
 
 
 def test_configuration_folder(tmp_path):
