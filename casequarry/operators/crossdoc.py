@@ -11,10 +11,12 @@ from casequarry import fixed_values as fv
 from casequarry.functions.jsonobj import parse_object_text
 from casequarry.functions.values import field_of, record_json, to_float
 from casequarry.operators.prompts import contradiction_prompts, document_lines, entity_prompts, semantic_prompts
-from casequarry.scale import lookup, settle
+from casequarry.scale import cut_lineage, lookup, settle
 
-# Longest prompt a model takes; a longer one fails at the model and is recorded as such without being sent.
+# Lines of one prompt; a case with more is asked about in several prompts and the replies are merged.
 MODEL_INPUT_CHARS = 400_000
+# From harmless to grave.
+RISKS = ("low", "medium", "high", "critical")
 
 
 def numeric_consistency(
@@ -26,39 +28,26 @@ def numeric_consistency(
     partial aggregation; they meet the values again in a skew-safe lookup.
     """
     keys = list(keys)
-    present = values.where(F.col(value).isNotNull())
-    stats = present.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("n"))
-    near = lookup(present, stats.select(*keys, "_mean", F.col("n").alias("_n")), keys, counts=stats.select(*keys, "n"))
+    stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.count(value).alias("n"), F.avg(value).alias("_mean"))
+    stats = cut_lineage(stats, "means")  # one row per key, read for the means, the hot keys and the summary
+    means = stats.select(*keys, "_mean", F.col("n").alias("_n"))
+    near = lookup(values, means, keys, counts=stats.select(*keys, F.col("_all").alias("n")))
     deviation = F.abs(F.col(value) - F.col("_mean")) / F.greatest("_mean", F.lit(1.0))
     far = near.withColumn("_dev", deviation).where((F.col("_n") >= 2) & (F.col("_dev") > tolerance_percent / 100.0))
     outliers = far.select(*values.columns, F.round(F.col("_dev") * 100, 1).alias("deviation_percent"))
     counted = far.groupBy(*keys).agg(F.count(F.lit(1)).alias("outliers"))
-    every = values.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    enough = F.coalesce(F.col("n"), F.lit(0)) >= 2
-    summary = (
-        every.join(stats, keys, "left")
-        .join(counted, keys, "left")
-        .select(
-            *keys,
-            F.coalesce("n", F.lit(0)).alias("value_count"),
-            F.coalesce(F.col("outliers") == 0, F.lit(True)).alias("is_consistent"),
-            F.when(enough, F.round("_mean", 2)).alias("average"),
-            F.coalesce("outliers", F.lit(0)).alias("outlier_count"),
-            F.when(~enough, "Insufficient values to compare").alias("reason"),
-        )
+    enough = F.col("n") >= 2
+    summary = stats.join(counted, keys, "left").select(
+        *keys,
+        F.col("n").alias("value_count"),
+        F.coalesce(F.col("outliers") == 0, F.lit(True)).alias("is_consistent"),
+        F.when(enough, F.round("_mean", 2)).alias("average"),
+        F.coalesce("outliers", F.lit(0)).alias("outlier_count"),
+        F.when(~enough, "Insufficient values to compare").alias("reason"),
     )
     return summary, outliers
 
 
-def _asked(prompts: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Replies to prompts that fit; those that do not fail at the model, by their exact length."""
-    made = ask(prompts)
-    if "prompt_chars" not in prompts.columns:
-        return made
-    error = F.format_string("prompt of %d characters exceeds the model's input", F.col("prompt_chars").cast("bigint"))
-    return made.withColumn("error", F.when(F.col("prompt").isNull(), error).otherwise(F.col("error")))
-
-
 def _read(made: DataFrame) -> tuple[DataFrame, Column, Column]:
     """Plain JSON reading: no guards and no fences here. (rows, record, error text)."""
     read = settle(made, _p=F.when(F.col("error").isNull(), parse_object_text(F.col("raw_response"))))
@@ -73,15 +62,28 @@ def _flag(v: Column) -> Column:
 def semantic_consistency(
     values: DataFrame, ask: Callable[[DataFrame], DataFrame], max_chars: int = MODEL_INPUT_CHARS
 ) -> DataFrame:
-    """Model verdict on whether the values of a field mean the same; null and 0.0 on failure."""
-    read, record, problem = _read(_asked(semantic_prompts(values, max_chars), ask))
-    return read.select(
+    """Model verdict on whether the values of a field mean the same; null and 0.0 on failure.
+
+    Over several prompts the values are the same if they are in each and all have one canonical value; the smallest
+    confidence counts, and one failure is the field's.
+    """
+    read, record, problem = _read(ask(semantic_prompts(values, max_chars)))
+    parts = read.select(
         "case_id",
         "field",
-        _flag(field_of(record, "is_consistent")).alias("is_consistent"),
-        field_of(record, "canonical_value")["text"].alias("canonical_value"),
+        "part",
+        _flag(field_of(record, "is_consistent")).alias("same"),
+        field_of(record, "canonical_value")["text"].alias("value"),
         F.when(problem.isNotNull(), 0.0).otherwise(to_float(field_of(record, "confidence"))).alias("confidence"),
-        problem.alias("error"),
+        problem.alias("problem"),
+    )
+    one, failed = F.count(F.lit(1)) == 1, F.count("problem") > 0
+    alike = F.coalesce(F.min("value") == F.max("value"), F.lit(True))
+    return parts.groupBy("case_id", "field").agg(
+        F.when(~failed, F.when(one, F.bool_and("same")).otherwise(F.bool_and("same") & alike)).alias("is_consistent"),
+        F.when(~failed, F.min_by("value", "part")).alias("canonical_value"),
+        F.min("confidence").alias("confidence"),
+        F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("part"))).alias("error"),
     )
 
 
@@ -97,18 +99,31 @@ def contradictions(
     focus: list[str] | None = None,
     max_chars: int = MODEL_INPUT_CHARS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(per case, one row per contradiction) as the model reports them."""
-    read, record, problem = _read(_asked(contradiction_prompts(docs, max_chars, focus), ask))
-    per_case = read.select(
+    """(per case, one row per contradiction) as the model reports them.
+
+    Over several prompts a contradiction in one is the case's, all of them are listed, and the gravest risk stands with
+    its recommendation; a failed prompt flags the case.
+    """
+    read, record, problem = _read(ask(contradiction_prompts(docs, max_chars, focus)))
+    parts = read.select(
         "case_id",
-        _flag(field_of(record, "contradictions_found")).alias("contradictions_found"),
-        field_of(record, "overall_risk_assessment")["text"].alias("overall_risk_assessment"),
-        F.when(problem.isNotNull(), "flag_for_review").otherwise(field_of(record, "recommendation")["text"]).alias("recommendation"),
-        problem.alias("error"),
+        "part",
+        _flag(field_of(record, "contradictions_found")).alias("found"),
+        field_of(record, "overall_risk_assessment")["text"].alias("risk"),
+        F.when(problem.isNotNull(), "flag_for_review").otherwise(field_of(record, "recommendation")["text"]).alias("advice"),
+        problem.alias("problem"),
         F.from_json(field_of(record, "contradictions")["text"], CONTRADICTIONS).alias("_items"),
     )
-    items = per_case.select("case_id", F.posexplode("_items").alias("pos", "item")).select("case_id", "pos", "item.*")
-    return per_case.drop("_items"), items
+    grave = F.coalesce(F.array_position(F.array(*map(F.lit, RISKS)), F.lower("risk")), F.lit(0))
+    ranked = parts.withColumn("_rank", F.struct(F.col("problem").isNotNull().alias("bad"), grave.alias("grave"), (-F.col("part")).alias("part")))
+    per_case = ranked.groupBy("case_id").agg(
+        F.bool_or("found").alias("contradictions_found"),
+        F.max_by("risk", F.when(F.col("risk").isNotNull(), F.col("_rank.grave"))).alias("overall_risk_assessment"),
+        F.max_by("advice", "_rank").alias("recommendation"),
+        F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("part"))).alias("error"),
+    )
+    items = parts.select("case_id", "part", F.posexplode("_items").alias("pos", "item")).select("case_id", "part", "pos", "item.*")
+    return per_case, items
 
 
 def anchored_pairs(docs: DataFrame, anchor_type: str, other_type: str, entity_type: str = "person") -> DataFrame:
@@ -131,7 +146,7 @@ def anchored_pairs(docs: DataFrame, anchor_type: str, other_type: str, entity_ty
 
 def resolve_entities(pairs: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Model verdict on each pair; null and 0.0 on failure."""
-    read, record, problem = _read(_asked(entity_prompts(pairs), ask))
+    read, record, problem = _read(ask(entity_prompts(pairs)))
     matching = F.from_json(field_of(record, "matching_fields")["text"], "array<string>")
     return read.select(
         "case_id",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
 from casequarry.functions.values import empty_record, field_of, json_cell, record_json
-from casequarry.scale import bounded_text, config_table
+from casequarry.scale import bounded_text, config_table, text_parts
 from casequarry.sources.config import ReviewConfig
 
 FENCE = "\n```\n"
@@ -263,46 +263,37 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def cross_validation_prompts(cases: DataFrame, docs: DataFrame, rules: list[dict], max_chars: int) -> DataFrame:
-    """Documents of a case and the rules to check on them; (case_id, prompt_chars, prompt)."""
+    """Documents of a case and the rules to check on them; (case_id, part, prompt).
+
+    Here and below, lines that are more than ``max_chars`` are asked about in several prompts, each line in one.
+    """
     rule_lines = "\n".join(
         f"- {r['name']}: {r['description']} [fields: {', '.join(r['fields'])}; severity: {r['severity']}]" for r in rules
     )
-    lines = bounded_text(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
+    lines = text_parts(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
     head = F.concat(F.lit("Validate the documents of a "), F.col("country"), F.lit(" case.\n\nDocuments:\n"))
     tail = f"\n\nRules:\n{rule_lines}{VALIDATE_TAIL}"
-    chars = F.length(head) + F.col("chars") + len(tail)
-    return (
-        cases.join(lines, "case_id", "inner")
-        .withColumn("prompt_chars", chars)
-        .select("case_id", "prompt_chars", F.when(F.col("prompt_chars") <= max_chars, F.concat(head, "text", F.lit(tail))).alias("prompt"))
-    )
+    return cases.join(lines, "case_id", "inner").select("case_id", "part", F.concat(head, "text", F.lit(tail)).alias("prompt"))
 
 
 def semantic_prompts(values: DataFrame, max_chars: int) -> DataFrame:
-    """Values of one field across the documents of a case; (case_id, field, prompt_chars, prompt).
+    """Values of one field across the documents of a case; (case_id, field, part, prompt).
 
     ``values``: case_id, field, doc_seq, source, value (text).
     """
     line = F.concat(F.lit("- "), "source", F.lit(": "), "value")
     lines = values.where(F.col("value").isNotNull()).withColumn("line", line)
-    joined = bounded_text(lines, ["case_id", "field"], ["doc_seq", "source"], "line", max_chars)
+    joined = text_parts(lines, ["case_id", "field"], ["doc_seq", "source"], "line", max_chars)
     head = F.concat(F.lit("Do these values of the field "), "field", F.lit(" mean the same?\n"))
-    chars = F.length(head) + F.col("chars") + len(SEMANTIC_TAIL)
-    return joined.withColumn("prompt_chars", chars).select(
-        "case_id", "field", "prompt_chars", F.when(F.col("prompt_chars") <= max_chars, F.concat(head, "text", F.lit(SEMANTIC_TAIL))).alias("prompt")
-    )
+    return joined.select("case_id", "field", "part", F.concat(head, "text", F.lit(SEMANTIC_TAIL)).alias("prompt"))
 
 
 def contradiction_prompts(docs: DataFrame, max_chars: int, focus: list[str] | None = None) -> DataFrame:
-    """All extracted data of a case; (case_id, prompt_chars, prompt)."""
-    lines = bounded_text(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
+    """All extracted data of a case; (case_id, part, prompt)."""
+    lines = text_parts(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
     head = "Find contradictions between the documents of a credit case.\n\nDocuments:\n"
     tail = (f"\n\nFocus on: {', '.join(focus)}" if focus else "") + CONTRADICTION_TAIL
-    return lines.withColumn("prompt_chars", F.col("chars") + len(head) + len(tail)).select(
-        "case_id",
-        "prompt_chars",
-        F.when(F.col("prompt_chars") <= max_chars, F.concat(F.lit(head), "text", F.lit(tail))).alias("prompt"),
-    )
+    return lines.select("case_id", "part", F.concat(F.lit(head), "text", F.lit(tail)).alias("prompt"))
 
 
 def entity_prompts(pairs: DataFrame) -> DataFrame:

@@ -49,6 +49,6 @@ def streamed_case_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"country": F.lit(fv.COUNTRY), "process_type": F.lit(fv.PROCESS)}
     )
     path = new_path(spark, "rollup")
-    rollup = sr.case_rollup(docs, CFG, inputs.AS_OF, fv.COUNTRY, fv.PROCESS)
+    rollup = sr.case_rollup(docs, CFG, inputs.AS_OF)
     sr.write_rollup(rollup, path, f"{path}-log").awaitTermination()
     return sr.current_rollup(spark, path)

@@ -155,22 +155,52 @@ def bounded_text(
     return totals.join(_aside(texts, keys), _met(keys), "left").select(*keys, "line_count", "chars", "text")
 
 
-def with_places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place") -> DataFrame:
-    """Adds each row's place among the rows of its key, from 1 on, however many rows a key has.
+def with_running_total(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Adds the total of ``value`` over the row and those before it in its key, however many rows a key has.
 
-    Rows are ranged by key and order, so a large key lies in several partitions; a row's place is its place in its
-    partition after the key's rows in the partitions before. Ties of key and order take any order.
+    Rows are ranged by key and order, so a large key lies in several partitions; a row's total is that in its partition
+    and the key's totals in the partitions before. Ties of key and order take any order.
     """
     keys = list(keys)
-    ranged = rows.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
-    ranged = cut_lineage(ranged, "ranged")
-    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = rows.withColumn("_value", value.cast("bigint")).repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_value").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*keys, "_part").orderBy(*order)
-    numbered = ranged.withColumn("_within", F.row_number().over(within))
-    both = numbered.join(_aside(before, [*keys, "_part"]), _met([*keys, "_part"]), "left")
-    return both.select(*rows.columns, (F.col("_before") + F.col("_within")).cast("bigint").alias(name))
+    before = totals.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.withColumn("_within", F.sum("_value").over(within))
+    both = running.join(_aside(before, [*keys, "_part"]), _met([*keys, "_part"]), "left")
+    return both.select(*rows.columns, (F.col("_before") + F.col("_within")).alias(name))
+
+
+def with_places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place") -> DataFrame:
+    """Adds each row's place among the rows of its key, from 1 on."""
+    return with_running_total(rows, keys, order, F.lit(1), name)
+
+
+def text_parts(
+    lines: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, max_chars: int, separator: str = "\n"
+) -> DataFrame:
+    """Join the lines of each key in order, in as many texts as it takes; (keys, part, text).
+
+    A key whose lines fit ``max_chars`` has the one part 0. Others are cut before the line that would be too much: each
+    line is in one part, and a part has at most ``max_chars``, or is a single line that alone is longer.
+    """
+    keys = list(keys)
+    length = F.length(line) + len(separator)
+    sized = lines.groupBy(*keys).agg((F.sum(length) - len(separator)).alias("_chars")).where(F.col("_chars") > max_chars)
+    large = _aside(sized.select(*keys), keys)
+    plain = lines.join(large, _met(keys), "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    cut = with_running_total(lines.join(large, _met(keys), "left_semi"), keys, order, length, "_end")
+    # Steps of half the size: a line begins in its step, so a step's lines and the end of its last one fit; a longer line
+    # is a part of its own.
+    step = max(1, max_chars // 2)
+    begin = F.col("_end") - length
+    part = F.when(length <= step, 2 * F.floor(begin / step)).otherwise(2 * F.col("_end") + 1)
+    cut = cut.withColumn("part", part.cast("bigint")).drop("_end")
+    cells = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
+    text = F.array_join(F.transform(cells, lambda c: c["_line"]), separator)
+    return plain.unionByName(cut).groupBy(*keys, "part").agg(text.alias("text"))
 
 
 def work_folder(spark: SparkSession) -> str:

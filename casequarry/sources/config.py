@@ -14,13 +14,16 @@ from pathlib import Path
 from string import Formatter
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
 from casequarry.scale import config_table
 
 log = logging.getLogger(__name__)
 
+DEFAULT_PIPELINE = "single_doc_extraction"
+
 DOC_TYPE_SCHEMA = "country string, pos int, name string, description string, key_indicators array<string>"
 FIELD_SCHEMA = (
     "country string, doc_type string, pos int, name string, type string, required boolean, pattern string, "
@@ -116,6 +119,7 @@ class ReviewConfig:
     categories: list[dict] = field(default_factory=list)
     requirements: list[dict] = field(default_factory=list)
     steps: list[dict] = field(default_factory=list)
+    processes: list[dict] = field(default_factory=list)  # country, process_type, pipeline, business_unit
     guards: dict = field(default_factory=dict)
     pii: list[dict] = field(default_factory=list)
 
@@ -158,6 +162,17 @@ class ReviewConfig:
         """Global patterns first, then those of each country, in the order they are applied."""
         return sorted(self.pii, key=lambda p: (p["scope"] != "global", p["scope"], p["pos"]))
 
+    def pipelines(self) -> list[str]:
+        """Names of the extraction pipelines that processes use; the default comes first."""
+        return list(dict.fromkeys([DEFAULT_PIPELINE, *(p["pipeline"] for p in self.processes)]))
+
+    def pipeline_of(self, country: Column, process_type: Column) -> Column:
+        """The pipeline a process file names, else the default one."""
+        out = F.lit(DEFAULT_PIPELINE)
+        for p in self.processes:
+            out = F.when((country == p["country"]) & (process_type == p["process_type"]), p["pipeline"]).otherwise(out)
+        return out
+
     def steps_of(self, pipeline: str) -> list[dict]:
         return sorted((s for s in self.steps if s["pipeline"] == pipeline), key=lambda s: s["pos"])
 
@@ -213,7 +228,7 @@ def default_config() -> ReviewConfig:
     for pos, (name, retries, retry, reflect, temperature, inject) in enumerate(_table(fv.EXTRACTION_STEPS)):
         c.steps.append(
             dict(
-                pipeline="single_doc_extraction", backend_key="default", pos=pos, name=name,
+                pipeline=DEFAULT_PIPELINE, backend_key="default", pos=pos, name=name,
                 retry_on_failure=retry == "yes", max_retries=int(retries), use_reflection=reflect == "yes",
                 output_schema=None, temperature=float(temperature), inject_previous_results=inject == "yes",
             )
@@ -309,8 +324,11 @@ def load_config(folder: str | Path, extra_processes: dict[str, list[str]] | None
                     sensitivity=p.get("sensitivity", "medium"),
                 )
             )
+    names = {}  # of pipelines, by file
     for path in sorted((root / "pipelines").glob("*.yaml")):
-        c.steps.extend(load_steps(path))
+        steps = load_steps(path)
+        c.steps.extend(steps)
+        names[path.stem] = steps[0]["pipeline"] if steps else path.stem
     for land in sorted(p for p in (root / "countries").glob("*") if p.is_dir()):
         country = land.name
         raw = _read_yaml(land / "classification.yaml")
@@ -349,6 +367,9 @@ def load_config(folder: str | Path, extra_processes: dict[str, list[str]] | None
         for path in sorted((land / "process").glob("*.yaml")):
             raw = _read_yaml(path)
             process_type = path.stem
+            file = Path(raw.get("pipeline_config", DEFAULT_PIPELINE)).stem
+            unit = raw.get("business_unit", "general")
+            c.processes.append(dict(country=country, process_type=process_type, pipeline=names.get(file, file), business_unit=unit))
             c.conditions.extend(_conditions_of(land, country, process_type, raw.get("condition_files", [])))
             for pos, r in enumerate(raw.get("required_categories", [])):
                 category = r.get("category", "")

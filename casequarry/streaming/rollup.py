@@ -1,7 +1,9 @@
 """Running figures per case: documents, required categories, results, attention.
 
-One grouping keeps the counts as state. Every batch writes the changed cases as a folder of its own; the
-current figures of a case are those of its newest batch. Writing a batch again replaces its folder.
+One grouping keeps the counts as state. Every batch writes the changed cases as a folder of its own; the current
+figures of a case are those of its newest folder. After ``COMPACT_EVERY`` batches the folders are merged into one, so
+reading them stays bounded by the cases. Writing a batch again replaces its folder; a batch that is merged already is
+not written again.
 """
 
 from __future__ import annotations
@@ -13,48 +15,115 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casequarry.operators.conditions import deterministic_results
+from casequarry.operators.conditions import check_deterministic, condition_targets
 from casequarry.operators.report import final_status
 from casequarry.sources.config import ReviewConfig
 
+COMPACT_EVERY = 20
 
-def _category_columns(cfg: ReviewConfig, country: str, process_type: str) -> dict[str, Column]:
-    rows = [c for c in cfg.categories if (c["country"], c["process_type"]) == (country, process_type)]
-    fits = {
-        c["category"]: (F.col("doc_type").isin(c["doc_types"]) | (F.col("category") == c["category"])) for c in rows
-    }
+
+def _category_columns(cfg: ReviewConfig) -> dict[str, Column]:
+    """Counts by category, over the processes that require it."""
+    fits: dict[str, Column] = {}
+    for c in cfg.categories:
+        own = (F.col("country") == c["country"]) & (F.col("process_type") == c["process_type"])
+        fit = own & (F.col("doc_type").isin(c["doc_types"]) | (F.col("category") == c["category"]))
+        fits[c["category"]] = fits[c["category"]] | fit if c["category"] in fits else fit
     return {f"n_{name}": F.count(F.when((F.col("_kind") == "doc") & fit, 1)) for name, fit in fits.items()}
 
 
-def case_rollup(docs: DataFrame, cfg: ReviewConfig, as_of: dt.date, country: str, process_type: str) -> DataFrame:
-    """Figures per case from documents of one country and process; the same plan for tables and streams."""
-    docs = docs.where((F.col("country") == country) & (F.col("process_type") == process_type))
+def case_rollup(docs: DataFrame, cfg: ReviewConfig, as_of: dt.date) -> DataFrame:
+    """Figures per case from documents of all countries and processes; the same plan for tables and streams.
+
+    A condition that cannot be run counts as one result to review in place of its documents' results, as soon as one of
+    them reaches it.
+    """
+    none = F.lit(None).cast("string")
     facts = docs.select(
-        "case_id", F.lit("doc").alias("_kind"), "doc_type", "category",
-        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("severity"),
+        "case_id", "country", "process_type", F.lit("doc").alias("_kind"), "doc_type", "category", none.alias("status"),
+        none.alias("severity"), none.alias("_broken"), none.alias("_error"),
     )
-    checks = deterministic_results(docs, cfg, as_of).select(
-        "case_id", F.lit("check").alias("_kind"), F.lit(None).cast("string").alias("doc_type"),
-        F.lit(None).cast("string").alias("category"), "status", "severity",
+    broken = [c["condition_name"] for c in cfg.conditions if c["months_error"]]
+    checks = check_deterministic(condition_targets(docs, cfg), cfg, as_of).select(
+        "case_id", none.alias("country"), none.alias("process_type"), F.lit("check").alias("_kind"), none.alias("doc_type"),
+        none.alias("category"), "status", "severity", F.when(F.col("condition_name").isin(broken), F.col("condition_name")).alias("_broken"),
+        F.col("_months_error").alias("_error"),
     )
-    status, severity = F.col("status"), F.col("severity")
     rows = reduce(DataFrame.unionByName, [facts, checks])
-    return rows.groupBy("case_id").agg(
+    figures = {
+        "passed": F.col("status") == "pass",
+        "blocking": (F.col("status") == "fail") & (F.col("severity") == "error"),
+        "in_review": F.col("status") == "needs_review",
+    }
+    sound = F.col("_broken").isNull()
+    kept = {f"_{n}_{k}": F.count(F.when((F.col("_broken") == name) & test, 1)) for k, name in enumerate(broken) for n, test in figures.items()}
+    raised = {f"_raised_{k}": F.count(F.when(F.col("_broken") == name, F.col("_error"))) for k, name in enumerate(broken)}
+    counted = rows.groupBy("case_id").agg(
         F.count(F.when(F.col("_kind") == "doc", 1)).alias("documents"),
-        *[c.alias(n) for n, c in _category_columns(cfg, country, process_type).items()],
-        F.count(F.when(status == "pass", 1)).alias("passed"),
-        F.count(F.when((status == "fail") & (severity == "error"), 1)).alias("blocking"),
-        F.count(F.when(status == "needs_review", 1)).alias("in_review"),
+        *[c.alias(n) for n, c in _category_columns(cfg).items()],
+        *[F.count(F.when(sound & test, 1)).alias(n) for n, test in figures.items()],
+        *[c.alias(n) for n, c in {**kept, **raised}.items()],
     )
+    names = [c for c in counted.columns if not c.startswith("_")]
+    totals = {n: F.col(n) for n in names}
+    for k in range(len(broken)):
+        for n in figures:
+            own = F.when(F.col(f"_raised_{k}") > 0, int(n == "in_review")).otherwise(F.col(f"_{n}_{k}"))
+            totals[n] = totals[n] + own
+    return counted.select(*[c.cast("bigint").alias(n) if n in figures else c.alias(n) for n, c in totals.items()])
 
 
 def with_status(rollup: DataFrame) -> DataFrame:
     return rollup.withColumn("case_status", final_status((F.col("blocking") > 0) | (F.col("in_review") > 0)))
 
 
-def write_rollup(rollup: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def _folders(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Numbers of the batch folders and of the merged ones."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"batch": [], "merged": []}
+    if fs.exists(at):
+        for entry in fs.listStatus(at):
+            kind, _, number = entry.getPath().getName().partition("=")
+            done = fs.exists(_path(spark, f"{path}/{kind}={number}/_SUCCESS"))
+            if kind in found and number.isdigit() and done:
+                found[kind].append(int(number))
+    return {kind: sorted(numbers) for kind, numbers in found.items()}
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame | None:
+    """Newest figures of each case over the merged folder and the batches after it."""
+    found = _folders(spark, path)
+    base = found["merged"][-1:]
+    batches = [b for b in found["batch"] if not base or b > base[0]]
+    parts = [spark.read.parquet(f"{path}/merged={b}").withColumn("_batch", F.lit(b)) for b in base]
+    parts += [spark.read.parquet(f"{path}/batch={b}").withColumn("_batch", F.lit(b)) for b in batches]
+    if not parts:
+        return None
+    rows = reduce(DataFrame.unionByName, parts)
+    values = [c for c in rows.columns if c not in ("case_id", "_batch")]
+    return rows.groupBy("case_id").agg(F.max_by(F.struct(*values), "_batch").alias("_r")).select("case_id", "_r.*")
+
+
+def write_rollup(rollup: DataFrame, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        merged = _folders(spark, path)["merged"]
+        if merged and batch_id <= merged[-1]:
+            return  # a repeated batch whose rows are merged already
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        found = _folders(spark, path)
+        last = found["merged"][-1] if found["merged"] else -1
+        if batch_id - last >= compact_every:
+            _newest(spark, path).write.mode("overwrite").parquet(f"{path}/merged={batch_id}")
+            for kind, numbers in found.items():
+                for number in numbers:
+                    at = _path(spark, f"{path}/{kind}={number}")
+                    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     return (
         rollup.writeStream.outputMode("update")
@@ -67,7 +136,4 @@ def write_rollup(rollup: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 def current_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Newest figures of each case."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in ("case_id", "batch")]
-    newest = F.max_by(F.struct(*values), "batch").alias("_r")
-    return with_status(rows.groupBy("case_id").agg(newest).select("case_id", "_r.*"))
+    return with_status(_newest(spark, path))

@@ -7,16 +7,18 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
+from casequarry import scale
 from casequarry.functions.text import unicode_space
 from casequarry.functions.values import RECORD
 from casequarry.operators import conditions as cond
+from casequarry.operators import crossdoc as cd
 from casequarry.operators import model as mo
 from casequarry.operators import narrative
 from casequarry.operators.completeness import requirement_applies
 from casequarry.operators.guards import redact
 from casequarry.operators.stepdata import extraction_status
 from casequarry.operators.validate import triggered_rules
-from casequarry.sources.config import condition_row, default_config
+from casequarry.sources.config import condition_row, default_config, load_config
 
 CFG = default_config()
 STEP = dict(CFG.steps[0], max_retries=2, use_reflection=False, output_schema=None)
@@ -155,3 +157,59 @@ def test_a_skipped_source_document_is_still_shown(spark):
     extracted = spark.createDataFrame([], f"doc_id string, status string, extracted_data {RECORD}")
     row = extraction_status(eligible, extracted).first()
     assert (row.status, row.extracted_data) == ("skipped", {})
+
+
+@pytest.mark.parametrize("limit", [10, 37, 100_000])
+def test_long_lists_of_lines_come_in_parts(spark, limit):
+    rows = [("a" if k % 3 else "b", k, "x" * (k * 7 % 23) + str(k)) for k in range(90)] + [("c", 1, "y" * 60), ("c", 2, "z")]
+    df = spark.createDataFrame(rows, "k string, seq long, line string").repartition(5)
+    parts = scale.text_parts(df, ["k"], ["seq"], "line", limit).orderBy("part").collect()
+    for key in "abc":
+        own = [r.text for r in parts if r.k == key]
+        want = [line for k, _, line in sorted(rows, key=lambda r: r[1]) if k == key]
+        assert sorted(line for text in own for line in text.split("\n")) == sorted(want)
+        assert all(len(text) <= limit or "\n" not in text for text in own)
+        if limit == 100_000:
+            assert own == ["\n".join(want)]
+
+
+def test_a_case_of_several_prompts_is_asked_in_full(spark):
+    docs = _documents(spark, [(f"d{k}", "salary_slip", {"employee_name": ("x" * 50 + str(k), "string")}) for k in range(12)])
+    docs = docs.withColumn("status", F.lit("extracted"))
+
+    def model(batch):
+        replies = []
+        for p in batch["prompt"]:
+            risk = "high" if "x11" in p else "low"
+            found = "true" if "x5\"" in p else "false"
+            replies.append(f'{{"contradictions_found": {found}, "contradictions": [{{"type": "t{p.count("salary_slip.")}"}}], "overall_risk_assessment": "{risk}", "recommendation": "r_{risk}"}}')
+        return replies
+
+    ask = partial(mo.call_model, model_fn=model, keys=["case_id"])
+    per_case, items = cd.contradictions(docs, ask, max_chars=300)
+    row = per_case.first()
+    assert (row.contradictions_found, row.overall_risk_assessment, row.recommendation, row.error) == (True, "high", "r_high", None)
+    seen = [int(r.type[1:]) for r in items.collect()]
+    assert sum(seen) == 12 and len(seen) > 2
+    bad = partial(mo.call_model, model_fn=lambda b: [None if "x11" in p else model(b[b["prompt"] == p])[0] for p in b["prompt"]], keys=["case_id"])
+    assert cd.contradictions(docs, bad, max_chars=300)[0].first().recommendation == "flag_for_review"
+    values = docs.select("case_id", F.lit("f").alias("field"), "doc_seq", F.col("doc_id").alias("source"), F.lit("v" * 40).alias("value"))
+    same = partial(mo.call_model, model_fn=lambda b: ['{"is_consistent": true, "canonical_value": "v", "confidence": 0.5}'] * len(b), keys=["case_id"])
+    got = cd.semantic_consistency(values, same, max_chars=100).first()
+    assert (got.is_consistent, got.canonical_value, got.confidence) == (True, "v", 0.5)
+
+
+def test_each_process_has_its_own_pipeline(spark, tmp_path):
+    land = tmp_path / "countries" / "x" / "process"
+    land.mkdir(parents=True)
+    (tmp_path / "pipelines").mkdir()
+    for name in ("one", "two"):
+        (tmp_path / "pipelines" / f"{name}.yaml").write_text(f"name: p_{name}\nsteps:\n  - {{name: step_{name}, temperature: 0.{len(name)}}}\n")
+        (land / f"{name}.yaml").write_text(f"pipeline_config: configs/pipelines/{name}.yaml\nbusiness_unit: u\n")
+    (land / "three.yaml").write_text("pipeline_config: configs/pipelines/gone.yaml\n")
+    cfg = load_config(tmp_path)
+    assert {p["process_type"]: p["pipeline"] for p in cfg.processes} == {"one": "p_one", "two": "p_two", "three": "gone"}
+    cases = spark.createDataFrame([("x", p) for p in ("one", "two", "three", "four")], "c string, p string")
+    got = {r.p: r.name for r in cases.select("p", cfg.pipeline_of(F.col("c"), F.col("p")).alias("name")).collect()}
+    assert got == {"one": "p_one", "two": "p_two", "three": "gone", "four": "single_doc_extraction"}
+    assert cfg.steps_of("gone") == [] and [s["name"] for s in cfg.steps_of("p_two")] == ["step_two"]
