@@ -24,12 +24,6 @@ log = logging.getLogger(__name__)
 
 DEFAULT_PIPELINE = "single_doc_extraction"
 
-DOC_TYPE_SCHEMA = "country string, pos int, name string, description string, key_indicators array<string>"
-FIELD_SCHEMA = (
-    "country string, doc_type string, pos int, name string, type string, required boolean, pattern string, "
-    "alias array<string>, reasoning string"
-)
-RULE_SCHEMA = "country string, doc_type string, pos int, condition string, action string, severity string"
 CONDITION_SCHEMA = (
     "country string, process_type string, condition_seq int, condition_name string, description string, "
     "applies_to array<string>, check_type string, field string, operator string, value string, "
@@ -44,19 +38,6 @@ REQUIREMENT_SCHEMA = (
     "pos int, category string, doc_types array<string>, min_required int, max_accepted int, role string, "
     "condition string, temporal_constraints map<string,int>"
 )
-PII_SCHEMA = "scope string, pos int, name string, pattern string, replacement string, sensitivity string"
-STEP_SCHEMA = (
-    "pipeline string, backend_key string, pos int, name string, retry_on_failure boolean, max_retries int, "
-    "use_reflection boolean, output_schema array<string>, temperature double, inject_previous_results boolean"
-)
-
-
-def _table(text: str) -> list[list[str]]:
-    return [[cell.strip() for cell in line.split("|")] for line in text.strip().splitlines()]
-
-
-def _words(text: str) -> list[str]:
-    return [w.strip() for w in text.split(",") if w.strip()]
 
 
 # Stand-ins for the two values a message may name; a number that is to be formatted has its format in between.
@@ -128,35 +109,17 @@ class ReviewConfig:
         rows = [{"country": c, "country_code": code} for c, code in self.countries.items()]
         return config_table(spark, rows, "country string, country_code string")
 
-    def doc_type_table(self, spark: SparkSession) -> DataFrame:
-        return config_table(spark, self.doc_types, DOC_TYPE_SCHEMA)
-
     def schema_table(self, spark: SparkSession) -> DataFrame:
         return config_table(
             spark, self.schemas, "country string, doc_type string, schema_country string, business_unit string"
         )
 
-    def field_table(self, spark: SparkSession) -> DataFrame:
-        return config_table(spark, self.fields, FIELD_SCHEMA)
-
-    def rule_table(self, spark: SparkSession) -> DataFrame:
-        return config_table(spark, self.rules, RULE_SCHEMA)
-
     def condition_table(self, spark: SparkSession) -> DataFrame:
         return config_table(spark, self.conditions, CONDITION_SCHEMA)
 
     def category_table(self, spark: SparkSession) -> DataFrame:
         return config_table(spark, self.categories, CATEGORY_SCHEMA)
 
-    def requirement_table(self, spark: SparkSession) -> DataFrame:
-        return config_table(spark, self.requirements, REQUIREMENT_SCHEMA)
-
-    def step_table(self, spark: SparkSession) -> DataFrame:
-        return config_table(spark, self.steps, STEP_SCHEMA)
-
-    def pii_table(self, spark: SparkSession) -> DataFrame:
-        return config_table(spark, self.pii, PII_SCHEMA)
-
     # Plan-time access -----------------------------------------------------------------------------
     def pii_patterns(self) -> list[dict]:
         """Global patterns first, then those of each country, in the order they are applied."""
@@ -180,59 +143,31 @@ class ReviewConfig:
 def default_config() -> ReviewConfig:
     """The default country, built from the fixed values."""
     c = ReviewConfig(countries={fv.COUNTRY: fv.COUNTRY_CODE}, guards=fv.GUARDS)
-    for pos, (name, description, words) in enumerate(_table(fv.DOC_TYPES)):
-        c.doc_types.append(
-            dict(country=fv.COUNTRY, pos=pos, name=name, description=description, key_indicators=_words(words))
-        )
+    for pos, t in enumerate(fv.DOC_TYPES):
+        c.doc_types.append(dict(t, country=fv.COUNTRY, pos=pos))
         c.schemas.append(
-            dict(country=fv.COUNTRY, doc_type=name, schema_country=fv.COUNTRY_CODE, business_unit=fv.BUSINESS_UNIT)
+            dict(country=fv.COUNTRY, doc_type=t["name"], schema_country=fv.COUNTRY_CODE, business_unit=fv.BUSINESS_UNIT)
         )
-    for pos, (doc_type, name, kind, alias) in enumerate(_table(fv.FIELDS)):
+    every = [(doc_type, f) for doc_type, fields in fv.FIELDS.items() for f in fields]
+    for pos, (doc_type, (name, kind, required, alias)) in enumerate(every):
         c.fields.append(
             dict(
-                country=fv.COUNTRY, doc_type=doc_type, pos=pos, name=name, type=kind.rstrip("*"),
-                required=kind.endswith("*"), pattern=None, alias=_words(alias), reasoning=None,
+                country=fv.COUNTRY, doc_type=doc_type, pos=pos, name=name, type=kind, required=required, pattern=None,
+                alias=alias, reasoning=None,
             )
         )
-    for pos, (doc_type, condition, action, severity) in enumerate(_table(fv.RULES)):
-        c.rules.append(
-            dict(country=fv.COUNTRY, doc_type=doc_type, pos=pos, condition=condition, action=action, severity=severity)
-        )
+    for pos, rule in enumerate(fv.RULES):
+        c.rules.append(dict(rule, country=fv.COUNTRY, pos=pos))
     where = dict(country=fv.COUNTRY, process_type=fv.PROCESS)
-    for name, _file, applies_to, fld, operator, value, on_fail, severity, message, description in _table(
-        fv.DATE_CONDITIONS
-    ):
-        c.conditions.append(
-            condition_row(
-                **where, condition_seq=len(c.conditions), condition_name=name, description=description,
-                applies_to=_words(applies_to), check_type="deterministic", field=fld, operator=operator,
-                value=value or None, sources=None, llm_logic=None, on_fail=on_fail, severity=severity,
-                analyst_message=message,
-            )
-        )
-    for name, _file, sources, on_fail, severity, message, description, logic in _table(fv.MODEL_CONDITIONS):
-        c.conditions.append(
-            condition_row(
-                **where, condition_seq=len(c.conditions), condition_name=name, description=description, applies_to=[],
-                check_type="llm_assisted", field=None, operator=None, sources=_words(sources),
-                llm_logic=logic, on_fail=on_fail, severity=severity, analyst_message=message,
-            )
-        )
-    for pos, (category, types, low, high, description) in enumerate(_table(fv.REQUIRED_CATEGORIES)):
-        c.categories.append(
-            dict(
-                where, pos=pos, category=category, doc_types=_words(types), min_required=int(low),
-                max_accepted=int(high), description=description,
-            )
-        )
-    for pos, (name, retries, retry, reflect, temperature, inject) in enumerate(_table(fv.EXTRACTION_STEPS)):
-        c.steps.append(
-            dict(
-                pipeline=DEFAULT_PIPELINE, backend_key="default", pos=pos, name=name,
-                retry_on_failure=retry == "yes", max_retries=int(retries), use_reflection=reflect == "yes",
-                output_schema=None, temperature=float(temperature), inject_previous_results=inject == "yes",
-            )
-        )
+    by_rule = dict(check_type="deterministic", sources=None, llm_logic=None)
+    by_model = dict(check_type="llm_assisted", applies_to=[], field=None, operator=None)
+    for given, rest in [*((g, by_rule) for g in fv.DATE_CONDITIONS), *((g, by_model) for g in fv.MODEL_CONDITIONS)]:
+        row = {k: v for k, v in given.items() if k != "name"}
+        c.conditions.append(condition_row(**where, **rest, **row, condition_seq=len(c.conditions), condition_name=given["name"]))
+    for pos, category in enumerate(fv.REQUIRED_CATEGORIES):
+        c.categories.append(dict(where, **category, pos=pos))
+    for pos, step in enumerate(fv.EXTRACTION_STEPS):
+        c.steps.append(dict(step, pipeline=DEFAULT_PIPELINE, backend_key="default", pos=pos, output_schema=None))
     for scope, patterns in [("global", fv.PII_GLOBAL), *fv.PII_BY_COUNTRY_CODE.items()]:
         for pos, (name, pattern, replacement, sensitivity) in enumerate(patterns):
             c.pii.append(
