@@ -70,6 +70,7 @@ def review_cases(
     respect_overrides: bool = True,
 ) -> Review:
     """Review all cases. Each is extracted by the pipeline that its process names, unless ``pipeline`` names one for all."""
+    cfg = cfg.covering(cases)
     base = attach_case(docs, cases, cfg)
     classifications = cut_lineage(classify(base, cfg, model.classify), "classifications")
     typed = apply_classification(base, classifications)

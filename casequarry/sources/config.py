@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from string import Formatter
 from typing import Any
@@ -101,6 +101,7 @@ class ReviewConfig:
     requirements: list[dict] = field(default_factory=list)
     steps: list[dict] = field(default_factory=list)
     processes: list[dict] = field(default_factory=list)  # country, process_type, pipeline, business_unit
+    country_conditions: dict[str, list[dict]] = field(default_factory=dict)  # all condition files, for processes without a file
     guards: dict = field(default_factory=dict)
     pii: list[dict] = field(default_factory=list)
 
@@ -125,6 +126,22 @@ class ReviewConfig:
         """Global patterns first, then those of each country, in the order they are applied."""
         return sorted(self.pii, key=lambda p: (p["scope"] != "global", p["scope"], p["pos"]))
 
+    def covering(self, cases: DataFrame) -> ReviewConfig:
+        """The configuration with the conditions of the cases' processes that have no file: all of their country's.
+
+        What is collected are the names of processes, which are as few as an institution has.
+        """
+        known = {(p["country"], p["process_type"]) for p in self.processes}
+        known |= {(c["country"], c["process_type"]) for c in self.conditions}
+        pairs = cases.select("country", "process_type").distinct().where(F.col("country").isin(list(self.country_conditions)))
+        more = [
+            dict(c, process_type=r.process_type)
+            for r in sorted(pairs.collect(), key=str)
+            if r.process_type is not None and (r.country, r.process_type) not in known
+            for c in self.country_conditions[r.country]
+        ]
+        return replace(self, conditions=[*self.conditions, *more]) if more else self
+
     def pipelines(self) -> list[str]:
         """Names of the extraction pipelines that processes use; the default comes first."""
         return list(dict.fromkeys([DEFAULT_PIPELINE, *(p["pipeline"] for p in self.processes)]))
@@ -244,8 +261,8 @@ def _conditions_of(folder: Path, country: str, process_type: str, files: list[st
 def load_config(folder: str | Path, extra_processes: dict[str, list[str]] | None = None) -> ReviewConfig:
     """Read a configuration folder.
 
-    ``extra_processes`` names, per country, process types that have no process file: they use every
-    condition file of the country and require no category.
+    Process types without a process file use every condition file of the country and require no category; a review
+    finds them in its cases (``ReviewConfig.covering``). ``extra_processes`` names some per country beforehand.
     """
     root = Path(folder)
     guards = _read_yaml(root / "guardrails" / "global.yaml")
@@ -317,8 +334,9 @@ def load_config(folder: str | Path, extra_processes: dict[str, list[str]] | None
                         description=r.get("description", category),
                     )
                 )
+        files = sorted(p.stem for p in (land / "conditions").glob("*.yaml"))
+        c.country_conditions[country] = _conditions_of(land, country, "", files)
         for process_type in (extra_processes or {}).get(country, []):
             if not (land / "process" / f"{process_type}.yaml").exists():
-                files = sorted(p.stem for p in (land / "conditions").glob("*.yaml"))
-                c.conditions.extend(_conditions_of(land, country, process_type, files))
+                c.conditions.extend(dict(row, process_type=process_type) for row in c.country_conditions[country])
     return c

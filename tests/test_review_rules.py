@@ -212,4 +212,8 @@ def test_each_process_has_its_own_pipeline(spark, tmp_path):
     cases = spark.createDataFrame([("x", p) for p in ("one", "two", "three", "four")], "c string, p string")
     got = {r.p: r.name for r in cases.select("p", cfg.pipeline_of(F.col("c"), F.col("p")).alias("name")).collect()}
     assert got == {"one": "p_one", "two": "p_two", "three": "gone", "four": "single_doc_extraction"}
+    (land.parent / "conditions").mkdir()
+    (land.parent / "conditions" / "c.yaml").write_text("conditions:\n  - {name: n, description: d, logic: {field: f, operator: equals, value: 1}}\n")
+    wide = load_config(tmp_path).covering(cases.withColumnsRenamed({"c": "country", "p": "process_type"}))
+    assert [(c["process_type"], c["condition_name"]) for c in wide.conditions] == [("four", "n")]
     assert cfg.steps_of("gone") == [] and [s["name"] for s in cfg.steps_of("p_two")] == ["step_two"]
