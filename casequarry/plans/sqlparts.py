@@ -168,7 +168,8 @@ ATTEMPTS = """attempts AS (
 cleaned AS (
   SELECT *, CASE WHEN raw LIKE '```%' THEN regexp_extract(raw, '(?s)```json\\n(.*)\\n```', 1) ELSE raw END AS clean FROM attempts),
 judged AS (
-  SELECT *, error IS NULL AND json_valid(clean) AND json_type(clean) = 'OBJECT' AND json_exists(clean, '$.v') AS good, CASE WHEN error IS NOT NULL THEN error WHEN NOT json_valid(clean) THEN 'JSON parse error: invalid JSON'
+  SELECT *, CASE WHEN error IS NOT NULL OR clean IS NULL THEN false WHEN NOT json_valid(clean) THEN false WHEN json_type(clean) <> 'OBJECT' THEN false
+              ELSE json_exists(clean, '$.v') END AS good, CASE WHEN error IS NOT NULL THEN error WHEN NOT json_valid(clean) THEN 'JSON parse error: invalid JSON'
               WHEN json_type(clean) <> 'OBJECT' THEN 'JSON parse error: Expected JSON object, got list'
               WHEN NOT json_exists(clean, '$.v') THEN 'Schema validation errors: [''Missing key: v'']' ELSE '' END AS problem
   FROM cleaned)"""
