@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +38,8 @@ SAMPLE_WORDS = 120
 SAMPLE_CHARS = 4000
 FEATURES = 1 << 16
 STEPS = 25
+#: Words whose distributions the fit holds at once.
+STEP_WORDS = 50_000
 #: Words that a worker remembers with their scores, and words of a chunk.
 REMEMBERED = 300_000
 CHUNK = 64
@@ -152,10 +155,14 @@ def fit(samples: list[tuple[str, str]], steps: int = STEPS) -> Field | None:
     count = Counter(w for _, words in own for w in words)
     lexicon = frozenset(w for w, n in count.items() if n > 1)
     place = {w: k for k, w in enumerate(count)}
-    found = [features(w, lexicon) for w in place]
-    at = np.concatenate([[0], np.cumsum([len(f) for f in found[:-1]])]).astype(np.int64)
-    flat = np.concatenate([np.array(f) for f in found])
-    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    held, sizes = array("i"), array("i")
+    for w in place:
+        found = features(w, lexicon)
+        held.extend(found)
+        sizes.append(len(found))
+    flat, sizes = np.array(held), np.array(sizes)
+    at, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    del held
 
     # Half of the windows follow one another in sequences of different documents.
     rng = np.random.default_rng(7)
@@ -183,23 +190,28 @@ def fit(samples: list[tuple[str, str]], steps: int = STEPS) -> Field | None:
 
     kinds, n = len(langs), len(word)
     weights, moves = np.zeros((FEATURES, kinds)), np.zeros((kinds, kinds))
-    truth = np.zeros((n, kinds))
-    truth[np.arange(n), label] = 1.0
-    switch = np.flatnonzero(~first)
-    true_moves = np.zeros((kinds, kinds))
-    np.add.at(true_moves, (label[switch - 1], label[switch]), 1.0)
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.searchsorted(ends, np.arange(STEP_WORDS, n, STEP_WORDS), "left"))
+    blocks = [part for part in np.split(np.arange(len(lengths)), cuts) if len(part)]
     speed, size = [np.zeros_like(weights), np.zeros_like(moves)], [np.zeros_like(weights), np.zeros_like(moves)]
     for step in range(1, steps + 1):
-        scaled = _scaled(np.add.reduceat(weights[flat], at, axis=0))
-        each, power = scaled[word], np.exp(moves)
-        post, ahead = posteriors(each, power, lengths)
-        # A pair's distribution: the forward part before it, the move, and the word's own distribution.
-        moved = ahead[switch - 1][:, :, None] * power
-        expected = (moved / moved.sum(axis=1, keepdims=True) * post[switch][:, None, :]).sum(axis=0)
-        rest = truth - post
-        by_word = np.stack([np.bincount(word, rest[:, k], minlength=len(found)) for k in range(kinds)], axis=1)
+        scaled = _scaled(np.stack([np.add.reduceat(weights[flat, k], at) for k in range(kinds)], axis=1))
+        power = np.exp(moves)
+        by_word, of_moves = np.zeros((len(sizes), kinds)), np.zeros((kinds, kinds))
+        for part in blocks:  # sequences by some words at a time
+            own = slice(ends[part[0]] - lengths[part[0]], ends[part[-1]])
+            here, true = word[own], label[own]
+            post, ahead = posteriors(scaled[here], power, lengths[part])
+            switch = np.flatnonzero(~first[own])
+            # A pair's distribution: the forward part before it, the move, and the word's own distribution; all at once.
+            before = ahead[switch - 1]
+            of_moves -= power * (before.T @ (post[switch] / (before @ power)))
+            np.add.at(of_moves, (true[switch - 1], true[switch]), 1.0)
+            post[np.arange(len(true)), true] -= 1.0
+            for k in range(kinds):
+                by_word[:, k] -= np.bincount(here, post[:, k], minlength=len(sizes))
         by_feature = np.stack([np.bincount(flat, by_word[owner, k], minlength=FEATURES) for k in range(kinds)], axis=1)
-        for k, (values, gradient) in enumerate(((weights, by_feature / n - 1e-6 * weights), (moves, (true_moves - expected) / n - 1e-6 * moves))):
+        for k, (values, gradient) in enumerate(((weights, by_feature / n - 1e-6 * weights), (moves, of_moves / n - 1e-6 * moves))):
             speed[k] = 0.8 * speed[k] + 0.2 * gradient
             size[k] = 0.95 * size[k] + 0.05 * gradient**2
             values += 0.1 * (speed[k] / (1 - 0.8**step)) / (np.sqrt(size[k] / (1 - 0.95**step)) + 1e-8)
