@@ -144,9 +144,9 @@ def find_copies(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = store.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    gone = find_copies(numbered, id_col, text_col, "_row").where(~F.col("kept"))
-    return numbered.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    rows, row = store.numbered(docs)
+    gone = find_copies(rows, id_col, text_col, row).where(~F.col("kept"))
+    return rows.join(gone.select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

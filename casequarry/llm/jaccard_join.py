@@ -309,10 +309,14 @@ def _links(sets: DataFrame, similar: int) -> DataFrame:
 
     # What is left: sets of different components that share a prefix token, block by block.
     star_of = pairs.select(F.col("a").alias("e"), F.col("b").alias("o"), "shared").unionByName(pairs.select(F.col("b").alias("e"), F.col("a").alias("o"), "shared"))
-    orbit = star_of.groupBy("e").agg(F.max(F.struct("shared", -F.col("o"))).alias("most"))
-    alone = sets.select("e", "n", "own", F.size("tokens").alias("weight"))
+    # The orbit of a set is the component of its closest partner, so a crowd's outsiders share their blocks.
+    orbit = star_of.groupBy("e").agg(F.max(F.struct("shared", (-F.col("o")).alias("less"))).alias("most"))
+    orbit = orbit.select("e", (-F.col("most.less")).alias("o"))
+    other = roots.select(F.col("node").alias("o"), F.col("root").alias("near"))
+    orbit = orbit.join(other, "o", "left").select("e", F.coalesce("near", "o").alias("orbit"))
+    alone = sets.select("e", F.size("tokens").alias("weight"))
     known = alone.join(roots.withColumnRenamed("node", "e"), "e", "left").join(orbit, "e", "left")
-    known = known.select("e", "weight", F.coalesce("root", "e").alias("root"), F.coalesce(F.least(F.col("e"), -F.col("most").getField("col2")), "e").alias("orbit"))
+    known = known.select("e", "weight", F.coalesce("root", "e").alias("root"), F.coalesce("orbit", "root", "e").alias("orbit"))
     crowd = known.groupBy("root").agg(F.count(F.lit(1)).alias("crowd"))
     known = known.join(crowd, "root").withColumn("kind", F.when(F.col("crowd") >= BLOCK_SETS // 4, F.col("root")).otherwise(-1))
     known = known.withColumn("orbit", F.when(F.col("kind") >= 0, F.col("root")).otherwise(F.col("orbit")))
@@ -373,9 +377,9 @@ def find_similar(
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, the one of the smallest id, with all its columns."""
-    numbered = store.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    gone = find_similar(numbered, id_col, text_col, "_row").where(~F.col("first"))
-    return numbered.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    rows, row = store.numbered(docs)
+    gone = find_similar(rows, id_col, text_col, row).where(~F.col("first"))
+    return rows.join(gone.select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +34,14 @@ def reread(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows written with a number each, and the name of its column, which none of theirs has."""
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -53,6 +53,6 @@ def test_chain_of_one_fingerprint(documents, monkeypatch):
 
 
 def test_clashing_column_names(documents):
-    docs = documents("a", "a").withColumns({n: F.lit(1) for n in ("h", "row", "norm", "bucket", "first", "entry", "kept")})
+    docs = documents("a", "a").withColumns({n: F.lit(1) for n in ("h", "row", "norm", "bucket", "first", "entry", "kept", "_row")})
     assert e.drop_copies(docs).columns == docs.columns
     assert e.drop_copies(docs).count() == 1
