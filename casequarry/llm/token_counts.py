@@ -84,7 +84,7 @@ class _Block:
         common = spread * COMMON >= docs
         here = np.zeros(len(words), np.int64)
         at = np.flatnonzero(common)
-        here[at] = tokenizer.counts([words[k] for k in at])
+        here[at] = [tokenizer.count(words[k]) for k in at]
         sums = np.bincount(who, here[what] * n, minlength=docs).astype(np.int64)
         yield {"bucket": -1, "block": block, "doc_ids": self.doc_ids, "n_bytes": self.n_bytes, "sums": sums.tolist(), "payload": None}
         rest = np.flatnonzero(~common)
@@ -134,7 +134,7 @@ def _partial_sums(path: str):
                         if len(known) + len(new) > REMEMBERED:
                             known.clear()
                             new = words
-                        known.update(zip(new, tokenizer.counts(new), strict=True))
+                        known.update((w, tokenizer.count(w)) for w in new)
                     each = np.repeat([known[w] for w in words], np.frombuffer(spread, "<u4"))
                     docs = int.from_bytes(docs, "little")
                     sums = np.bincount(np.frombuffer(who, "<u4"), each * np.frombuffer(n, "<u4"), minlength=docs)

@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Pre-tokens that one worker remembers; beyond that it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Characters that every version of the Unicode tables puts into the same class.
 _UNSURE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-ԯ]")
 _LONG = 4_000_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on."""
+    seen = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Pieces:
     """Pre-tokens of a text as the library splits it, and their ids."""
 
@@ -29,7 +39,7 @@ class Pieces:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = frozenset(special)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self._ids: dict[str, bytes] = {}
+        self._ids = _Remembered(self.encode)
 
     def _plain(self, text: str) -> Iterable[str]:
         if _UNSURE.search(text):
@@ -44,36 +54,38 @@ class Pieces:
             return self._plain(text)
         return (p for part in self._special.split(text) if part for p in ((part,) if part in self.special else self._plain(part)))
 
-    def encode(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids of different pre-tokens, as little-endian unsigned 32-bit numbers."""
-        own = list(pieces)
-        found = self.tokenizer.encode_batch_fast(own, add_special_tokens=False)
-        return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(own, found, strict=True)}
+    def encode(self, piece: str) -> bytes:
+        """Ids of one pre-token, as little-endian unsigned 32-bit numbers."""
+        if piece in self.special:
+            ids = [self.tokenizer.token_to_id(piece)]
+        else:
+            ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return array("I", ids).tobytes()
 
-    def counts(self, pieces: list[str]) -> list[int]:
-        """Number of ids of each pre-token; the ids aren't kept."""
-        return [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def count(self, piece: str) -> int:
+        """Number of ids of one pre-token; the ids aren't kept."""
+        return len(self.encode(piece)) // 4
 
     def ids(self, text: str) -> bytes:
-        pieces = self.split(text)
-        if not isinstance(pieces, list):
-            pieces = list(pieces)
-        known = self._ids
-        if new := {p for p in pieces if p not in known}:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(pieces)
-            known.update(self.encode(new))
-        return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self._ids.__getitem__, self.split(text)))
 
 
-_loaded: dict[str, Pieces] = {}
+class _Remembered(dict):
+    """Ids by pre-token, made when first asked for; begins anew when it is full."""
 
+    def __init__(self, encode):
+        self._encode = encode
 
-def pieces_of(path: str) -> Pieces:
-    """The tokenizer of this worker."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[piece] = self._encode(piece)
+        return found
 
 
+def pieces_of(path: str) -> Pieces:
+    """The tokenizer of this worker. Tasks bring this package's code along, so it is kept at the installed package."""
+    loaded = vars(public_tokenizers).setdefault("_loaded_pieces", {})
+    if path not in loaded:
+        loaded[path] = Pieces(path)
+    return loaded[path]
