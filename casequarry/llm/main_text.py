@@ -132,7 +132,10 @@ def learn_weights(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[st
     store.small_batches(pages.sparkSession)
     lower = F.lower("html")
     labelled = pages.where(lower.contains("<article") | lower.contains("<main"))
-    sample = labelled.select("page_id", "html").orderBy(F.xxhash64("page_id", "html"), "page_id").limit(sample_pages)
+    key = F.xxhash64("page_id", "html")
+    share = min(1.0, 1.5 * sample_pages / max(1, labelled.count()))  # no task has to hand on many more than are needed
+    drawn = labelled.select("page_id", "html").where(F.pmod(key, F.lit(1 << 20)) <= share * (1 << 20))
+    sample = drawn.orderBy(F.pmod(key, F.lit(1 << 20)), key, "page_id").limit(sample_pages)
     counts = sample.select("html").mapInPandas(_count_kinds, "kind string, inside boolean, n long")
     rows = counts.groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
     return weights_of({(r.kind, r.inside): r.n for r in rows})
