@@ -34,6 +34,8 @@ from casequarry.llm import store
 
 SAMPLE_DOCS = 3000
 SAMPLE_WORDS = 120
+#: More different values of ``lang`` are joined by a shuffle instead of a broadcast.
+MOST_LANGS = 10_000
 #: Of a sampled window, at most so many characters.
 SAMPLE_CHARS = 4000
 FEATURES = 1 << 16
@@ -228,10 +230,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
         (F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    langs = langs.crossJoin(langs.agg(F.count(F.lit(1)).alias("langs")))  # one row beside a few
-    share = (F.lit(float(sample_docs)) / (F.col("langs") * F.col("n"))).alias("share")
+    many = langs.count()
+    share = (F.lit(float(sample_docs)) / (max(1, many) * F.col("n"))).alias("share")
+    shares = langs.select("lang", share)
+    shares = F.broadcast(shares) if many <= MOST_LANGS else shares
     key = F.xxhash64("doc_id", "text")
-    drawn = known.withColumn("key", key).join(F.broadcast(langs.select("lang", share)), "lang")
+    drawn = known.withColumn("key", key).join(shares, "lang")
     drawn = drawn.where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     words = F.split("text", r"\s+")
     window = F.slice(words, (1 + F.pmod("key", F.greatest(F.lit(1), F.size(words) - SAMPLE_WORDS + 1))).cast("int"), SAMPLE_WORDS)
