@@ -1,11 +1,12 @@
 """Benchmark passages in training documents, found by spaced seeds.
 
 Texts are runs of letters and digits in lower case. A mask takes some of the words from a place on and ignores the
-others, so a seed still fits where an ignored word was replaced. Seeds of all documents are joined to those of the
-benchmark; a hit names a document, an item and how they lie to each other. Around each hit the item is laid over the
-document and equal words are counted: it is a match if some ``WINDOW`` words of the item in a row (all, of a shorter
-item) have at least ``LEAST_EQUAL`` equal ones. Items under 8 words must be equal throughout; items under 5 words can't
-be told from chance and match nothing.
+others, so a seed still fits where an ignored word was replaced; whichever words of an item are replaced, as long as it
+is a match by the count below, one mask fits somewhere (the tests go through all cases). Seeds of all documents are
+joined to those of the benchmark; a hit names a document, an item and how they lie to each other. Around each hit the
+item is laid over the document and equal words are counted: it is a match if some ``WINDOW`` words of the item in a row
+(all, of a shorter item) have at least ``LEAST_EQUAL`` equal ones. Items under 8 words must be equal throughout; items
+under 5 words can't be told from chance and match nothing.
 
 DataFrame functions only. Seeds of the benchmark are broadcast up to ``BROADCAST_SEEDS`` rows; beyond that the join
 shuffles. A document's words are never copied to its seeds: hits are narrow rows, and only their distinct
@@ -26,6 +27,8 @@ from casequarry.llm import store
 #: Places of the words that a mask takes, and the fewest words of an item that it serves.
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
 SHORT_MASK = (0, 1, 2, 3, 4)
+#: The most words of an item that the short mask serves: up to here the others alone miss some of its matches.
+SHORT_MASK_WORDS = 16
 LEAST_WORDS = 5
 SHORT_WORDS = 8
 WINDOW = 20
@@ -77,7 +80,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kinds = items.groupBy("own").agg(F.min(F.struct(F.col("item_id").isNull(), "item_id")).alias("least"))
     kinds = store.written(kinds.select(F.xxhash64("own").alias("kind"), "own"), "kinds")
 
-    serves = [(mask, F.size("own") >= SHORT_WORDS) for mask in MASKS] + [(SHORT_MASK, F.size("own") < SHORT_WORDS)]
+    serves = [(mask, F.size("own") >= SHORT_WORDS) for mask in MASKS] + [(SHORT_MASK, F.size("own") <= SHORT_MASK_WORDS)]
     parts = [
         kinds.where(fits).select("kind", F.lit(k).alias("mask"), F.posexplode(seeds(F.col("own"), mask)).alias("at", "seed"))
         for k, (mask, fits) in enumerate(serves)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -63,6 +64,19 @@ def test_replaced_words_cut_items_and_odd_rows(spark, documents):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 5
 
 
+def test_any_words_that_a_match_may_lack(spark, documents):
+    """Every choice of replaced words that leaves an item of 5 to 20 words a match, each as a document."""
+    bench, texts = [], []
+    for n in range(d.LEAST_WORDS, d.WINDOW + 1):
+        item = [f"w{n}x{k}" for k in range(n)]
+        bench.append(" ".join(item))
+        lack = 0 if n < d.SHORT_WORDS else n - -(-n * 4 // 5)
+        for gone in itertools.combinations(range(n), lack):
+            texts.append((n, " ".join("other" if k in gone else w for k, w in enumerate(item))))
+    found = d.find_passages(documents(*((k, t) for k, (_, t) in enumerate(texts))), items(spark, *bench)).collect()
+    assert {(r.doc_id, r.item_words) for r in found} == {(k, n) for k, (n, _) in enumerate(texts)} and len(texts) > 8000
+
+
 def test_empty_tables_and_wide_benchmark(spark, documents, monkeypatch):
     docs, bench = documents("a b c d e f g h i j"), items(spark, "a b c d e f g h i j")
     assert d.find_passages(docs.limit(0), bench).count() == 0
