@@ -14,6 +14,7 @@ MODULES = [
     "decontaminate",
     "suffix_dedup",
     "substring_dedup",
+    "filter_audit",
 ]
 
 
