@@ -15,6 +15,7 @@ MODULES = [
     "suffix_dedup",
     "substring_dedup",
     "filter_audit",
+    "prefix_trie",
 ]
 
 
