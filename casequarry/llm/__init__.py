@@ -16,6 +16,7 @@ MODULES = [
     "substring_dedup",
     "filter_audit",
     "prefix_trie",
+    "sharding",
 ]
 
 
