@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from casequarry import fixed_values as fv
 from casequarry.functions.jsonobj import parse_object_text
 from casequarry.functions.values import field_of, record_json, to_float
-from casequarry.operators.prompts import contradiction_prompts, document_lines, entity_prompts, semantic_prompts
+from casequarry.operators.prompts import (
+    contradiction_prompts,
+    cross_validation_prompts,
+    document_lines,
+    entity_prompts,
+    semantic_prompts,
+)
 from casequarry.scale import cut_lineage, lookup, settle
 
 # Lines of one prompt; a case with more is asked about in several prompts and the replies are merged.
@@ -101,10 +107,12 @@ def contradictions(
 ) -> tuple[DataFrame, DataFrame]:
     """(per case, one row per contradiction) as the model reports them.
 
-    Over several prompts a contradiction in one is the case's, all of them are listed, and the gravest risk stands with
-    its recommendation; a failed prompt flags the case.
+    Over several prompts a contradiction in one is the case's, and the gravest risk stands with its recommendation; a
+    failed prompt flags the case. A contradiction between the same fields of the same documents is listed once, from the
+    first prompt that has it.
     """
-    read, record, problem = _read(ask(contradiction_prompts(docs, max_chars, focus)))
+    made = ask(contradiction_prompts(docs, max_chars, focus))
+    read, record, problem = _read(cut_lineage(made, "contradictions"))
     parts = read.select(
         "case_id",
         "part",
@@ -123,7 +131,18 @@ def contradictions(
         F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("part"))).alias("error"),
     )
     items = parts.select("case_id", "part", F.posexplode("_items").alias("pos", "item")).select("case_id", "part", "pos", "item.*")
-    return per_case, items
+    return per_case, _listed_once(items)
+
+
+def _listed_once(items: DataFrame) -> DataFrame:
+    """Contradictions without those that an earlier prompt of the case has reported; those without documents stay."""
+    about = F.xxhash64("case_id", F.array_sort("documents_involved"), F.array_sort("fields_involved"))
+    marked = items.withColumn("_about", F.when(F.col("documents_involved").isNotNull(), about))
+    first = marked.where("_about IS NOT NULL").groupBy("case_id", "_about").agg(F.min("part").alias("_first"))
+    # Only cases of several prompts can repeat themselves.
+    again = first.select("case_id", "_about", "_first").withColumnsRenamed({"case_id": "_case", "_about": "_same"})
+    met = (F.col("case_id") == F.col("_case")) & (F.col("_about") == F.col("_same")) & (F.col("part") > F.col("_first"))
+    return marked.join(again, met, "left_anti").select(*items.columns)
 
 
 def anchored_pairs(docs: DataFrame, anchor_type: str, other_type: str, entity_type: str = "person") -> DataFrame:
@@ -165,10 +184,35 @@ VALIDATIONS = "array<struct<rule_name:string,passed:boolean,details:string,sever
 
 
 def parse_cross_validation(replies: DataFrame) -> DataFrame:
-    """One row per case and validated rule from ``raw_response``."""
+    """One row per case and validated rule from ``raw_response``: (case_id, pos, rule_name, passed, details, severity).
+
+    A rule that several prompts of a case (``part``) were asked about has failed if it failed in one; details and
+    severity are those of its first failure, else of the first prompt. Items without a name are not merged.
+    """
     record = parse_object_text(F.col("raw_response"))["record"]
     items = F.from_json(field_of(record, "validations")["text"], VALIDATIONS)
-    return replies.select("case_id", F.posexplode(items).alias("pos", "v")).select("case_id", "pos", "v.*")
+    part = F.col("part") if "part" in replies.columns else F.lit(0).cast("bigint")
+    rows = replies.select("case_id", part.alias("part"), F.posexplode(items).alias("pos", "v")).select("case_id", "part", "pos", "v.*")
+    nameless = F.when(F.col("rule_name").isNull(), F.struct("part", "pos"))
+    rank = F.struct(F.coalesce("passed", F.lit(True)), "part", "pos")
+    merged = rows.groupBy("case_id", "rule_name", nameless.alias("_own")).agg(
+        F.min_by("pos", F.struct("part", "pos")).alias("pos"),
+        F.bool_and("passed").alias("passed"),
+        F.min_by("details", rank).alias("details"),
+        F.min_by("severity", rank).alias("severity"),
+    )
+    return merged.select("case_id", "pos", "rule_name", "passed", "details", "severity")
+
+
+def cross_validations(
+    cases: DataFrame,
+    docs: DataFrame,
+    rules: list[dict],
+    ask: Callable[[DataFrame], DataFrame],
+    max_chars: int = MODEL_INPUT_CHARS,
+) -> DataFrame:
+    """The rules checked on the documents of every case by the model: one row per case and rule."""
+    return parse_cross_validation(ask(cross_validation_prompts(cases, docs, rules, max_chars)))
 
 
 def documents_by_type(docs: DataFrame, doc_type: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
 from casequarry.functions.values import empty_record, field_of, json_cell, record_json
-from casequarry.scale import bounded_text, config_table, text_parts
+from casequarry.scale import bounded_text, config_table, paired_parts, text_parts
 from casequarry.sources.config import ReviewConfig
 
 FENCE = "\n```\n"
@@ -265,12 +265,13 @@ def document_lines(docs: DataFrame) -> DataFrame:
 def cross_validation_prompts(cases: DataFrame, docs: DataFrame, rules: list[dict], max_chars: int) -> DataFrame:
     """Documents of a case and the rules to check on them; (case_id, part, prompt).
 
-    Here and below, lines that are more than ``max_chars`` are asked about in several prompts, each line in one.
+    Here and for contradictions, documents of more than ``max_chars`` are asked about in several prompts, such that any
+    two documents are together in one.
     """
     rule_lines = "\n".join(
         f"- {r['name']}: {r['description']} [fields: {', '.join(r['fields'])}; severity: {r['severity']}]" for r in rules
     )
-    lines = text_parts(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
+    lines = paired_parts(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
     head = F.concat(F.lit("Validate the documents of a "), F.col("country"), F.lit(" case.\n\nDocuments:\n"))
     tail = f"\n\nRules:\n{rule_lines}{VALIDATE_TAIL}"
     return cases.join(lines, "case_id", "inner").select("case_id", "part", F.concat(head, "text", F.lit(tail)).alias("prompt"))
@@ -279,7 +280,8 @@ def cross_validation_prompts(cases: DataFrame, docs: DataFrame, rules: list[dict
 def semantic_prompts(values: DataFrame, max_chars: int) -> DataFrame:
     """Values of one field across the documents of a case; (case_id, field, part, prompt).
 
-    ``values``: case_id, field, doc_seq, source, value (text).
+    ``values``: case_id, field, doc_seq, source, value (text). Values of more than ``max_chars`` are asked about in several
+    prompts, each value in one: the replies' canonical values are compared afterwards.
     """
     line = F.concat(F.lit("- "), "source", F.lit(": "), "value")
     lines = values.where(F.col("value").isNotNull()).withColumn("line", line)
@@ -290,7 +292,7 @@ def semantic_prompts(values: DataFrame, max_chars: int) -> DataFrame:
 
 def contradiction_prompts(docs: DataFrame, max_chars: int, focus: list[str] | None = None) -> DataFrame:
     """All extracted data of a case; (case_id, part, prompt)."""
-    lines = text_parts(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
+    lines = paired_parts(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
     head = "Find contradictions between the documents of a credit case.\n\nDocuments:\n"
     tail = (f"\n\nFocus on: {', '.join(focus)}" if focus else "") + CONTRADICTION_TAIL
     return lines.select("case_id", "part", F.concat(F.lit(head), "text", F.lit(tail)).alias("prompt"))

@@ -539,6 +539,73 @@ def cross_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", big("pos").alias("pos"), "rule_name", "passed", "severity")
 
 
+# Cases of more characters than this are asked about in several prompts; most cases here are.
+PAIRED_CHARS = 600
+_STEP = PAIRED_CHARS // 4
+_PAIRED = f"""case_texts AS (
+  SELECT case_id, doc_seq, line, length(line) + 1 AS len, CAST(sum(length(line) + 1) OVER (PARTITION BY case_id ORDER BY doc_seq) AS BIGINT) AS stop,
+    sum(length(line) + 1) OVER (PARTITION BY case_id) - 1 AS chars
+  FROM (SELECT case_id, doc_seq, doc_type || '.' || doc_id || ': ' || record AS line FROM records WHERE status = 'extracted' AND members <> '')),
+blocks AS (
+  SELECT case_id, CASE WHEN chars <= {PAIRED_CHARS} THEN 0 ELSE 2 * ((stop - len) // {_STEP}) + CAST(len > {_STEP} AS INT) END AS block,
+    string_agg(line, chr(10) ORDER BY doc_seq) AS text FROM case_texts GROUP BY case_id, block),
+placed AS (SELECT case_id, text, row_number() OVER (PARTITION BY case_id ORDER BY block) - 1 AS k, count(*) OVER (PARTITION BY case_id) AS n FROM blocks),
+pairs AS (
+  SELECT a.case_id, b.k * (b.k - 1) // 2 + a.k AS part, a.text || chr(10) || b.text AS text FROM placed a JOIN placed b ON a.case_id = b.case_id AND a.k < b.k
+  UNION ALL SELECT case_id, 0, text FROM placed WHERE n = 1)"""
+
+
+@query(with_(DOCS, FIELDS, RECORDS, _PAIRED) + f"""
+SELECT case_id, part, sha256('Find contradictions between the documents of a credit case.' || chr(10) || chr(10) || 'Documents:' || chr(10) || text ||
+  {lit(pr.CONTRADICTION_TAIL)}) AS prompt_hash FROM pairs""")
+def paired_contradiction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases that take several prompts: any two of their documents are together in one."""
+    rows = pr.contradiction_prompts(inputs.home_documents(spark, sf_dir), PAIRED_CHARS)
+    return rows.select("case_id", "part", digest("prompt").alias("prompt_hash"))
+
+
+@query(with_(DOCS, FIELDS, RECORDS, _PAIRED) + """
+SELECT case_id, 0 AS part, 'same' AS type, 'b,a' AS docs FROM pairs GROUP BY case_id UNION ALL SELECT case_id, part, 'own', 'd' || part FROM pairs""")
+def paired_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contradictions out of several prompts: one that all of a case's prompts report is listed once."""
+
+    def ask(prompts: DataFrame) -> DataFrame:
+        own = F.concat(F.lit('{"type": "own", "documents_involved": ["d'), F.col("part").cast("string"), F.lit('"]}'))
+        same = F.when(F.col("part") % 2 == 0, '{"type": "same", "documents_involved": ["b", "a"], "fields_involved": ["f", "g"]}').otherwise(
+            '{"type": "other", "documents_involved": ["a", "b"], "fields_involved": ["g", "f"]}'
+        )
+        reply = F.concat(F.lit('{"contradictions_found": true, "contradictions": ['), same, F.lit(", "), own, F.lit("]}"))
+        return prompts.withColumns({"raw_response": reply, "error": F.lit(None).cast("string")})
+
+    rows = cd.contradictions(inputs.home_documents(spark, sf_dir), ask, max_chars=PAIRED_CHARS)[1]
+    return rows.select("case_id", "part", "type", F.array_join("documents_involved", ",").alias("docs"))
+
+
+@query(with_(CASES, DOCS, FIELDS, RECORDS, _PAIRED, f"""asked AS (
+  SELECT case_id, part, length('Validate the documents of a ' || country || ' case.' || chr(10) || chr(10) || 'Documents:' || chr(10) || text || chr(10) || chr(10) ||
+    'Rules:' || chr(10) || '- income_match: incomes agree [fields: net_salary, total_income; severity: warning]' || chr(10) ||
+    '- same_person: names agree [fields: last_name, applicant_name; severity: error]' || {lit(pr.VALIDATE_TAIL)}) AS n
+  FROM pairs JOIN cases USING (case_id))""") + """
+SELECT case_id, 'income_match' AS rule_name, bool_and(n % 3 = 0) AS passed, arg_min('n' || n, CASE WHEN n % 3 = 0 THEN 1000000 ELSE 0 END + part) AS details,
+  arg_min(CASE WHEN n % 3 = 0 THEN 'info' ELSE 'warning' END, CASE WHEN n % 3 = 0 THEN 1000000 ELSE 0 END + part) AS severity
+FROM asked WHERE n % 3 < 2 GROUP BY case_id
+UNION ALL SELECT case_id, 'same_person', true, 'ok', 'error' FROM asked WHERE n % 3 < 2 GROUP BY case_id""")
+def paired_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules checked in several prompts of a case, and their replies merged to one row per rule."""
+
+    def ask(prompts: DataFrame) -> DataFrame:
+        n = F.length("prompt")
+        good = F.when(n % 3 == 0, '"passed": true, "severity": "info"').otherwise('"passed": false, "severity": "warning"')
+        reply = F.concat(
+            F.lit('{"validations": [{"rule_name": "income_match", "details": "n'), n.cast("string"), F.lit('", '), good,
+            F.lit('}, {"rule_name": "same_person", "passed": true, "details": "ok", "severity": "error"}]}'),
+        )
+        return prompts.withColumns({"raw_response": F.when(n % 3 < 2, reply).otherwise('{"cut": '), "error": F.lit(None).cast("string")})
+
+    docs = inputs.case_documents(spark, sf_dir)
+    return cd.cross_validations(inputs.cases(spark, sf_dir), docs, _RULE_TABLE, ask, PAIRED_CHARS).drop("pos")
+
+
 @query(with_(DOCS) + "SELECT doc_id, 'type' AS by FROM docs WHERE doc_type = 'tax_return' UNION ALL SELECT doc_id, 'category' FROM docs WHERE category = 'identity'")
 def selected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.case_documents(spark, sf_dir)

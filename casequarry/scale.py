@@ -178,6 +178,31 @@ def with_places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name
     return with_running_total(rows, keys, order, F.lit(1), name)
 
 
+def _cut_lines(
+    lines: DataFrame, keys: list[str], order: Sequence[str], line: str, max_chars: int, step: int, gap: int
+) -> tuple[DataFrame, DataFrame]:
+    """(lines of keys that fit ``max_chars``, lines of the others with the ``part`` of them they are in).
+
+    A line is in the step of ``step`` characters that it begins in, so the lines of a part take less than two steps; a
+    line longer than a step is a part of its own. Parts are numbered in order, with gaps.
+    """
+    length = F.length(line) + gap
+    sized = lines.groupBy(*keys).agg((F.sum(length) - gap).alias("_chars")).where(F.col("_chars") > max_chars)
+    large = _aside(sized.select(*keys), keys)
+    plain = lines.join(large, _met(keys), "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    cut = with_running_total(lines.join(large, _met(keys), "left_semi"), keys, order, length, "_end")
+    begin = F.col("_end") - length
+    # What follows a longer line begins in a later step.
+    part = 2 * F.floor(begin / step) + (length > step).cast("int")
+    return plain, cut.withColumn("part", part.cast("bigint")).drop("_end")
+
+
+def _joined_lines(lines: DataFrame, keys: list[str], order: Sequence[str], line: str, separator: str) -> DataFrame:
+    cells = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
+    text = F.array_join(F.transform(cells, lambda c: c["_line"]), separator)
+    return lines.groupBy(*keys, "part").agg(text.alias("text"))
+
+
 def text_parts(
     lines: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, max_chars: int, separator: str = "\n"
 ) -> DataFrame:
@@ -187,20 +212,36 @@ def text_parts(
     line is in one part, and a part has at most ``max_chars``, or is a single line that alone is longer.
     """
     keys = list(keys)
-    length = F.length(line) + len(separator)
-    sized = lines.groupBy(*keys).agg((F.sum(length) - len(separator)).alias("_chars")).where(F.col("_chars") > max_chars)
-    large = _aside(sized.select(*keys), keys)
-    plain = lines.join(large, _met(keys), "left_anti").withColumn("part", F.lit(0).cast("bigint"))
-    cut = with_running_total(lines.join(large, _met(keys), "left_semi"), keys, order, length, "_end")
-    # Steps of half the size: a line begins in its step, so a step's lines and the end of its last one fit; a longer line
-    # is a part of its own.
-    step = max(1, max_chars // 2)
-    begin = F.col("_end") - length
-    part = F.when(length <= step, 2 * F.floor(begin / step)).otherwise(2 * F.col("_end") + 1)
-    cut = cut.withColumn("part", part.cast("bigint")).drop("_end")
-    cells = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
-    text = F.array_join(F.transform(cells, lambda c: c["_line"]), separator)
-    return plain.unionByName(cut).groupBy(*keys, "part").agg(text.alias("text"))
+    # Two steps of half the size: a part's lines fit.
+    plain, cut = _cut_lines(lines, keys, order, line, max_chars, max(1, max_chars // 2), len(separator))
+    return _joined_lines(plain.unionByName(cut), keys, order, line, separator)
+
+
+def paired_parts(
+    lines: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, max_chars: int, separator: str = "\n"
+) -> DataFrame:
+    """Join the lines of each key in order, in texts in which any two of its lines meet; (keys, part, text).
+
+    A key whose lines fit ``max_chars`` has the one part 0. Others are cut into blocks of half the size, and there is a
+    text for every two blocks: with n blocks n * (n - 1) / 2 texts of at most ``max_chars`` (more only where a line alone
+    has over half of that). Two lines of different blocks meet once, those of one block in n - 1 texts. Every text is
+    a question that somebody has to ask, so this is meant for keys of not much more than one text.
+    """
+    keys = list(keys)
+    plain, cut = _cut_lines(lines, keys, order, line, max_chars, max(1, max_chars // 4), len(separator))
+    blocks = cut_lineage(_joined_lines(cut, keys, order, line, separator), "blocks")
+    placed = with_places(blocks.select(*keys, "part"), keys, ["part"], "_place")
+    counts = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    numbered = blocks.join(_aside(placed, [*keys, "part"]), _met([*keys, "part"])).select(*keys, "text", (F.col("_place") - 1).alias("_place"))
+    numbered = lookup(numbered, counts.withColumnRenamed("n", "_blocks"), keys, counts=counts)
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)
+    others = F.filter(others, lambda k: (k != F.col("_place")) | (F.col("_blocks") == 1))
+    dealt = numbered.select("*", F.explode(others).alias("_other"))
+    low, high = F.least("_place", "_other"), F.greatest("_place", "_other")
+    # Texts are numbered by their later block, then by the earlier one; a lone block is text 0.
+    part = F.when(F.col("_blocks") == 1, 0).otherwise((high * (high - 1) / 2).cast("bigint") + low)
+    pairs = _joined_lines(dealt.withColumn("part", part.cast("bigint")), keys, ["_place"], "text", separator)
+    return _joined_lines(plain, keys, order, line, separator).unionByName(pairs)
 
 
 def work_folder(spark: SparkSession) -> str:
