@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from casequarry.plans.queries_model import CLASSIFY_STAGES, by_size, digest
 from casequarry.plans.review import ModelSteps, review_cases
 from casequarry.plans.sqlparts import CASES, CLASSIFIED, DOCS, FLAGS, PARSED, RESULTS, lit, with_
 from casequarry.scale import cut_lineage
+from casequarry.sources.records import ISSUE_FIELDS, record_digests, record_items
 from casequarry.sources.sinks import export_reports
 
 
@@ -200,6 +202,32 @@ def exported_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables["condition_results"].drop("type_pos")
 
 
+_RECORDS = """documents_json AS (SELECT case_id, string_agg(CAST(to_json({'doc_id': doc_id, 'file_name': file_name, 'doc_type': doc_type, 'category': category,
+    'status': status, 'upload_timestamp': document_date, 'classified_as': classified_as, 'classification_confidence': confidence, 'manually_overridden': false}) AS VARCHAR),
+    ',' ORDER BY doc_seq) AS list FROM inventory GROUP BY case_id),
+conditions_json AS (SELECT case_id, string_agg(CAST(to_json({'condition_name': condition_name, 'status': status, 'severity': severity, 'analyst_message': analyst_message,
+    'check_type': CASE WHEN condition_seq < 3 THEN 'deterministic' ELSE 'llm_assisted' END}) AS VARCHAR), ',' ORDER BY condition_seq, doc_seq NULLS FIRST) AS list
+  FROM all_results GROUP BY case_id),
+issues_json AS (SELECT case_id, string_agg(CAST(to_json({'condition_name': condition_name, 'severity': severity, 'status': status, 'analyst_message': analyst_message}) AS VARCHAR),
+    ',' ORDER BY """ + _RANK + """, condition_seq, doc_seq NULLS FIRST) AS list FROM all_results WHERE status <> 'pass' GROUP BY case_id),
+advice_json AS (SELECT case_id, string_agg(CAST(to_json(line) AS VARCHAR), ',' ORDER BY list_position(['blocking', 'review', 'failed_documents', 'unclassified', 'all_clear'], kind)) AS list
+  FROM (""" + _LINES_OF_ADVICE + """) GROUP BY case_id),
+records_json AS (
+  SELECT c.case_id, '{"case_id":' || to_json(c.case_id) || ',"generated_at":"1998-07-01T08:30:00.000Z","document_inventory":[' || coalesce(d.list, '') ||
+    '],"condition_results":[' || coalesce(r.list, '') || '],"flagged_issues":[' || coalesce(i.list, '') || '],"narrative_summary":' || to_json(narrative_summary) ||
+    ',"recommendations":[' || coalesce(a.list, '') || '],"requires_analyst_attention":' || (coalesce(blocking, false) OR coalesce(needs_review, false)) || '}' AS record
+  FROM cases c JOIN spare USING (case_id) LEFT JOIN flags USING (case_id) LEFT JOIN documents_json d USING (case_id) LEFT JOIN conditions_json r USING (case_id)
+    LEFT JOIN issues_json i USING (case_id) LEFT JOIN advice_json a USING (case_id))"""
+
+
+@query(with_(*CHECKED, CLASSIFIED, _MANUAL, _INVENTORY, _ADVICE, _GROUPED, _ALL_FLAGS, _COUNTS, _RECORDS) + """
+SELECT case_id, CAST(length(record) AS BIGINT) AS chars, sha256(record) AS record_hash FROM records_json""")
+def nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of a case as one JSON record, by length and digest."""
+    tables = rp.report_tables(*_report_inputs(spark, sf_dir), generated_at=dt.datetime(1998, 7, 1, 8, 30))
+    return record_digests(record_items(tables, ISSUE_FIELDS[:4]))
+
+
 def _whole_review(spark: SparkSession, sf_dir: str):
     docs = inputs.text_documents(spark, sf_dir).drop("country", "country_code", "process_type")
     cases = docs.select("case_id").distinct().withColumns({"country": F.lit(fv.COUNTRY), "process_type": F.lit(fv.PROCESS)})
