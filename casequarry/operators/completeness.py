@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casequarry import fixed_values as fv
-from casequarry.functions.values import empty_record
-from casequarry.scale import lenient, mixes_types
+from casequarry.functions.values import empty_record, field_of
+from casequarry.operators.validate import rule_column
+from casequarry.scale import config_table, lenient, mixes_types
 from casequarry.sources.config import REQUIREMENT_SCHEMA, ReviewConfig
 
 log = logging.getLogger(__name__)
@@ -87,11 +89,93 @@ def requirement_applies(anchors: DataFrame, requirements: list[dict]) -> DataFra
 def requirement_issues(
     cases: DataFrame, docs: DataFrame, requirements: list[dict], anchors: DataFrame | None = None
 ) -> DataFrame:
-    """(case_id, pos, issue_seq, category, issue): documents in the category and of an accepted type."""
+    """(case_id, pos, issue_seq, category, issue): documents in the category and of an accepted type.
+
+    All cases have the same requirements here; ``process_requirement_issues`` takes those of their processes.
+    """
     rows = F.from_json(F.lit(json.dumps(requirements)), f"array<struct<{_as_fields(REQUIREMENT_SCHEMA)}>>")
     wanted = cases.select("case_id", F.inline(rows))
     if anchors is not None:
         wanted = wanted.join(requirement_applies(anchors, requirements), ["case_id", "category"], "left_anti")
+    return _issues(wanted, docs)
+
+
+def anchor_records(cases: DataFrame, docs: DataFrame, cfg: ReviewConfig) -> DataFrame:
+    """(case_id, country, process_type, roles): the record that stands for each role in a case.
+
+    A role's record is that of the case's first extracted document of a type that a requirement of this role accepts.
+    Records are picked by a partial aggregation, so a case of very many documents sends one per type and task.
+    """
+    accepted = {(r["country"], r["process_type"], t, r["role"]) for r in cfg.requirements if r["role"] for t in r["doc_types"]}
+    rows = [dict(zip(("country", "process_type", "doc_type", "role"), a, strict=True)) for a in sorted(accepted)]
+    roles = config_table(cases.sparkSession, rows, "country string, process_type string, doc_type string, role string")
+    held = docs.where((F.col("status") == fv.DOC_EXTRACTED) & (F.size("extracted_data") > 0))
+    first = held.groupBy("case_id", "doc_type").agg(F.min_by(F.struct("doc_seq", "extracted_data"), "doc_seq").alias("_d"))
+    placed = cases.select("case_id", "country", "process_type").join(first, "case_id")
+    chosen = placed.join(roles, ["country", "process_type", "doc_type"]).groupBy("case_id", "country", "process_type", "role")
+    chosen = chosen.agg(F.min_by("_d.extracted_data", "_d.doc_seq").alias("record"))
+    # A process has few roles.
+    return chosen.groupBy("case_id", "country", "process_type").agg(
+        F.map_from_entries(F.collect_list(F.struct("role", "record"))).alias("roles")
+    )
+
+
+def _anchor_column(role: str, name: str, cfg: ReviewConfig) -> Column:
+    """A field of a role's record, of the type that the schemas of the role's documents declare."""
+    types = {t for r in cfg.requirements if r["role"] == role for t in r["doc_types"]}
+    kinds = [f["type"] for f in cfg.fields if f["doc_type"] in types and f["name"] == name]
+    return rule_column(field_of(F.try_element_at("roles", F.lit(role)), name), kinds[0] if kinds else "string")
+
+
+def waived_by_anchors(anchors: DataFrame, cfg: ReviewConfig) -> DataFrame:
+    """(case_id, category) of requirements whose condition is false for the records of their case.
+
+    Conditions are SQL expressions over ``role.field``. Each different one is evaluated once a case, however many
+    requirements and processes share it; its requirements are joined afterwards. One that cannot be evaluated, or is
+    null, counts as true; so does any in a case without records.
+    """
+    roles = {r["role"] for r in cfg.requirements if r["role"]}
+    work, known = anchors, {}
+    for text in dict.fromkeys(r["condition"] for r in cfg.requirements if r["condition"]):
+        columns, sql = {}, text
+        for role, name in sorted({m for m in re.findall(r"\b(\w+)\.(\w+)\b", text) if m[0] in roles}):
+            column = f"_a{len(known)}_{role}_{name}"
+            columns[column] = _anchor_column(role, name, cfg)
+            sql = re.sub(rf"\b{re.escape(role)}\.{re.escape(name)}\b", f"`{column}`", sql)
+        try:
+            # Only records are in sight: a name from elsewhere must not resolve.
+            mixed = mixes_types(anchors.select(*[c.alias(n) for n, c in columns.items()]), sql)
+        except (AnalysisException, ParseException) as exc:
+            log.warning("condition %r cannot be evaluated, taken as true: %s", text, str(exc).splitlines()[0])
+            continue
+        if mixed:
+            log.warning("condition %r compares a text with another type, taken as true", text)
+            continue
+        work = work.withColumns(columns)
+        with lenient(work.sparkSession):  # null where it cannot be evaluated for a case
+            work = work.withColumn(f"_met{len(known)}", F.coalesce(F.expr(sql).cast("boolean"), F.lit(True)))
+        known[text] = len(known)
+    rows = [
+        {k: r[k] for k in ("country", "process_type", "category")} | {"_no": known[r["condition"]] + 1}
+        for r in cfg.requirements
+        if r["condition"] in known
+    ]
+    table = config_table(anchors.sparkSession, rows, "country string, process_type string, category string, _no int")
+    met = F.array(*[F.col(f"_met{k}") for k in range(len(known))]).cast("array<boolean>")
+    judged = work.select("case_id", "country", "process_type", met.alias("_met")).join(table, ["country", "process_type"])
+    return judged.where(~F.try_element_at("_met", F.col("_no"))).select("case_id", "category")
+
+
+def process_requirement_issues(cases: DataFrame, docs: DataFrame, cfg: ReviewConfig) -> DataFrame:
+    """(case_id, pos, issue_seq, category, issue) by the requirements of each case's process."""
+    table = cfg.requirement_table(cases.sparkSession)
+    wanted = cases.select("case_id", "country", "process_type").join(table, ["country", "process_type"])
+    wanted = wanted.drop("country", "process_type")
+    waived = waived_by_anchors(anchor_records(cases, docs, cfg), cfg)
+    return _issues(wanted.join(waived, ["case_id", "category"], "left_anti"), docs)
+
+
+def _issues(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     fits = (F.col("_category") == F.col("category")) & F.array_contains("doc_types", F.col("_type"))
     per_type = F.filter(
         F.collect_list(F.when(F.coalesce(fits, F.lit(False)), F.struct("_type", "_n"))), lambda c: c.isNotNull()

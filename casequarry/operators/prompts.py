@@ -262,19 +262,33 @@ def document_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _rule_lines(rules: list[dict]) -> str:
+    return "\n".join(
+        f"- {r['name']}: {r['description']} [fields: {', '.join(r['fields'])}; severity: {r['severity']}]"
+        for r in sorted(rules, key=lambda r: r.get("pos", 0))
+    )
+
+
 def cross_validation_prompts(cases: DataFrame, docs: DataFrame, rules: list[dict], max_chars: int) -> DataFrame:
     """Documents of a case and the rules to check on them; (case_id, part, prompt).
 
-    Here and for contradictions, documents of more than ``max_chars`` are asked about in several prompts, such that any
-    two documents are together in one.
+    Rules with ``country`` and ``process_type`` are those of the cases of that process; a case without any is not asked
+    about. Here and for contradictions, documents of more than ``max_chars`` are asked about in several prompts, such
+    that any two documents are together in one.
     """
-    rule_lines = "\n".join(
-        f"- {r['name']}: {r['description']} [fields: {', '.join(r['fields'])}; severity: {r['severity']}]" for r in rules
-    )
+    if any("process_type" in r for r in rules):
+        groups: dict[tuple[str, str], list[dict]] = {}
+        for r in rules:
+            groups.setdefault((r["country"], r["process_type"]), []).append(r)
+        rows = [{"country": c, "process_type": p, "_rules": _rule_lines(g)} for (c, p), g in groups.items()]
+        table = config_table(cases.sparkSession, rows, "country string, process_type string, _rules string")
+        ruled = cases.join(table, ["country", "process_type"])
+    else:
+        ruled = cases.withColumn("_rules", F.lit(_rule_lines(rules)))
     lines = paired_parts(document_lines(docs), ["case_id"], ["doc_seq"], "line", max_chars)
     head = F.concat(F.lit("Validate the documents of a "), F.col("country"), F.lit(" case.\n\nDocuments:\n"))
-    tail = f"\n\nRules:\n{rule_lines}{VALIDATE_TAIL}"
-    return cases.join(lines, "case_id", "inner").select("case_id", "part", F.concat(head, "text", F.lit(tail)).alias("prompt"))
+    prompt = F.concat(head, "text", F.lit("\n\nRules:\n"), "_rules", F.lit(VALIDATE_TAIL))
+    return ruled.join(lines, "case_id", "inner").select("case_id", "part", prompt.alias("prompt"))
 
 
 def semantic_prompts(values: DataFrame, max_chars: int) -> DataFrame:

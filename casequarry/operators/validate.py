@@ -75,9 +75,8 @@ def validate_fields(docs: DataFrame, cfg: ReviewConfig) -> DataFrame:
     )
 
 
-def _rule_column(name: str, kind: str, as_date: bool) -> Column:
-    """A field as the rule sees it; a value of another type makes the rule fail to evaluate, that is null."""
-    v = field_of(F.col("extracted_data"), name)
+def rule_column(v: Column, kind: str, as_date: bool = False) -> Column:
+    """A field's value as a rule sees it; a value of another type makes the rule fail to evaluate, that is null."""
     if kind == "boolean":
         return F.when(v.isNotNull(), truthy(v))
     if kind in ("float", "integer"):
@@ -104,7 +103,7 @@ def triggered_rules(docs: DataFrame, cfg: ReviewConfig, as_of: dt.date | None =
         }
         used = [n for n in kinds if re.search(rf"\b{re.escape(n)}\b", rule["condition"])]
         sql, with_today = rule["condition"], re.search(r"\btoday\b", rule["condition"]) and as_of
-        columns = {f"_r{i}_{n}": _rule_column(n, kinds[n], bool(with_today)) for n in used}
+        columns = {f"_r{i}_{n}": rule_column(field_of(F.col("extracted_data"), n), kinds[n], bool(with_today)) for n in used}
         for n in used:
             sql = re.sub(rf"\b{re.escape(n)}\b", f"`_r{i}_{n}`", sql)
         if with_today:

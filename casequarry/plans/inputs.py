@@ -291,6 +291,30 @@ REQUIREMENTS = [
 ]
 
 
+def _required(process: str, **row) -> dict:
+    defaults = dict(country=fv.COUNTRY, process_type=process, role=None, condition=None, temporal_constraints={})
+    return defaults | row
+
+
+LARGE_LOAN = "request.loan_amount > 100000"
+#: Two processes with other rules; both make the identity depend on the same condition.
+PROCESS_REQUIREMENTS = [
+    *[_required(fv.PROCESS, **{k: v for k, v in r.items() if k != "condition"}) for r in REQUIREMENTS if r["pos"] != 1],
+    _required(fv.PROCESS, pos=1, category="identity", doc_types=["identity_document"], min_required=1, max_accepted=2, role="person", condition=LARGE_LOAN),
+    _required("mortgage", pos=0, category="identity", doc_types=["identity_document"], min_required=2, max_accepted=2, condition=LARGE_LOAN),
+    _required("mortgage", pos=1, category="income_proof", doc_types=["salary_slip"], min_required=1, max_accepted=1, role="income",
+              condition="income.net_salary / request.loan_amount < 0.5 OR request.loan_amount IS NULL"),
+    _required("mortgage", pos=2, category="application", doc_types=["loan_application"], min_required=1, max_accepted=9, role="request",
+              condition="request.no_such_field = 1 AND nowhere"),
+]
+
+
+def process_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of two processes; those of another country have none with requirements."""
+    third = F.col("case_id").cast("bigint") % 3 == 0
+    return cases(spark, sf_dir).withColumn("process_type", F.when(third, "mortgage").otherwise(fv.PROCESS))
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchor data of a case: its largest loan amount."""
     k = F.col("o_orderkey")

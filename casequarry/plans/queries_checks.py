@@ -84,6 +84,56 @@ def waived_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.requirement_applies(inputs.anchors(spark, sf_dir), inputs.REQUIREMENTS)
 
 
+_PROCESS_ANCHORS = """process_cases AS (SELECT *, CASE WHEN ck % 3 = 0 THEN 'mortgage' ELSE 'consumer_credit' END AS process_type FROM cases WHERE country = 'germany'),
+first_docs AS (
+  SELECT case_id, min(CASE WHEN doc_type = 'loan_application' THEN doc_seq END) AS request, min(CASE WHEN doc_type = 'salary_slip' THEN doc_seq END) AS slip
+  FROM records WHERE status = 'extracted' AND members <> '' GROUP BY case_id),
+amounts AS (SELECT doc_seq, CASE WHEN kind IN ('int', 'float') THEN CAST(text AS DOUBLE) END AS amount FROM fields WHERE field IN ('loan_amount', 'net_salary')),
+judged AS (
+  SELECT p.case_id, p.process_type, r.amount AS loan, i.amount AS salary FROM process_cases p JOIN first_docs f USING (case_id)
+  LEFT JOIN amounts r ON r.doc_seq = f.request LEFT JOIN amounts i ON i.doc_seq = f.slip),
+waived AS (
+  SELECT case_id, 'identity' AS category FROM judged WHERE NOT coalesce(loan > 100000, true)
+  UNION ALL SELECT case_id, 'income_proof' FROM judged
+  WHERE process_type = 'mortgage' AND NOT coalesce(CASE WHEN loan <> 0 THEN salary / loan < 0.5 END OR loan IS NULL, true))"""
+
+
+@query(with_(CASES, DOCS, FIELDS, RECORDS, _PROCESS_ANCHORS) + "SELECT case_id, category FROM waived")
+def waived_by_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements of two processes that the records of a case make unnecessary."""
+    cfg = dataclasses.replace(CFG, requirements=inputs.PROCESS_REQUIREMENTS)
+    anchors = co.anchor_records(inputs.process_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), cfg)
+    return co.waived_by_anchors(anchors, cfg)
+
+
+@query(with_(CASES, DOCS, FIELDS, RECORDS, _PROCESS_ANCHORS, """process_held AS (
+  SELECT case_id, process_type, count(CASE WHEN category = 'income_proof' AND doc_type IN ('salary_slip', 'tax_return') THEN 1 END) AS n0,
+         count(CASE WHEN category = 'income_proof' AND doc_type = 'salary_slip' THEN 1 END) AS n0s,
+         count(CASE WHEN category = 'income_proof' AND doc_type = 'tax_return' THEN 1 END) AS n0t,
+         count(CASE WHEN category = 'identity' AND doc_type = 'identity_document' THEN 1 END) AS n1,
+         count(CASE WHEN category = 'application' AND doc_type = 'loan_application' THEN 1 END) AS n2
+  FROM process_cases c LEFT JOIN docs d USING (case_id) GROUP BY case_id, process_type),
+required AS (
+  SELECT process_type, category, types, low, high FROM (VALUES
+    ('consumer_credit', 'income_proof', '[''salary_slip'', ''tax_return'']', 1, 2), ('consumer_credit', 'identity', '[''identity_document'']', 1, 2),
+    ('consumer_credit', 'application', '[''loan_application'']', 1, 1), ('mortgage', 'identity', '[''identity_document'']', 2, 2),
+    ('mortgage', 'income_proof', '[''salary_slip'']', 1, 1), ('mortgage', 'application', '[''loan_application'']', 1, 9)) AS v(process_type, category, types, low, high)),
+process_found AS (
+  SELECT h.*, r.category, types, low, high, CASE r.category WHEN 'identity' THEN n1 WHEN 'application' THEN n2 ELSE CASE h.process_type WHEN 'mortgage' THEN n0s ELSE n0 END END AS n
+  FROM process_held h JOIN required r USING (process_type) WHERE (case_id, r.category) NOT IN (SELECT case_id, category FROM waived))""") + """
+SELECT case_id, category, 'Category ''' || category || ''': ' || CASE WHEN n < low THEN 'need at least ' || low || ' of ' || types || ', found ' || n
+  ELSE 'max ' || high || ' accepted, found ' || n END AS issue FROM process_found WHERE n < low OR n > high
+UNION ALL SELECT case_id, category, 'Category ''income_proof'', type ''salary_slip'': need 2, found ' || n0s FROM process_found
+  WHERE process_type = 'consumer_credit' AND category = 'income_proof' AND n0s < 2
+UNION ALL SELECT case_id, category, 'Category ''income_proof'', type ''tax_return'': need 1, found ' || n0t FROM process_found
+  WHERE process_type = 'consumer_credit' AND category = 'income_proof' AND n0t < 1""")
+def process_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cases of two processes lack, each by the requirements of its own."""
+    cfg = dataclasses.replace(CFG, requirements=inputs.PROCESS_REQUIREMENTS)
+    rows = co.process_requirement_issues(inputs.process_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), cfg)
+    return rows.select("case_id", "category", "issue")
+
+
 _QUALITY = """gaps AS (
   SELECT doc_id, string_agg(CASE WHEN kind = 'null' AND field NOT LIKE '\\_%' ESCAPE '\\' THEN field END, ',' ORDER BY field) AS null_fields,
          count(CASE WHEN kind = 'null' AND field NOT LIKE '\\_%' ESCAPE '\\' THEN 1 END) AS nulls, count(*) AS fields

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casequarry.operators.classify import apply_classification, apply_overrides, classify
-from casequarry.operators.completeness import category_issues
+from casequarry.operators.completeness import category_issues, process_requirement_issues
 from casequarry.operators.conditions import check_all
 from casequarry.operators.model import run_steps
 from casequarry.operators.narrative import narratives
@@ -43,6 +43,7 @@ class Review:
     documents: DataFrame
     classifications: DataFrame
     completeness_issues: DataFrame
+    requirement_issues: DataFrame
     step_results: DataFrame
     traces: DataFrame
     condition_results: DataFrame
@@ -85,4 +86,5 @@ def review_cases(
     results = cut_lineage(check_all(cases, done, cfg, model.conditions, as_of), "conditions")
     words = cut_lineage(narratives(cases, inventory(done, classifications), results, cfg, model.narrative), "narratives")
     tables = report_tables(cases, done, classifications, results, words, generated_at)
-    return Review(done, classifications, missing, step_results, traces, results, tables)
+    required = process_requirement_issues(cases, done, cfg)
+    return Review(done, classifications, missing, required, step_results, traces, results, tables)

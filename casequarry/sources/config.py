@@ -38,7 +38,7 @@ REQUIREMENT_SCHEMA = (
     "pos int, category string, doc_types array<string>, min_required int, max_accepted int, role string, "
     "condition string, temporal_constraints map<string,int>"
 )
-
+REQUIREMENT_TABLE = f"country string, process_type string, {REQUIREMENT_SCHEMA}"
 
 # Stand-ins for the two values a message may name; a number that is to be formatted has its format in between.
 FIELD_MARK, DOC_MARK, FORMAT_MARKS = "\ue000", "\ue001", ("\ue002", "\ue003")
@@ -98,7 +98,8 @@ class ReviewConfig:
     rules: list[dict] = field(default_factory=list)
     conditions: list[dict] = field(default_factory=list)
     categories: list[dict] = field(default_factory=list)
-    requirements: list[dict] = field(default_factory=list)
+    requirements: list[dict] = field(default_factory=list)  # of the processes, with country and process_type
+    validations: list[dict] = field(default_factory=list)  # cross-validation rules of the processes
     steps: list[dict] = field(default_factory=list)
     processes: list[dict] = field(default_factory=list)  # country, process_type, pipeline, business_unit
     country_conditions: dict[str, list[dict]] = field(default_factory=dict)  # all condition files, for processes without a file
@@ -121,6 +122,9 @@ class ReviewConfig:
     def category_table(self, spark: SparkSession) -> DataFrame:
         return config_table(spark, self.categories, CATEGORY_SCHEMA)
 
+    def requirement_table(self, spark: SparkSession) -> DataFrame:
+        return config_table(spark, self.requirements, REQUIREMENT_TABLE)
+
     # Plan-time access -----------------------------------------------------------------------------
     def pii_patterns(self) -> list[dict]:
         """Global patterns first, then those of each country, in the order they are applied."""
@@ -207,8 +211,12 @@ def _read_yaml(path: Path) -> dict:
 
 def load_requirements(path: str | Path) -> list[dict]:
     """Document requirements of one process file."""
+    return _requirements(_read_yaml(Path(path)))
+
+
+def _requirements(process: dict) -> list[dict]:
     rows = []
-    for pos, (category, r) in enumerate(_read_yaml(Path(path)).get("document_requirements", {}).items()):
+    for pos, (category, r) in enumerate((process.get("document_requirements") or {}).items()):
         limits = {t: (c or {}).get("min_count", 1) for t, c in (r.get("temporal_constraints") or {}).items()}
         rows.append(
             dict(
@@ -220,6 +228,17 @@ def load_requirements(path: str | Path) -> list[dict]:
     return rows
 
 
+def _validations(process: dict) -> list[dict]:
+    """Cross-validation rules of a process; what a rule does when it fails is its severity."""
+    return [
+        dict(
+            pos=pos, name=r["name"], description=r.get("description", ""), fields=r.get("fields") or r.get("sources") or [],
+            severity=r.get("on_fail", "flag_for_review"),
+        )
+        for pos, r in enumerate(process.get("cross_validation_rules") or [])
+    ]
+
+
 def load_steps(path: str | Path) -> list[dict]:
     """Steps of one extraction file, in order, with defaults filled in."""
     raw = _read_yaml(Path(path))
@@ -322,6 +341,9 @@ def load_config(folder: str | Path, extra_processes: dict[str, list[str]] | None
             file = Path(raw.get("pipeline_config", DEFAULT_PIPELINE)).stem
             unit = raw.get("business_unit", "general")
             c.processes.append(dict(country=country, process_type=process_type, pipeline=names.get(file, file), business_unit=unit))
+            where = dict(country=country, process_type=process_type)
+            c.requirements.extend(where | r for r in _requirements(raw))
+            c.validations.extend(where | r for r in _validations(raw))
             c.conditions.extend(_conditions_of(land, country, process_type, raw.get("condition_files", [])))
             for pos, r in enumerate(raw.get("required_categories", [])):
                 category = r.get("category", "")
