@@ -10,7 +10,7 @@
    decide. This links groups of near copies as stars.
 4. Sets that share a prefix token and are not linked yet are compared as well, each pair once, in blocks of sets:
    blocks meet if they share a token, and a task compares two blocks in memory. So no pair of a group becomes a row,
-   and pairs within one component are not compared.
+   and pairs within one component are not compared. Of tokens that lie in the same blocks only one makes them meet.
 5. Links become components. Sets of equal content count as one throughout, so copies cost nothing.
 
 Hashes have 64 bits and equal sets are recognised by 128 bits. No filter drops a qualifying pair, there are no caps.
@@ -325,7 +325,10 @@ def _links(sets: DataFrame, similar: int) -> DataFrame:
     member = store.written(known.join(parts, ["orbit", "kind"]).select("e", "root", group.alias("g")), "members")
     met = postings.join(member, "e").groupBy("hash", "g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     met = store.written(met, "met")
-    several = met.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    # Tokens of a crowd lie in the same blocks; one of them stands for all with its signature (128 bits and their number).
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "g", "low", "high")).alias(f"mark{k}") for k in range(2)]
+    several = met.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("held"), *marks)
+    several = several.where("low <> high").groupBy("held", "mark0", "mark1").agg(F.min("hash").alias("hash"))
     open_ = met.join(several.select("hash"), "hash", "left_semi")
     one, two = open_.select("hash", F.col("g").alias("a"), "low", "high"), open_.select("hash", F.col("g").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     meet = one.join(two, "hash").where((F.col("a") <= F.col("b")) & ((F.col("low") != F.col("high2")) | (F.col("high") != F.col("low2"))))

@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lists that are being kept of the tables written, the innermost last.
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that are written inside, for ``discard``."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """What ``spark.checkpoint.dir`` names; where it is unset, a folder in the warehouse, which is shared too."""
@@ -25,6 +41,8 @@ def write(df: DataFrame, label: str, by: str | None = None) -> str:
     # What a write has shuffled is of no use once the table is there.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    for paths in _RECORDS:
+        paths.append(path)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
     return path
