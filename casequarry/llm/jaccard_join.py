@@ -359,13 +359,19 @@ def find_similar(
     number = F.col(row_col) if row_col else F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), number.cast("long").alias("row"))
     sent = rows.mapInArrow(_send(width, buckets), _DDL["sent"])
-    back = store.written(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_count, _DDL["back"]), "frequencies")
+    counted = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_count, _DDL["back"])
+    back = store.reread(counted, counted_at := store.write(counted, "frequencies"))
     every = store.written(back.where(F.col("docs").isNotNull()).select("docs").mapInArrow(_documents, _DDL["docs"]), "documents")
-    sets = store.written(back.groupBy("block").applyInArrow(_candidates(similar), _DDL["sets"]), "sets")
-    once = sets.groupBy("set_key").agg(F.min("e").alias("e"))
-    sets = store.written(sets.join(once.select("e"), "e", "left_semi"), "candidates")
-
-    roots = _links(sets, similar)
+    found = back.groupBy("block").applyInArrow(_candidates(similar), _DDL["sets"])
+    found = store.reread(found, found_at := store.write(found, "sets"))
+    once = found.groupBy("set_key").agg(F.min("e").alias("e"))
+    sets = store.written(found.join(once.select("e"), "e", "left_semi"), "candidates")
+    store.discard(spark, counted_at, found_at)
+
+    with store.recorded() as linking:
+        roots = store.write(_links(sets, similar), "roots")
+    store.discard(spark, *linking[:-1])
+    roots = spark.read.parquet(roots)
     keys = sets.select("e", "set_key")
     cluster = roots.join(keys.withColumnRenamed("e", "node"), "node").join(keys.withColumnsRenamed({"e": "root", "set_key": "cluster"}), "root")
     placed = every.join(cluster.select("set_key", "cluster"), "set_key", "left").select(
