@@ -1,9 +1,7 @@
 """Running figures per case: documents, required categories, results, attention.
 
-One grouping keeps the counts as state. Every batch writes the changed cases as a folder of its own; the current
-figures of a case are those of its newest folder. After ``COMPACT_EVERY`` batches the folders are merged into one, so
-reading them stays bounded by the cases. Writing a batch again replaces its folder; a batch that is merged already is
-not written again.
+One grouping keeps the counts as state. Every batch puts the changed cases in their place in a keyed table
+(``streaming/keyed.py``): it rewrites the buckets of these cases only, and a reader never sees half a batch.
 """
 
 from __future__ import annotations
@@ -18,8 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from casequarry.operators.conditions import check_deterministic, condition_targets
 from casequarry.operators.report import final_status
 from casequarry.sources.config import ReviewConfig
-
-COMPACT_EVERY = 20
+from casequarry.streaming import keyed
 
 
 def _category_columns(cfg: ReviewConfig) -> dict[str, Column]:
@@ -77,57 +74,13 @@ def with_status(rollup: DataFrame) -> DataFrame:
     return rollup.withColumn("case_status", final_status((F.col("blocking") > 0) | (F.col("in_review") > 0)))
 
 
-def _folders(spark: SparkSession, path: str) -> dict[str, list[int]]:
-    """Numbers of the batch folders and of the merged ones."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[str, list[int]] = {"batch": [], "merged": []}
-    if fs.exists(at):
-        for entry in fs.listStatus(at):
-            kind, _, number = entry.getPath().getName().partition("=")
-            done = fs.exists(_path(spark, f"{path}/{kind}={number}/_SUCCESS"))
-            if kind in found and number.isdigit() and done:
-                found[kind].append(int(number))
-    return {kind: sorted(numbers) for kind, numbers in found.items()}
-
-
-def _path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _newest(spark: SparkSession, path: str) -> DataFrame | None:
-    """Newest figures of each case over the merged folder and the batches after it."""
-    found = _folders(spark, path)
-    base = found["merged"][-1:]
-    batches = [b for b in found["batch"] if not base or b > base[0]]
-    parts = [spark.read.parquet(f"{path}/merged={b}").withColumn("_batch", F.lit(b)) for b in base]
-    parts += [spark.read.parquet(f"{path}/batch={b}").withColumn("_batch", F.lit(b)) for b in batches]
-    if not parts:
-        return None
-    rows = reduce(DataFrame.unionByName, parts)
-    values = [c for c in rows.columns if c not in ("case_id", "_batch")]
-    return rows.groupBy("case_id").agg(F.max_by(F.struct(*values), "_batch").alias("_r")).select("case_id", "_r.*")
-
-
-def write_rollup(rollup: DataFrame, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        merged = _folders(spark, path)["merged"]
-        if merged and batch_id <= merged[-1]:
-            return  # a repeated batch whose rows are merged already
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        found = _folders(spark, path)
-        last = found["merged"][-1] if found["merged"] else -1
-        if batch_id - last >= compact_every:
-            _newest(spark, path).write.mode("overwrite").parquet(f"{path}/merged={batch_id}")
-            for kind, numbers in found.items():
-                for number in numbers:
-                    at = _path(spark, f"{path}/{kind}={number}")
-                    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def write_rollup(rollup: DataFrame, path: str, checkpoint: str, buckets: int = keyed.BUCKETS) -> StreamingQuery:
+    def put(batch: DataFrame, batch_id: int) -> None:
+        keyed.upsert(batch, path, ["case_id"], batch_id, buckets)
 
     return (
         rollup.writeStream.outputMode("update")
-        .foreachBatch(upsert)
+        .foreachBatch(put)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -136,4 +89,4 @@ def write_rollup(rollup: DataFrame, path: str, checkpoint: str, compact_every: i
 
 def current_rollup(spark: SparkSession, path: str) -> DataFrame:
     """Newest figures of each case."""
-    return with_status(_newest(spark, path))
+    return with_status(keyed.current(spark, path))
