@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import logging
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -24,7 +26,7 @@ from casequarry.functions.values import RECORD, empty_record
 from casequarry.operators.guards import input_verdict, output_verdict
 from casequarry.operators.prompts import context_lines, extraction_prompts, reflection_prompt
 from casequarry.operators.stepdata import flatten_last_wins, flatten_prefixed
-from casequarry.scale import cut_lineage, settle
+from casequarry.scale import cut_lineage, lookup, settle
 from casequarry.sources.config import ReviewConfig
 
 log = logging.getLogger(__name__)
@@ -98,6 +100,93 @@ def call_model(
     return asked.mapInArrow(run, schema)
 
 
+# Gets a prompt, its temperature and its backend; returns the reply's text.
+OneCall = Callable[[str, float, str], str]
+
+
+def call_in_flight(
+    prompts: DataFrame,
+    ask_one: OneCall,
+    keys: Sequence[str],
+    in_flight: int = 8,
+    temperature: float = 0.0,
+    backend_key: str = "default",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Adds ``raw_response, error, duration_ms`` like ``call_model``, by single calls of which each task has several open.
+
+    At most ``in_flight`` calls of a task are open at a time, across the borders of batches; rows leave in the order
+    they came. A call that raises is its row's error.
+    """
+
+    def timed(prompt: str, heat: float, backend: str) -> tuple[str | None, str | None, float]:
+        start = time.monotonic()
+        try:
+            reply, error = ask_one(prompt, heat, backend), None
+        except Exception as exc:  # noqa: BLE001 - any failure of the model is data here
+            reply, error = None, str(exc)
+        return reply, error, (time.monotonic() - start) * 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[tuple[pa.RecordBatch, list[Future | None]]] = deque()
+        open_calls: deque[Future] = deque()
+
+        def finished(some: int) -> Iterator[pa.RecordBatch]:
+            """Batches from the front, until ``some`` are left."""
+            while len(waiting) > some:
+                batch, calls = waiting.popleft()
+                cells = [c.result() if c else (None, None, 0.0) for c in calls]
+                columns = [pa.array([c[k] for c in cells], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "raw_response", "error", "duration_ms"])
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                column = lambda name, given, b=batch: b.column(name).to_pylist() if name in b.schema.names else [given] * len(b)
+                calls: list[Future | None] = []
+                rows = zip(column("prompt", None), column("in_passed", True), column("temperature", None), column("backend_key", None), strict=True)
+                for prompt, passed, heat, backend in rows:
+                    if prompt is None or not passed:
+                        calls.append(None)
+                        continue
+                    while len(open_calls) >= in_flight:
+                        open_calls.popleft().exception()
+                    calls.append(pool.submit(timed, prompt, temperature if heat is None else heat, backend_key if backend is None else backend))
+                    open_calls.append(calls[-1])
+                waiting.append((batch, calls))
+                # The calls of the newest batch go on while the next one is read.
+                yield from finished(1)
+            yield from finished(0)
+
+    schema = T.StructType([*prompts.schema.fields, *_REPLY_FIELDS])
+    asked = prompts.repartition(partitions, *keys) if partitions else prompts
+    return asked.mapInArrow(run, schema)
+
+
+def ask_each_once(prompts: DataFrame, ask: Callable[[DataFrame], DataFrame], temperature: float = 0.0, backend_key: str = "default") -> DataFrame:
+    """Adds ``raw_response, error, duration_ms`` to prompts; rows with the same prompt, temperature and backend share a reply.
+
+    ``ask`` sees each different prompt once, with the key ``prompt_hash``. Prompts are folded in every task before they
+    are shuffled, replies are written before they are handed out, and a prompt that a third of all rows share takes its
+    reply over salted partitions. Rows without a prompt, or with a false ``in_passed``, pass by without being asked.
+    """
+    heat = F.coalesce("temperature", F.lit(temperature)) if "temperature" in prompts.columns else F.lit(temperature)
+    backend = F.coalesce("backend_key", F.lit(backend_key)) if "backend_key" in prompts.columns else F.lit(backend_key)
+    due = F.col("prompt").isNotNull()
+    if "in_passed" in prompts.columns:
+        due = due & F.col("in_passed")
+    own = F.sha2(F.concat_ws("\n", heat.cast("double").cast("string"), F.length(backend).cast("string"), backend, "prompt"), 256)
+    marked = prompts.withColumn("prompt_hash", F.when(due, own))
+    cells = marked.select("prompt_hash", "prompt", heat.cast("double").alias("temperature"), backend.alias("backend_key"))
+    different = cells.where("prompt_hash IS NOT NULL").groupBy("prompt_hash").agg(
+        *[F.first(c).alias(c) for c in ("prompt", "temperature", "backend_key")], F.count(F.lit(1)).alias("_rows")
+    )
+    made = ask(cut_lineage(different, "prompts").drop("_rows").withColumn("in_passed", F.lit(True)))
+    if "duration_ms" not in made.columns:
+        made = made.withColumn("duration_ms", F.lit(None).cast("double"))
+    replies = cut_lineage(made.select("prompt_hash", "raw_response", "error", "duration_ms"), "replies")
+    return lookup(marked, replies, ["prompt_hash"]).drop("prompt_hash")
+
+
 def join_responses(prompts: DataFrame, responses: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``raw_response, error`` from a table of replies; a prompt without one has an error.
 

@@ -15,7 +15,7 @@ from casequarry.functions.values import record_json
 from casequarry.operators import prompts as pr
 from casequarry.operators.classify import apply_classification, classify, unclassified
 from casequarry.operators.model import (
-    call_model, join_responses, judge_attempts, last_failed, resolve_attempts, run_step, run_steps, to_traces,
+    ask_each_once, call_in_flight, call_model, join_responses, judge_attempts, last_failed, resolve_attempts, run_step, run_steps, to_traces,
 )
 from casequarry.operators.stepdata import (
     extraction_eligibility, extraction_status, flatten_last_wins, flatten_prefixed, merge_step_overrides,
@@ -211,6 +211,23 @@ def chained_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "status", data.alias("data"))
 
 
+@query(with_(TEXTS, """shared AS (SELECT doc_id, 'Summarise: ' || substr(text, 1, 40) || ' of ' || (k % 3) AS prompt FROM texts)""") + """
+SELECT doc_id, sha256(prompt) AS prompt_hash, CASE WHEN length(prompt) % 7 <> 0 THEN 'reply of ' || length(prompt) || ' to ' || prompt END AS reply,
+  CASE WHEN length(prompt) % 7 = 0 THEN 'no reply to ' || length(prompt) END AS error FROM shared""")
+def shared_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with one prompt share its reply: each different prompt is asked once, several at a time."""
+
+    def one(prompt: str, temperature: float, backend: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise ValueError(f"no reply to {len(prompt)}")
+        return f"reply of {len(prompt)} to {prompt}"
+
+    docs = inputs.text_documents(spark, sf_dir)
+    head = F.concat(F.lit("Summarise: "), F.substring("text_content", 1, 40), F.lit(" of "), (F.col("doc_seq") % 3).cast("string"))
+    made = ask_each_once(docs.select("doc_id", head.alias("prompt")), partial(call_in_flight, ask_one=one, keys=["prompt_hash"]))
+    return made.select("doc_id", digest("prompt").alias("prompt_hash"), F.col("raw_response").alias("reply"), "error")
+
+
 # Step results -------------------------------------------------------------------------------------
 _STEP_CELLS = """cells AS (
   SELECT event_id // 3 AS doc_id, event_id % 3 AS pos, 'k' AS field, regexp_extract(props, '(\\d+)', 1) AS cell FROM events

@@ -92,34 +92,23 @@ def lookup(
 ) -> DataFrame:
     """Join ``table`` (one row per key) to ``rows`` without sending a hot key to one task.
 
-    Hot keys take their columns from a broadcast of at most HOT_SHARE rows and are salted through the
-    shuffle, as are rows without a key; all other keys meet their row in a plain shuffle join.
+    Rows of a hot key, and rows without a key, are dealt over SALTS partitions by a hash of their own columns, and the
+    key's row of ``table`` goes to each of these. Only the keys themselves are broadcast, HOT_SHARE at most; the columns
+    of ``table`` may be as wide as they like.
     """
     keys = list(keys)
+    if how not in ("left", "inner"):
+        raise ValueError(f"unsupported join type {how!r}")
     values = [c for c in table.columns if c not in keys]
-    hot = F.broadcast(hot_keys(rows, keys, counts))
-    hot_rows = table.join(hot, keys, "left_semi").select(
-        *keys, F.struct(F.lit(True).alias("found"), *values).alias("_hot")
-    )
-    spread = F.xxhash64(*[F.col(c) for c in _spread_columns(rows, keys)])
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    marked = rows.join(F.broadcast(hot_rows), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNotNull() | no_key, 1 + F.pmod(spread, F.lit(SALTS))).otherwise(0).cast("int"),
+    hot = F.broadcast(hot_keys(rows, keys, counts).withColumn("_is_hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in _spread_columns(rows, keys)]), F.lit(SALTS)).cast("int")
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    marked = rows.join(hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_is_hot").isNotNull() | no_key, spread).otherwise(0)
     )
-    # Zero for every key, but not a constant: a constant would be folded out of the join keys, and the
-    # salted rows would meet in one partition again.
-    no_salt = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
-    cold_rows = table.select(
-        *keys, no_salt.alias("_salt"), F.struct(F.lit(True).alias("found"), *values).alias("_cold")
-    )
-    joined = marked.join(cold_rows, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_cold"))
-    if how == "inner":
-        joined = joined.where(F.col("_got").isNotNull())
-    elif how != "left":
-        raise ValueError(f"unsupported join type {how!r}")
+    salts = F.when(F.col("_is_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = table.join(hot, keys, "left").select(*keys, F.struct(*values).alias("_got"), F.explode(salts).alias("_salt"))
+    joined = marked.join(copies, [*keys, "_salt"], how)
     return joined.select(*rows.columns, *[F.col(f"_got.{v}").alias(v) for v in values])
 
 
