@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from casequarry.functions.jsonobj import parse_object
 from casequarry.functions.values import field_of, to_float
 from casequarry.operators.guards import input_verdict, output_verdict
 from casequarry.operators.prompts import classification_prompts
-from casequarry.scale import settle
+from casequarry.scale import as_of_join, lookup, settle
 from casequarry.sources.config import ReviewConfig
 
 ALTERNATIVES = "array<struct<type:string,confidence:double>>"
@@ -92,8 +93,10 @@ def unclassified(classifications: DataFrame) -> DataFrame:
     return classifications.where(F.col("detected_type") == fv.NEEDS_MANUAL).select("case_id", "doc_seq", "doc_id")
 
 
-def latest_overrides(overrides: DataFrame) -> DataFrame:
-    """The newest override of each document."""
+def latest_overrides(overrides: DataFrame, until: dt.datetime | None = None) -> DataFrame:
+    """The newest override of each document, of those made by ``until``."""
+    if until is not None:
+        overrides = overrides.where(F.col("ts") <= F.lit(until))
     newest = F.max_by(F.struct("doc_type", "analyst_id"), F.struct("ts", "analyst_id", "doc_type"))
     return (
         overrides.groupBy("case_id", "doc_id")
@@ -103,14 +106,19 @@ def latest_overrides(overrides: DataFrame) -> DataFrame:
 
 
 def apply_overrides(
-    docs: DataFrame, classifications: DataFrame, overrides: DataFrame, respect_overrides: bool = True
+    docs: DataFrame,
+    classifications: DataFrame,
+    overrides: DataFrame,
+    respect_overrides: bool = True,
+    until: dt.datetime | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Set document types by hand; returns (documents with ``old_type``, classifications).
 
     An overridden classification has confidence 1.0 and keeps its alternatives and reasoning. With
-    ``respect_overrides=False`` an existing classification wins, as when a case is processed again.
+    ``respect_overrides=False`` an existing classification wins, as when a case is processed again. ``until`` is when the
+    run began: overrides made later are left to the next one.
     """
-    newest = latest_overrides(overrides)
+    newest = latest_overrides(overrides, until)
     if not respect_overrides:
         newest = newest.join(classifications, ["case_id", "doc_id"], "left_anti")
     keys = ["case_id", "doc_id"]
@@ -132,3 +140,17 @@ def apply_overrides(
         F.coalesce("analyst_id", "override_by").alias("override_by"),
     )
     return typed, merged
+
+
+def types_as_of_runs(docs: DataFrame, runs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Types that each run of a case saw: (run_id, case_id, doc_id, doc_type, override_by).
+
+    ``runs`` (run_id, case_id, started_at) may be many per case. A document has the type of its newest override made by
+    the start of the run, else its own.
+    """
+    keys = ["case_id", "doc_id"]
+    own = docs.select(*keys, F.col("doc_type").alias("_own"))
+    seen = lookup(own, runs.select("case_id", "run_id", "started_at"), ["case_id"], how="inner")
+    made = overrides.select(*keys, "ts", "analyst_id", "doc_type")
+    met = as_of_join(seen, made, keys, "started_at", "ts", ["analyst_id", "doc_type"])
+    return met.select("run_id", *keys, F.coalesce("doc_type", "_own").alias("doc_type"), F.col("analyst_id").alias("override_by"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from casequarry import fixed_values as fv
 from casequarry.functions import text as tx
 from casequarry.functions.jsonobj import unexpected_keys
-from casequarry.operators.classify import apply_overrides
+from casequarry.operators.classify import apply_overrides, types_as_of_runs
 from casequarry.operators.guards import input_verdict, output_verdict, redact
 from casequarry.operators.prompts import with_schema
 from casequarry.plans import inputs
@@ -152,6 +152,27 @@ def _overridden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     )
 
 
+@query(with_(DOCS, f"""made AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, l_shipdate AS ts, arg_max({TYPE_BY_LINE}, 'analyst_' || l_linenumber) AS new_type,
+         max('analyst_' || l_linenumber) AS analyst_id
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY ALL),
+runs AS (SELECT doc_id, doc_type, run_id, CAST(started_at AS TIMESTAMP) AS started_at FROM docs,
+  (VALUES ('first', '1994-06-17 12:00:00'), ('second', '1996-03-01 00:00:00'), ('third', '2001-01-01 00:00:00')) AS v(run_id, started_at))""") + """
+SELECT r.doc_id, r.run_id, coalesce(m.new_type, r.doc_type) AS doc_type, m.analyst_id AS override_by
+FROM runs r ASOF LEFT JOIN made m ON r.doc_id = m.doc_id AND r.started_at >= m.ts""")
+def types_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of every case, with overrides in between: each sees the types of its time."""
+    starts = F.array(
+        *[
+            F.struct(F.lit(name).alias("run_id"), F.lit(at).cast("timestamp_ntz").alias("started_at"))
+            for name, at in (("first", "1994-06-17 12:00:00"), ("second", "1996-03-01 00:00:00"), ("third", "2001-01-01 00:00:00"))
+        ]
+    )
+    runs = inputs.cases(spark, sf_dir).select("case_id", F.inline(starts))
+    rows = types_as_of_runs(inputs.case_documents(spark, sf_dir), runs, inputs.overrides(spark, sf_dir))
+    return rows.select("doc_id", "run_id", "doc_type", "override_by")
+
+
 # Guards -------------------------------------------------------------------------------------------
 @query(with_(TEXTS) + """
 SELECT doc_id, k % 4 <> 0 AND text <> original AS tampered FROM texts""")

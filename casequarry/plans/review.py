@@ -69,14 +69,18 @@ def review_cases(
     pipeline: str | None = None,
     generated_at: dt.datetime | None = None,
     respect_overrides: bool = True,
+    started_at: dt.datetime | None = None,
 ) -> Review:
-    """Review all cases. Each is extracted by the pipeline that its process names, unless ``pipeline`` names one for all."""
+    """Review all cases. Each is extracted by the pipeline that its process names, unless ``pipeline`` names one for all.
+
+    ``started_at`` is when the run begins: overrides made later do not count in it.
+    """
     cfg = cfg.covering(cases)
     base = attach_case(docs, cases, cfg)
     classifications = cut_lineage(classify(base, cfg, model.classify), "classifications")
     typed = apply_classification(base, classifications)
     if overrides is not None:
-        typed, classifications = apply_overrides(typed, classifications, overrides, respect_overrides)
+        typed, classifications = apply_overrides(typed, classifications, overrides, respect_overrides, started_at)
         typed = typed.drop("old_type")
     missing = category_issues(cases, typed, cfg)
     eligible = extraction_eligibility(typed, cfg)

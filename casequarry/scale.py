@@ -167,6 +167,36 @@ def with_places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name
     return with_running_total(rows, keys, order, F.lit(1), name)
 
 
+def as_of_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, since: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows with the other columns of their key's newest row of ``facts`` whose ``since`` is not after ``at``; null if none.
+
+    Both sides are ranged together by key and time, so a key with very many rows lies in several partitions. In each, the
+    newest fact so far is carried forward; what a partition ends with is carried to the key's next ones. Facts of one time
+    are ordered by ``ties`` and then by their values. Rows without a time, and facts without one, meet nothing.
+    """
+    keys, ties = list(keys), list(ties)
+    values = [c for c in facts.columns if c not in (*keys, since)]
+    fact = F.struct(*[F.col(c) for c in [*ties, *[v for v in values if v not in ties]]])
+    own = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
+    known = facts.where(F.col(since).isNotNull()).dropna(subset=keys).select(*keys, F.col(since).alias("_at"), F.lit(0).alias("_kind"), fact.alias("_fact"))
+    asked = rows.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), own.alias("_row"))
+    lined = known.unionByName(asked, allowMissingColumns=True)
+    order = [F.col(c).asc_nulls_first() for c in ("_at", "_kind")] + [F.col("_fact").asc_nulls_first()]
+    ranged = lined.repartitionByRange(*keys, "_at", "_kind").withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "as-of")
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = ranged.withColumn("_here", F.last("_fact", ignorenulls=True).over(within)).where("_kind = 1")
+    ends = ranged.where("_kind = 0").groupBy(*keys, "_part").agg(F.max_by("_fact", F.struct("_at", "_fact")).alias("_end"))
+    # One row per key and partition it lies in.
+    parts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).join(_aside(ends, [*keys, "_part"]), _met([*keys, "_part"]), "left")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*keys, "_part", F.last("_end", ignorenulls=True).over(earlier).alias("_before")).where("_before IS NOT NULL")
+    both = here.join(_aside(carried, [*keys, "_part"]), _met([*keys, "_part"]), "left")
+    found = F.when(F.col("_at").isNotNull(), F.coalesce("_here", "_before"))
+    both = both.select(*keys, "_row", found.alias("_fact"))
+    return both.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns], *[F.col(f"_fact.{v}").alias(v) for v in values])
+
+
 def _cut_lines(
     lines: DataFrame, keys: list[str], order: Sequence[str], line: str, max_chars: int, step: int, gap: int
 ) -> tuple[DataFrame, DataFrame]:
