@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from re import _constants, _parser
 
 import numpy as np
 import pandas as pd
@@ -47,11 +48,62 @@ def hash_tampered(text: Column, stored_hash: Column) -> Column:
     return (stored != "") & (F.sha2(text.cast("binary"), 256) != stored)
 
 
+def required_literals(pattern: str) -> tuple[list[str], bool]:
+    """(texts of which one is in every match, is it the lower-cased text that holds them); no texts if none is known.
+
+    What is returned is the longest piece that no match can do without, or a piece for each alternative. A pattern that
+    folds the case of more than ASCII, or that cannot be read here, has none.
+    """
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return [], False
+    fold = bool(tree.state.flags & re.IGNORECASE)
+    found = _pieces_of(tree, fold)
+    if not found or (fold and not all(x.isascii() for x in found)):
+        return [], False
+    return sorted({x.lower() for x in found} if fold else set(found)), fold
+
+
+def _pieces_of(items, fold: bool) -> list[str]:
+    """The best list of pieces of a sequence: the one whose shortest piece is the longest."""
+    lists: list[list[str]] = []
+    run = ""
+    for kind, value in items:
+        if kind is _constants.LITERAL:
+            run += chr(value)
+            continue
+        lists.append([run])
+        run = ""
+        if kind is _constants.SUBPATTERN:
+            _, add, remove, inner = value
+            if not add and not remove:  # groups with flags of their own are passed over
+                lists.append(_pieces_of(inner, fold))
+        elif kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+            lists.append(_pieces_of(value[2], fold))
+        elif kind is _constants.BRANCH:
+            each = [_pieces_of(b, fold) for b in value[1]]
+            if all(each):
+                lists.append([x for b in each for x in b])
+    lists.append([run])
+    known = [x for x in lists if x and all(x)]
+    return max(known, key=lambda x: (min(map(len, x)), -len(x)), default=[])
+
+
+def may_match(c: Column, pattern: str) -> Column:
+    """False where the text lacks what every match of the pattern holds: a search for bytes instead of a regular expression."""
+    literals, fold = required_literals(pattern)
+    held = F.lit(not literals)
+    for x in literals:
+        held = held | F.contains(F.lower(c) if fold else c, F.lit(x))
+    return held
+
+
 def first_match(c: Column, patterns: Sequence[str]) -> Column:
     """The first pattern, in list order, that is found in the text; null when none is."""
     hit = F.lit(None).cast("string")
     for pattern in reversed(patterns):
-        hit = F.when(c.rlike(unicode_space(pattern)), F.lit(pattern)).otherwise(hit)
+        hit = F.when(may_match(c, pattern) & c.rlike(unicode_space(pattern)), F.lit(pattern)).otherwise(hit)
     return hit
 
 

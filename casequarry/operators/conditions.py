@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from casequarry.functions.text import strip
 from casequarry.functions.values import field_of, record_json, text_to_float, to_float, truthy
 from casequarry.operators.guards import input_verdict, output_verdict
 from casequarry.operators.prompts import condition_prompts
-from casequarry.scale import bounded_text, config_table, settle
+from casequarry.scale import bounded_text, config_table, cut_lineage, settle
 from casequarry.sources.config import CONDITION_SCHEMA, DOC_MARK, FIELD_MARK, FORMAT_MARKS, ReviewConfig, format_mark
 
 RESULT_COLUMNS = [
@@ -190,13 +191,17 @@ def check_deterministic(targets: DataFrame, cfg: ReviewConfig, as_of: dt.date) -
 
 
 def deterministic_results(docs: DataFrame, cfg: ReviewConfig, as_of: dt.date) -> DataFrame:
-    """All rule results. A condition that cannot be run gives one row per case instead of its documents'."""
-    rows = check_deterministic(condition_targets(docs, cfg), cfg, as_of)
-    broken = [c["condition_name"] for c in cfg.conditions if c["months_error"]]
+    """All rule results. A condition that cannot be run gives one row per case instead of its documents'.
+
+    Conditions that can be run are one pass over the documents. The rows of the others are written, for they are read
+    twice: to find cases that reach the comparison, and to keep the rows of those that do not.
+    """
+    checked = lambda conditions: check_deterministic(condition_targets(docs, own := replace(cfg, conditions=conditions)), own, as_of)
+    broken = [c for c in cfg.conditions if c["months_error"]]
+    whole = checked([c for c in cfg.conditions if not c["months_error"]]).select(*RESULT_COLUMNS)
     if not broken:
-        return rows.select(*RESULT_COLUMNS)
-    whole = rows.where(~F.col("condition_name").isin(broken)).select(*RESULT_COLUMNS)
-    partial = rows.where(F.col("condition_name").isin(broken))
+        return whole
+    partial = cut_lineage(checked(broken), "broken")
     raised = (
         partial.where(F.col("_months_error").isNotNull())
         .groupBy("case_id", "condition_seq", "condition_name")

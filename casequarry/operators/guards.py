@@ -6,6 +6,7 @@ pruned from the plan together with its cost.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from casequarry.functions.jsonobj import is_json, unexpected_keys
 from casequarry.scale import settle
 from casequarry.sources.config import ReviewConfig
 
+# Up to so many patterns are columns of their own; more are run through one expression.
+UNROLLED = 16
+
 
 def _flags(*cells: Column) -> Column:
     """The flags that are set, in order."""
@@ -24,11 +28,13 @@ def _flags(*cells: Column) -> Column:
 
 
 def _java_replacement(text: str) -> str:
-    """A replacement as the engine writes it: ``\\1`` and ``\\g<1>`` name groups, everything else stands for itself."""
-    parts = re.split(r"\\(?:g<(\d+)>|(\d\d?))", text)
-    out = [parts[0].replace("\\", "\\\\").replace("$", "\\$")]
-    for k in range(1, len(parts), 3):
-        out.append(f"${parts[k] or parts[k + 1]}" + parts[k + 2].replace("\\", "\\\\").replace("$", "\\$"))
+    """A replacement as the engine writes it: ``\\1`` and ``\\g<1>`` name groups, two backslashes are one, all else stands for itself."""
+    plain = lambda t: t.replace("\\", "\\\\").replace("$", "\\$")
+    parts = re.split(r"\\(?:g<(\d+)>|(\d\d?)|(\\))", text)
+    out = [plain(parts[0])]
+    for k in range(1, len(parts), 4):
+        named, short, backslash, rest = parts[k : k + 4]
+        out.append((plain(backslash) if backslash else f"${named or short}") + plain(rest))
     return "".join(out)
 
 
@@ -43,24 +49,23 @@ def redact(
     """Replace personal data, pattern by pattern, each on the text the earlier ones have left.
 
     Adds ``<prefix>_text``, ``<prefix>_count`` and ``<prefix>_flags``. Global patterns come first; a
-    country's patterns apply where ``country_code_col`` holds its code.
+    country's patterns apply where ``country_code_col`` holds its code. A pattern only runs where the text holds the
+    letters that each of its matches has (``text.required_literals``), and only replaces where it was found.
     """
     current, counts, out = text_col, [], df
     country_code_col = _country_column(df, country_code_col)
     if country_code_col is None and any(p["scope"] != "global" for p in patterns):
         raise ValueError("patterns of a country need the documents' country_code")
+    if len(patterns) > UNROLLED:
+        return _redact_in_a_loop(df, text_col, patterns, country_code_col, prefix)
     for i, p in enumerate(patterns):
         regex = tx.unicode_space(p["pattern"])
         applies = F.lit(True) if p["scope"] == "global" else F.coalesce(F.col(country_code_col) == p["scope"], F.lit(False))
         n, nxt = f"_{prefix}_n{i}", f"_{prefix}_t{i}"
-        out = out.withColumn(
-            n, F.when(applies, F.coalesce(F.regexp_count(F.col(current), F.lit(regex)), F.lit(0))).otherwise(0)
-        ).withColumn(
-            nxt,
-            F.when(applies, F.regexp_replace(F.col(current), regex, _java_replacement(p["replacement"]))).otherwise(
-                F.col(current)
-            ),
-        )
+        due = applies & tx.may_match(F.col(current), p["pattern"])
+        out = out.withColumn(n, F.when(due, F.coalesce(F.regexp_count(F.col(current), F.lit(regex)), F.lit(0))).otherwise(0))
+        replaced = F.regexp_replace(F.col(current), regex, _java_replacement(p["replacement"]))
+        out = out.withColumn(nxt, F.when(F.col(n) > 0, replaced).otherwise(F.col(current)))
         counts.append((n, f"PII_{p['name'].upper()}_DETECTED"))
         current = nxt
     total = sum((F.col(n) for n, _ in counts), F.lit(0))
@@ -72,6 +77,50 @@ def redact(
     )
 
 
+_PATTERN = "struct<scope:string,regex:string,replacement:string,flag:string,literals:array<string>,fold:boolean>"
+
+
+def _redact_in_a_loop(df: DataFrame, text_col: str, patterns: list[dict], country_code_col: str | None, prefix: str) -> DataFrame:
+    """The same for many patterns, as one expression over a list of them: the plan does not grow with their number."""
+    rows = []
+    for p in patterns:
+        literals, fold = tx.required_literals(p["pattern"])
+        rows.append(
+            dict(
+                scope=p["scope"], regex=tx.unicode_space(p["pattern"]), replacement=_java_replacement(p["replacement"]),
+                flag=f"PII_{p['name'].upper()}_DETECTED", literals=literals, fold=fold,
+            )
+        )
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<{_PATTERN}>")
+    country = F.col(country_code_col) if country_code_col else F.lit(None).cast("string")
+
+    def step(done: Column, p: Column) -> Column:
+        text = done["text"]
+        applies = (p["scope"] == "global") | F.coalesce(country == p["scope"], F.lit(False))
+        seen = F.when(p["fold"], F.lower(text)).otherwise(text)
+        held = (F.size(p["literals"]) == 0) | F.exists(p["literals"], lambda x: F.contains(seen, x))
+        found = F.when(applies & held, F.coalesce(F.regexp_count(text, p["regex"]), F.lit(0))).otherwise(0)
+        return tx.let(
+            found,
+            lambda n: F.struct(
+                F.when(n > 0, F.regexp_replace(text, p["regex"], p["replacement"])).otherwise(text).alias("text"),
+                (done["n"] + n).alias("n"),
+                F.when(n > 0, F.array_append(done["flags"], p["flag"])).otherwise(done["flags"]).alias("flags"),
+            ),
+        )
+
+    start = F.struct(
+        F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("flags")
+    )
+    out = settle(df, _redacted=F.aggregate(listed, start, step))
+    return out.select(
+        *df.columns,
+        F.col("_redacted.text").alias(f"{prefix}_text"),
+        F.col("_redacted.n").alias(f"{prefix}_count"),
+        F.col("_redacted.flags").alias(f"{prefix}_flags"),
+    )
+
+
 def input_verdict(
     df: DataFrame,
     prompt_col: str,

@@ -21,6 +21,8 @@ HOT_SHARE = 1000
 SALTS = 64
 # Paths written by each running application, for drop_work.
 _WRITTEN: dict[str, list[str]] = {}
+# A key of up to so many rows is numbered by one task.
+WINDOW_ROWS = 1_000_000
 # Configuration tables up to this size are broadcast; larger ones are joined by a shuffle.
 MAX_CONFIG_ROWS = 100_000
 
@@ -147,19 +149,29 @@ def bounded_text(
 def with_running_total(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """Adds the total of ``value`` over the row and those before it in its key, however many rows a key has.
 
-    Rows are ranged by key and order, so a large key lies in several partitions; a row's total is that in its partition
-    and the key's totals in the partitions before. Ties of key and order take any order.
+    Rows are written first: what they come from is computed once. Keys of up to WINDOW_ROWS rows are summed by one shuffle
+    and a window. Rows of larger keys are ranged by key and order, so such a key lies in several partitions; a row's total
+    is that in its partition and the key's totals in the partitions before. Ties of key and order take any order.
     """
     keys = list(keys)
-    ranged = rows.withColumn("_value", value.cast("bigint")).repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    out = [*rows.columns, name]
+    given = cut_lineage(rows.withColumn("_value", value.cast("bigint")), "rows")
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = _aside(sizes.where(F.col("_n") > WINDOW_ROWS).select(*keys), keys)
+    if large.isEmpty():
+        return given.withColumn(name, F.sum("_value").over(within)).select(*out)
+    # At most one key for each WINDOW_ROWS rows: few, but how few the data decide, so this is a plain join.
+    small = given.join(large, _met(keys), "left_anti").withColumn(name, F.sum("_value").over(within)).select(*out)
+    ranged = given.join(large, _met(keys), "left_semi").repartitionByRange(*[F.col(c) for c in [*keys, *order]])
     ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy(*keys, "_part").agg(F.sum("_value").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.withColumn("_within", F.sum("_value").over(within))
+    in_part = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.withColumn("_within", F.sum("_value").over(in_part))
     both = running.join(_aside(before, [*keys, "_part"]), _met([*keys, "_part"]), "left")
-    return both.select(*rows.columns, (F.col("_before") + F.col("_within")).alias(name))
+    return small.unionByName(both.select(*rows.columns, (F.col("_before") + F.col("_within")).alias(name)))
 
 
 def with_places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place") -> DataFrame:

@@ -94,7 +94,9 @@ def test_large_config_tables_are_not_broadcast(spark, monkeypatch):
     assert "strategy=broadcast" not in plan()
 
 
-def test_places_of_a_hot_key(spark):
+@pytest.mark.parametrize("window_rows", [10, 1_000_000])
+def test_places_of_a_hot_key(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(scale, "WINDOW_ROWS", window_rows)
     rows = [(k if k % 3 else 0, -k % 97, k) for k in range(900)] + [(None, 5, 1), (None, 4, 2)]
     df = spark.createDataFrame(rows, "k int, v int, tie int").repartition(7)
     got = {(r.k, r.v, r.tie): r.place for r in scale.with_places(df, ["k"], ["v", "tie"]).collect()}
