@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from casequarry import fixed_values as fv
 from casequarry.functions.jsonobj import parse_object
 from casequarry.functions.values import field_of, to_float
-from casequarry.operators.guards import input_verdict, output_verdict
+from casequarry.operators.guards import input_verdict, mark_tampered, output_verdict
 from casequarry.operators.prompts import classification_prompts
 from casequarry.scale import as_of_join, lookup, settle
 from casequarry.sources.config import ReviewConfig
@@ -67,7 +67,7 @@ def classify(
     """
     keep = list(keep)
     texts = docs.where(F.coalesce(F.col("text_content"), F.lit("")) != "")
-    prompts = input_verdict(classification_prompts(texts, cfg), "prompt", cfg)
+    prompts = input_verdict(classification_prompts(mark_tampered(texts, cfg), cfg), "prompt", cfg)
     # Only the prompt's presence is needed after the call, not the prompt.
     prompts = prompts.withColumn("_typed", F.col("prompt").isNotNull())
     country = [c for c in ("country_code",) if c in prompts.columns]

@@ -18,6 +18,8 @@ from casequarry.functions.jsonobj import is_json, unexpected_keys
 from casequarry.scale import settle
 from casequarry.sources.config import ReviewConfig
 
+# The digest that intake keeps of a text, and the mark of a text that no longer has it.
+HASH, TAMPERED = "original_input_hash", "tampered"
 # Up to so many patterns are columns of their own; more are run through one expression.
 UNROLLED = 16
 
@@ -121,6 +123,18 @@ def _redact_in_a_loop(df: DataFrame, text_col: str, patterns: list[dict], countr
     )
 
 
+def mark_tampered(docs: DataFrame, cfg: ReviewConfig) -> DataFrame:
+    """Adds whether a document's text is no longer the one that came in, where the guards ask for it.
+
+    Intake keeps the digest of the text (``original_input_hash``); the text is compared once, and the mark goes with the
+    document into all its prompts. Documents without a digest are not marked.
+    """
+    asked = cfg.guards["input_guards"].get("require_document_hash_match")
+    if not asked or HASH not in docs.columns or TAMPERED in docs.columns:
+        return docs
+    return settle(docs, **{TAMPERED: tx.hash_tampered(F.coalesce("text_content", F.lit("")), F.col(HASH))})
+
+
 def input_verdict(
     df: DataFrame,
     prompt_col: str,
@@ -136,14 +150,17 @@ def input_verdict(
     The first block decides and its flag is the only one. Adds ``in_passed, in_flags, in_reason, in_text,
     in_pii_count``. ``prompt_length`` stands in for prompts that were never put together for being too long.
     ``entropy=False`` leaves out the entropy flag, which never blocks, for callers that keep no flags of
-    passed prompts.
+    passed prompts. Rows that were marked before they became prompts (``mark_tampered``) need no text and hash here.
     """
     guards, pii = cfg.guards["input_guards"], cfg.guards.get("pii", {})
     limit = guards.get("max_prompt_length", 32000)
     prompt = F.col(prompt_col)
     length = F.length(prompt) if prompt_length is None else prompt_length
-    check_hash = guards.get("require_document_hash_match") and text_col and hash_col
+    required = guards.get("require_document_hash_match")
+    check_hash = required and text_col and hash_col
     tampered = tx.hash_tampered(F.col(text_col), F.col(hash_col)) if check_hash else F.lit(False)
+    if required and TAMPERED in df.columns:
+        tampered = tampered | F.coalesce(TAMPERED, F.lit(False))
     # Each stage runs once per row, cheap checks first; later stages skip what an earlier one blocked.
     out = settle(df.withColumnRenamed(prompt_col, "_given"), **{prompt_col: F.col("_given")}).drop("_given")
     out = settle(out, _early=F.when(tampered, "T").when(length > limit, "L"))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from casequarry import fixed_values as fv
 from casequarry.functions.jsonobj import missing_keys, parse_object
 from casequarry.functions.values import RECORD, empty_record
-from casequarry.operators.guards import input_verdict, output_verdict
+from casequarry.operators.guards import TAMPERED, input_verdict, mark_tampered, output_verdict
 from casequarry.operators.prompts import context_lines, extraction_prompts, reflection_prompt
 from casequarry.operators.stepdata import flatten_last_wins, flatten_prefixed
 from casequarry.scale import cut_lineage, lookup, settle
@@ -397,7 +397,9 @@ def run_steps(
         keyed = lambda s: T.StructType([docs.schema[key], *s.fields])
         kept = docs.select(key, F.col("status") if "status" in docs.columns else F.lit(fv.DOC_PENDING).alias("status"), empty_record().alias("extracted_data"))
         return kept, spark.createDataFrame([], keyed(none)), spark.createDataFrame([], keyed(traces))
-    alive = docs.select(key, "country", "doc_type", "text_content", *[c for c in ("country_code",) if c in docs.columns])
+    docs = mark_tampered(docs, cfg)
+    beside = [c for c in ("country_code", TAMPERED) if c in docs.columns]
+    alive = docs.select(key, "country", "doc_type", "text_content", *beside)
     all_results: list[DataFrame] = []
     all_traces: list[DataFrame] = []
     for step in steps:
@@ -409,7 +411,7 @@ def run_steps(
         inject = "context" if so_far is not None and step["inject_previous_results"] else None
         prompts = extraction_prompts(ready, cfg, previous_col=inject)
         columns = [key, "prompt", *(["context"] if so_far is not None else [])]
-        columns += [c for c in ("country_code",) if c in prompts.columns]
+        columns += beside
         results, traces = run_step(prompts.select(*columns), step, ask, cfg, [key], keep_prompts)
         all_results.append(results)
         all_traces.append(traces)

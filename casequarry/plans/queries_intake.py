@@ -20,7 +20,7 @@ from casequarry.plans.sqlparts import (
     ATTEMPTS, CASES, CLASSIFIED, DOCS, ENTROPY, PII_FLAGS, REDACTED, TEXTS, TYPE_BY_LINE, lit, screened, with_,
 )
 from casequarry.sources.config import ReviewConfig, default_config
-from casequarry.sources.intake import attach_case, create_cases as new_cases, intake
+from casequarry.sources.intake import attach_case, create_cases as new_cases, intake, new_documents
 
 CFG = default_config()
 
@@ -173,6 +173,22 @@ def types_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "run_id", "doc_type", "override_by")
 
 
+@query("""
+WITH given AS (SELECT doc_id, doc_id % 2 AS c, coalesce(text, '') AS text, doc_id % 3 = 0 AS known FROM documents),
+first AS (SELECT c, text, min(doc_id) AS doc_id FROM given WHERE NOT known GROUP BY c, text)
+SELECT CAST(c AS VARCHAR) AS case_id, doc_id AS doc_seq, sha256(text) AS text_hash FROM first
+WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.known AND g.c = first.c AND g.text = first.text)""")
+def fresh_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads whose text their case does not hold yet, a third of the documents being there already."""
+    uploads = inputs.table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 2).cast("string").alias("case_id"), F.lit("a.txt").alias("file_name"), F.col("doc_id").alias("doc_seq"),
+        F.lit(None).cast("timestamp").alias("upload_timestamp"), F.coalesce("text", F.lit("")).cast("binary").alias("content"),
+    )
+    came = intake(uploads)
+    held = F.col("doc_seq") % 3 == 0
+    return new_documents(came.where(~held), came.where(held)).select("case_id", "doc_seq", F.col("original_input_hash").alias("text_hash"))
+
+
 # Guards -------------------------------------------------------------------------------------------
 @query(with_(TEXTS) + """
 SELECT doc_id, k % 4 <> 0 AND text <> original AS tampered FROM texts""")

@@ -22,7 +22,7 @@ from casequarry.operators.stepdata import (
 )
 from casequarry.plans import inputs
 from casequarry.plans.catalog import query
-from casequarry.plans.queries_intake import CFG, big, with_defaults
+from casequarry.plans.queries_intake import CFG, big, guard_settings, with_defaults
 from casequarry.plans.sqlparts import (
     ATTEMPTS, CASES, DOCS, RESOLVED, TEXTS, TYPE_BY_KEY, TYPE_REPLIES, lit, screened, with_,
 )
@@ -228,6 +228,21 @@ def shared_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", digest("prompt").alias("prompt_hash"), F.col("raw_response").alias("reply"), "error")
 
 
+@query(with_(TEXTS) + """
+SELECT doc_id, k % 4 <> 0 AND text <> original AS blocked FROM texts WHERE text <> '' AND country = 'germany'""")
+def tampered_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts changed after intake are not asked about: the digest of what came in goes with them."""
+    cfg = guard_settings(input_guards={"require_document_hash_match": True})
+    came = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("_hash"))
+    stored = F.when(F.col("doc_seq") % 4 != 0, F.col("_hash")).otherwise("")
+    docs = inputs.text_documents(spark, sf_dir).where(F.col("country") == fv.COUNTRY)
+    docs = docs.join(came, "doc_id").withColumn("original_input_hash", stored).drop("_hash")
+    reply = '{"detected_type": "tax_return", "confidence": 0.9, "alternative_types": [], "reasoning": "r"}'
+    rows = classify(docs, cfg, partial(call_model, model_fn=lambda b: [reply] * len(b), keys=["doc_id"]))
+    said = F.lit(f"Blocked by guardrails: {fv.REASON_TAMPERED}")
+    return rows.select("doc_id", F.coalesce(F.col("reasoning") == said, F.lit(False)).alias("blocked"))
+
+
 # Step results -------------------------------------------------------------------------------------
 _STEP_CELLS = """cells AS (
   SELECT event_id // 3 AS doc_id, event_id % 3 AS pos, 'k' AS field, regexp_extract(props, '(\\d+)', 1) AS cell FROM events

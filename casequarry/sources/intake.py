@@ -46,16 +46,19 @@ def intake(uploads: DataFrame) -> DataFrame:
     """Documents from ``case_id, file_name, doc_seq, upload_timestamp, content``.
 
     Bytes become text, broken ones the replacement character; a missing name is ``unknown``. Document
-    ids are unique over all cases.
+    ids are unique over all cases. ``original_input_hash`` is the digest of the text as it came in; guards that ask for it
+    compare it in every prompt of the document.
     """
     name = F.when(F.coalesce("file_name", F.lit("")) == "", "unknown").otherwise(F.col("file_name"))
     key = F.concat_ws("/", "case_id", F.col("doc_seq").cast("string"), name)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return uploads.select(
         "case_id",
         F.substring(F.sha2(key, 256), 1, ID_CHARS).alias("doc_id"),
         "doc_seq",
         name.alias("file_name"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("text_content"),
+        text.alias("text_content"),
+        F.sha2(text.cast("binary"), 256).alias("original_input_hash"),
         F.lit("").alias("doc_type"),
         F.lit("").alias("category"),
         F.lit(fv.DOC_PENDING).alias("status"),
@@ -63,6 +66,18 @@ def intake(uploads: DataFrame) -> DataFrame:
     )
 
 
+def new_documents(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents of an intake whose text their case does not hold yet: neither in ``known`` nor earlier in the intake.
+
+    Only (case, digest) is compared; the engine drops most rows by a Bloom filter where the sides are large. The first
+    of equal uploads stays, by ``doc_seq`` and then by id.
+    """
+    keys = ["case_id", "original_input_hash"]
+    first = docs.groupBy(*keys).agg(F.min(F.struct("doc_seq", "doc_id"))["doc_id"].alias("doc_id"))
+    fresh = first.join(known.select(*keys), keys, "left_anti")
+    return docs.join(fresh.select("case_id", "doc_id"), ["case_id", "doc_id"], "left_semi")
+
+
 def attach_case(docs: DataFrame, cases: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """Adds country, country_code and process_type of the case. Safe for cases with very many documents.
 
