@@ -304,12 +304,12 @@ def condition_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_(DOCS, PARSED, FIELDS, _VALUE_RESULTS) + """
-SELECT doc_id, condition_name, CASE WHEN value IS NULL AND condition_name = 'broken_months' THEN NULL ELSE value END AS value FROM value_results
-WHERE condition_name IN ('salary_above', 'recent', 'income_below')""")
+SELECT doc_id, name AS condition_name, value FROM checks
+UNION ALL SELECT doc_id, 'broken_months', name_text FROM looked WHERE doc_type = 'loan_application'""")
 def field_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field that each condition reads, for all conditions and documents."""
     targets = cond.condition_targets(inputs.home_documents(spark, sf_dir), VALUES)
-    seen = targets.where(F.col("condition_name").isin("salary_above", "recent", "income_below"))
-    return seen.select("doc_id", "condition_name", cond.looked_up(seen, VALUES)["text"].alias("value"))
+    return targets.select("doc_id", "condition_name", cond.looked_up(targets, VALUES)["text"].alias("value"))
 
 
 @query(with_(DOCS, PARSED, RESULTS) + """

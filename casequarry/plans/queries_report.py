@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from casequarry.plans.queries_model import CLASSIFY_STAGES, by_size, digest
 from casequarry.plans.review import ModelSteps, review_cases
 from casequarry.plans.sqlparts import CASES, CLASSIFIED, DOCS, FLAGS, PARSED, RESULTS, lit, with_
 from casequarry.scale import cut_lineage
-from casequarry.sources.records import ISSUE_FIELDS, record_digests, record_items
-from casequarry.sources.sinks import export_reports
+from casequarry.sources.records import DOCUMENT_FIELDS, ISSUE_FIELDS, record_digests, record_items
+from casequarry.sources.sinks import CONDITION_FIELDS, export_reports
 
 
 def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,12 +194,33 @@ def process_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.process_summary(inputs.home_cases(spark, sf_dir), all_results(spark, sf_dir))
 
 
-@query(with_(*CHECKED) + """
-SELECT case_id, condition_seq, doc_seq, condition_name, status, severity, analyst_message,
-  CASE WHEN condition_seq < 3 THEN 'deterministic' ELSE 'llm_assisted' END AS check_type FROM all_results""")
+@query(with_(*CHECKED, CLASSIFIED, _MANUAL, _INVENTORY, _ADVICE, _ALL_FLAGS, _COUNTS, _REPORT_FIGURES) + f"""
+SELECT 'condition_results' AS table_name, case_id, CAST(to_json({{'condition_name': condition_name, 'status': status, 'severity': severity,
+  'analyst_message': analyst_message, 'check_type': CASE WHEN condition_seq < 3 THEN 'deterministic' ELSE 'llm_assisted' END, 'doc_seq': doc_seq}}) AS VARCHAR) AS item FROM all_results
+UNION ALL SELECT 'flagged_issues', case_id, CAST(to_json({{'condition_name': condition_name, 'status': status, 'severity': severity, 'analyst_message': analyst_message,
+  'severity_rank': {_RANK}, 'doc_id': doc_id}}) AS VARCHAR) FROM all_results WHERE status <> 'pass'
+UNION ALL SELECT 'document_inventory', case_id, CAST(to_json({{'doc_id': doc_id, 'file_name': file_name, 'doc_type': doc_type, 'category': category, 'status': status,
+  'upload_timestamp': document_date, 'classified_as': classified_as, 'classification_confidence': confidence, 'manually_overridden': false}}) AS VARCHAR) FROM inventory
+UNION ALL SELECT 'recommendations', case_id, CAST(to_json({{'kind': kind, 'place': place, 'name': name, 'message': message}}) AS VARCHAR) FROM advice
+UNION ALL SELECT 'reports', c.case_id, CAST(to_json({{'case_status': {_STATUS}, 'n_documents': coalesce(n_documents, 0), 'n_failed': coalesce(n_failed, 0),
+  'n_manual': coalesce(n_manual, 0), 'n_results': coalesce(n_results, 0), 'n_flagged': coalesce(n_flagged, 0), 'n_blocking': coalesce(n_blocking, 0),
+  'n_review': coalesce(n_review, 0), 'narrative_summary': narrative_summary}}) AS VARCHAR)
+  FROM cases c LEFT JOIN stock USING (case_id) LEFT JOIN unread USING (case_id) LEFT JOIN checks USING (case_id) LEFT JOIN flags USING (case_id) JOIN spare USING (case_id)""")
 def exported_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of every table that is handed out."""
     tables = export_reports(rp.report_tables(*_report_inputs(spark, sf_dir)))
-    return tables["condition_results"].drop("type_pos")
+    shown = {
+        "condition_results": [*CONDITION_FIELDS, "doc_seq"],
+        "flagged_issues": ["condition_name", "status", "severity", "analyst_message", "severity_rank", "doc_id"],
+        "document_inventory": list(DOCUMENT_FIELDS),
+        "recommendations": ["kind", "place", "name", "message"],
+        "reports": ["case_status", "n_documents", "n_failed", "n_manual", "n_results", "n_flagged", "n_blocking", "n_review", "narrative_summary"],
+    }
+    items = [
+        tables[name].select(F.lit(name).alias("table_name"), "case_id", F.to_json(F.struct(*shown[name]), {"ignoreNullFields": "false"}).alias("item"))
+        for name in tables
+    ]
+    return reduce(DataFrame.unionByName, items)
 
 
 _RECORDS = """documents_json AS (SELECT case_id, string_agg(CAST(to_json({'doc_id': doc_id, 'file_name': file_name, 'doc_type': doc_type, 'category': category,
