@@ -222,6 +222,10 @@ def condition_replies(cases_df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempt_columns(table(spark, sf_dir, "events"))
+
+
+def attempt_columns(events: DataFrame) -> DataFrame:
     """Three recorded attempts per document and step from three events in a row."""
     e = F.col("event_id")
     body = F.when(
@@ -234,7 +238,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .otherwise(body)
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.floor(e / 3).cast("bigint").alias("doc_id"),
         F.lit("extract_fields").alias("step_name"),
         F.lit(0).alias("step_pos"),

@@ -9,8 +9,10 @@ from casequarry import fixed_values as fv
 from casequarry.plans import inputs
 from casequarry.plans.catalog import query
 from casequarry.plans.queries_intake import CFG
-from casequarry.plans.sqlparts import DOCS, ENTROPY, FLAGS, PARSED, PII_FLAGS, REDACTED, RESULTS, TEXTS, screened, with_
+from casequarry.plans.queries_model import REQUIRED
+from casequarry.plans.sqlparts import ATTEMPTS, DOCS, ENTROPY, FLAGS, PARSED, PII_FLAGS, REDACTED, RESOLVED, RESULTS, TEXTS, screened, with_
 from casequarry.scale import new_path
+from casequarry.streaming import attempts as sa
 from casequarry.streaming import intake as si
 from casequarry.streaming import rollup as sr
 
@@ -52,3 +54,16 @@ def streamed_case_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = sr.case_rollup(docs, CFG, inputs.AS_OF)
     sr.write_rollup(rollup, path, f"{path}-log").awaitTermination()
     return sr.current_rollup(spark, path)
+
+
+@query(with_(ATTEMPTS, RESOLVED) + """
+SELECT doc_id, CASE WHEN first_good IS NOT NULL THEN 'success' WHEN last_is_object = 1 THEN 'soft_success' ELSE 'failed' END AS outcome,
+       CAST(coalesce(first_good, last_attempt) AS BIGINT) AS attempts, CASE WHEN first_good IS NOT NULL THEN '' ELSE last_problem END AS problem
+FROM resolved WHERE first_good IS NOT NULL OR last_attempt = 3""")
+def streamed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of steps whose replies arrive as a stream; a step without its last reply has none yet."""
+    replies = inputs.attempt_columns(_stream(spark, sf_dir, "events"))
+    path = new_path(spark, "attempts")
+    sa.write_attempts(sa.stream_attempts(replies, CFG, REQUIRED, 3, ["doc_id"]), path, f"{path}-log").awaitTermination()
+    rows = spark.read.parquet(path).where(F.col("kind") == sa.RESULT)
+    return rows.select("doc_id", "outcome", F.col("attempt").cast("bigint").alias("attempts"), "problem")
