@@ -335,7 +335,9 @@ def _links(sets: DataFrame, similar: int) -> DataFrame:
     meet = store.written(meet.select("a", "b").distinct(), "meetings")
     cells = sets.join(member, "e").select("g", F.struct("e", "n", "root", "tokens").alias("cell"))
     blocks = store.written(cells.groupBy("g").agg(F.collect_list("cell").alias("cells")), "blocks")
-    both = meet.join(blocks.withColumnsRenamed({"g": "a", "cells": "left"}), "a").join(blocks.withColumnsRenamed({"g": "b", "cells": "right"}), "b")
+    # Blocks go to their meetings, dealt by block: a broadcast of the few meetings would leave all work where blocks lie.
+    left, right = (blocks.withColumnsRenamed({"g": g, "cells": side}).hint("merge") for g, side in (("a", "left"), ("b", "right")))
+    both = meet.join(left, "a").join(right, "b")
     both = both.select((F.col("a") == F.col("b")).alias("same"), "left", "right")
     more = store.written(both.mapInArrow(_verify_blocks(similar), "a long, b long"), "links")
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
