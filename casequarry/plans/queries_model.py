@@ -13,6 +13,7 @@ from casequarry.functions import text as tx
 from casequarry.functions.jsonobj import missing_keys, parse_object
 from casequarry.functions.values import record_json
 from casequarry.operators import prompts as pr
+from casequarry.operators import summaries as sm
 from casequarry.operators.classify import apply_classification, classify, unclassified
 from casequarry.operators.model import (
     ask_each_once, call_in_flight, call_model, join_responses, judge_attempts, last_failed, resolve_attempts, run_step, run_steps, to_traces,
@@ -211,6 +212,31 @@ def chained_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "status", data.alias("data"))
 
 
+@query("""
+WITH t AS (SELECT event_type, event_id, value, event_id % 5 AS k FROM events)
+SELECT event_type AS doc_type, CAST(count(*) AS BIGINT) AS attempts, CAST(count(CASE WHEN k < 3 THEN 1 END) AS BIGINT) AS successes,
+  CAST(count(CASE WHEN k = 4 THEN 1 END) AS BIGINT) AS terminal, true AS quantiles_hold, true AS documents_hold FROM t GROUP BY event_type""")
+def trace_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of two halves merged: counts are exact, quantiles and different documents within the sketches' bounds."""
+    k = F.col("event_id") % 5
+    traces = inputs.table(spark, sf_dir, "events").select(
+        F.lit("extract").alias("step_name"), F.col("event_type").alias("doc_type"), F.lit("all").alias("day"), (F.col("event_id") / 3).cast("bigint").alias("doc_id"),
+        F.when(k < 3, fv.TRACE_SUCCESS).when(k == 3, fv.TRACE_RETRYING).otherwise(fv.TRACE_TERMINAL).alias("trace_status"), F.lit(False).alias("blocked"),
+        F.concat(F.lit("p"), k.cast("string")).alias("problem"), F.col("value").alias("duration_ms"), "event_id",
+    )
+    halves = [sm.summarise_traces(traces.where(F.col("event_id") % 2 == h)) for h in (0, 1)]
+    merged = sm.read_summary(sm.merge_summaries(*halves)).drop("step_name", "day", "blocked")
+    # Shares of the values below and up to each estimate, against the estimate's rank.
+    seen = traces.join(F.broadcast(merged.select("doc_type", *[f"p{q * 100:.0f}_ms" for q in sm.QUANTILES])), "doc_type")
+    holds = F.lit(True)
+    for q in sm.QUANTILES:
+        est = F.col(f"p{q * 100:.0f}_ms")
+        holds = holds & (F.avg((F.col("duration_ms") < est).cast("double")) <= q + 0.03) & (F.avg((F.col("duration_ms") <= est).cast("double")) >= q - 0.03)
+    exact = seen.groupBy("doc_type").agg(holds.alias("quantiles_hold"), F.countDistinct("doc_id").alias("_docs"))
+    close = F.abs(F.col("documents") - F.col("_docs")) <= 0.06 * F.col("_docs") + 1
+    return merged.join(exact, "doc_type").select("doc_type", "attempts", "successes", "terminal", "quantiles_hold", close.alias("documents_hold"))
+
+
 @query(with_(TEXTS, """shared AS (SELECT doc_id, 'Summarise: ' || substr(text, 1, 40) || ' of ' || (k % 3) AS prompt FROM texts)""") + """
 SELECT doc_id, sha256(prompt) AS prompt_hash, CASE WHEN length(prompt) % 7 <> 0 THEN 'reply of ' || length(prompt) || ' to ' || prompt END AS reply,
   CASE WHEN length(prompt) % 7 = 0 THEN 'no reply to ' || length(prompt) END AS error FROM shared""")
