@@ -152,6 +152,18 @@ def _overridden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     )
 
 
+@query(with_(CASES) + """
+SELECT case_id, CASE WHEN ck % 5 = 0 OR ck % 7 = 0 THEN 'germany' ELSE country END AS country,
+  CASE WHEN ck % 3 = 0 THEN 'consumer_credit' ELSE 'other' END AS process_type FROM cases""")
+def defaulted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases without a country or a process type take those of the process that is run."""
+    n = F.col("case_id").cast("bigint")
+    country = F.when(n % 5 == 0, None).when(n % 7 == 0, "").otherwise(F.col("country"))
+    process = F.when(n % 3 != 0, "other").when(n % 2 == 0, "")
+    given = inputs.cases(spark, sf_dir).withColumns({"country": country, "process_type": process})
+    return CFG.filled(given).select("case_id", "country", "process_type")
+
+
 @query(with_(DOCS, f"""made AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, l_shipdate AS ts, arg_max({TYPE_BY_LINE}, 'analyst_' || l_linenumber) AS new_type,
          max('analyst_' || l_linenumber) AS analyst_id

@@ -70,11 +70,14 @@ def review_cases(
     generated_at: dt.datetime | None = None,
     respect_overrides: bool = True,
     started_at: dt.datetime | None = None,
+    process: tuple[str, str] | None = None,
 ) -> Review:
     """Review all cases. Each is extracted by the pipeline that its process names, unless ``pipeline`` names one for all.
 
-    ``started_at`` is when the run begins: overrides made later do not count in it.
+    ``started_at`` is when the run begins: overrides made later do not count in it. Cases without a country or a process
+    type take those of ``process`` (country, process type), else of the configuration's only or default process.
     """
+    cases = cfg.filled(cases, process)
     cfg = cfg.covering(cases)
     base = attach_case(docs, cases, cfg)
     classifications = cut_lineage(classify(base, cfg, model.classify), "classifications")

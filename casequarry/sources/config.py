@@ -146,6 +146,20 @@ class ReviewConfig:
         ]
         return replace(self, conditions=[*self.conditions, *more]) if more else self
 
+    def default_process(self) -> tuple[str, str] | None:
+        """Country and process of a case that names none: of the only process file, else the package's own, if it is there."""
+        known = [(p["country"], p["process_type"]) for p in self.processes]
+        own = (fv.COUNTRY, fv.PROCESS)
+        return known[0] if len(known) == 1 else own if not known or own in known else None
+
+    def filled(self, cases: DataFrame, process: tuple[str, str] | None = None) -> DataFrame:
+        """Cases with the country and the process type of ``process`` (else the default one) where they have none."""
+        given = process or self.default_process()
+        if given is None:
+            return cases
+        named = dict(zip(("country", "process_type"), given, strict=True))
+        return cases.withColumns({c: F.when(F.coalesce(c, F.lit("")) == "", v).otherwise(F.col(c)) for c, v in named.items()})
+
     def pipelines(self) -> list[str]:
         """Names of the extraction pipelines that processes use; the default comes first."""
         return list(dict.fromkeys([DEFAULT_PIPELINE, *(p["pipeline"] for p in self.processes)]))

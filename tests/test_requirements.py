@@ -122,3 +122,14 @@ def test_a_review_says_what_is_required(spark):
     review = review_cases(cases, docs, cfg, model, dt.date(2024, 5, 31))
     got = {(r.case_id, r.issue) for r in review.requirement_issues.collect()}
     assert got == {("b", "Category 'identity': need at least 2 of ['identity_document'], found 0")}
+
+
+def test_a_case_without_a_process_takes_the_one_of_the_file(spark, tmp_path):
+    cfg = configured(tmp_path)
+    cases = spark.createDataFrame([("a", None, ""), ("b", "x", None), ("c", "y", "card")], "case_id string, country string, process_type string")
+    assert cfg.default_process() is None  # three processes, none of them the package's own
+    assert cfg.filled(cases).collect() == cases.collect()
+    assert [tuple(r) for r in cfg.filled(cases, ("x", "loan")).collect()] == [("a", "x", "loan"), ("b", "x", "loan"), ("c", "y", "card")]
+    one = dataclasses.replace(cfg, processes=cfg.processes[:1])
+    assert [tuple(r) for r in one.filled(cases).collect()] == [("a", "x", "card"), ("b", "x", "card"), ("c", "y", "card")]
+    assert default_config().default_process() == ("germany", "consumer_credit")
