@@ -17,7 +17,7 @@ from casequarry.operators.prompts import (
     entity_prompts,
     semantic_prompts,
 )
-from casequarry.scale import cut_lineage, lookup, settle
+from casequarry.scale import components, cut_lineage, lookup, settle, with_places
 
 # Lines of one prompt; a case with more is asked about in several prompts and the replies are merged.
 MODEL_INPUT_CHARS = 400_000
@@ -180,6 +180,53 @@ def resolve_entities(pairs: DataFrame, ask: Callable[[DataFrame], DataFrame]) ->
     )
 
 
+#: Each document is compared with so many of its neighbours by name.
+NEIGHBOURS = 3
+
+
+def normal_name(name: Column) -> Column:
+    """A name for sorting: without accents, marks, case and repeated spaces, its words in order."""
+    plain = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    folded = F.translate(plain, "äáàâãåöóòôõüúùûéèêëíìîïçñ", "aaaaaaooooouuuueeeeiiiicn")
+    return F.array_join(F.array_sort(F.split(F.trim(folded), " ")), " ")
+
+
+def neighbouring_pairs(docs: DataFrame, name: str, entity_type: str = "person", neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Pairs to resolve among all documents of a case: each with the next ones in the order of their names.
+
+    ``docs``: case_id, doc_id, doc_seq, ``name`` and extracted_data. Documents without a name are in no pair. A case of any
+    size has ``neighbours`` pairs a document; places are numbered over partitions, so pairs cross their borders.
+    """
+    named = docs.where(F.coalesce(F.col(name), F.lit("")) != "").withColumn("_sort", normal_name(F.col(name)))
+    placed = with_places(named.select("case_id", "doc_id", "doc_seq", "_sort"), ["case_id"], ["_sort", "doc_seq", "doc_id"], "_place")
+    placed = cut_lineage(placed, "names")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(neighbours)))
+    later = placed.select("case_id", F.col("doc_id").alias("doc_a"), F.col("doc_seq").alias("seq_a"), "_place", steps.alias("_step"))
+    later = later.withColumn("_place", F.col("_place") + F.col("_step"))
+    other = placed.select("case_id", "_place", F.col("doc_id").alias("doc_b"), F.col("doc_seq").alias("seq_b"))
+    pairs = later.join(other, ["case_id", "_place"]).drop("_place", "_step")
+    records = docs.select("case_id", "doc_id", "extracted_data")
+    for side in ("a", "b"):
+        own = records.select("case_id", F.col("doc_id").alias(f"doc_{side}"), F.col("extracted_data").alias(f"entity_{side}"))
+        pairs = pairs.join(own, ["case_id", f"doc_{side}"])
+    return pairs.withColumn("entity_type", F.lit(entity_type))
+
+
+def case_entities(docs: DataFrame, resolved: DataFrame, least_confidence: float = fv.CONFIDENCE_THRESHOLD) -> DataFrame:
+    """(case_id, doc_id, entity): documents of a case with the smallest ``doc_seq`` of those that are the same entity.
+
+    ``resolved``: verdicts on pairs (case_id, doc_a, doc_b, is_same_entity, confidence). What is the same as the same is the
+    same: accepted pairs are closed over. A document in no accepted pair is an entity of its own.
+    """
+    places = docs.select("case_id", "doc_id", "doc_seq")
+    same = resolved.where(F.col("is_same_entity") & (F.col("confidence") >= least_confidence)).select("case_id", "doc_a", "doc_b")
+    for side in ("a", "b"):
+        same = same.join(places.select("case_id", F.col("doc_id").alias(f"doc_{side}"), F.col("doc_seq").alias(side)), ["case_id", f"doc_{side}"])
+    roots = components(same, ["case_id"])
+    met = places.join(roots.withColumnRenamed("node", "doc_seq"), ["case_id", "doc_seq"], "left")
+    return met.select("case_id", "doc_id", F.coalesce("root", "doc_seq").alias("entity"))
+
+
 VALIDATIONS = "array<struct<rule_name:string,passed:boolean,details:string,severity:string>>"
 
 

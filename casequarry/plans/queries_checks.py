@@ -559,6 +559,39 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_a", "doc_b", "is_same_entity", "confidence", F.array_join("matching_fields", ",").alias("matching"), "reasoning")
 
 
+# A third of the documents has the same person's name with a letter more, and some have none.
+_ENTITY_SQL = """named AS (
+  SELECT case_id, doc_id, doc_seq, 'Person ' || chr(CAST(97 + doc_seq // 3 % 5 * 3 AS INTEGER)) || CASE WHEN doc_seq % 3 = 0 THEN 'x' ELSE '' END AS name
+  FROM docs WHERE doc_seq % 11 <> 0),
+named_places AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY array_to_string(list_sort(string_split(lower(name), ' ')), ' '), doc_seq) AS place FROM named),
+same AS (
+  SELECT a.case_id, a.doc_seq AS a, b.doc_seq AS b FROM named_places a JOIN named_places b ON a.case_id = b.case_id AND b.place - a.place BETWEEN 1 AND 3
+  WHERE levenshtein(a.name, b.name) <= 1 AND (a.doc_seq + b.doc_seq) % 7 <> 0),
+reach AS (
+  SELECT case_id, doc_seq AS node, doc_seq AS root FROM docs
+  UNION
+  SELECT r.case_id, CASE WHEN s.a = r.node THEN s.b ELSE s.a END, r.root FROM reach r JOIN same s ON s.case_id = r.case_id AND r.node IN (s.a, s.b))"""
+
+
+@query("WITH RECURSIVE " + with_(DOCS, _ENTITY_SQL).strip().removeprefix("WITH") + " SELECT d.case_id, d.doc_id, min(root) AS entity FROM docs d JOIN reach r ON r.case_id = d.case_id AND r.node = d.doc_seq GROUP BY ALL")
+def case_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a case: neighbours by name are compared, and what is accepted is closed over."""
+    k = F.col("doc_seq")
+    letter = F.chr((97 + F.floor(k / 3) % 5 * 3).cast("int"))
+    name = F.when(k % 11 != 0, F.concat(F.lit("Person "), letter, F.when(k % 3 == 0, "x").otherwise("")))
+    docs = inputs.home_documents(spark, sf_dir).withColumn("name", name)
+
+    def ask(prompts: DataFrame) -> DataFrame:
+        names = docs.select("doc_id", "name")
+        both = prompts.join(names.withColumnsRenamed({"doc_id": "doc_a", "name": "_a"}), "doc_a").join(names.withColumnsRenamed({"doc_id": "doc_b", "name": "_b"}), "doc_b")
+        sure = F.when((F.col("seq_a") + F.col("seq_b")) % 7 != 0, "0.9").otherwise("0.2")
+        verdict = F.when(F.levenshtein("_a", "_b") <= 1, "true").otherwise("false")
+        reply = F.concat(F.lit('{"is_same_entity": '), verdict, F.lit(', "confidence": '), sure, F.lit("}"))
+        return both.withColumns({"raw_response": reply, "error": F.lit(None).cast("string")})
+
+    return cd.case_entities(docs, cd.resolve_entities(cd.neighbouring_pairs(docs, "name"), ask))
+
+
 _RULE_TABLE = [
     dict(name="income_match", description="incomes agree", fields=["net_salary", "total_income"], severity="warning"),
     dict(name="same_person", description="names agree", fields=["last_name", "applicant_name"], severity="error"),

@@ -209,6 +209,31 @@ def as_of_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], at: str,
     return both.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns], *[F.col(f"_fact.{v}").alias(v) for v in values])
 
 
+def components(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, node, root): every node of the links (keys, a, b) with the smallest node it is connected to.
+
+    Each round gives a node the smallest root of its neighbours and then that root's own, so chains shorten by half. Every
+    round is written; nothing is gathered, so a component of any size is many rows of many tasks.
+    """
+    keys = list(keys)
+    ends = links.select(*keys, "a", "b")
+    both = cut_lineage(ends.unionByName(ends.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    known = both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
+    known = cut_lineage(known, "roots")
+    while True:
+        around = both.join(known.select(*keys, F.col("node").alias("b"), "root"), [*keys, "b"])
+        around = around.groupBy(*keys, F.col("a").alias("node")).agg(F.min("root").alias("_near"))
+        nearer = known.join(around, [*keys, "node"]).withColumn("_near", F.least("root", "_near"))
+        jump = known.select(*keys, F.col("node").alias("_near"), F.col("root").alias("_further"))
+        stepped = nearer.join(jump, [*keys, "_near"]).select(
+            *keys, "node", F.least("_near", "_further").alias("root"), (F.least("_near", "_further") < F.col("root")).alias("_changed")
+        )
+        stepped = cut_lineage(stepped, "roots")
+        known = stepped.drop("_changed")
+        if stepped.where("_changed").isEmpty():
+            return known
+
+
 def _cut_lines(
     lines: DataFrame, keys: list[str], order: Sequence[str], line: str, max_chars: int, step: int, gap: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -276,9 +301,14 @@ def paired_parts(
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; unset, a folder in the warehouse, shared too."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; unset, on one machine, a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_work")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_work")
 
 
 def drop_work(spark: SparkSession) -> int:
