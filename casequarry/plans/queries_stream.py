@@ -18,8 +18,10 @@ from casequarry.streaming import rollup as sr
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files: one file of that name, or all files of a folder of that name."""
     schema = inputs.table(spark, sf_dir, name).schema
-    return si.read_stream(spark, sf_dir, schema, f"{name}.parquet")
+    # A stream's path has to be a folder unless it is a pattern; this one matches the table's name only.
+    return si.read_stream(spark, f"{sf_dir}/{name}.parque[t]", schema)
 
 
 @query(with_(TEXTS, ENTROPY, REDACTED, screened("text", "redacted")) + f"""
