@@ -2,12 +2,13 @@
 
 Reading and judging replies is a projection, the same as for tables. What is kept per document and step is small: the
 attempt that is awaited, replies that came before their turn, and whether the step has ended. A reply that lacks something
-asks for the next attempt; one that does not come in time counts as a failed attempt. State lies in the state store, so a
-restart goes on where it was, and a reply that is repeated, or comes after the end, changes nothing.
+asks for the next attempt; one that does not come in time counts as a failed attempt. State lies in the state store, by
+buckets of steps, so a restart goes on where it was, and a reply that is repeated, or comes after the end, changes nothing.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -21,11 +22,17 @@ from casequarry.sources.config import ReviewConfig
 
 ASK, RESULT = "ask", "result"
 TIMEOUT = "timeout"
-_REPLY = "attempt int, success boolean, problem string, record string"
+#: Steps lie in so many buckets of the state; a checkpoint is read with the number it was written with.
+BUCKETS = 4096
 
 
 class Retries(StatefulProcessor):
-    """The steps of one key: waits for attempt after attempt."""
+    """The steps of one bucket of keys: each waits for attempt after attempt.
+
+    A bucket's steps are one value of the state store, read and written once for all of the bucket's rows in a batch: a
+    call of the store for every step and attempt takes far longer than judging the replies. ``steps`` holds, by the text
+    of a step's keys, None when it has ended, else its keys, the awaited attempt, when that is overdue, and early replies.
+    """
 
     def __init__(self, keys: StructType, max_retries: int, timeout_ms: int | None, output: StructType):
         self.names, self.limit, self.timeout_ms = [f.name for f in keys], max_retries, timeout_ms
@@ -33,49 +40,68 @@ class Retries(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.awaited = handle.getValueState("awaited", "attempt int")  # beyond the limit when the step has ended
-        self.early = handle.getMapState("early", "attempt int", _REPLY)
+        self.steps = handle.getValueState("steps", "steps binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
-        awaited = self.awaited.get()[0] if self.awaited.exists() else 1
+        steps, touched = self._stored(), set()
         for row in rows:
-            if row.attempt >= awaited:
-                self.early.updateValue((row.attempt,), (row.attempt, row.success, row.problem, row.record))
-        yield from self._go_on(key, awaited, timerValues)
+            own = tuple(row[n] for n in self.names)
+            name = repr(own)
+            if name not in steps:
+                steps[name] = [own, 1, self._due(timerValues), {}]
+            if steps[name] is not None and row.attempt >= steps[name][1]:
+                steps[name][3][row.attempt] = (row.success, row.problem, row.record)
+                touched.add(name)
+        for name in touched:
+            yield from self._go_on(steps, name, timerValues)
+        self._store(steps)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        awaited = self.awaited.get()[0] if self.awaited.exists() else 1
-        if awaited <= self.limit:
-            self.early.updateValue((awaited,), (awaited, False, TIMEOUT, None))
-            yield from self._go_on(key, awaited, timerValues)
+        steps, now = self._stored(), timerValues.getCurrentProcessingTimeInMs()
+        for name in [n for n, step in steps.items() if step is not None and step[2] is not None and step[2] <= now]:
+            steps[name][3][steps[name][1]] = (False, TIMEOUT, None)
+            yield from self._go_on(steps, name, timerValues)
+        self._store(steps)
 
     def close(self) -> None:
         pass
 
-    def _go_on(self, key, awaited: int, timers) -> Iterator[Row]:
-        """Take replies in their turn, as far as they are there."""
-        moved = False
-        while awaited <= self.limit and self.early.containsKey((awaited,)):
-            attempt, success, problem, record = self.early.getValue((awaited,))
-            self.early.removeKey((awaited,))
-            moved = True
-            if success or attempt == self.limit:
+    def _stored(self) -> dict[str, list | None]:
+        held = self.steps.get()
+        return pickle.loads(held[0]) if held is not None else {}
+
+    def _store(self, steps: dict[str, list | None]) -> None:
+        """Keep the steps, and one timer: that of the attempt that is overdue first."""
+        self.steps.update((pickle.dumps(steps),))
+        if self.timeout_ms:
+            first = min((step[2] for step in steps.values() if step is not None and step[2] is not None), default=None)
+            set_ = list(self.handle.listTimers())
+            for timer in set_:
+                if timer != first:
+                    self.handle.deleteTimer(timer)
+            if first is not None and first not in set_:
+                self.handle.registerTimer(first)
+
+    def _due(self, timers) -> int | None:
+        return timers.getCurrentProcessingTimeInMs() + self.timeout_ms if self.timeout_ms else None
+
+    def _go_on(self, steps: dict[str, list | None], name: str, timers) -> Iterator[Row]:
+        """Take a step's replies in their turn, as far as they are there."""
+        own, awaited, due, early = steps[name]
+        while awaited <= self.limit and awaited in early:
+            success, problem, record = early.pop(awaited)
+            due = self._due(timers)
+            if success or awaited == self.limit:
                 outcome = "success" if success else "soft_success" if record is not None else "failed"
-                yield self._row(key, RESULT, attempt, outcome, "" if success else problem, record)
+                yield self._row(own, RESULT, awaited, outcome, "" if success else problem, record)
                 awaited = self.limit + 1
             else:
                 awaited += 1
-                yield self._row(key, ASK, awaited, None, problem, record)
-        if awaited > self.limit:
-            self.early.clear()
-        for timer in list(self.handle.listTimers()) if self.timeout_ms and moved else []:
-            self.handle.deleteTimer(timer)
-        if self.timeout_ms and awaited <= self.limit and (moved or not self.awaited.exists()):
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        self.awaited.update((awaited,))
+                yield self._row(own, ASK, awaited, None, problem, record)
+        steps[name] = [own, awaited, due, early] if awaited <= self.limit else None
 
-    def _row(self, key, kind: str, attempt: int, outcome: str | None, problem: str, record: str | None) -> Row:
-        return Row(**dict(zip(self.columns, (*key, kind, attempt, outcome, problem, record), strict=True)))
+    def _row(self, own: tuple, kind: str, attempt: int, outcome: str | None, problem: str, record: str | None) -> Row:
+        return Row(**dict(zip(self.columns, (*own, kind, attempt, outcome, problem, record), strict=True)))
 
 
 def stream_attempts(
@@ -92,7 +118,8 @@ def stream_attempts(
     )
     own = StructType([judged.schema[k] for k in keys])
     output = StructType([*own, *StructType.fromDDL("kind string, attempt int, outcome string, problem string, record string")])
-    return judged.groupBy(*keys).transformWithState(
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
+    return judged.select("*", bucket).groupBy("_bucket").transformWithState(
         statefulProcessor=Retries(own, max_retries, timeout_ms, output), outputStructType=output, outputMode="append",
         timeMode="ProcessingTime" if timeout_ms else "None",
     )
