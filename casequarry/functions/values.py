@@ -120,7 +120,7 @@ def record_json(record: Column, *leading: tuple[str, Column]) -> Column:
     head = [
         F.concat(F.lit(f'"{name}": '), F.when(c.isNull(), "null").otherwise(json_quoted(c))) for name, c in leading
     ]
-    members = F.array_sort(F.map_entries(record))
+    members = F.sort_array(F.map_entries(record))
     cells = F.transform(members, lambda m: F.concat(json_quoted(m["key"]), F.lit(": "), json_cell(m["value"])))
     return F.concat(
         F.lit("{"), F.array_join(F.concat(F.array(*head).cast("array<string>"), cells), ", "), F.lit("}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casequarry import fixed_values as fv
 from casequarry.functions.values import empty_record, field_of, json_cell, record_json
-from casequarry.scale import bounded_text, config_table, paired_parts, text_parts
+from casequarry.scale import bounded_text, config_table, paired_parts, settle, text_parts
 from casequarry.sources.config import ReviewConfig
 
 FENCE = "\n```\n"
@@ -255,10 +255,13 @@ def summary_prompts(cases: DataFrame, inventory: DataFrame, results: DataFrame,
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """One line per extracted document: ``type.doc_id: {data}``."""
-    return docs.where((F.col("status") == fv.DOC_EXTRACTED) & (F.size("extracted_data") > 0)).select(
+    extracted = docs.where(F.col("status") == fv.DOC_EXTRACTED).select("case_id", "doc_seq", "doc_type", "doc_id", "extracted_data")
+    # Settled, for a filter on the record's size would make the record again.
+    held = settle(extracted, _data=F.col("extracted_data"))
+    return held.where(F.size("_data") > 0).select(
         "case_id",
         "doc_seq",
-        F.concat("doc_type", F.lit("."), "doc_id", F.lit(": "), record_json(F.col("extracted_data"))).alias("line"),
+        F.concat("doc_type", F.lit("."), "doc_id", F.lit(": "), record_json(F.col("_data"))).alias("line"),
     )
 
 

@@ -23,6 +23,8 @@ SALTS = 64
 _WRITTEN: dict[str, list[str]] = {}
 # A key of up to so many rows is numbered by one task.
 WINDOW_ROWS = 1_000_000
+# A key's pairs of blocks are made in one row if their texts have up to so many characters.
+PAIRED_ROW_CHARS = 4_000_000
 # Configuration tables up to this size are broadcast; larger ones are joined by a shuffle.
 MAX_CONFIG_ROWS = 100_000
 
@@ -123,6 +125,11 @@ def _met(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
 
 
+def _plain(keys: Sequence[str], order: Sequence[str]) -> list[str]:
+    """Columns of keys and order, each once."""
+    return list(dict.fromkeys([*keys, *order]))
+
+
 def bounded_text(
     lines: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, max_chars: int, separator: str = "\n"
 ) -> DataFrame:
@@ -130,9 +137,10 @@ def bounded_text(
 
     Returns keys, ``line_count``, ``chars`` (exact for every key) and ``text``, which is null when the text would be
     longer: the length alone then decides what happens to it. Lengths come from a partial aggregation; only the lines
-    of keys that fit are gathered, so ``max_chars`` bounds every group.
+    of keys that fit are gathered, so ``max_chars`` bounds every group. Lines are made once: written, then read for both.
     """
     keys = list(keys)
+    lines = cut_lineage(lines.select(*_plain(keys, order), line), "lines")
     length = F.sum(F.length(line)) + (F.count(F.lit(1)) - 1) * len(separator)
     totals = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("line_count"), length.alias("chars"))
     longer = totals.where(F.col("chars") > max_chars).select(*keys)
@@ -140,8 +148,8 @@ def bounded_text(
     texts = (
         lines.join(_aside(longer, keys), _met(keys), "left_anti")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(cells)).alias("_cells"))
-        .select(*keys, F.array_join(F.transform("_cells", lambda c: c["_line"]), separator).alias("text"))
+        .agg(F.sort_array(F.collect_list(cells)).alias("_cells"))
+        .select(*keys, F.array_join("_cells._line", separator).alias("text"))
     )
     return totals.join(_aside(texts, keys), _met(keys), "left").select(*keys, "line_count", "chars", "text")
 
@@ -240,8 +248,10 @@ def _cut_lines(
     """(lines of keys that fit ``max_chars``, lines of the others with the ``part`` of them they are in).
 
     A line is in the step of ``step`` characters that it begins in, so the lines of a part take less than two steps; a
-    line longer than a step is a part of its own. Parts are numbered in order, with gaps.
+    line longer than a step is a part of its own. Parts are numbered in order, with gaps. Lines are made once: written,
+    then read for their lengths and for both tables.
     """
+    lines = cut_lineage(lines.select(*_plain(keys, order), line), "lines")
     length = F.length(line) + gap
     sized = lines.groupBy(*keys).agg((F.sum(length) - gap).alias("_chars")).where(F.col("_chars") > max_chars)
     large = _aside(sized.select(*keys), keys)
@@ -254,9 +264,8 @@ def _cut_lines(
 
 
 def _joined_lines(lines: DataFrame, keys: list[str], order: Sequence[str], line: str, separator: str) -> DataFrame:
-    cells = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
-    text = F.array_join(F.transform(cells, lambda c: c["_line"]), separator)
-    return lines.groupBy(*keys, "part").agg(text.alias("text"))
+    cells = F.sort_array(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
+    return lines.groupBy(*keys, "part").agg(cells.alias("_cells")).select(*keys, "part", F.array_join("_cells._line", separator).alias("text"))
 
 
 def text_parts(
@@ -286,8 +295,33 @@ def paired_parts(
     keys = list(keys)
     plain, cut = _cut_lines(lines, keys, order, line, max_chars, max(1, max_chars // 4), len(separator))
     blocks = cut_lineage(_joined_lines(cut, keys, order, line, separator), "blocks")
+    counts = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("_chars"))
+    large = cut_lineage(counts.where(F.col("n") * F.col("_chars") > PAIRED_ROW_CHARS).select(*keys, "n"), "large")
+    one = _joined_lines(plain, keys, order, line, separator)
+    if large.isEmpty():
+        return one.unionByName(_pairs_in_rows(blocks, keys, separator))
+    met = _aside(large.select(*keys), keys)
+    few = blocks.join(met, _met(keys), "left_anti")
+    many = _pairs_of_many(blocks.join(met, _met(keys), "left_semi"), large, keys, separator)
+    return one.unionByName(_pairs_in_rows(few, keys, separator)).unionByName(many)
+
+
+def _pairs_in_rows(blocks: DataFrame, keys: list[str], separator: str) -> DataFrame:
+    """The pairs of keys whose blocks, and the texts made of them, fit one row: a text for every two blocks."""
+    gathered = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("_cells"))
+    texts = gathered.select(*keys, F.col("_cells.text").alias("_texts"))
+    low = lambda high: F.transform(
+        F.sequence(F.lit(0), high - 1), lambda k: F.concat(F.get("_texts", k), F.lit(separator), F.get("_texts", high))
+    )
+    # Later block by later block, and in each by the earlier one: the place is the text's number.
+    paired = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_texts") - 1), low))
+    rows = texts.select(*keys, F.posexplode(F.when(F.size("_texts") == 1, F.col("_texts")).otherwise(paired)).alias("part", "text"))
+    return rows.select(*keys, F.col("part").cast("bigint").alias("part"), "text")
+
+
+def _pairs_of_many(blocks: DataFrame, counts: DataFrame, keys: list[str], separator: str) -> DataFrame:
+    """The pairs of keys with more than a row should hold: each block is dealt to its pairs by a shuffle."""
     placed = with_places(blocks.select(*keys, "part"), keys, ["part"], "_place")
-    counts = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     numbered = blocks.join(_aside(placed, [*keys, "part"]), _met([*keys, "part"])).select(*keys, "text", (F.col("_place") - 1).alias("_place"))
     numbered = lookup(numbered, counts.withColumnRenamed("n", "_blocks"), keys, counts=counts)
     others = F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)
@@ -296,8 +330,7 @@ def paired_parts(
     low, high = F.least("_place", "_other"), F.greatest("_place", "_other")
     # Texts are numbered by their later block, then by the earlier one; a lone block is text 0.
     part = F.when(F.col("_blocks") == 1, 0).otherwise((high * (high - 1) / 2).cast("bigint") + low)
-    pairs = _joined_lines(dealt.withColumn("part", part.cast("bigint")), keys, ["_place"], "text", separator)
-    return _joined_lines(plain, keys, order, line, separator).unionByName(pairs)
+    return _joined_lines(dealt.withColumn("part", part.cast("bigint")), keys, ["_place"], "text", separator)
 
 
 def work_folder(spark: SparkSession) -> str:
