@@ -23,6 +23,8 @@ SALTS = 64
 _WRITTEN: dict[str, list[str]] = {}
 # A key of up to so many rows is numbered by one task.
 WINDOW_ROWS = 1_000_000
+# The links of a key are gathered to one row if there are up to so many.
+GATHERED_LINKS = 1000
 # A key's pairs of blocks are made in one row if their texts have up to so many characters.
 PAIRED_ROW_CHARS = 4_000_000
 # Configuration tables up to this size are broadcast; larger ones are joined by a shuffle.
@@ -220,10 +222,51 @@ def as_of_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], at: str,
 def components(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, node, root): every node of the links (keys, a, b) with the smallest node it is connected to.
 
+    Keys of up to GATHERED_LINKS links are gathered, a row each, and closed there: one shuffle. Larger keys go on in rounds
+    (``_components_in_rounds``); links are written first, as they are read for their number and for both.
+    """
+    keys = list(keys)
+    given = cut_lineage(links.select(*keys, "a", "b"), "given")
+    counts = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(_aside(counts.where(F.col("_n") > GATHERED_LINKS).select(*keys), keys), "large")
+    few = given if (none := large.isEmpty()) else given.join(large, _met(keys), "left_anti")
+    gathered = few.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("_links"))
+    schema = T.StructType([*given.select(*keys).schema, *[T.StructField(n, given.schema["a"].dataType) for n in ("node", "root")]])
+    closed = gathered.mapInArrow(_closed(keys, to_arrow_schema(schema)), schema)
+    return closed if none else closed.unionByName(_components_in_rounds(given.join(large, _met(keys), "left_semi"), keys))
+
+
+def _closed(keys: list[str], schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, nodes, roots = [], [], []
+            for k, links in enumerate(batch.column("_links")):
+                root: dict = {}
+
+                def top(n, root=root):
+                    while root[n] != n:
+                        root[n] = n = root[root[n]]
+                    return n
+
+                for link in links.as_py():
+                    low, high = (top(root.setdefault(n, n)) for n in (link["a"], link["b"]))
+                    root[max(low, high)] = min(low, high)
+                rows += [k] * len(root)
+                nodes += root
+                roots += [top(n) for n in root]
+            own = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
+            cells = [pa.array(c, schema.field(n).type) for n, c in (("node", nodes), ("root", roots))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*own, *cells], schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _components_in_rounds(links: DataFrame, keys: list[str]) -> DataFrame:
+    """``components`` of keys of any size.
+
     Each round gives a node the smallest root of its neighbours and then that root's own, so chains shorten by half. Every
     round is written; nothing is gathered, so a component of any size is many rows of many tasks.
     """
-    keys = list(keys)
     ends = links.select(*keys, "a", "b")
     both = cut_lineage(ends.unionByName(ends.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     known = both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root"))
