@@ -11,6 +11,7 @@
 4. Sets that share a prefix token and are not linked yet are compared as well, each pair once, in blocks of sets:
    blocks meet if they share a token, and a task compares two blocks in memory. So no pair of a group becomes a row,
    and pairs within one component are not compared. Of tokens that lie in the same blocks only one makes them meet.
+   Sets without near ones would be blocks of one each: those that share a frequent token lie in blocks of that token.
 5. Links become components. Sets of equal content count as one throughout, so copies cost nothing.
 
 Hashes have 64 bits and equal sets are recognised by 128 bits. No filter drops a qualifying pair, there are no caps.
@@ -41,6 +42,8 @@ SIMILAR = 80
 #: Hashes of a block of step 1; sets and tokens of a block of step 4.
 BLOCK_HASHES = 2_000_000
 BLOCK_SETS, BLOCK_TOKENS = 256, 500_000
+#: Sets of so many orbits that share a token go to the token's own blocks.
+SPREAD_ORBITS = 8
 
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("who", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary())])
 _BACK = pa.schema([("block", pa.int64()), ("who", pa.binary()), ("hashes", pa.binary()), ("n", pa.binary()), ("docs", pa.binary())])
@@ -159,6 +162,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     n = np.diff(np.concatenate([begin, [len(ranked)]]))
     often = np.repeat(n > 1, n)
+    if not often.any():
+        return
     order, n = order[often], np.repeat(n, n)[often]
     by_block = np.argsort(blocks[order], kind="stable")
     order, n = order[by_block], n[by_block]
@@ -320,6 +325,14 @@ def _links(sets: DataFrame, similar: int) -> DataFrame:
     crowd = known.groupBy("root").agg(F.count(F.lit(1)).alias("crowd"))
     known = known.join(crowd, "root").withColumn("kind", F.when(F.col("crowd") >= BLOCK_SETS // 4, F.col("root")).otherwise(-1))
     known = known.withColumn("orbit", F.when(F.col("kind") >= 0, F.col("root")).otherwise(F.col("orbit")))
+    # Lone sets with a frequent token in common would be a block each: they share the blocks of their most spread token.
+    known = store.written(known, "known")
+    lone = postings.select("e", "hash").join(known.where("kind = -1").select("e", "orbit"), "e")
+    spread = lone.select("hash", "orbit").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("orbits")).where(F.col("orbits") >= SPREAD_ORBITS)
+    most = lone.join(spread, "hash").groupBy("e").agg(F.max(F.struct("orbits", "hash")).alias("most")).select("e", F.col("most.hash").alias("token"))
+    known = known.join(most, "e", "left").select(
+        "e", "weight", "root", F.coalesce("token", "orbit").alias("orbit"), F.when(F.col("token").isNotNull(), -2).otherwise(F.col("kind")).alias("kind")
+    )
     parts = known.groupBy("orbit", "kind").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("weight") / BLOCK_TOKENS)).alias("parts"))
     group = F.xxhash64("orbit", "kind", F.pmod(F.xxhash64("e"), F.col("parts")))
     member = store.written(known.join(parts, ["orbit", "kind"]).select("e", "root", group.alias("g")), "members")

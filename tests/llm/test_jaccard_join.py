@@ -96,3 +96,16 @@ def test_components_of_a_chain_and_of_nothing(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == roots_of(got, links) and len(got) == 41 + 2 + 3
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lone_sets_with_frequent_words_share_blocks(documents, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    line = some(64)
+    texts = {k: " ".join(line + some(10)) for k in range(1, 61)}  # 60 of 80 shingles in common: no two are similar
+    texts[70] = texts[7] + " " + " ".join(some(3))
+    met, real = [], j.store.write
+    monkeypatch.setattr(j.store, "write", lambda df, label, *a: (met.append(df.count()) if label == "meetings" else None, real(df, label, *a))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.find_similar(documents(*texts.items())).collect()}
+    assert got == brute(texts) and got[70][1] == 7
+    assert len(met) == 1 and met[0] < 60
