@@ -109,3 +109,9 @@ def test_lone_sets_with_frequent_words_share_blocks(documents, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.find_similar(documents(*texts.items())).collect()}
     assert got == brute(texts) and got[70][1] == 7
     assert len(met) == 1 and met[0] < 60
+
+
+def test_texts_without_a_repeated_shingle(documents):
+    texts = dict(enumerate(["a b c d e f g h", "i j k l m n", None, "o"]))
+    got = j.find_similar(documents(*texts.items())).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts)
