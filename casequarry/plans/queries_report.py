@@ -26,6 +26,10 @@ from casequarry.sources.records import DOCUMENT_FIELDS, ISSUE_FIELDS, record_dig
 from casequarry.sources.sinks import CONDITION_FIELDS, export_reports
 
 
+# Columns of results that recommendations read.
+ADVISED = ("case_id", *rp.ORDER, "condition_name", "status", "severity")
+
+
 def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deterministic_results(inputs.home_documents(spark, sf_dir), CFG, inputs.AS_OF)
 
@@ -91,7 +95,7 @@ advice AS (
 
 @query(with_(*CHECKED, CLASSIFIED, _MANUAL, _ADVICE) + "SELECT case_id, kind, place, name, message FROM advice")
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = cut_lineage(all_results(spark, sf_dir), "results")
+    results = cut_lineage(all_results(spark, sf_dir).select(*ADVISED), "results")
     return rp.recommendations(
         inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), results
     )
