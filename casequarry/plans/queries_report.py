@@ -26,8 +26,9 @@ from casequarry.sources.records import DOCUMENT_FIELDS, ISSUE_FIELDS, record_dig
 from casequarry.sources.sinks import CONDITION_FIELDS, export_reports
 
 
-# Columns of results that recommendations read.
+# Columns of results that recommendations read, and those that a whole report shows.
 ADVISED = ("case_id", *rp.ORDER, "condition_name", "status", "severity")
+SHOWN = (*ADVISED, "doc_id", "analyst_message", "check_type")
 
 
 def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,9 +170,13 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_narratives(spark, sf_dir)
 
 
-def _report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Reports are made over results that were written first, as in a whole review: they hold model replies."""
-    results = cut_lineage(all_results(spark, sf_dir), "results")
+def _report_inputs(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reports are made over results that were written first, as in a whole review: they hold model replies.
+
+    ``columns`` are those that the reports show; others, made of many texts, are not made just to be written.
+    """
+    results = all_results(spark, sf_dir)
+    results = cut_lineage(results.select(*columns) if columns else results, "results")
     return inputs.home_cases(spark, sf_dir), inputs.case_documents(spark, sf_dir), inputs.classifications(spark, sf_dir), results
 
 
@@ -249,7 +254,7 @@ records_json AS (
 SELECT case_id, CAST(length(record) AS BIGINT) AS chars, sha256(record) AS record_hash FROM records_json""")
 def nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report of a case as one JSON record, by length and digest."""
-    tables = rp.report_tables(*_report_inputs(spark, sf_dir), generated_at=dt.datetime(1998, 7, 1, 8, 30))
+    tables = rp.report_tables(*_report_inputs(spark, sf_dir, *SHOWN), generated_at=dt.datetime(1998, 7, 1, 8, 30))
     return record_digests(record_items(tables, ISSUE_FIELDS[:4]))
 
 

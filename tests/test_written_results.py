@@ -27,3 +27,12 @@ def test_recommendations_write_what_they_read(spark, written):
     with pytest.raises(Written):
         q.recommendations(spark, SF)
     assert tuple(written["results"].columns) == q.ADVISED
+
+
+def test_nested_reports_write_what_they_show(spark, written):
+    with pytest.raises(Written):
+        q.nested_reports(spark, SF)
+    assert tuple(written["results"].columns) == q.SHOWN
+    with pytest.raises(Written):
+        q.exported_reports(spark, SF)
+    assert {"details", "sources_used"} <= set(written["results"].columns)
