@@ -20,7 +20,7 @@ def _directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """Places sorted by the ``depth`` bytes from there on: by eight bytes, then ties by the next eight."""
     key = words8(text)
     at = lambda p, d: np.where(p + d < len(key), key[np.minimum(p + d, len(key) - 1)], 0)
-    order = places[np.argsort(at(places, 0), kind="stable")]
+    order = places[np.argsort(at(places, 0))]
     first = at(order, 0)
     new = np.concatenate([[True], first[1:] != first[:-1]]) if len(order) else np.zeros(0, bool)
     for d in range(8, depth, 8):
@@ -28,10 +28,16 @@ def _directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
         tied = np.flatnonzero(~new | np.concatenate([~new[1:], [False]]))
         if not len(tied):
             break
-        own, deeper = order[tied], at(order[tied], d)
-        rank = np.lexsort((deeper, group[tied]))
+        deeper, same = at(order[tied], d), group[tied]
+        splits = np.zeros(group[-1] + 1, bool)  # groups whose next eight bytes are not all equal
+        splits[same[1:][(deeper[1:] != deeper[:-1]) & (same[1:] == same[:-1])]] = True
+        on = splits[same]
+        tied, deeper, same = tied[on], deeper[on], same[on]
+        if not len(tied):
+            continue
+        own, rank = order[tied], np.lexsort((deeper, same))
         order[tied] = own[rank]
-        deeper, same = deeper[rank], group[tied]  # groups keep their places
+        deeper = deeper[rank]  # groups keep their places
         new[tied[1:]] |= (deeper[1:] != deeper[:-1]) & (same[1:] == same[:-1])
     return order
 

@@ -82,3 +82,24 @@ def test_copies_null_ids_repeated_rows_and_empty_table(documents):
     assert s.find_repeats(docs.limit(0)).count() == 0
     spans = {r.doc_id: r.spans for r in s.find_repeats(docs).collect()}
     assert spans[9] == [1, 1 + len(t)] and spans[5] == [0, len(t)] and spans[3] == []
+
+
+def test_windows_are_hashed_once_and_then_found_by_their_places(monkeypatch):
+    """Hashes of windows are made where keys and passages are sent; the result reads the places that were sent."""
+    rng = random.Random(7)
+    common = "".join(rng.choice("abcde ") for _ in range(300))
+    rows = [(3, "first " + common), (5, None), (1, common[20:200] + " last"), (9, "short"), (7, common[100:260] + common[90:180])]
+    cell = s.cells.columns(id=s.pa.array([r[0] for r in rows]), first=list(range(len(rows))), text=s.pa.array([r[1] for r in rows]))
+    data, at = s.text_bytes(s.pa.array([r[1] for r in rows]))
+    who, begin, n, keys = s.runs_of(data, at, 50, 24)
+    monkeypatch.setattr(s, "_STEP", 70)
+    assert {(w, p + k, key) for w, p, m, key in zip(who, begin, n, keys, strict=True) for k in range(m)} == {
+        (w, p + k, key) for w, p, m, key in zip(*s.runs_of(data, at, 50, 24), strict=True) for k in range(m)
+    }
+    shared = s.cells.columns(key=np.unique(keys), hot=np.zeros(len(np.unique(keys)), bool))
+    sent = lambda kind, cell: s.cells.rows(s._SENT, {"bucket": 0, "block": 6, "kind": kind, "cell": cell})
+    found = list(s._passages(50, 24, 4)(iter([sent(s.TEXTS, cell), sent(s.KEYS, shared)])))
+    verdicts = list(s._compare(50)(iter(found)))
+    monkeypatch.setattr(s, "window_keys", None)
+    got = [r for b in s._result(50)(iter([sent(s.TEXTS, cell), *verdicts])) for r in b.to_pylist()]
+    assert sorted((tuple(r.values())[:5] for r in got), key=str) == brute(rows) and sum(r["n_removed"] for r in got) > 200
