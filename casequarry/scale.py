@@ -127,6 +127,14 @@ def _met(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that has a row for many keys: its size follows the data, so it never goes through the driver.
+
+    Compressed rows of a few megabytes would be broadcast, and take many times that in the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def _plain(keys: Sequence[str], order: Sequence[str]) -> list[str]:
     """Columns of keys and order, each once."""
     return list(dict.fromkeys([*keys, *order]))
@@ -297,7 +305,7 @@ def _cut_lines(
     lines = cut_lineage(lines.select(*_plain(keys, order), line), "lines")
     length = F.length(line) + gap
     sized = lines.groupBy(*keys).agg((F.sum(length) - gap).alias("_chars")).where(F.col("_chars") > max_chars)
-    large = _aside(sized.select(*keys), keys)
+    large = shuffled(_aside(sized.select(*keys), keys))
     plain = lines.join(large, _met(keys), "left_anti").withColumn("part", F.lit(0).cast("bigint"))
     cut = with_running_total(lines.join(large, _met(keys), "left_semi"), keys, order, length, "_end")
     begin = F.col("_end") - length
@@ -343,7 +351,7 @@ def paired_parts(
     one = _joined_lines(plain, keys, order, line, separator)
     if large.isEmpty():
         return one.unionByName(_pairs_in_rows(blocks, keys, separator))
-    met = _aside(large.select(*keys), keys)
+    met = shuffled(_aside(large.select(*keys), keys))
     few = blocks.join(met, _met(keys), "left_anti")
     many = _pairs_of_many(blocks.join(met, _met(keys), "left_semi"), large, keys, separator)
     return one.unionByName(_pairs_in_rows(few, keys, separator)).unionByName(many)
